@@ -5,10 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from rodfield.llm import bpe
 from rodfield.llm._common import table
 from rodfield.llm.chat_format import format_chat, gather_rows, read_back
+from rodfield.llm.fingerprint import compare_with_edits
+from rodfield.llm.packing import pack
 from rodfield.llm.license_scan import license_digest, scan_licenses
 
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 1024 ids."""
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited forms."""
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and what they decode to."""
+    return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1 in another layout, formatted and read back from the formatted string."""
@@ -53,6 +75,9 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_packing": op2_packing,
+    "op3_document_fingerprints": op3_document_fingerprints,
+    "op6_byte_level_bpe": op6_byte_level_bpe,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_license_scans": op5_license_scans,
 }

@@ -53,32 +53,21 @@ def _beside(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return found | _wide(padded[p - 3], padded[p - 2], before) | _wide(padded[p - 2], before, before) & (padded[p - 2] == 0xC2)
 
 
-class ChunkCoder:
-    """Texts to ids, given a function that codes a list of distinct strings."""
+class ChunkTable:
+    """Numbers the distinct chunks that a worker meets."""
 
-    def __init__(self, code: Callable[[list[str]], Sequence[Sequence[int]]]):
-        self.code = code
+    def __init__(self):
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[tuple[int, int], int] = {}
-        self.flat, self.starts = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
         self.powers = _powers(256)
 
-    def _learn(self, keys: list[tuple[int, int]], chunks: list[str]) -> None:
-        coded = self.code(chunks)
-        first = len(self.at)
-        self.at.update(zip(keys, range(first, first + len(keys)), strict=True))
-        counts = np.fromiter(map(len, coded), np.int64, len(coded))
-        total, used = int(counts.sum()), int(self.starts[first])
-        while len(self.starts) <= first + len(keys):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        while len(self.flat) < used + total:
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.starts[first + 1 : first + 1 + len(keys)] = used + np.cumsum(counts)
-        self.flat[used : used + total] = np.fromiter((i for ids in coded for i in ids), np.uint32, total)
+    def learn(self, chunks: list[str]) -> None:
+        """Called with chunks that get the next numbers."""
+        raise NotImplementedError
 
-    def _chunks(self, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    def numbers(self, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Numbers of the chunks that begin at these places."""
         if len(self.at) > LIMIT:
             self.clear()
@@ -96,9 +85,47 @@ class ChunkCoder:
         if new:
             text = data.tobytes()
             ends = (begin + sizes)[first]
-            self._learn([keys[i] for i in new], [text[begin[first[i]] : ends[i]].decode("utf-8", "replace") for i in new])
+            self.learn([text[begin[first[i]] : ends[i]].decode("utf-8", "replace") for i in new])
+            self.at.update((keys[i], n) for n, i in enumerate(new, len(self.at)))
         return np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))[inverse.reshape(-1)]
 
+
+def ranges(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """An Arrow column of texts (null as empty) in ranges of some millions of bytes: the first row, the bytes, and where
+    each row's begin (and the last end)."""
+    column = column.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.empty(0, np.uint8)
+    row = 0
+    while row < len(column):
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE, side="right")) - 1)
+        yield row, data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
+        row = stop
+
+
+class ChunkCoder(ChunkTable):
+    """Texts to ids, given a function that codes a list of distinct strings."""
+
+    def __init__(self, code: Callable[[list[str]], Sequence[Sequence[int]]]):
+        self.code = code
+        super().__init__()
+
+    def clear(self) -> None:
+        super().clear()
+        self.flat, self.starts = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+
+    def learn(self, chunks: list[str]) -> None:
+        coded = self.code(chunks)
+        first = len(self.at)
+        counts = np.fromiter(map(len, coded), np.int64, len(coded))
+        total, used = int(counts.sum()), int(self.starts[first])
+        while len(self.starts) <= first + len(chunks):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while len(self.flat) < used + total:
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.starts[first + 1 : first + 1 + len(chunks)] = used + np.cumsum(counts)
+        self.flat[used : used + total] = np.fromiter((i for ids in coded for i in ids), np.uint32, total)
+
     def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that lie one after another in UTF-8, and where each text's ids begin (and the last end)."""
         spaces = np.flatnonzero(data == 32)
@@ -113,7 +140,7 @@ class ChunkCoder:
         ids = np.empty(0, np.uint32)
         if len(kept):
             begin = np.union1d(base[:-1][plain], np.flatnonzero(kept == 32))
-            at = self._chunks(kept, begin)
+            at = self.numbers(kept, begin)
             counts = self.starts[at + 1] - self.starts[at]
             ends = np.cumsum(counts)
             ids = self.flat[np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(int(ends[-1]))]
@@ -133,14 +160,8 @@ class ChunkCoder:
     def encode_column(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For an Arrow column of texts (null as empty), in ranges of some millions of bytes: the first row, the ids, and
         where each row's begin."""
-        column = column.cast(pa.large_string()).fill_null("")
-        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-        data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.empty(0, np.uint8)
-        row = 0
-        while row < len(column):
-            stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE, side="right")) - 1)
-            yield row, *self.encode_bytes(data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row])
-            row = stop
+        for row, data, offsets in ranges(column):
+            yield row, *self.encode_bytes(data, offsets)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

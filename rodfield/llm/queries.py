@@ -12,6 +12,7 @@ from rodfield.llm._common import table
 from rodfield.llm.chat_format import format_chat, gather_rows, read_back
 from rodfield.llm.fingerprint import compare_with_edits
 from rodfield.llm.packing import pack
+from rodfield.llm.quality import classify
 from rodfield.llm.license_scan import license_digest, scan_licenses
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -74,7 +75,14 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(documents, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
+    "op10_quality_classifier": op10_quality_classifier,
     "op2_packing": op2_packing,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op6_byte_level_bpe": op6_byte_level_bpe,

@@ -12,6 +12,7 @@ from rodfield.llm._common import table
 from rodfield.llm.chat_format import format_chat, gather_rows, read_back
 from rodfield.llm.fingerprint import compare_with_edits
 from rodfield.llm.packing import pack
+from rodfield.llm.line_dedup import dedup_lines
 from rodfield.llm.quality import classify
 from rodfield.llm.license_scan import license_digest, scan_licenses
 
@@ -81,7 +82,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later copies of repeated runs of lines."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(documents).select("doc_id", "n_lines", "n_deleted", "text")
+
+
 QUERIES = {
+    "op7_line_dedup": op7_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,
     "op2_packing": op2_packing,
     "op3_document_fingerprints": op3_document_fingerprints,

@@ -10,6 +10,7 @@ import public_tokenizers
 from rodfield.llm import bpe
 from rodfield.llm._common import table
 from rodfield.llm.chat_format import format_chat, gather_rows, read_back
+from rodfield.llm.embedding_dedup import link
 from rodfield.llm.fingerprint import compare_with_edits
 from rodfield.llm.packing import pack
 from rodfield.llm.line_dedup import dedup_lines
@@ -88,7 +89,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents).select("doc_id", "n_lines", "n_deleted", "text")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return link(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,
     "op2_packing": op2_packing,

@@ -13,6 +13,7 @@ from rodfield.llm.chat_format import format_chat, gather_rows, read_back
 from rodfield.llm.embedding_dedup import link
 from rodfield.llm.fingerprint import compare_with_edits
 from rodfield.llm.packing import pack
+from rodfield.llm.jaccard_join import jaccard_join
 from rodfield.llm.line_dedup import dedup_lines
 from rodfield.llm.quality import classify
 from rodfield.llm.license_scan import license_digest, scan_licenses
@@ -94,7 +95,14 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of all documents whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    found = jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "n_links", "n_shingles", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,

@@ -13,6 +13,7 @@ from rodfield.llm.chat_format import format_chat, gather_rows, read_back
 from rodfield.llm.embedding_dedup import link
 from rodfield.llm.fingerprint import compare_with_edits
 from rodfield.llm.packing import pack
+from rodfield.llm.html_extract import extract_main_text
 from rodfield.llm.jaccard_join import jaccard_join
 from rodfield.llm.line_dedup import dedup_lines
 from rodfield.llm.quality import classify
@@ -101,7 +102,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links", "n_shingles", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
+    "op8_html_extraction": op8_html_extraction,
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op7_line_dedup": op7_line_dedup,

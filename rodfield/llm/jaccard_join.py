@@ -149,15 +149,15 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(path), part.column(1).take(pa.array(row))], ["path", "node"])
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each place of a node's tokens, as a hash of path, place and token."""
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each token of each place occurs in a bucket, counted within some thousands of rows."""
     where = np.arange(TOKENS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for batch in batches:
-        for start in range(0, batch.num_rows, 2048):
-            part = batch.slice(start, 2048)
-            path = part.column(0).to_numpy(zero_copy_only=False)
-            h = _mix(_matrix(part.column(1), np.uint32).astype(np.uint64) + where).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(path, TOKENS)), pa.array(h.ravel())], ["path", "token"])
+        path = batch.column(0).to_numpy(zero_copy_only=False)
+        seed = _mix(path.view(np.uint64))
+        h = _mix(_mix(_matrix(batch.column(1), np.uint32).astype(np.uint64) + where) ^ seed[:, None]).view(np.int64).ravel()
+        _, first, counts = np.unique(h, return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(path[first // TOKENS]), pa.array(h[first]), pa.array(counts)], ["path", "token", "f"])
 
 
 def _with_sizes(rows: DataFrame) -> DataFrame:
@@ -166,6 +166,15 @@ def _with_sizes(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, F.col("path") == F.col("__path")).drop("__path")
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """Buckets of similar nodes that share nodes become one: each takes the least bucket that any of its nodes is in. Pairs
+    that meet still do, and a large group of near copies, which many runs find, is compared once."""
+    own = rows.groupBy("node").agg(F.min("path").alias("__least"))
+    into = rows.join(own, "node").groupBy(F.col("path").alias("__path")).agg(F.min("__least").alias("__into"))
+    moved = rows.join(into, F.col("path") == F.col("__path")).select(F.col("__into").alias("path"), "node").distinct()
+    return _with_sizes(moved)
+
+
 def leaves(nodes: DataFrame, runs: int) -> DataFrame:
     """Rows (path, node, size) of all leaves of all runs."""
     live = cut(_with_sizes(nodes.select("node", "tokens").mapInArrow(_first(runs), "path long, node binary")))
@@ -177,10 +186,10 @@ def leaves(nodes: DataFrame, runs: int) -> DataFrame:
         small = live.where(F.col("size") <= SMALL)
         seen = large.join(nodes.select("node", "tokens"), "node")
         # mean similarity of a bucket's pairs, by how often its tokens occur
-        often = seen.select("path", "tokens").mapInArrow(_spread, "path long, token long").groupBy("path", "token").agg(F.count("*").alias("f"))
+        often = seen.select("path", "tokens").mapInArrow(_often, "path long, token long, f long").groupBy("path", "token").agg(F.sum("f").alias("f"))
         alike = often.groupBy(F.col("path").alias("__path")).agg((F.sum(F.col("f") * F.col("f")) / F.pow(F.sum("f") / TOKENS, F.lit(2)) / TOKENS >= DENSE).alias("dense"))
         judged = cut(large.join(alike, F.col("path") == F.col("__path")).drop("__path"))
-        part = small.unionByName(judged.where("dense").drop("dense"))
+        part = small.unionByName(_merged(judged.where("dense").select("path", "node")))
         done = part if done is None else done.unionByName(part)
         more = judged.where("not dense").join(nodes.select("node", "tokens"), "node").select("path", "node", "tokens")
         live = cut(_with_sizes(more.mapInArrow(_split, "path long, node binary").distinct()))

@@ -1,0 +1 @@
+"""Analytics over configurations of rods on Spark DataFrames."""

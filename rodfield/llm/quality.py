@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
 Every word has a hashed bucket of its own and one for each of its character n-grams
-(3 to 5, with marks for the word's ends); a bucket's embedding is learned. A word is the
+(3 and 4, with marks for the word's ends); a bucket's embedding is learned. A word is the
 mean of its buckets. A document is half the mean of its words, half the mean of two
 words that stand for how it repeats itself: its share of distinct words and the share of
 its most frequent one, each with its length, as powers of two. A softmax layer over that
@@ -31,17 +31,39 @@ from pyspark.sql import functions as F
 
 from rodfield.llm.chunks import ChunkTable, ranges
 
-BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4, 5)
-TRAIN, STEPS, BATCH, RATE = 4000, 600, 32, 0.4
+BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4)
+TRAIN, STEPS, BATCH, RATE = 4000, 400, 32, 0.4
 
 
-def buckets_of(word: str) -> list[int]:
-    """The word's own bucket and those of its n-grams."""
-    marked = f"<{word[:64]}>"  # n-grams of a longer run add nothing to its own bucket
-    found = [zlib.crc32(f"w{word}".encode("utf-8", "replace")) % BUCKETS]
+_STEP = np.uint64(6364136223846793005)
+
+
+def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
+    h = (h ^ np.uint64(kind * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return ((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words, one word after another, and how many each has: its own and those of its n-grams of code points."""
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(sizes)
+    word = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(ends, sizes) - np.arange(len(points))  # code points from here to the word's end
+    powers = np.full(int(sizes.max()), _STEP)
+    powers[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    whole = np.add.reduceat(points * powers[np.repeat(sizes, sizes) - left], ends - sizes)
+    ids, of = [_bucket(whole, 1)], [np.arange(len(words))]
     for n in GRAMS:
-        found += [zlib.crc32(marked[i : i + n].encode("utf-8", "replace")) % BUCKETS for i in range(len(marked) - n + 1)]
-    return found
+        at = np.flatnonzero(left >= n)
+        ids.append(_bucket(sum(points[at + k] * powers[k] for k in range(n)) if len(at) else np.empty(0, np.uint64), n))
+        of.append(word[at])
+    of_all = np.concatenate(of)
+    return np.concatenate(ids)[np.argsort(of_all, kind="stable")], np.bincount(of_all, minlength=len(words))
 
 
 def shape_words(total: np.ndarray, distinct: np.ndarray, top: np.ndarray) -> np.ndarray:
@@ -66,9 +88,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
         chunks = Counter(text.split(" ")) if text else {}
         shape.append((sum(chunks.values()), len(chunks), max(chunks.values(), default=0)))
     shapes = shape_words(*np.array(shape).T)
-    found = [buckets_of(w) for w in table]
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    flat = np.fromiter((b for bs in found for b in bs), np.int64, int(sizes.sum()))
+    flat, sizes = features(list(table))
     begins = np.cumsum(sizes) - sizes
     rng = np.random.default_rng(seed)
     emb, steps = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32), np.full(BUCKETS, 1e-4, np.float32)
@@ -138,10 +158,13 @@ class _Scores(ChunkTable):
         first = len(self.at)
         while len(self.sums) < first + len(chunks):
             self.sums, self.words = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.words))
-        for i, chunk in enumerate(chunks, first):
-            words = chunk.split()
-            self.words[i] = len(words)
-            self.sums[i] = sum(float(self.weights[buckets_of(w)].mean()) for w in words)
+        cut = [chunk.split() for chunk in chunks]
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        ids, sizes = features([w for words in cut for w in words])
+        self.words[first : first + len(cut)] = counts
+        if len(ids):
+            means = np.add.reduceat(self.weights[ids].astype(np.float64), np.cumsum(sizes) - sizes) / sizes
+            self.sums[first : first + len(cut)] = np.bincount(np.repeat(np.arange(len(cut)), counts), means, len(cut))
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The mean number of each text."""

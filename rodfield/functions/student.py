@@ -13,9 +13,14 @@ TABLE = 200
 _NORMAL = 1.959963984540054  # the normal 97.5 % quantile
 
 
+@lru_cache(maxsize=1)
+def _nodes() -> tuple[np.ndarray, np.ndarray]:
+    return np.polynomial.legendre.leggauss(64)
+
+
 def _upper(t: float, dof: int) -> float:
     """P(T <= t) - 0.5 by Gauss-Legendre integration of the density."""
-    x, w = np.polynomial.legendre.leggauss(200)
+    x, w = _nodes()
     x = (x + 1) * t / 2
     log_c = math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2) - 0.5 * math.log(dof * math.pi)
     return float((w * np.exp(log_c - (dof + 1) / 2 * np.log1p(x * x / dof))).sum() * t / 2)

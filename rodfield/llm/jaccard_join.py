@@ -39,6 +39,8 @@ from rodfield.llm.components import components, local_roots
 
 THRESHOLD, WORDS, TARGET = 0.8, 5, 0.9999
 TOKENS, FANOUT, SMALL, DENSE, DEPTH, BLOCK = 64, 2.5, 512, 0.4, 4, 1024
+#: Places of tokens that a bucket's mean similarity is taken over, and salts of the buckets while they are counted.
+PLACES, SALTS = 16, 8
 
 _ODD = np.random.default_rng(5).integers(1, 2**63, size=TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(6).integers(1, 2**63, size=TOKENS, dtype=np.uint64)
@@ -151,13 +153,13 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each token of each place occurs in a bucket, counted within some thousands of rows."""
-    where = np.arange(TOKENS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    where = np.arange(PLACES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for batch in batches:
         path = batch.column(0).to_numpy(zero_copy_only=False)
         seed = _mix(path.view(np.uint64))
-        h = _mix(_mix(_matrix(batch.column(1), np.uint32).astype(np.uint64) + where) ^ seed[:, None]).view(np.int64).ravel()
+        h = _mix(_mix(_matrix(batch.column(1), np.uint32)[:, :PLACES].astype(np.uint64) + where) ^ seed[:, None]).view(np.int64).ravel()
         _, first, counts = np.unique(h, return_index=True, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(path[first // TOKENS]), pa.array(h[first]), pa.array(counts)], ["path", "token", "f"])
+        yield pa.RecordBatch.from_arrays([pa.array(path[first // PLACES]), pa.array(h[first]), pa.array(counts)], ["path", "token", "f"])
 
 
 def _with_sizes(rows: DataFrame) -> DataFrame:
@@ -186,8 +188,9 @@ def leaves(nodes: DataFrame, runs: int) -> DataFrame:
         small = live.where(F.col("size") <= SMALL)
         seen = large.join(nodes.select("node", "tokens"), "node")
         # mean similarity of a bucket's pairs, by how often its tokens occur
-        often = seen.select("path", "tokens").mapInArrow(_often, "path long, token long, f long").groupBy("path", "token").agg(F.sum("f").alias("f"))
-        alike = often.groupBy(F.col("path").alias("__path")).agg((F.sum(F.col("f") * F.col("f")) / F.pow(F.sum("f") / TOKENS, F.lit(2)) / TOKENS >= DENSE).alias("dense"))
+        dealt = seen.repartition(max(partitions(nodes), 8), "path", F.pmod(F.xxhash64("node"), F.lit(SALTS))).sortWithinPartitions("path")
+        often = dealt.select("path", "tokens").mapInArrow(_often, "path long, token long, f long").groupBy("path", "token").agg(F.sum("f").alias("f"))
+        alike = often.groupBy(F.col("path").alias("__path")).agg((F.sum(F.col("f") * F.col("f")) / F.pow(F.sum("f") / PLACES, F.lit(2)) / PLACES >= DENSE).alias("dense"))
         judged = cut(large.join(alike, F.col("path") == F.col("__path")).drop("__path"))
         part = small.unionByName(_merged(judged.where("dense").select("path", "node")))
         done = part if done is None else done.unionByName(part)

@@ -111,9 +111,9 @@ def b2(spark, d):
     return rounded(B.at_index(c, 2).unionByName(B.at_index(c, -2)), "y").select(*KEY, "y").distinct()
 
 
-@query("B3_property", f"WITH {PROPS_SQL} SELECT {K}, round(max_gradient/(n*n), 4) AS normalized_gradient FROM props")
+@query("B3_property", f"WITH {PROPS_SQL} SELECT {K}, max_gradient/(n*n) AS normalized_gradient FROM props")
 def b3(spark, d):
-    return A.properties(spark, d).select(*KEY, r(F.col("max_gradient") / (F.col("n") * F.col("n")), 4).alias("normalized_gradient"))
+    return A.properties(spark, d).select(*KEY, (F.col("max_gradient") / (F.col("n") * F.col("n"))).alias("normalized_gradient"))
 
 
 @query("B4_index_interval", f"""{BASE}, w AS (SELECT *, min(CASE WHEN phi > 0.22 THEN idx END) OVER (PARTITION BY ensemble_id, replica) AS lo, min(CASE WHEN phi > 0.36 THEN idx END) OVER (PARTITION BY ensemble_id, replica) AS hi FROM states)

@@ -20,7 +20,9 @@ ROUNDS = 8
 
 def _fans(points: DataFrame, active: DataFrame, radius: float) -> DataFrame:
     """Triangles at the active points, with the angle there. ``radius`` is in units of a state's mean spacing."""
-    size = points.groupBy(*KEY).agg((F.sqrt((F.max("x") - F.min("x")) * (F.max("y") - F.min("y")) / F.count("*")) * radius).alias("reach"))
+    wide, high = F.max("x") - F.min("x"), F.max("y") - F.min("y")
+    spacing = F.greatest(F.sqrt(wide * high / F.count("*")), (wide + high) / F.count("*"), F.lit(1e-9))
+    size = points.groupBy(*KEY).agg((spacing * radius).alias("reach"))
     cell = points.join(size, KEY)
     grid = lambda c: F.floor(F.col(c) / F.col("reach"))
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
@@ -30,13 +32,15 @@ def _fans(points: DataFrame, active: DataFrame, radius: float) -> DataFrame:
     met = own.join(seen, [*KEY, "cx", "cy"]).where((F.col("q.pid") != F.col("pid")) & (dx * dx + dy * dy < F.col("reach") * F.col("reach")))
     # positions relative to the point; what one point sees is bounded by the density
     sight = met.groupBy(*KEY, "pid", "x", "y", "reach").agg(F.collect_list(F.struct(F.col("q.pid").alias("p"), dx.alias("u"), dy.alias("v"))).alias("near"))
-    pairs = sight.withColumn("j", F.explode("near")).withColumn("k", F.explode("near")).where("j.p < k.p")
+    # few points make much work here: a fixed number of tasks, which small data would not get
+    sight = sight.repartition(max(8, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *KEY, "pid")
+    pairs = sight.withColumn("j", F.explode("near")).withColumn("k", F.explode(F.filter("near", lambda q: F.col("j.p") < q["p"])))
     d = 2 * (F.col("j.u") * F.col("k.v") - F.col("j.v") * F.col("k.u"))
     jj, kk = F.col("j.u") * F.col("j.u") + F.col("j.v") * F.col("j.v"), F.col("k.u") * F.col("k.u") + F.col("k.v") * F.col("k.v")
-    pairs = pairs.withColumn("d", d).where("d != 0").withColumns({"cu": (jj * F.col("k.v") - kk * F.col("j.v")) / F.col("d"), "cv": (kk * F.col("j.u") - jj * F.col("k.u")) / F.col("d")})
+    pairs = pairs.withColumn("d", d).where("d != 0").withColumns({"cu": F.try_divide(jj * F.col("k.v") - kk * F.col("j.v"), F.col("d")), "cv": F.try_divide(kk * F.col("j.u") - jj * F.col("k.u"), F.col("d"))})
     pairs = pairs.withColumn("r2", F.col("cu") * F.col("cu") + F.col("cv") * F.col("cv")).where(4 * F.col("r2") <= F.col("reach") * F.col("reach"))
     free = ~F.exists("near", lambda q: (q["u"] - F.col("cu")) * (q["u"] - F.col("cu")) + (q["v"] - F.col("cv")) * (q["v"] - F.col("cv")) < F.col("r2") - 1e-9)
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("j.u") * F.col("k.u") + F.col("j.v") * F.col("k.v")) / F.sqrt(jj * kk))))
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col("j.u") * F.col("k.u") + F.col("j.v") * F.col("k.v"), F.sqrt(jj * kk)))))
     return pairs.where(free).select(*KEY, "pid", F.col("j.p").alias("pj"), F.col("k.p").alias("pk"), angle.alias("angle"))
 
 

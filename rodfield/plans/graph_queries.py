@@ -121,7 +121,7 @@ t0 AS (SELECT p.ensemble_id, p.replica, p.idx, p.pid AS a, q.pid AS b, s.pid AS
 t1 AS (SELECT *, 2*(u1*v2 - v1*u2) AS d FROM t0 WHERE 2*(u1*v2 - v1*u2) != 0),
 t2 AS (SELECT *, ((u1*u1+v1*v1)*v2 - (u2*u2+v2*v2)*v1)/d AS cu, ((u2*u2+v2*v2)*u1 - (u1*u1+v1*v1)*u2)/d AS cv FROM t1),
 t3 AS (SELECT *, cu*cu + cv*cv AS r2 FROM t2),
-tri AS (SELECT {K}, a, b, c FROM t3 WHERE NOT EXISTS (SELECT 1 FROM pts w WHERE w.ensemble_id = t3.ensemble_id AND w.replica = t3.replica AND w.idx = t3.idx AND (w.x - x - cu)*(w.x - x - cu) + (w.y - y - cv)*(w.y - y - cv) < r2 - 1e-9)),
+tri AS (SELECT {K}, a, b, c FROM t3 WHERE NOT EXISTS (SELECT 1 FROM pts w WHERE w.ensemble_id = t3.ensemble_id AND w.replica = t3.replica AND w.idx = t3.idx AND (w.x - t3.x - t3.cu)*(w.x - t3.x - t3.cu) + (w.y - t3.y - t3.cv)*(w.y - t3.y - t3.cv) < t3.r2 - 1e-9)),
 e0 AS (SELECT {K}, a AS i, b AS j FROM tri UNION ALL SELECT {K}, a, c FROM tri UNION ALL SELECT {K}, b, c FROM tri),
 edges AS (SELECT {K}, i, j, count(*) AS triangles FROM e0 WHERE i >= 0 GROUP BY ALL),
 e2 AS (SELECT {K}, i, j FROM edges UNION ALL SELECT {K}, j, i FROM edges)"""
@@ -134,7 +134,7 @@ def graph(spark, d, frames: int = 1):
     states = A.states(spark, d, frames)
     p = A.particles(spark, d, frames).join(states.select(*KEY, "gamma", "n"), KEY)
     points = p.select(*KEY, "pid", "x", "y").unionByName(A.ring(states))
-    return p, T.triangulate(points)
+    return p, T.triangulate(points, 3.0)
 
 
 @query("C4_triangulation", f"{GRAPH} SELECT {K}, a, b, c FROM tri")

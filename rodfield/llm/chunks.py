@@ -56,6 +56,8 @@ def _beside(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 class ChunkTable:
     """Numbers the distinct chunks that a worker meets."""
 
+    limit = LIMIT
+
     def __init__(self):
         self.clear()
 
@@ -69,7 +71,7 @@ class ChunkTable:
 
     def numbers(self, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Numbers of the chunks that begin at these places."""
-        if len(self.at) > LIMIT:
+        if len(self.at) > self.limit:
             self.clear()
         sizes = np.diff(begin, append=len(data))
         if int(sizes.max()) > self.powers.shape[1]:

@@ -146,6 +146,8 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
 class _Scores(ChunkTable):
     """Sums of the words' numbers, and how many words, of each chunk."""
 
+    limit = 400_000
+
     def __init__(self, weights: np.ndarray):
         self.weights = weights
         super().__init__()

@@ -40,7 +40,7 @@ def order_parameters(particles: DataFrame, edges: DataFrame) -> DataFrame:
     bonds = directed_bonds(particles, edges)
     total = lambda c, name: F.sum(c).alias(name)
     sums = bonds.groupBy(*KEY, F.col("i").alias("pid")).agg(
-        F.count("*").alias("z"), *[total(f(p * F.col("bond")), f"{n}{p}") for p in (4, 6) for n, f in (("c", F.cos), ("s", F.sin))],
+        F.count("*").alias("z"), *[total(f(p * F.col("bond")), f"{n}_{p}") for p in (4, 6) for n, f in (("c", F.cos), ("s", F.sin))],
         total(F.cos(2 * (F.col("tj") - F.col("ti"))), "cc"), total(F.cos(2 * F.col("tj")), "c2"), total(F.sin(2 * F.col("tj")), "s2"),
         total(F.col("dx") * F.col("dy"), "xy"), total(F.col("dx") * F.col("dx") - F.col("dy") * F.col("dy"), "xx_yy"), F.max("far").alias("farthest"), F.avg("far").alias("mean_far"),
     )
@@ -50,7 +50,7 @@ def order_parameters(particles: DataFrame, edges: DataFrame) -> DataFrame:
     rows = rows.withColumns({"z": z, "on_boundary": F.coalesce("on_boundary", F.lit(False)), "__c": c2, "__s": s2})
     length = F.sqrt(F.col("__c") * F.col("__c") + F.col("__s") * F.col("__s"))
     rows = rows.withColumns({
-        "Phi4": F.hypot("c4", "s4") / F.when(F.col("z") > 0, F.col("z")), "Phi6": F.hypot("c6", "s6") / F.when(F.col("z") > 0, F.col("z")), "S_center": F.col("cc") / F.when(F.col("z") > 0, F.col("z")),
+        "Phi4": F.hypot("c_4", "s_4") / F.when(F.col("z") > 0, F.col("z")), "Phi6": F.hypot("c_6", "s_6") / F.when(F.col("z") > 0, F.col("z")), "S_center": F.col("cc") / F.when(F.col("z") > 0, F.col("z")),
         "S_local": length / (F.col("z") + 1), "DirectorAngle": axis_angle(F.atan2(F.col("__s"), F.col("__c") + length)), "PureRotationAngle": axis_angle(0.5 * F.atan2(2 * F.col("xy"), F.col("xx_yy"))),
         "FarthestSegmentDist": F.coalesce("farthest", F.lit(0.0)) * F.col("gamma"), "MeanSegmentDist": F.col("mean_far") * F.col("gamma"), "C6_raw": (F.col("z") == 6).cast("double"),
     })
@@ -60,7 +60,7 @@ def order_parameters(particles: DataFrame, edges: DataFrame) -> DataFrame:
     frame = bonds.join(rows.select(*KEY, F.col("pid").alias("i"), F.col("DirectorAngle").alias("u")), [*KEY, "i"])
     along, across = F.col("dx") * F.cos("u") + F.col("dy") * F.sin("u"), F.col("gamma") * (-F.col("dx") * F.sin("u") + F.col("dy") * F.cos("u"))
     turned = frame.withColumn("w", F.atan2(across, along)).groupBy(*KEY, F.col("i").alias("pid")).agg(F.hypot(F.avg(F.cos(6 * F.col("w"))), F.avg(F.sin(6 * F.col("w")))).alias("EllipticPhi6"))
-    return rows.join(turned, [*KEY, "pid"], "left").drop("__c", "__s", "c4", "s4", "c6", "s6", "cc", "c2", "s2", "xy", "xx_yy", "farthest", "mean_far")
+    return rows.join(turned, [*KEY, "pid"], "left").drop("__c", "__s", "c_4", "s_4", "c_6", "s_6", "cc", "c2", "s2", "xy", "xx_yy", "farthest", "mean_far")
 
 
 def vote(labels: DataFrame, edges: DataFrame, label: str, rounds: int = 1) -> DataFrame:

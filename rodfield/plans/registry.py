@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rodfield.plans import base_queries, graph_queries, series_queries, structure_queries
+from rodfield.plans import base_queries, graph_queries, series_queries, store_queries, structure_queries
 
-MODULES = [base_queries, graph_queries, series_queries, structure_queries]
+MODULES = [base_queries, graph_queries, series_queries, structure_queries, store_queries]
 
 
 def queries() -> dict:

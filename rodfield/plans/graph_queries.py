@@ -96,14 +96,14 @@ def c11(spark, d):
 
 
 @query("C16_segment_distance", f"{base(2)} SELECT {PK}, p.pid AS pid_i, q.pid AS pid_j, round({segdist_sql('(1 - 1/1.7)', 'p', 'q')}, 6) AS d {PAIRS} AND p.pid < q.pid WHERE {RPQ} < 4")
-def c16(spark, d):
-    rows = P.close_pairs(A.particles(spark, d, 2), 4.0, ("t",))
+def c16(spark, d, frames: int = 2):
+    rows = P.close_pairs(A.particles(spark, d, frames), 4.0, ("t",))
     return rows.select(*KEY, "pid_i", "pid_j", r(C.segment_distance(F.lit(1 - 1 / 1.7), "x_i", "y_i", "t_i", "x_j", "y_j", "t_j")).alias("d"))
 
 
 @query("C1_disks", f"{base(2)} SELECT {K}, pid, CAST(j AS INTEGER) AS j, round(x + (-(m-1)/2.0 + j)*0.1/gamma*cos(t), 6) AS dx, round(y + (-(m-1)/2.0 + j)*0.1/gamma*sin(t), 6) AS dy FROM (SELECT p.*, gamma, CAST(floor(1 + 2*(gamma-1)/0.1 + 1e-9) AS INTEGER) AS m FROM particles p JOIN states USING ({K})), range(40) g(j) WHERE j < m")
-def c1(spark, d):
-    p = A.particles(spark, d, 2).join(A.states(spark, d, 2), KEY).withColumn("m", F.floor(1 + 2 * (F.col("gamma") - 1) / 0.1 + 1e-9).cast("int"))
+def c1(spark, d, frames: int = 2):
+    p = A.particles(spark, d, frames).join(A.states(spark, d, frames), KEY).withColumn("m", F.floor(1 + 2 * (F.col("gamma") - 1) / 0.1 + 1e-9).cast("int"))
     rows = p.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     off = (-(F.col("m") - 1) / 2 + F.col("j")) * 0.1 / F.col("gamma")
     return rows.select(*KEY, "pid", "j", r(F.col("x") + off * F.cos("t")).alias("dx"), r(F.col("y") + off * F.sin("t")).alias("dy"))
@@ -138,18 +138,18 @@ def graph(spark, d, frames: int = 1):
 
 
 @query("C4_triangulation", f"{GRAPH} SELECT {K}, a, b, c FROM tri")
-def c4(spark, d):
-    return graph(spark, d)[1]
+def c4(spark, d, frames: int = 1):
+    return graph(spark, d, frames)[1]
 
 
 @query("C5_T7_graph_edges", f"{GRAPH} SELECT {K}, i, j, triangles FROM edges")
-def c5(spark, d):
-    return T.edges_of(graph(spark, d)[1])
+def c5(spark, d, frames: int = 1):
+    return T.edges_of(graph(spark, d, frames)[1])
 
 
 @query("C7_hull_points", f"{GRAPH} SELECT DISTINCT {K}, unnest([i, j]) AS pid FROM edges WHERE triangles = 1")
-def c7(spark, d):
-    return T.hull_points(graph(spark, d)[1])
+def c7(spark, d, frames: int = 1):
+    return T.hull_points(graph(spark, d, frames)[1])
 
 
 BOUNDARY_SQL = f"""sh AS (SELECT e.ensemble_id, e.replica, e.idx, e.i, e.j FROM edges e JOIN e2 f ON e.ensemble_id = f.ensemble_id AND e.replica = f.replica AND e.idx = f.idx AND e.i = f.i JOIN e2 g ON e.ensemble_id = g.ensemble_id AND e.replica = g.replica AND e.idx = g.idx AND e.j = g.i AND f.j = g.j GROUP BY ALL HAVING count(*) = 1),
@@ -157,13 +157,13 @@ bd AS (SELECT DISTINCT {K}, unnest([i, j]) AS pid FROM sh)"""
 
 
 @query("C10_graph_boundary", f"{GRAPH}, {BOUNDARY_SQL} SELECT * FROM bd")
-def c10(spark, d):
-    return N.graph_boundary(T.edges_of(graph(spark, d)[1]))
+def c10(spark, d, frames: int = 1):
+    return N.graph_boundary(T.edges_of(graph(spark, d, frames)[1]))
 
 
 @query("C19_rod_triangles", f"{GRAPH} SELECT x.ensemble_id, x.replica, x.idx, x.i AS a, x.j AS b, y.j AS c FROM edges x JOIN edges y ON x.ensemble_id = y.ensemble_id AND x.replica = y.replica AND x.idx = y.idx AND x.j = y.i JOIN edges z ON x.ensemble_id = z.ensemble_id AND x.replica = z.replica AND x.idx = z.idx AND x.i = z.i AND y.j = z.j")
-def c19(spark, d):
-    e = T.edges_of(graph(spark, d)[1]).select(*KEY, "i", "j")
+def c19(spark, d, frames: int = 1):
+    e = T.edges_of(graph(spark, d, frames)[1]).select(*KEY, "i", "j")
     x = e.select(*KEY, F.col("i").alias("a"), F.col("j").alias("b"))
     y = e.select(*KEY, F.col("i").alias("b"), F.col("j").alias("c"))
     return x.join(y, [*KEY, "b"]).join(e.select(*KEY, F.col("i").alias("a"), F.col("j").alias("c")), [*KEY, "a", "c"]).select(*KEY, "a", "b", "c")
@@ -182,15 +182,15 @@ el AS (SELECT b.ensemble_id, b.replica, b.idx, b.i AS pid, atan2(b.gamma*(-dx*si
 elliptic AS (SELECT {K}, pid, sqrt(avg(cos(6*w))*avg(cos(6*w)) + avg(sin(6*w))*avg(sin(6*w))) AS ephi6 FROM el GROUP BY ALL)"""
 
 
-def orders(spark, d):
-    p, tri = graph(spark, d)
+def orders(spark, d, frames: int = 1):
+    p, tri = graph(spark, d, frames)
     return N.order_parameters(p, T.edges_of(tri))
 
 
 def particle_query(name: str, spark_columns: dict[str, str], sql: str, digits: int = 6, source: str = "orders"):
     """A query that shows some order parameters of each particle."""
-    def run(spark, d):
-        rows = orders(spark, d)
+    def run(spark, d, frames: int = 1):
+        rows = orders(spark, d, frames)
         kinds = dict(rows.dtypes)
         return rows.select(*KEY, "pid", *[(r(c, digits) if kinds[c] == "double" else F.col(c)).alias(n) for n, c in spark_columns.items()])
 
@@ -211,57 +211,57 @@ particle_query("D22_raw_dense", {"raw_dense": "raw_dense"}, "CASE WHEN farthest
 
 
 @query("D7_D26_defects_charge", f"{ORDERS_SQL} SELECT {K}, count(*) FILTER (WHERE NOT on_boundary AND z != 6) AS defects, CAST(sum(z) FILTER (WHERE NOT on_boundary) - 6*count(*) FILTER (WHERE NOT on_boundary) AS BIGINT) AS charge, CAST(sum(z) - 6*count(*) AS BIGINT) AS raw_charge FROM orders GROUP BY ALL")
-def d26(spark, d):
+def d26(spark, d, frames: int = 1):
     inner = ~F.col("on_boundary")
-    return orders(spark, d).groupBy(*KEY).agg(
+    return orders(spark, d, frames).groupBy(*KEY).agg(
         F.count_if(inner & (F.col("z") != 6)).alias("defects"), (F.sum(F.when(inner, F.col("z"))) - 6 * F.count_if(inner)).alias("charge"), (F.sum("z") - 6 * F.count("*")).alias("raw_charge")
     )
 
 
 @query("D17_D25_bond_statistics", f"{GRAPH}, {BONDS_SQL} SELECT {K}, round(avg(gamma*far), 6) AS mean_distance, round(sqrt(greatest(avg(gamma*far*gamma*far) - avg(gamma*far)*avg(gamma*far), 0)), 6) AS std_distance, round(avg(CASE WHEN dx*dx + dy*dy <= 4 THEN sqrt(dx*dx + dy*dy) END), 6) AS mean_bond FROM bonds GROUP BY ALL")
-def d17(spark, d):
-    p, tri = graph(spark, d)
+def d17(spark, d, frames: int = 1):
+    p, tri = graph(spark, d, frames)
     b = N.directed_bonds(p, T.edges_of(tri)).withColumn("v", F.col("gamma") * F.col("far")).withColumn("l", F.hypot("dx", "dy"))
     rows = b.groupBy(*KEY).agg(F.avg("v").alias("mean_distance"), F.sqrt(F.greatest(F.avg(F.col("v") * F.col("v")) - F.avg("v") * F.avg("v"), F.lit(0.0))).alias("std_distance"), F.avg(F.when(F.col("l") <= 2, F.col("l"))).alias("mean_bond"))
     return rounded(rows, "mean_distance", "std_distance", "mean_bond")
 
 
 @query("D19_isolated_defects", f"{ORDERS_SQL} SELECT o.ensemble_id, o.replica, o.idx, o.pid, o.z FROM orders o WHERE z != 6 AND NOT EXISTS (SELECT 1 FROM e2 e JOIN orders q ON e.ensemble_id = q.ensemble_id AND e.replica = q.replica AND e.idx = q.idx AND e.j = q.pid WHERE e.ensemble_id = o.ensemble_id AND e.replica = o.replica AND e.idx = o.idx AND e.i = o.pid AND q.z != 6 AND q.z != o.z)")
-def d19(spark, d):
-    p, tri = graph(spark, d)
+def d19(spark, d, frames: int = 1):
+    p, tri = graph(spark, d, frames)
     e = T.edges_of(tri)
     return N.isolated_defects(N.order_parameters(p, e).select(*KEY, "pid", "z"), e)
 
 
 @query("D20_windings", f"""{GRAPH}, {BONDS_SQL}, rg AS (SELECT *, (tj - pi()*floor(tj/pi()))/pi() AS u FROM bonds), nx AS (SELECT *, coalesce(lead(u) OVER w, first_value(u) OVER (PARTITION BY {K}, i ORDER BY bond ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS v FROM rg WINDOW w AS (PARTITION BY {K}, i ORDER BY bond)),
 st AS (SELECT *, CASE WHEN v - u > 0.5 THEN v - u - 1 WHEN v - u < -0.5 THEN v - u + 1 ELSE v - u END AS s FROM nx) SELECT {K}, i AS pid, CASE WHEN max(CASE WHEN abs(abs(s) - 0.5) <= 1e-4 THEN 1 ELSE 0 END) = 0 THEN CAST(round(sum(s)) AS INTEGER) END AS winding FROM st GROUP BY {K}, i""")
-def d20(spark, d):
-    p, tri = graph(spark, d)
+def d20(spark, d, frames: int = 1):
+    p, tri = graph(spark, d, frames)
     return N.windings(N.directed_bonds(p, T.edges_of(tri)))
 
 
 @query("D24_joint_masks", f"{ORDERS_SQL} SELECT {K}, pid, coalesce(ephi6 > 0.5 AND s_local > 0.5, false) AS phi_s, z = 6 AND s_local > 0.5 AS c6_s FROM orders LEFT JOIN elliptic USING ({K}, pid)")
-def d24(spark, d):
-    rows = orders(spark, d)
+def d24(spark, d, frames: int = 1):
+    rows = orders(spark, d, frames)
     return rows.select(*KEY, "pid", F.coalesce((F.col("EllipticPhi6") > 0.5) & (F.col("S_local") > 0.5), F.lit(False)).alias("phi_s"), ((F.col("z") == 6) & (F.col("S_local") > 0.5)).alias("c6_s"))
 
 
 @query("G6_D28_report", f"{ORDERS_SQL} SELECT {K}, round(avg(phi4), 6) AS phi4, round(avg(phi6), 6) AS phi6, round(avg(ephi6), 6) AS elliptic, round(avg(s_local), 6) AS s_local, round(avg(farthest), 6) AS farthest, round(avg(1 - CASE WHEN NOT on_boundary THEN CAST(z = 6 AS DOUBLE) END), 6) AS defect FROM orders LEFT JOIN elliptic USING ({K}, pid) GROUP BY ALL")
-def g6(spark, d):
+def g6(spark, d, frames: int = 1):
     names = {"phi4": "Phi4", "phi6": "Phi6", "elliptic": "EllipticPhi6", "s_local": "S_local", "farthest": "FarthestSegmentDist"}
-    rows = orders(spark, d).groupBy(*KEY).agg(*[F.avg(c).alias(n) for n, c in names.items()], F.avg(1 - F.col("C6")).alias("defect"))
+    rows = orders(spark, d, frames).groupBy(*KEY).agg(*[F.avg(c).alias(n) for n, c in names.items()], F.avg(1 - F.col("C6")).alias("defect"))
     return rounded(rows, *names, "defect")
 
 
 @query("G12_paired_samples", f"{ORDERS_SQL} SELECT {K}, pid, round(farthest, 6) AS farthest, round(s_local, 6) AS s_local FROM orders JOIN states USING ({K}) WHERE phi < 0.24")
-def g12(spark, d):
-    low = A.states(spark, d, 1).where("phi < 0.24").select(*KEY)
-    return orders(spark, d).join(low, KEY).select(*KEY, "pid", r("FarthestSegmentDist").alias("farthest"), r("S_local").alias("s_local"))
+def g12(spark, d, frames: int = 1):
+    low = A.states(spark, d, frames).where("phi < 0.24").select(*KEY)
+    return orders(spark, d, frames).join(low, KEY).select(*KEY, "pid", r("FarthestSegmentDist").alias("farthest"), r("S_local").alias("s_local"))
 
 
 @query("N1_N3_neighbour_sums", f"{GRAPH}, {BONDS_SQL} SELECT {K}, i AS pid, round(sum(tj), 6) AS sum_values, round(sum(far), 6) AS sum_weights, round(sum(cos(bond)), 6) + 0.0 AS re, round(sum(sin(bond)), 6) + 0.0 AS im, round(max(far), 6) AS max_weight FROM bonds GROUP BY {K}, i")
-def n1(spark, d):
-    p, tri = graph(spark, d)
+def n1(spark, d, frames: int = 1):
+    p, tri = graph(spark, d, frames)
     b = N.directed_bonds(p, T.edges_of(tri)).groupBy(*KEY, F.col("i").alias("pid"))
     return rounded(b.agg(F.sum("tj").alias("sum_values"), F.sum("far").alias("sum_weights"), F.sum(F.cos("bond")).alias("re"), F.sum(F.sin("bond")).alias("im"), F.max("far").alias("max_weight")), "sum_values", "sum_weights", "re", "im", "max_weight")
 
@@ -272,10 +272,10 @@ def _vote_sql(source: str, name: str) -> str:
 
 
 @query("N5_N6_vote", f"{GRAPH}, l0 AS (SELECT {K}, pid, CAST(floor((t - pi()*floor(t/pi()))/pi()*3) AS INTEGER) AS l FROM particles), {_vote_sql('l0', 'l1')}, {_vote_sql('l1', 'l2')} SELECT {K}, pid, l1.l AS once, l2.l AS twice FROM l1 JOIN l2 USING ({K}, pid)")
-def n5(spark, d):
+def n5(spark, d, frames: int = 1):
     import math
 
-    p, tri = graph(spark, d)
+    p, tri = graph(spark, d, frames)
     e = T.edges_of(tri)
     labels = p.select(*KEY, "pid", F.floor(C.axis_angle("t") / math.pi * 3).cast("int").alias("l"))
     once = N.vote(labels, e, "l").withColumnRenamed("l", "once")
@@ -286,18 +286,18 @@ GRAPH2 = f"{base(2)}, {points_sql(2)}"
 
 
 @query("T2_bond_changes", f"{GRAPH2} SELECT {K}, i, j, 1 AS change FROM edges x WHERE idx = 1 AND NOT EXISTS (SELECT 1 FROM edges y WHERE y.ensemble_id = x.ensemble_id AND y.replica = x.replica AND y.idx = 0 AND y.i = x.i AND y.j = x.j) UNION ALL SELECT ensemble_id, replica, 1 AS idx, i, j, -1 FROM edges x WHERE idx = 0 AND NOT EXISTS (SELECT 1 FROM edges y WHERE y.ensemble_id = x.ensemble_id AND y.replica = x.replica AND y.idx = 1 AND y.i = x.i AND y.j = x.j)")
-def t2(spark, d):
-    return N.bond_changes(T.edges_of(graph(spark, d, 2)[1])).select(*KEY, "i", "j", "change")
+def t2(spark, d, frames: int = 2):
+    return N.bond_changes(T.edges_of(graph(spark, d, frames)[1])).select(*KEY, "i", "j", "change")
 
 
 @query("T3_bond_creation", f"{GRAPH2} SELECT {K}, count(*) AS created FROM edges x WHERE idx = 1 AND NOT EXISTS (SELECT 1 FROM edges y WHERE y.ensemble_id = x.ensemble_id AND y.replica = x.replica AND y.idx = 0 AND y.i = x.i AND y.j = x.j) GROUP BY ALL")
-def t3(spark, d):
-    return N.bond_changes(T.edges_of(graph(spark, d, 2)[1])).where("change = 1").groupBy(*KEY).agg(F.count("*").alias("created"))
+def t3(spark, d, frames: int = 2):
+    return N.bond_changes(T.edges_of(graph(spark, d, frames)[1])).where("change = 1").groupBy(*KEY).agg(F.count("*").alias("created"))
 
 
 @query("T6_stable_defects", f"{GRAPH2}, z AS (SELECT {K}, i AS pid, count(*) AS z FROM e2 GROUP BY ALL) SELECT a.ensemble_id, a.replica, a.idx, count(*) AS stable FROM z a JOIN z b ON a.ensemble_id = b.ensemble_id AND a.replica = b.replica AND a.pid = b.pid AND b.idx = a.idx + 1 WHERE a.z != 6 AND a.z = b.z GROUP BY ALL")
-def t6(spark, d):
-    z = N.both_ways(T.edges_of(graph(spark, d, 2)[1]).select(*KEY, "i", "j")).groupBy(*KEY, F.col("i").alias("pid")).agg(F.count("*").alias("z"))
+def t6(spark, d, frames: int = 2):
+    z = N.both_ways(T.edges_of(graph(spark, d, frames)[1]).select(*KEY, "i", "j")).groupBy(*KEY, F.col("i").alias("pid")).agg(F.count("*").alias("z"))
     later = z.select("ensemble_id", "replica", (F.col("idx") - 1).alias("idx"), "pid", F.col("z").alias("z_next"))
     return z.join(later, [*KEY, "pid"]).where("z != 6 and z = z_next").groupBy(*KEY).agg(F.count("*").alias("stable"))
 
@@ -317,15 +317,15 @@ SM = f"{base(2)}, f AS (SELECT *, cos(2*t) + 2 AS u, abs(x) + 1 AS v FROM partic
 
 @query("P1_pair_correlation", f"""{SM}, m AS (SELECT *, avg(u) OVER w AS mu, avg(v) OVER w AS mv FROM f WINDOW w AS (PARTITION BY {K})) SELECT p.ensemble_id, p.replica, p.idx, p.pid AS pid_i, q.pid AS pid_j, round({RPQ}, 6) AS r,
 round(0.5/(p.mu*p.mv)*((p.u - p.mu)*(q.v - q.mv) + (q.u - q.mu)*(p.v - p.mv)), 6) + 0.0 AS c FROM m p JOIN m q ON p.ensemble_id = q.ensemble_id AND p.replica = q.replica AND p.idx = q.idx AND p.pid <= q.pid""")
-def p1(spark, d):
-    f = A.particles(spark, d, 2).withColumn("u", F.cos(2 * F.col("t")) + 2).withColumn("v", F.abs("x") + 1)
+def p1(spark, d, frames: int = 2):
+    f = A.particles(spark, d, frames).withColumn("u", F.cos(2 * F.col("t")) + 2).withColumn("v", F.abs("x") + 1)
     return rounded(P.pair_correlation(f, "u", "v"), "r", "c")
 
 
 @query("P2_ensemble_correlation", f"""{SM}, m AS (SELECT *, avg(u) OVER w AS mu, avg(v) OVER w AS mv FROM f WINDOW w AS (PARTITION BY ensemble_id, idx)) SELECT p.ensemble_id, p.replica, p.idx, count(*) AS pairs, round(sum(0.5/(p.mu*p.mv)*((p.u - p.mu)*(q.v - q.mv) + (q.u - q.mu)*(p.v - p.mv))), 5) + 0.0 AS c
 FROM m p JOIN m q ON p.ensemble_id = q.ensemble_id AND p.replica = q.replica AND p.idx = q.idx AND p.pid <= q.pid GROUP BY ALL""")
-def p2(spark, d):
-    f = A.particles(spark, d, 2).withColumn("u", F.cos(2 * F.col("t")) + 2).withColumn("v", F.abs("x") + 1)
+def p2(spark, d, frames: int = 2):
+    f = A.particles(spark, d, frames).withColumn("u", F.cos(2 * F.col("t")) + 2).withColumn("v", F.abs("x") + 1)
     return P.pair_correlation(f, "u", "v", ["ensemble_id", "idx"]).groupBy(*KEY).agg(F.count("*").alias("pairs"), r(F.sum("c"), 5).alias("c"))
 
 
@@ -333,12 +333,12 @@ ANGULAR = f"{base(2)}, c AS (SELECT p.ensemble_id, p.replica, p.idx, {RPQ} AS r,
 
 
 @query("P3_P5_binned_angular", f"{ANGULAR}, m AS (SELECT {K}, min(r) AS lo, max(r) AS hi FROM c GROUP BY ALL), b AS (SELECT c.*, lo, hi, CAST(floor((r - 1e-6 - lo)/((hi - lo)/50)) AS INTEGER) AS bin FROM c JOIN m USING ({K})) SELECT {K}, bin, round(min(lo) + (bin + 0.5)*(min(hi - lo)/50) + 1e-6, 6) AS x, round(avg(c), 6) + 0.0 AS y FROM b WHERE bin BETWEEN 0 AND 49 GROUP BY {K}, bin")
-def p3(spark, d):
-    return rounded(P.bin_average(P.angular_correlation(A.particles(spark, d, 2)), "r", "c", 50, KEY), "x", "y")
+def p3(spark, d, frames: int = 2):
+    return rounded(P.bin_average(P.angular_correlation(A.particles(spark, d, frames)), "r", "c", 50, KEY), "x", "y")
 
 
 @query("P4_rod_pair_distance", f"{base(1)} SELECT {PK}, round(avg({segdist_sql('(1 - 1/1.7)', 'p', 'q')}), 5) AS mean_rod, round(avg({RPQ}), 5) AS mean_centre {PAIRS} AND p.pid < q.pid GROUP BY {PK}")
-def p4(spark, d):
-    f = A.particles(spark, d, 1).withColumn("gamma", F.lit(1.7))
+def p4(spark, d, frames: int = 1):
+    f = A.particles(spark, d, frames).withColumn("gamma", F.lit(1.7))
     rows = P.all_pairs(f, ["t", "gamma"]).where("pid_i < pid_j")
     return rows.groupBy(*KEY).agg(r(F.avg(P.rod_distance()), 5).alias("mean_rod"), r(F.avg(P.centre_distance()), 5).alias("mean_centre"))

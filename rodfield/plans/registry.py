@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from functools import partial
+from inspect import signature
+
 from pyspark.sql import DataFrame, SparkSession
 
 from rodfield.plans import base_queries, graph_queries, series_queries, store_queries, structure_queries
+from rodfield.sources.adapters import FRAMES
 
 MODULES = [base_queries, graph_queries, series_queries, structure_queries, store_queries]
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    """Queries whose SQL is for the first states only are there twice: as their SQL has it, and over all states."""
+    found = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    return found | {f"{k}_all_states": partial(f, frames=FRAMES) for k, f in found.items() if "frames" in signature(f).parameters}
 
 
 def oracles() -> dict[str, str]:

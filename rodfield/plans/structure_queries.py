@@ -39,9 +39,9 @@ def keys(p: str) -> str:
 
 @query("B9_named_masks", f"""{GRAPH}, {BOUNDARY_SQL} SELECT {K}, pid, NOT (abs(y) > 2*b/3 AND abs(y) < 5*b/6 AND abs(x) < a/2) AS internal, (abs(y) > 2*b/3 AND abs(y) < 5*b/6 AND abs(x) < a/2) AS boundary, bd.pid IS NOT NULL AS graph_boundary
 FROM particles JOIN states USING ({K}) LEFT JOIN bd USING ({K}, pid)""")
-def b9(spark, d):
-    p, tri = graph(spark, d)
-    rows = p.join(A.states(spark, d, 1).select(*KEY, "a", "b"), KEY)
+def b9(spark, d, frames: int = 1):
+    p, tri = graph(spark, d, frames)
+    rows = p.join(A.states(spark, d, frames).select(*KEY, "a", "b"), KEY)
     edge = N.graph_boundary(T.edges_of(tri)).withColumn("edge", F.lit(True))
     return rows.join(edge, [*KEY, "pid"], "left").select(*KEY, "pid", B.internal_window().alias("internal"), (~B.internal_window()).alias("boundary"), F.coalesce("edge", F.lit(False)).alias("graph_boundary"))
 
@@ -49,16 +49,16 @@ def b9(spark, d):
 @query("C3_ellipse_points")
 def c3(spark, d):
     """Tested for equal arcs; the recurrence has no compact SQL."""
-    return rounded(S.ellipse_points(A.states(spark, d, 2)), "x", "y")
+    return rounded(S.ellipse_points(A.states(spark, d)), "x", "y")
 
 
 RODS_SQL = f"rods AS (SELECT {K}, least(i % 20, j % 20) AS i, greatest(i % 20, j % 20) AS j, count(*) AS w FROM edges WHERE i % 20 != j % 20 GROUP BY ALL)"
 
 
 @query("C5_C8_edge_types", f"{GRAPH}, {RODS_SQL} SELECT {K}, i, j, w, CASE WHEN w < 0.5*3 THEN 0 WHEN w < 1.5*3 THEN 1 ELSE 2 END AS \"type\" FROM rods")
-def c8(spark, d):
+def c8(spark, d, frames: int = 1):
     """The points stand for the disks of 20 rods."""
-    return S.edge_types(T.collapse(T.edges_of(graph(spark, d)[1]), 20), 3)
+    return S.edge_types(T.collapse(T.edges_of(graph(spark, d, frames)[1]), 20), 3)
 
 
 def _cos(o: str, u: str, v: str) -> str:
@@ -74,8 +74,8 @@ FROM inner_ t JOIN particles p ON {on('t', 'p')} AND t.a = p.pid JOIN particles
 sd AS (SELECT *, a AS i, b AS j FROM fl UNION ALL SELECT *, a, c FROM fl UNION ALL SELECT *, b, c FROM fl), hull AS (SELECT {K}, i, j FROM sd GROUP BY ALL HAVING count(*) = 1),
 gone AS (SELECT {keys('sd')}, a, b, c FROM sd JOIN hull USING ({K}, i, j) WHERE flat UNION SELECT {keys('s')}, s.a, s.b, s.c FROM gone g JOIN sd f ON {on('f', 'g')} AND f.a = g.a AND f.b = g.b AND f.c = g.c JOIN sd s ON {SAME} AND s.i = f.i AND s.j = f.j AND s.flat)
 SELECT {K}, a, b, c FROM inner_ t WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE {on('g', 't')} AND g.a = t.a AND g.b = t.b AND g.c = t.c)""")
-def c6(spark, d):
-    p, tri = graph(spark, d)
+def c6(spark, d, frames: int = 1):
+    p, tri = graph(spark, d, frames)
     return S.without_slivers(p, tri)
 
 
@@ -89,8 +89,8 @@ SELECT {K}, pid, round(CASE WHEN NOT valid OR g > gamma THEN 0 ELSE sqrt(avg(cos
 
 
 @query("D10_fitted_elliptic_phi6", D10_SQL)
-def d10(spark, d):
-    p, tri = graph(spark, d)
+def d10(spark, d, frames: int = 1):
+    p, tri = graph(spark, d, frames)
     return S.fitted_elliptic_phi6(N.directed_bonds(p, T.edges_of(tri))).select(*KEY, "pid", r("order", 5).alias("fitted"))
 
 
@@ -100,8 +100,8 @@ def _round_sql(old: str, new: str) -> str:
 
 
 @query("D15_director_2", f"{GRAPH}, {_round_sql('particles', 'one')}, {_round_sql('one', 'two')} SELECT {K}, pid, round(t, 5) AS director FROM two")
-def d15(spark, d):
-    p, tri = graph(spark, d)
+def d15(spark, d, frames: int = 1):
+    p, tri = graph(spark, d, frames)
     return S.director(p, T.edges_of(tri), 2).select(*KEY, "pid", r("angle", 5).alias("director"))
 
 
@@ -114,8 +114,8 @@ cn AS (SELECT t.*, p.x AS px, p.y AS py, p.t/pi() AS u FROM rt t JOIN particles
 li AS (SELECT {K}, a, b, c, list(u ORDER BY atan2(py - my, px - mx)) AS l FROM ce GROUP BY ALL), st AS (SELECT {K}, {_step('l[1]', 'l[2]')} AS s1, {_step('l[2]', 'l[3]')} AS s2, {_step('l[3]', 'l[1]')} AS s3 FROM li),
 wd AS (SELECT {K}, CAST(round(s1 + s2 + s3) AS INTEGER) AS w FROM st WHERE abs(abs(s1) - 0.5) > 1e-4 AND abs(abs(s2) - 0.5) > 1e-4 AND abs(abs(s3) - 0.5) > 1e-4)
 SELECT {K}, count(*) FILTER (w > 0) AS positive, count(*) FILTER (w < 0) AS negative FROM wd WHERE w != 0 GROUP BY ALL""")
-def d21(spark, d):
-    p, tri = graph(spark, d)
+def d21(spark, d, frames: int = 1):
+    p, tri = graph(spark, d, frames)
     found = S.axis_defects(p, S.rod_triangles(T.edges_of(tri)))
     return found.groupBy(*KEY).agg(F.count(F.when(F.col("winding") > 0, 1)).alias("positive"), F.count(F.when(F.col("winding") < 0, 1)).alias("negative"))
 
@@ -131,16 +131,16 @@ R_PHI = "CASE WHEN phi < 0.9 THEN (phi - 0.4)/(0.9 - 0.4)*0.9/phi ELSE 1 END"
 @query("D23_segment_rank_mask", f"""{ORDERS_SQL}, rk AS (SELECT o.ensemble_id, o.replica, o.idx, o.pid, farthest AS l, s.n, {R_PHI} AS rp, row_number() OVER (PARTITION BY {keys('o')} ORDER BY farthest, o.pid) - 1 AS pos FROM orders o JOIN states s ON {on('o', 's')}),
 th AS (SELECT *, max(CASE WHEN pos = greatest(least(round_even(n*rp, 0), n - 1), 0) THEN l END) OVER (PARTITION BY {K}) AS c FROM rk), v0 AS (SELECT {K}, pid, CAST(l <= c AS INTEGER) AS f FROM th),
 {_vote_sql('v0', 'v1')}, {_vote_sql('v1', 'v2')}, {_vote_sql('v2', 'v3')}, {_vote_sql('v3', 'v4')} SELECT {K}, pid, CASE WHEN rp >= 1 THEN 1 ELSE f END AS flag FROM v4 JOIN (SELECT {K}, pid, rp FROM rk) USING ({K}, pid)""")
-def d23(spark, d):
-    p, tri = graph(spark, d)
+def d23(spark, d, frames: int = 1):
+    p, tri = graph(spark, d, frames)
     e = T.edges_of(tri)
-    return S.segment_rank_mask(N.order_parameters(p, e), e, A.states(spark, d, 1))
+    return S.segment_rank_mask(N.order_parameters(p, e), e, A.states(spark, d, frames))
 
 
 @query("D27_misalignment", f"""{GRAPH}, zz AS (SELECT {K}, i AS pid, count(*) AS z FROM e2 GROUP BY ALL), u AS (SELECT {keys('e')}, abs(p.t - q.t)/pi() - floor(abs(p.t - q.t)/pi()) AS u FROM e2 e JOIN zz a ON {on('e', 'a')} AND e.i = a.pid AND a.z = 5
 JOIN zz b ON {on('e', 'b')} AND e.j = b.pid AND b.z = 7 JOIN particles p ON {on('e', 'p')} AND e.i = p.pid JOIN particles q ON {on('e', 'q')} AND e.j = q.pid) SELECT {K}, CAST(least(floor(least(u, 1 - u)*2*90), 89) AS INTEGER) AS bin, count(*) AS count FROM u GROUP BY ALL""")
-def d27(spark, d):
-    p, tri = graph(spark, d)
+def d27(spark, d, frames: int = 1):
+    p, tri = graph(spark, d, frames)
     bonds = N.directed_bonds(p, T.edges_of(tri))
     return S.misalignment(bonds, bonds.groupBy(*KEY, F.col("i").alias("pid")).agg(F.count("*").alias("z")))
 
@@ -152,36 +152,36 @@ lb AS (SELECT {K}, pid, min(root) AS label FROM rc GROUP BY ALL), ev AS (SELECT
 FROM lb l JOIN zz n ON {on('n', 'l')} AND n.pid = l.pid JOIN zz b ON b.ensemble_id = l.ensemble_id AND b.replica = l.replica AND b.idx = l.idx - 1 AND b.pid = l.pid GROUP BY ALL)"""
 
 
-def events(spark, d):
-    p, tri = graph(spark, d, 2)
+def events(spark, d, frames: int = 2):
+    p, tri = graph(spark, d, frames)
     return S.rearrangements(p, T.edges_of(tri))
 
 
 @query("T4_rearrangements", f"{EVENTS_SQL} SELECT * FROM ev")
-def t4(spark, d):
-    return events(spark, d)
+def t4(spark, d, frames: int = 2):
+    return events(spark, d, frames)
 
 
 @query("T5_event_sizes", f"{EVENTS_SQL} SELECT {K}, CAST(least((size + 1)//2, 9) AS INTEGER) AS bin, count(*) AS count FROM ev GROUP BY ALL")
-def t5(spark, d):
-    return S.event_sizes(events(spark, d), 10)
+def t5(spark, d, frames: int = 2):
+    return S.event_sizes(events(spark, d, frames), 10)
 
 
 SCAN_SQL = f"""{ORDERS_SQL}, tr AS (SELECT {keys("b")}, b.i AS pid, CAST(1 + k*0.05 AS DOUBLE) AS trial, atan2((1 + k*0.05)*(-dx*sin(director) + dy*cos(director)), dx*cos(director) + dy*sin(director)) AS w FROM bonds b JOIN orders o ON {on('b', 'o')} AND b.i = o.pid, range(21) g(k)),
 pp AS (SELECT {K}, pid, trial, sqrt(avg(cos(6*w))*avg(cos(6*w)) + avg(sin(6*w))*avg(sin(6*w))) AS o FROM tr GROUP BY ALL), sc AS (SELECT {K}, trial, avg(o) AS o FROM pp GROUP BY ALL)"""
 
 
-def scan(spark, d):
-    p, tri = graph(spark, d)
+def scan(spark, d, frames: int = 1):
+    p, tri = graph(spark, d, frames)
     e = T.edges_of(tri)
     return S.gamma_scan(N.directed_bonds(p, e), S.director(p, e, 1), 21)
 
 
 @query("R12_gamma_landscape", f"{SCAN_SQL} SELECT {K}, round(trial, 6) AS trial, round(o, 6) AS \"order\" FROM sc")
-def r12(spark, d):
-    return rounded(scan(spark, d), "trial", "order")
+def r12(spark, d, frames: int = 1):
+    return rounded(scan(spark, d, frames), "trial", "order")
 
 
 @query("R12_best_gamma", f"{SCAN_SQL} SELECT {K}, round(trial, 6) AS trial, round(o, 6) AS \"order\" FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY o DESC, trial) AS pos FROM sc) WHERE pos = 1")
-def r12_best(spark, d):
-    return rounded(S.best_gamma(scan(spark, d)), "trial", "order")
+def r12_best(spark, d, frames: int = 1):
+    return rounded(S.best_gamma(scan(spark, d, frames)), "trial", "order")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from rodfield.llm._common import cut, table
 from rodfield.llm.jaccard_join import jaccard_join
-from rodfield.llm.line_dedup import dedup_lines
+from rodfield.llm.line_dedup import EVERY_RUN, dedup_lines
 from rodfield.llm.packing import pack
 from rodfield.llm.quality import classify
 
@@ -37,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated runs of lines."""
-    left = dedup_lines(docs.select(*COLUMNS)).where("n_deleted = 0 or trim(text) != ''")
+    left = dedup_lines(docs.select(*COLUMNS), min_words=EVERY_RUN).where("n_deleted = 0 or trim(text) != ''")
     return left.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

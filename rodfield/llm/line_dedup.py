@@ -16,7 +16,8 @@ meet the lines to delete. Rounds are cut by checkpoint() in the shared folder.
 Defined results: a null text is empty and stays as it is; blank lines take part in no run
 and stay; lines are compared without white space at their ends; occurrences that overlap
 count; rows with equal id and text are one document and get the same result; null ids
-come after all others; the number of lines of a run is limited by ``min_words`` only.
+come after all others; the number of lines of a run is limited by ``min_words`` only. With
+``min_words`` of EVERY_RUN each repeated line is a run, and those cover all longer ones.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 
 from rodfield.llm._common import cut, text_of
 
-#: Words of the shortest run that is deleted; where lines end (after the match of this pattern).
+#: Words of the shortest run that is deleted, unless the caller names another number; where lines end (after the match of this pattern).
 MIN_WORDS, LINE_END = 10, r"(?<=\n)"
+#: ``min_words`` that leaves no run out: every line has a word.
+EVERY_RUN = 1
 
 
 def lines_of(text: Column, line_end: str = LINE_END) -> Column:

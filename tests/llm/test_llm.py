@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import duckdb
 import numpy as np
 import public_tokenizers as P
@@ -174,6 +175,27 @@ def test_line_dedup_brute_force(spark, odd, empty):
         assert got[doc] == "".join(x for i, x in enumerate(re.split(r"(?<=\n)", text)) if i not in gone[doc])
 
 
+def test_op7_deletes_every_repeated_run(spark, tmp_path):
+    documents_ = [
+        (1, "share this page\nfirst text\n\nread more\n"), (2, "share this page\nsecond text\n\nread more\nread more\n"),
+        (3, "a\nb\nc\nthird\n"), (4, "x\na\n\nb\nc\n"), (5, None), (6, " read more \t\nlast"),
+    ]
+    columns = [(d, t, "en", "s", len(t or "")) for d, t in documents_]
+    spark.createDataFrame(columns, f"{SCHEMA}, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, want = set(), {}
+    for doc, text in documents_:
+        kept = []
+        for line in re.split(r"(?<=\n)", text or ""):
+            if not line.strip() or line.strip() not in seen:
+                kept.append(line)
+            seen.add(line.strip())
+        want[doc] = None if text is None else "".join(kept)
+    got = {r.doc_id: r.text for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == want and got[2] == "second text\n\n" and got[4] == "x\n\n"
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()} == {d: t for d, t in want.items()}
+
+
 def _jaccard(docs):
     sets = []
     for doc, text in docs:

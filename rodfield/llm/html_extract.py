@@ -8,7 +8,9 @@ nests in the template if each token's parent is in the template too. The valid c
 nested, are the host's template; what lies between its tokens are slots. The main slot
 is found by following, from the root, the container that holds most of the text that
 is no menu, header, footer, sidebar, notice, advert, form, script, style or comment; its
-text is extracted, in page order, without such elements inside it.
+text is extracted, in page order, without such elements inside it. The other slots are
+extracted with it: outside the main slot only text of the template is left out, which is what
+an element holds on at least half of the host's pages and always the same.
 
 Vectors are never collected: a class is told by sums of hashes of page and count, added
 up per task and then per host, so a host with a third of all pages costs no more than
@@ -17,16 +19,19 @@ template through a broadcast where the number of hosts is at most ``HOSTS``, els
 through a join with a salted host.
 
 Defined results: a null page is empty; an empty page, or one without text in its main
-slot, gives the empty text; a null or odd url is the host ""; repeated rows give repeated
+slots, gives the empty text; a null or odd url is the host ""; repeated rows give repeated
 results; cut-off pages are read as far as they go; an unclosed comment hides the rest.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -139,14 +144,24 @@ def _ancestors(path: str) -> list[str]:
     return ["/" + "/".join(steps[: k + 1]) for k in range(len(steps))]
 
 
+def own_texts(blocks: list[tuple[str, bool, bool, str]]) -> dict[str, int]:
+    """Of each path with article text of its own on a page, a hash of that text."""
+    texts: defaultdict[str, list[str]] = defaultdict(list)
+    for path, noise, _, text in blocks:
+        if not noise:
+            texts[path].append(text)
+    return {p: int.from_bytes(hashlib.blake2b("\n".join(t).encode("utf-8", "surrogatepass"), digest_size=8).digest()) >> 1 for p, t in texts.items()}
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and path: pages, pages where it occurs once, the sum that tells the occurrence vector, characters below it."""
-    names = ["host", "path", "pages", "once", "vector", "chars"]
+    """Per host and path: pages, pages where it occurs once, the sum that tells the occurrence vector, characters below it,
+    pages where it has text of its own, least and greatest hash of that text."""
+    names = ["host", "path", "pages", "once", "vector", "chars", "texts", "low", "high"]
     held: dict[tuple[str, str], list[int]] = {}
 
     def out() -> pa.RecordBatch:
         keys, values = list(held), list(held.values())
-        made = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *[pa.array([v[n] for v in values], pa.int64()) for n in range(4)]]
+        made = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *[pa.array([v[n] for v in values], pa.int64()) for n in range(7)]]
         held.clear()
         return pa.RecordBatch.from_arrays(made, names)
 
@@ -158,24 +173,42 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not noise:
                     for a in _ancestors(path):
                         chars[a] += len(text)
+            own = own_texts(blocks)
             for h in (host, "*"):
                 for path, n in [("", 1), *opened.items()]:
-                    row = held.setdefault((h, path), [0, 0, 0, 0])
+                    row = held.setdefault((h, path), [0, 0, 0, 0, 0, None, None])
                     row[0] += 1
                     row[1] += n == 1
                     row[2] += zlib.crc32(f"{page} {n}".encode())
                     row[3] += chars[path]
+                    if path in own:
+                        row[4] += 1
+                        row[5] = own[path] if row[5] is None else min(row[5], own[path])
+                        row[6] = own[path] if row[6] is None else max(row[6], own[path])
             if len(held) > 100_000:
                 yield out()
     if held:
         yield out()
 
 
-def occurrence_classes(pages: DataFrame) -> DataFrame:
+def token_table(pages: DataFrame) -> DataFrame:
+    """All tokens of every host, as ``_count`` has them."""
+    rows = pages.select("host", F.col("page").cast("string"), "html").mapInArrow(_count, "host string, path string, pages long, once long, vector long, chars long, texts long, low long, high long")
+    return cut(rows.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "once", "vector", "chars", "texts")], F.min("low").alias("low"), F.max("high").alias("high")))
+
+
+def template_texts(tokens: DataFrame) -> DataFrame:
+    """Per host the paths whose own text is the template's, with its hash. A host whose pages don't differ has none."""
+    hosts = tokens.where("path = ''").select("host", F.col("pages").alias("all"))
+    same = (F.col("low") == F.col("high")) & (F.col("texts") >= SUPPORT * F.col("all")) & ((F.col("all") >= PAGES) | (F.col("host") == "*"))
+    found = tokens.where("texts > 0").join(hosts, "host").groupBy("host").agg(
+        F.max(F.col("low") != F.col("high")).alias("differ"), F.collect_list(F.when(same, F.struct("path", "low"))).alias("fixed")
+    )
+    return found.where("differ and size(fixed) > 0").select("host", F.map_from_entries("fixed").alias("fixed"))
+
+
+def occurrence_classes(tokens: DataFrame) -> DataFrame:
     """Valid tokens of every host: path, pages, vector, characters, and how many tokens share the vector."""
-    rows = pages.select("host", F.col("page").cast("string"), "html").mapInArrow(_count, "host string, path string, pages long, once long, vector long, chars long")
-    tokens = rows.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "once", "vector", "chars")])
-    tokens = cut(tokens)
     hosts = tokens.where("path = ''").select("host", F.col("pages").alias("all"))
     valid = tokens.where("path != ''").join(hosts, "host").where((F.col("pages") >= SUPPORT * F.col("all")) & (F.col("once") >= ONCE * F.col("pages")) & ((F.col("all") >= PAGES) | (F.col("host") == "*")))
     sizes = valid.groupBy("host", "vector", "pages").agg(F.count("*").alias("tokens"))
@@ -206,45 +239,54 @@ def _noisy(path: str) -> bool:
     return name in ASIDE or any(p in NOISE for w in words for p in re.split(r"[-_]+", w))
 
 
-def extract(html: str, container: str | None) -> str:
-    """The text of the main slot; on pages without the container, of the first article, else main, else of all."""
+def extract(html: str, container: str | None, fixed: dict[str, int] | None = None) -> str:
+    """The text of all slots: all that the main slot's container holds (on pages without it, the articles, else mains, else
+    the page), and elsewhere what isn't the template's (``fixed``)."""
     blocks, opened = read(html)
-    kept = [b for b in blocks if not b[1]]
-    if container is None or container not in opened:
-        found = [p for tag in ("article", "main") for p in opened if p.rpartition("/")[2].split(".")[0] == tag and not _noisy(p)]
-        container = found[0] if found else ""
-    inside = [b[3] for b in kept if not container or b[0] == container or b[0].startswith(f"{container}/")]
-    return " ".join(inside)
+    held = [container] if container and container in opened else []
+    for tag in ("article", "main"):
+        held = held or [p for p in opened if p.rpartition("/")[2].split(".")[0] == tag and not _noisy(p)]
+    own = own_texts(blocks) if fixed and held else {}
+    template = {p for p in own if fixed.get(p) == own[p] and not any(p == h or p.startswith(f"{h}/") for h in held)}
+    return " ".join(b[3] for b in blocks if not b[1] and b[0] not in template)
+
+
+@lru_cache(maxsize=4096)
+def _template(text: str) -> dict:
+    return json.loads(text)
 
 
 def extract_main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """The key, the url and the main ``text`` of every page."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     pages = df.select(F.col(key).alias("page"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"), host.alias("host"))
-    valid = occurrence_classes(pages)
+    tokens = token_table(pages)
+    valid = occurrence_classes(tokens)
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         found = main_container(group)
         return pd.DataFrame({"host": group["host"].iloc[:1], "container": [found]})
 
-    templates = cut(valid.groupBy("host").applyInPandas(choose, "host string, container string"))
-    shared = [r["container"] for r in templates.where("host = '*'").collect()]
-    fallback = shared[0] if shared else None
+    containers = valid.groupBy("host").applyInPandas(choose, "host string, container string")
+    templates = cut(containers.join(template_texts(tokens), "host", "full").select("host", F.to_json(F.struct("container", "fixed")).alias("template")))
+    shared = [r["template"] for r in templates.where("host = '*'").collect()]
+    fallback = shared[0] if shared else "{}"
     schema = f"{key} {df.schema[key].dataType.simpleString()}, url {df.schema[url].dataType.simpleString()}, text string"
     if templates.count() <= HOSTS:
-        known = {r["host"]: r["container"] for r in templates.collect()}
+        known = {r["host"]: r["template"] for r in templates.collect()}
         sent = df.sparkSession.sparkContext.broadcast(known)
         met = pages.select("page", "url", "html", "host")
     else:
         sent = None
         salts = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = pages.withColumn("salt", F.pmod(F.xxhash64("page", "url"), F.lit(SALTS)).cast("int")).join(salts, ["host", "salt"], "left").select("page", "url", "html", "host", "container")
+        met = pages.withColumn("salt", F.pmod(F.xxhash64("page", "url"), F.lit(SALTS)).cast("int")).join(salts, ["host", "salt"], "left").select("page", "url", "html", "host", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts = batch.column(3).to_pylist()
             chosen = [sent.value.get(h) for h in hosts] if sent else batch.column(4).to_pylist()
-            texts = [extract(x or "", c or fallback) for x, c in zip(batch.column(2).to_pylist(), chosen, strict=True)]
+            found = [_template(c or fallback) for c in chosen]
+            texts = [extract(x or "", t.get("container"), t.get("fixed")) for x, t in zip(batch.column(2).to_pylist(), found, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [key, "url", "text"])
 
     return met.mapInArrow(run, schema)

@@ -256,6 +256,30 @@ def test_html(spark):
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def _pages(spark, bodies):
+    rows = [(i, f"http://h.example/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    return {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+@pytest.mark.parametrize("hosts", [20_000, 0])
+def test_html_keeps_every_slot(spark, monkeypatch, hosts):
+    from rodfield.llm import html_extract
+
+    monkeypatch.setattr(html_extract, "HOSTS", hosts)
+    long = "word " * 40
+    got = _pages(spark, [f"<div class=x>Our site</div><article><h1>Title {i}</h1><p>lead {i}</p><div class=body>{long}{i}</div></article>" for i in range(6)])
+    assert got == {i: f"Title {i} lead {i} {long}{i}" for i in range(6)}
+    got = _pages(spark, [f"<nav>menu</nav><section class=a>{long}{i}</section><section class=b>second {i}</section>" for i in range(6)])
+    assert got == {i: f"{long}{i} second {i}" for i in range(6)}
+    got = _pages(spark, [f"<article class=k>one {i}</article><article class=l>two {i}</article>" for i in range(2)])
+    assert got == {i: f"one {i} two {i}" for i in range(2)}
+    assert set(_pages(spark, [f"<h1>Head</h1><div class=body>{long}</div>"] * 4).values()) == {f"Head {long}".strip()}
+
+
+def test_html_articles_without_a_template():
+    assert extract("<article class=a>one</article><article class=b>two</article>", None) == "one two"
+
+
 def test_quality_held_out(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert classify(empty, none).count() == 0

@@ -3,18 +3,21 @@
 Distinct pieces of text are laid out as padded matrices, one for each range of lengths.
 In every round each row looks up the ranks of its neighbouring pairs in a hashed table
 of pairs, merges the leftmost pair of least rank and is compacted by one place; rows
-without a mergeable pair leave the matrix. Decoding gathers the bytes of all ids at once.
+without a mergeable pair leave the matrix. Pieces longer than the longest matrix merge in
+the same order from a heap of their pairs. Decoding gathers the bytes of all ids at once.
 
 Tasks work on their own rows only; nothing is shuffled. Memory per task is bounded by a
 slice of some millions of bytes, or by one text where that is longer.
 
 Defined results: a null text is empty; an empty text has no ids; text that is one
-unbroken run is merged in one row of its own; repeated rows give repeated results.
+unbroken run of any length is one piece, in time that grows as its length (and the
+heap's logarithm); repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 from rodfield.llm.chunks import ChunkCoder, read_ranks
 
 _NONE = np.int64(1 << 40)
-#: Longest piece of each matrix; above the last, every piece has a matrix of its own.
-LENGTHS = (4, 6, 8, 12, 16, 24, 32, 64, 128)
+#: Longest piece of each matrix, and most cells of a matrix; pieces above the last length are merged from a heap.
+LENGTHS, CELLS = (4, 6, 8, 12, 16, 24, 32, 64, 128, 512), 400_000
 
 
 class PairTable:
@@ -94,14 +97,41 @@ class BytePairCoder:
         out: list[list[int]] = [[] for _ in pieces]
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         low = 0
-        for high in (*LENGTHS, None):
-            rows = np.flatnonzero((sizes > low) & (sizes <= high)) if high else np.flatnonzero(sizes > low)
-            for part in np.array_split(rows, max(1, len(rows) // 20_000)) if high else rows.reshape(-1, 1):
+        for high in LENGTHS:
+            rows = np.flatnonzero((sizes > low) & (sizes <= high))
+            for part in np.array_split(rows, max(1, -(-len(rows) * high // CELLS))):
                 if len(part):
                     self._matrix([pieces[i] for i in part], part, out)
-            low = high or 0
+            low = high
+        for i in np.flatnonzero(sizes > low).tolist():
+            out[i] = self._long(pieces[i])
         return out
 
+    def _long(self, piece: bytes) -> list[int]:
+        """Ids of one long piece: the leftmost pair of least rank is on top of a heap, and ids are linked to their neighbours."""
+        ids = self.single[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs(ids[:-1], ids[1:])
+        at = np.flatnonzero(ranks < _NONE)
+        heap = list(zip(ranks[at].tolist(), at.tolist(), strict=True))
+        heapq.heapify(heap)
+        values, n = ids.tolist(), len(ids)
+        begin, end = list(range(n)), list(range(1, n + 1))  # of each id, where its bytes begin and end
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        live = bytearray(b"\1") * n
+        get = self.ranks.get
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i] if live[i] else n
+            if j >= n or get(piece[begin[i] : end[j]]) != rank:
+                continue  # one of the pair has been merged since
+            values[i], end[i], after[i], live[j] = rank, end[j], after[j], 0
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n and (r := get(piece[begin[k] : end[after[k]]])) is not None:
+                    heapq.heappush(heap, (r, k))
+        return [v for v, alive in zip(values, live, strict=True) if alive]
+
     def _matrix(self, pieces: list[bytes], rows: np.ndarray, out: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         width = int(sizes.max())

@@ -3,39 +3,30 @@
 A chunk is a run of bytes from a space up to the next. The pattern that splits texts
 before byte-level merges never matches across the place before a lone space, so the
 ids of a text are those of its chunks in a row. Texts repeat their chunks: a worker
-codes each distinct chunk once, finds chunks by two 64-bit hashes computed over whole
-batches of bytes, and puts ids together with numpy. What is kept of distinct chunks is
-emptied at ``LIMIT``. Texts with a space beside other white space are coded as a whole.
+codes each distinct chunk once, knows it by its bytes, and puts ids together with
+numpy. What is kept of distinct chunks is bounded in bytes and emptied beyond
+``LIMIT``. Texts with a space beside other white space are coded as a whole.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-LIMIT = 2_000_000
-SLICE = 4_000_000
-
-_RANDOM = np.random.default_rng(20)
-_BYTE = _RANDOM.integers(1, 2**63, size=(2, 256), dtype=np.uint64)
-_STEP = (6364136223846793005, 2862933555777941757)
+#: Bytes of distinct chunks (each with ENTRY for its place in the table) that a worker keeps, and bytes of texts at a time.
+LIMIT, ENTRY, SLICE = 96_000_000, 160, 2_000_000
+#: Marks the first chunk of a text, which has no space before it; other chunks of texts cut here never begin with it.
+FIRST = b"\n"
 
 #: White space of the pattern, as UTF-8 (fixed values): single bytes, and the longer ones.
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 
-def _powers(n: int) -> np.ndarray:
-    made = np.ones((2, n), np.uint64)
-    for k, step in enumerate(_STEP):
-        made[k, 1:] = step
-        np.multiply.accumulate(made[k], out=made[k])
-    return made
-
-
 def _wide(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Whether three bytes are, or begin with, white space beyond ASCII."""
     two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
@@ -62,34 +53,27 @@ class ChunkTable:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[tuple[int, int], int] = {}
-        self.powers = _powers(256)
+        self.at: dict[bytes, int] = {}
+        self.held = 0
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, chunks: list[bytes]) -> None:
         """Called with chunks that get the next numbers."""
         raise NotImplementedError
 
-    def numbers(self, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Numbers of the chunks that begin at these places."""
-        if len(self.at) > self.limit:
+    def numbers(self, chunks: list[bytes]) -> np.ndarray:
+        """Numbers of the chunks. They hold until the next call."""
+        if self.held > self.limit:
             self.clear()
-        sizes = np.diff(begin, append=len(data))
-        if int(sizes.max()) > self.powers.shape[1]:
-            self.powers = _powers(int(sizes.max()) * 2)
-        place = np.arange(len(data)) - np.repeat(begin, sizes)
-        one, two = (np.add.reduceat(_BYTE[k][data] * self.powers[k][place], begin) for k in (0, 1))
-        one ^= sizes.astype(np.uint64) << np.uint64(40)
-        _, first, inverse = np.unique(one, return_index=True, return_inverse=True)
-        if (two[first][inverse] != two).any():  # two chunks with the same first hash: tell them apart by both
-            _, first, inverse = np.unique(np.stack([one, two], 1), axis=0, return_index=True, return_inverse=True)
-        keys = list(zip(one[first].tolist(), two[first].tolist(), strict=True))
-        new = [i for i, k in enumerate(keys) if k not in self.at]
-        if new:
-            text = data.tobytes()
-            ends = (begin + sizes)[first]
-            self.learn([text[begin[first[i]] : ends[i]].decode("utf-8", "replace") for i in new])
-            self.at.update((keys[i], n) for n, i in enumerate(new, len(self.at)))
-        return np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))[inverse.reshape(-1)]
+        found = list(map(self.at.get, chunks))
+        if None in found:
+            missing = [i for i, n in enumerate(found) if n is None]
+            new = list({chunks[i] for i in missing})
+            self.learn(new)
+            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+            self.held += sum(map(len, new)) + ENTRY * len(new)
+            for i in missing:
+                found[i] = self.at[chunks[i]]
+        return np.array(found, np.int64)
 
 
 def ranges(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -116,8 +100,8 @@ class ChunkCoder(ChunkTable):
         super().clear()
         self.flat, self.starts = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
 
-    def learn(self, chunks: list[str]) -> None:
-        coded = self.code(chunks)
+    def learn(self, chunks: list[bytes]) -> None:
+        coded = self.code([(c[1:] if c[:1] == FIRST else b" " + c).decode("utf-8", "replace") for c in chunks])
         first = len(self.at)
         counts = np.fromiter(map(len, coded), np.int64, len(coded))
         total, used = int(counts.sum()), int(self.starts[first])
@@ -126,7 +110,7 @@ class ChunkCoder(ChunkTable):
         while len(self.flat) < used + total:
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         self.starts[first + 1 : first + 1 + len(chunks)] = used + np.cumsum(counts)
-        self.flat[used : used + total] = np.fromiter((i for ids in coded for i in ids), np.uint32, total)
+        self.flat[used : used + total] = np.fromiter(chain.from_iterable(coded), np.uint32, total)
 
     def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that lie one after another in UTF-8, and where each text's ids begin (and the last end)."""
@@ -134,30 +118,27 @@ class ChunkCoder(ChunkTable):
         whole = np.zeros(len(offsets) - 1, bool)
         if len(spaces):
             whole[np.searchsorted(offsets, spaces[_beside(data, spaces)], side="right") - 1] = True
-        sizes = np.diff(offsets)
-        plain = ~whole & (sizes > 0)
-        kept = data[np.repeat(plain, sizes)] if whole.any() else data
-        base = np.concatenate([[0], np.cumsum(np.where(plain, sizes, 0))])
-        out_counts = np.zeros(len(offsets) - 1, np.int64)
-        ids = np.empty(0, np.uint32)
-        if len(kept):
-            begin = np.union1d(base[:-1][plain], np.flatnonzero(kept == 32))
-            at = self.numbers(kept, begin)
-            counts = self.starts[at + 1] - self.starts[at]
-            ends = np.cumsum(counts)
-            ids = self.flat[np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(int(ends[-1]))]
-            upto = np.concatenate([[0], ends])
-            text_ends = upto[np.searchsorted(begin, base)]
-            out_counts = np.diff(text_ends)
+        raw, chunks, ends = data.tobytes(), [], [0]
+        for a, b, w in zip(offsets[:-1].tolist(), offsets[1:].tolist(), whole.tolist(), strict=True):
+            if a < b and not w:
+                parts = raw[a:b].split(b" ")
+                parts[0] = FIRST + parts[0]
+                chunks += parts
+            ends.append(len(chunks))
+        at = self.numbers(chunks)
+        begins = self.starts[at]
+        counts = self.starts[at + 1] - begins
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.flat[np.repeat(begins - upto[:-1], counts) + np.arange(int(upto[-1]))]
+        out = upto[ends]
         if not whole.any():
-            return ids, np.concatenate([[0], np.cumsum(out_counts)])
-        raw = data.tobytes()
+            return ids, out
         rows = np.flatnonzero(whole)
         coded = [np.asarray(x, np.uint32) for x in self.code([raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace") for i in rows])]
-        pieces = np.split(ids, np.cumsum(out_counts)[:-1])
+        pieces, sizes = np.split(ids, out[1:-1]), np.diff(out)
         for i, x in zip(rows, coded, strict=True):
-            pieces[i], out_counts[i] = x, len(x)
-        return np.concatenate(pieces), np.concatenate([[0], np.cumsum(out_counts)])
+            pieces[i], sizes[i] = x, len(x)
+        return np.concatenate(pieces), np.concatenate([[0], np.cumsum(sizes)])
 
     def encode_column(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For an Arrow column of texts (null as empty), in ranges of some millions of bytes: the first row, the ids, and
@@ -172,10 +153,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def rank_coder(path: str, pattern: str) -> Callable[[list[str]], list[list[int]]]:
-    """Codes strings by a rank file. For the same vocabulary this gives the ids of the tokenizers library, whose file
+def rank_coder(path: str, pattern: str) -> Callable[[str], list[int]]:
+    """Codes a text by a rank file. For the same vocabulary this gives the ids of the tokenizers library, whose file
     format holds merges instead of ranks (a test compares both), at a fifth of its time."""
     import tiktoken
 
-    coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-    return lambda texts: [coder.encode_ordinary(x) for x in texts]
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={}).encode_ordinary

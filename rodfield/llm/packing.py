@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rodfield.llm.chunks import ChunkCoder, rank_coder
+from rodfield.llm.chunks import rank_coder
 
 CAPACITY = 1024
 #: Windows of a batch, the longest piece that takes part in the differencing, and the room left in each window of a batch.
@@ -38,6 +38,9 @@ BATCH, LONGEST, ROOM = 48, 256, 7
 #: The last ids of a batch are cut to small pieces, which even out what the large ones leave.
 EVEN, SMALL = 2048, 12
 
+#: Texts that are coded before their pieces are handed on.
+TEXTS = 64
+
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -93,7 +96,7 @@ class _Packer:
         while start < tokens:
             left = full - self.total
             size = min(LONGEST if left > EVEN else SMALL, tokens - start, left)
-            self.pieces.append((doc, start, ids[start : start + size], tokens))
+            self.pieces.append((doc, start, ids[start : start + size].copy(), tokens))
             self.total += size
             start += size
             if self.total == full:
@@ -117,8 +120,8 @@ class _Packer:
 
 
 @lru_cache(maxsize=2)
-def _coder(ranks: str, pattern: str) -> ChunkCoder:
-    return ChunkCoder(rank_coder(ranks, pattern))
+def _coder(ranks: str, pattern: str) -> Callable[[str], list[int]]:
+    return rank_coder(ranks, pattern)
 
 
 def pack(df: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -126,17 +129,17 @@ def pack(df: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str
     names = [c.split()[0] for c in PIECE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer = _coder(ranks, pattern), _Packer(TaskContext.get().partitionId() << 40)
+        code, packer = _coder(ranks, pattern), _Packer(TaskContext.get().partitionId() << 40)
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
         for batch in batches:
-            docs = batch.column(0).to_pylist()
-            for first, ids, begin in coder.encode_column(batch.column(1)):
+            for start in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(start, TEXTS)
                 rows = []
-                for i in range(len(begin) - 1):
-                    rows.extend(packer.add(docs[first + i], np.append(ids[begin[i] : begin[i + 1]], np.uint32(0))))
+                for doc, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    rows.extend(packer.add(doc, np.array([*code(text or ""), 0], np.uint32)))
                 if rows:
                     yield out(rows)
         if rows := list(packer.close()):

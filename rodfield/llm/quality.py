@@ -146,7 +146,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
 class _Scores(ChunkTable):
     """Sums of the words' numbers, and how many words, of each chunk."""
 
-    limit = 400_000
+    limit = 32_000_000
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights
@@ -156,11 +156,11 @@ class _Scores(ChunkTable):
         super().clear()
         self.sums, self.words = np.zeros(1 << 14), np.zeros(1 << 14)
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, chunks: list[bytes]) -> None:
         first = len(self.at)
         while len(self.sums) < first + len(chunks):
             self.sums, self.words = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.words))
-        cut = [chunk.split() for chunk in chunks]
+        cut = [chunk.decode("utf-8", "replace").split() for chunk in chunks]
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         ids, sizes = features([w for words in cut for w in words])
         self.words[first : first + len(cut)] = counts
@@ -171,16 +171,20 @@ class _Scores(ChunkTable):
     def of(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The mean number of each text."""
         n = len(offsets) - 1
-        total, distinct, top, words = (np.zeros(n) for _ in range(4))
-        if len(data):
-            begin = np.union1d(offsets[:-1][np.diff(offsets) > 0], np.flatnonzero(data == 32))
-            at, text = self.numbers(data, begin), np.searchsorted(offsets, begin, side="right") - 1
+        raw, chunks, sizes = data.tobytes(), [], []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            parts = raw[a:b].split(b" ") if a < b else []
+            chunks += parts
+            sizes.append(len(parts))
+        distinct, top, words = np.zeros(n), np.zeros(n), np.zeros(n)
+        if chunks:
+            at, text = self.numbers(chunks), np.repeat(np.arange(n), sizes)
             words = np.bincount(text, self.sums[at], n) / np.maximum(np.bincount(text, self.words[at], n), 1)
             pairs, counts = np.unique(text * (len(self.at) + 1) + at, return_counts=True)
             of = pairs // (len(self.at) + 1)
-            total, distinct = np.bincount(text, minlength=n), np.bincount(of, minlength=n)
+            distinct = np.bincount(of, minlength=n)
             np.maximum.at(top, of, counts)
-        return words / 2 + self.weights[shape_words(total, distinct, top)].mean(1) / 2
+        return words / 2 + self.weights[shape_words(np.array(sizes), distinct, top)].mean(1) / 2
 
 
 _kept: dict[int, _Scores] = {}

@@ -94,6 +94,44 @@ def test_bpe_matches_the_library(spark, odd, empty):
     assert coder.encode(texts) == [library.encode_ordinary(t) for t in texts]
 
 
+def _turned_pair():
+    """Two words of 2048 letters, each the other's complement, that polynomial hashes modulo powers of two take for one."""
+    word = [0]
+    while len(word) < 2048:
+        word += [1 - x for x in word]
+    return ["".join("ab"[x ^ y] for x in word) for y in (0, 1)]
+
+
+def test_texts_are_told_apart_by_their_bytes(spark):
+    import tiktoken
+
+    library = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
+    rows = [(i, f"x {w} y z u v") for i, w in enumerate(_turned_pair())]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    want = {i: np.array(library.encode_ordinary(t), "<u4") for i, t in rows}
+    got = {r.doc_id: r for r in bpe.digest(df, RANKS, P.PATTERN).collect()}
+    assert all(got[i].ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest() and got[i].decoded_sha256 == hashlib.sha256(rows[i][1].encode()).hexdigest() for i, ids in want.items())
+    pieces = {}
+    for r in packing.pack(df, RANKS, P.PATTERN).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+    for i, ids in want.items():
+        whole = np.append(ids, np.uint32(0)).astype("<u4")
+        assert all(r.ids_crc32 == zlib.crc32(whole[r.start : r.start + r.length].tobytes()) for r in pieces[i]) and sum(r.length for r in pieces[i]) == len(whole)
+    assert {(r.n_links, r.class_id) for r in jaccard_join.jaccard_join(df).collect()} == {(0, 0), (0, 1)}
+
+
+def test_long_runs_merge_as_the_library_does():
+    import tiktoken
+
+    library = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
+    coder = bpe.BytePairCoder(read_ranks(RANKS), P.PATTERN)
+    random.seed(3)
+    for n in (129, 513, 20_000):
+        for letters in ("ab", "aéb", "abcdefghijklmnopqrstuvwxyz"):
+            text = "".join(random.choices(letters, k=n))
+            assert coder.encode([text]) == [library.encode_ordinary(text)]
+
+
 def test_fingerprints(spark, odd, empty):
     assert compare_with_edits(empty).count() == 0
     rows = compare_with_edits(odd).collect()

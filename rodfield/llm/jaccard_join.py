@@ -50,6 +50,9 @@ from rodfield.llm.components import components, local_roots
 
 THRESHOLD, WORDS, TARGET = 0.8, 5, 0.9999
 TOKENS, FANOUT, SMALL = 64, 2.5, 512
+#: Buckets up to this size whose rows agree with the centre in so many places on average are leaves: a split would shrink them
+#: little, and all their pairs are a bounded step.
+WHOLE, ALIKE = 4096, 12
 #: Places that a core node shares with the centre, places that a similar pair differs in (three deviations), and the share of
 #: a bucket that a token of the centre has at least.
 CORE, APART, SHARE = 32, 22, 0.1
@@ -241,11 +244,13 @@ def leaves(nodes: DataFrame, runs: int) -> DataFrame:
             core = max(0, core - TOKENS // 8)
         before = rows
         judged = cut(_judged(large, nodes))
-        # a core of one node has no pairs of its own, but may have them with its rim
-        near = judged.where(F.col("agree") >= core - APART).withColumn("core", F.col("agree") >= core)
-        with_core = near.where("core").select("path").distinct()
-        groups.append(near.join(with_core, "path").select("path", "node", "core"))
-        more = judged.where(F.col("agree") < core).join(nodes.select("node", "tokens"), "node").select("path", "node", "tokens")
+        # the bucket's core starts at: 0 for a leaf; one without a core gets no group
+        kinds = judged.groupBy(F.col("path").alias("__path")).agg(
+            F.when((F.first("size") <= WHOLE) & (F.avg("agree") >= ALIKE), 0).otherwise(core).alias("__from"), F.max("agree").alias("__most")
+        )
+        judged = judged.join(kinds, F.col("path") == F.col("__path")).withColumn("core", F.col("agree") >= F.col("__from"))
+        groups.append(judged.where((F.col("agree") >= F.col("__from") - APART) & (F.col("__most") >= F.col("__from"))).select("path", "node", "core"))
+        more = judged.where("not core").join(nodes.select("node", "tokens"), "node").select("path", "node", "tokens")
         live = cut(_with_sizes(more.mapInArrow(_split, "path long, node binary").distinct()))
     out = reduce(DataFrame.unionByName, small)
     return cut(out.unionByName(_merged(reduce(DataFrame.unionByName, groups))) if groups else out)
@@ -317,35 +322,38 @@ def _pairs(group: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 
 class _Leaves:
-    """Whether two rows share a leaf less than their own, from each row's sorted list of such leaves."""
+    """Whether a pair of rows is compared in a leaf less than its own: one that both are in, one of them at least in its core. From
+    each row's sorted lists of all such leaves (``below``) and of those in whose core it is (``core_below``)."""
 
-    def __init__(self, column: pa.ChunkedArray):
-        lists = column.combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        self.counts = np.diff(lists.offsets.to_numpy())
-        self.starts = np.cumsum(self.counts) - self.counts
-        values, self.rank = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    def __init__(self, t: pa.Table):
+        every, core = (self._column(t, c) for c in ("below", "core_below"))
+        values, rank = np.unique(every[1], return_inverse=True)
         self.width = len(values) + 1
-        self.keys = np.repeat(np.arange(len(self.counts)), self.counts) * self.width + self.rank
+        self.keys = np.repeat(np.arange(len(every[0])), every[0]) * self.width + rank
+        self.counts, self.rank = core[0], np.searchsorted(values, core[1])
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    @staticmethod
+    def _column(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+        lists = t.column(name).combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        return np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
 
     def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Pairs that share none."""
+        """Pairs that share no such leaf."""
         out = np.ones(len(i), bool)
-        if not len(self.keys):
-            return out
-        short = self.counts[i] <= self.counts[j]
-        i, j = np.where(short, i, j), np.where(short, j, i)
-        n = self.counts[i]
-        total, start = np.cumsum(n), 0
-        while start < len(i):
-            stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + 1_000_000, side="right")))
-            m = n[start:stop]
-            pair = np.repeat(np.arange(start, stop), m)
-            at = self.starts[i[pair]] + np.arange(len(pair)) - np.repeat(np.cumsum(m) - m, m)
-            wanted = j[pair] * self.width + self.rank[at]
-            found = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-            out[pair[self.keys[found] == wanted]] = False
-            start = stop
+        for one, two in ((i, j), (j, i)) if len(self.rank) else ():
+            n = self.counts[one]
+            total, start = np.cumsum(n), 0
+            while start < len(one):
+                stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + 1_000_000, side="right")))
+                m = n[start:stop]
+                pair = np.repeat(np.arange(start, stop), m)
+                at = self.starts[one[pair]] + np.arange(len(pair)) - np.repeat(np.cumsum(m) - m, m)
+                wanted = two[pair] * self.width + self.rank[at]
+                found = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+                out[pair[self.keys[found] == wanted]] = False
+                start = stop
         return out
 
 
@@ -364,7 +372,7 @@ def _likely(threshold: float):
                 ok = (marks[i] == marks[j]).sum(1) >= need
                 i, j = i[ok], j[ok]
                 if len(i):
-                    shared = shared or _Leaves(t.column("below"))
+                    shared = shared or _Leaves(t)
                     ok = shared.apart(i, j)
                     found[i[ok]] = found[j[ok]] = True
             if found.any():
@@ -405,7 +413,7 @@ def _exact(threshold: float):
         for t in by_group(batches, 0, 2000):
             group, side, weight = (t.column(c).to_numpy() for c in ("group", "side", "weight"))
             column = t.column("items")
-            shared = _Leaves(t.column("below"))
+            shared = _Leaves(t)
             links = np.zeros(len(group), np.int64)
             left: list[int] = []
             right: list[int] = []
@@ -466,10 +474,12 @@ def _overlaps(items: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def _with_leaves(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Adds ``below``, the leaves of the row's node that are less than its own."""
-    lists = found.groupBy("node").agg(F.array_sort(F.collect_set("path")).alias("__paths"))
-    return rows.join(lists, "node").withColumn("below", F.filter("__paths", lambda p: p < F.col("path"))).drop("__paths")
+def _listed(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of leaves with the columns of their node, and ``below`` and ``core_below``, the node's leaves that are less."""
+    lists = found.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("path", "core"))).alias("__leaves"))
+    rows = lists.join(nodes, "node").select("*", F.explode("__leaves").alias("__leaf")).withColumns({"path": F.col("__leaf.path"), "core": F.col("__leaf.core")})
+    below = lambda core: F.transform(F.filter("__leaves", lambda x: (x["path"] < F.col("path")) & (x["core"] | F.lit(not core))), lambda x: x["path"])
+    return rows.withColumns({"below": below(False), "core_below": below(True)}).drop("__leaves", "__leaf")
 
 
 def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
@@ -482,17 +492,16 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     parts = max(partitions(df), 8)
     # one byte of each token is enough to judge by
     marks = nodes.select("node", "n", F.unhex(F.regexp_replace(F.hex("tokens"), "(..)......", "$1")).alias("marks"))
-    first = _with_leaves(in_groups(found), found).join(marks, "node").select("group", "path", "side", "core", "node", "n", "marks", "below")
-    first = first.repartition(parts, "group").sortWithinPartitions("group")
-    likely = first.mapInArrow(_likely(threshold), "path long, node binary, core boolean")
-    likely = cut(likely.distinct().join(nodes.select("node", "id", "n", "weight"), "node"))
-    pairs = _with_leaves(in_groups(likely, "n"), likely)
-    wanted = likely.select("node", "id").distinct()
+    first = in_groups(_listed(found, marks)).repartition(parts, "group").sortWithinPartitions("group")
+    first = first.select("group", "path", "side", "core", "node", "n", "marks", "below", "core_below")
+    likely = cut(first.mapInArrow(_likely(threshold), "path long, node binary, core boolean").distinct())
+    wanted = likely.select("node").distinct().join(nodes.select("node", "id", "n", "weight"), "node")
+    pairs = in_groups(_listed(likely, wanted.select("node", "n", "weight")), "n")
     bits = min(BITS, 1 << max(15, (8 * wanted.count()).bit_length()))
     h = F.pmod(F.xxhash64("id"), F.lit(bits))
     table = df.sparkSession.sparkContext.broadcast(_bit_table(wanted.select(h.alias("h")), bits))
     items = given.select(h.alias("h"), "text").mapInArrow(_sets(table), "node binary, items binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    second = pairs.join(items, "node").select("group", "path", "side", "node", "weight", "below", "items")
+    second = pairs.join(items, "node").select("group", "side", "node", "weight", "below", "core_below", "items")
     second = second.repartition(parts, "group").sortWithinPartitions("group")
     linked = cut(second.mapInArrow(_exact(threshold), "node binary, links long, root binary"))
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))

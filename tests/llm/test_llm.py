@@ -251,9 +251,10 @@ def _jaccard(docs):
     return {d: (links[d], least[d]) for d in links}
 
 
-@pytest.mark.parametrize("small", [512, 4])
-def test_jaccard_join_brute_force(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "whole"), [(512, 4096), (4, 4096), (4, 0)])
+def test_jaccard_join_brute_force(spark, monkeypatch, small, whole):
     monkeypatch.setattr(jaccard_join, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "WHOLE", whole)
     monkeypatch.setattr(jaccard_join, "BLOCK", small * 2)
     random.seed(4)
     base = [f"w{k}" for k in range(300)]

@@ -13,7 +13,8 @@ Everything here is a Column expression or a DataFrame operation.
 Defined results: a null text or role is the empty string; a null record field of a
 prompt-like layout makes no turn when the mapping marks it optional, else an empty
 turn; an empty conversation formats to the empty string; turns with equal ``turn``
-are ordered by role, then text; repeated rows are repeated turns.
+are ordered by role, then text, those without one come first; rows without a
+conversation's id are one conversation; repeated rows are repeated turns.
 """
 
 from __future__ import annotations
@@ -160,6 +161,17 @@ def loss_mask(turns: Column) -> Column:
     return F.flatten(F.transform(turns, runs))
 
 
+def masked_text(text: Column, mask: Column) -> Column:
+    """All text of a formatted string under its loss mask, unescaped, in order and with nothing between."""
+    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(s: Column, run: Column) -> Column:
+        piece = F.substr(text, s["at"].cast("int"), run["chars"].cast("int"))
+        return F.struct((s["at"] + run["chars"]).alias("at"), F.when(run["loss"], F.concat(s["parts"], F.array(unescape(piece)))).otherwise(s["parts"]).alias("parts"))
+
+    return F.aggregate(mask, start, step, lambda s: F.array_join(s["parts"], ""))
+
+
 def read_back(text: Column) -> Column:
     """Turns read from a formatted string alone."""
     pieces = F.filter(F.split(text, r"<\|im_end\|>\n"), lambda p: p != "")

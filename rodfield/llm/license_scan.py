@@ -154,8 +154,8 @@ def _notices() -> list[tuple[str, str, str, int]]:
         "permission": [("permission", r"permission is hereby granted(?: free of charge)?", 60), ("permission", r"used (?:with|by) permission", 75), ("permission", r"(?:without|with) (?:prior |express )*(?:written )?permission", 75), ("permission", r"all permissions? granted", 80)],
         "redistribution": [("redistribut", r"redistribution and use in source and binary forms", 55), ("redistribut", r"redistributions of source code must retain", 60), ("redistribut", r"redistributions in binary form must reproduce", 60), ("redistribut", r"(?:may|can) be (?:freely )?redistributed", 75), ("redistribut", r"(?:no|not for) redistribution", 70)],
         "warranty": [("warrant", r"without warrant(?:y|ies) of any kind", 75), ("warrant", r"without any warranty", 75), ("as is", r"provided (?:by the \w+ )?as is", 75), ("warrant", r"express or implied warrant(?:y|ies)", 78), ("liab", r"in no event shall", 80)],
-        "non-commercial": [("commercial", r"(?:for )?non ?commercial (?:use|purposes)(?: only)?", 70), ("commercial", r"not for commercial use", 70), ("commercial", r"personal and non ?commercial use", 68), ("educational", r"for educational (?:use|purposes) only", 72)],
-        "proprietary": [("proprietary", r"proprietary and confidential", 65), ("confidential", r"confidential and proprietary", 65), ("proprietary", r"proprietary licen[cs]e", 70), ("trade secret", r"trade secrets?", 80), ("unauthorized", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)", 70)],
+        "non-commercial": [("non commercial", r"(?:for )?non commercial (?:use|purposes)(?: only)?", 70), ("noncommercial", r"(?:for )?noncommercial (?:use|purposes)(?: only)?", 70), ("commercial", r"not for commercial use", 70), ("personal and non", r"personal and non ?commercial use", 68), ("educational", r"for educational (?:use|purposes) only", 72)],
+        "proprietary": [("proprietary", r"proprietary and confidential", 65), ("confidential", r"confidential and proprietary", 65), ("proprietary", r"proprietary licen[cs]e", 70), ("trade secret", r"trade secrets?", 80), ("unauthorized", r"unauthorized (?:copying|use|reproduction|distribution)", 70), ("unauthorised", r"unauthorised (?:copying|use|reproduction|distribution)", 70)],
         "license": [("licen", r"licensed under", 90), ("licen", r"released under", 90), ("licen", r"under the terms of", 90), ("licen", r"end user licen[cs]e agreement", 65), ("licen", r"dual licensed", 80), ("spdx", r"spdx license identifier", 60), ("licen", r"see (?:the )?licen[cs]e(?: file)?(?: for details)?", 85), ("licen", r"site licen[cs]e", 85)],
         "terms": [("terms", r"terms (?:of (?:use|service)|and conditions)", 80), ("reproduc", r"(?:may|must) not be reproduced", 70), ("reproduc", r"no part of this (?:publication|work|book) may be reproduced", 60), ("trademark", r"(?:registered )?trademarks? of", 85)],
     }

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rodfield.llm._common import cut, text_of
+from rodfield.llm._common import cut, fresh, text_of
 
 #: Words of the shortest run that is deleted, unless the caller names another number; where lines end (after the match of this pattern).
 MIN_WORDS, LINE_END = 10, r"(?<=\n)"
@@ -48,24 +48,38 @@ def line_table(df: DataFrame, key: str, text: str, line_end: str = LINE_END) ->
     return rows.select("doc", "mark", "place", F.xxhash64("line").alias("a"), F.hash("line").alias("b"), words.cast("int").alias("words"))
 
 
+def _met(rows: DataFrame, groups: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows with the columns of their group, null for those without one. ``groups``: (__a, __b, __n, ...), a row for each pair of hashes
+    that occurs more than once, with the number of its rows. Groups of a thousandth of all rows or more, of which there are a thousand
+    at most, are broadcast; their rows are spread in the join with the others."""
+    groups = cut(groups)
+    share = (groups.agg(F.sum("__n")).first()[0] or 0) / 1000
+    told = [c for c in groups.columns if c not in ("__a", "__b")]
+    large = F.broadcast(groups.where(F.col("__n") >= share).select(F.col("__a").alias("__la"), F.col("__b").alias("__lb"), *[F.col(c).alias(f"{c}_l") for c in told]))
+    found = rows.join(large, (F.col(a) == F.col("__la")) & (F.col(b) == F.col("__lb")), "left")
+    spread = F.xxhash64("doc", "mark", *[c for c in ("place", "first", "last") if c in rows.columns])
+    found = found.withColumns({"__ka": F.when(F.col("__n_l").isNull(), F.col(a)).otherwise(spread), "__kb": F.when(F.col("__n_l").isNull(), F.col(b))})
+    found = found.join(groups.where(F.col("__n") < share), (F.col("__ka") == F.col("__a")) & (F.col("__kb") == F.col("__b")), "left")
+    return found.select(*rows.columns, *[F.coalesce(c, f"{c}_l").alias(c) for c in told])
+
+
 def _repeated(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs of hashes that occur more than once."""
-    return rows.where(F.col(a).isNotNull()).groupBy(F.col(a).alias("__a"), F.col(b).alias("__b")).count().where("count > 1").drop("count")
+    """Pairs of hashes that occur more than once, and how often."""
+    return rows.where(F.col(a).isNotNull()).groupBy(F.col(a).alias("__a"), F.col(b).alias("__b")).agg(F.count("*").alias("__n")).where("__n > 1")
 
 
 def _only_repeated(rows: DataFrame, level: int) -> DataFrame:
     """Classes of one member become null."""
     a, b = f"a{level}", f"b{level}"
-    many = _repeated(rows, a, b).withColumn("__many", F.lit(True))
-    joined = rows.join(many, (F.col(a) == F.col("__a")) & (F.col(b) == F.col("__b")), "left")
-    return joined.withColumns({a: F.when(F.col("__many"), F.col(a)), b: F.when(F.col("__many"), F.col(b))}).drop("__a", "__b", "__many")
+    joined = _met(rows, _repeated(rows, a, b), a, b)
+    many = F.col("__n").isNotNull()
+    return joined.withColumns({a: F.when(many, F.col(a)), b: F.when(many, F.col(b))}).drop("__n")
 
 
 def suffix_classes(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, line_end: str = LINE_END) -> DataFrame:
     """Lines that can be part of a repeated run, with the classes of their suffixes at depths 1, 2, 4, ..."""
     lines = line_table(df, key, text, line_end)
-    many = _repeated(lines, "a", "b")
-    rows = lines.join(many, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_semi").dropDuplicates(["doc", "mark", "place"])
+    rows = _met(lines, _repeated(lines, "a", "b"), "a", "b").where("__n is not null").drop("__n").dropDuplicates(["doc", "mark", "place"])
     # stretches of neighbouring lines; those with too few words hold no run
     rows = rows.withColumn("stretch", F.col("place") - F.row_number().over(Window.partitionBy("doc", "mark").orderBy("place")))
     rows = rows.withColumn("__sum", F.sum("words").over(Window.partitionBy("doc", "mark", "stretch"))).where(F.col("__sum") >= min_words).drop("__sum")
@@ -117,22 +131,24 @@ def repeated_runs(classes: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = stretches.select("doc", "mark", F.explode(_windows(F.col("lines"), levels, min_words)).alias("w")).select("doc", "mark", "w.*")
     order = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark", "first")
     firsts = runs.groupBy(F.col("a").alias("__a"), F.col("b").alias("__b")).agg(F.min(order).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
-    met = runs.join(firsts, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")))
+    met = _met(runs, firsts, "a", "b").where("__n is not null")
     return met.where(order != F.col("__first")).select("doc", "mark", "first", "last")
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, line_end: str = LINE_END) -> DataFrame:
     """All columns, the text without later copies of repeated runs, ``n_lines`` before and ``n_deleted``."""
     runs = repeated_runs(suffix_classes(df, key, text, min_words, line_end), min_words)
-    gone = runs.groupBy("doc", "mark").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last")))).alias("__gone"))
-    given = df.withColumn("__mark", F.xxhash64(text_of(text)))
-    met = given.join(gone, given[key].eqNullSafe(gone["doc"]) & (given["__mark"] == gone["mark"]), "left")
+    name = {n: fresh(df, n) for n in ("__mark", "__doc", "__of", "__gone")}
+    gone = runs.groupBy(F.col("doc").alias(name["__doc"]), F.col("mark").alias(name["__of"])).agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last")))).alias(name["__gone"]))
+    given = df.withColumn(name["__mark"], F.xxhash64(text_of(text)))
+    met = given.join(gone, F.col(key).eqNullSafe(F.col(name["__doc"])) & (F.col(name["__mark"]) == F.col(name["__of"])), "left")
+    out_of = F.col(name["__gone"])
     kept = F.transform(
         F.array(lines_of(text_of(text), line_end)),
-        lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i)), ""),
+        lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out_of), lambda i: F.get(lines, i)), ""),
     )[0]
-    out = met.withColumns({
-        "n_lines": F.size(lines_of(text_of(text), line_end)).cast("long"), "n_deleted": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
-        text: F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col(text)),
-    })
-    return out.select(*[f"`{c}`" for c in df.columns if c not in ("n_lines", "n_deleted")], "n_lines", "n_deleted")
+    others = [c for c in df.columns if c not in ("n_lines", "n_deleted")]
+    return met.select(
+        *[F.when(out_of.isNotNull(), kept).otherwise(F.col(c)).alias(c) if c == text else F.col(f"`{c}`") for c in others],
+        F.size(lines_of(text_of(text), line_end)).cast("long").alias("n_lines"), F.coalesce(F.size(out_of), F.lit(0)).cast("long").alias("n_deleted"),
+    )

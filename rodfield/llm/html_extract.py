@@ -1,16 +1,24 @@
 """HTML extraction by template deduction from equivalence classes.
 
-A page's markup is a sequence of tokens; a token is an element's path of block elements,
-with class and id. Over the pages of a host each token has an occurrence vector: how
-often it occurs on each page. Tokens with equal vectors form an equivalence class. A
-class is valid if its tokens occur once a page on at least half of the host's pages, and
-nests in the template if each token's parent is in the template too. The valid classes,
-nested, are the host's template; what lies between its tokens are slots. The main slot
-is found by following, from the root, the container that holds most of the text that
-is no menu, header, footer, sidebar, notice, advert, form, script, style or comment; its
-text is extracted, in page order, without such elements inside it. The other slots are
-extracted with it: outside the main slot only text of the template is left out, which is what
-an element holds on at least half of the host's pages and always the same.
+A page is a sequence of tokens. A token is an element, known by its path of block elements
+with class and id, or the text of a block, known by its path and words. Over the pages of a
+host each token has an occurrence vector: how often it occurs on each page. Tokens with
+equal vectors form an equivalence class. A class is valid if its tokens occur once a page
+on at least half of the host's pages, and nests in the template if the parents of its
+elements are in the template too. The valid classes, nested, are the host's template; what
+lies between its tokens are slots.
+
+The main slot is found by following, from the root, the container that holds most of the
+text that is no menu, header, footer, sidebar, notice, advert, form, script, style or
+comment. Texts of the template (on a host whose texts differ at all) are left out: outside
+the main slot those of every valid class, inside it those on nearly all of the host's
+pages, unless they are most of a page's text there, as on a host of copies. All else that
+the slots hold is extracted, in page order.
+
+Elements that hold no article text are told by their tags. A word of a class or id tells
+so only where the template leaves it open: of a container by a part of the name, of a
+paragraph, heading or the like by the whole name, and never of an element that holds most
+of a page.
 
 Vectors are never collected: a class is told by sums of hashes of page and count, added
 up per task and then per host, so a host with a third of all pages costs no more than
@@ -18,7 +26,7 @@ others. Hosts with few pages use the template of all pages. Pages meet their hos
 template through a broadcast where the number of hosts is at most ``HOSTS``, else
 through a join with a salted host.
 
-Defined results: a null page is empty; an empty page, or one without text in its main
+Defined results: a null page is empty; an empty page, or one without text in its
 slots, gives the empty text; a null or odd url is the host ""; repeated rows give repeated
 results; cut-off pages are read as far as they go; an unclosed comment hides the rest.
 """
@@ -29,10 +37,11 @@ import hashlib
 import json
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -44,6 +53,8 @@ from rodfield.llm._common import cut
 #: Least pages of a host with a template of its own, share of pages that a token must be on, share of them with just one,
 #: share of the text that the next container must hold, most hosts that are broadcast, salts of the join beyond.
 PAGES, SUPPORT, ONCE, HOLD, HOSTS, SALTS = 3, 0.5, 0.9, 0.6, 20_000, 64
+#: Share of a host's pages that a text of the template inside the main slot is on, and share of a page's text there that such texts stay below.
+NEARLY_ALL, MOST = 0.9, 0.5
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
@@ -66,21 +77,34 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 
 
 def _label(name: str, rest: str) -> tuple[str, bool]:
-    """An element's token, and whether it holds no article text."""
+    """An element's token, and whether a word of its class or id speaks of no article text."""
     words: list[str] = []
     if rest and "=" in rest:
         for m in _NAMES.finditer(rest):
             words += (m[1] or m[2] or m[3] or "").lower().split()
-    noise = name in ASIDE or any(p in NOISE for w in words for p in re.split(r"[-_]+", w))
+    if name in CONTAINERS or name in LISTS:
+        noise = any(p in NOISE for w in words for p in re.split(r"[-_]+", w))
+    else:
+        noise = any(w in NOISE for w in words)
     return name + "".join(f".{re.sub(r'[0-9]+', '0', w)}" for w in words), noise
 
 
-def read(html: str) -> tuple[list[tuple[str, bool, bool, str]], Counter]:
-    """Blocks of text in page order (path, in an element without article text, all in links, text), and how often each
-    path opens."""
-    blocks: list[tuple[str, bool, bool, str]] = []
+class Block(NamedTuple):
+    """A block of text: its path, whether it is in an element without article text by its tag, the paths of elements above it that
+    are so by their name, whether all of it is in links, and its text."""
+
+    path: str
+    hidden: bool
+    named: tuple[str, ...]
+    links: bool
+    text: str
+
+
+def read(html: str) -> tuple[list[Block], Counter]:
+    """Blocks of text in page order, and how often each path opens."""
+    blocks: list[Block] = []
     opened: Counter = Counter()
-    stack: list[tuple[str, str, bool]] = []  # name, path, without article text
+    stack: list[tuple[str, str, bool, tuple[str, ...]]] = []  # name, path, hidden, named
     parts: list[str] = []
     links = 0
     plain = False
@@ -90,8 +114,8 @@ def read(html: str) -> tuple[list[tuple[str, bool, bool, str]], Counter]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                _, path, noise = stack[-1] if stack else ("", "", False)
-                blocks.append((path, noise, not plain, text))
+                _, path, hidden, named = stack[-1] if stack else ("", "", False, ())
+                blocks.append(Block(path, hidden, named, not plain, text))
             parts.clear()
         plain = False
 
@@ -127,11 +151,11 @@ def read(html: str) -> tuple[list[tuple[str, bool, bool, str]], Counter]:
         if name == "body" and stack and stack[-1][0] == "head":
             stack.pop()
         label, noise = _label(name, m["rest"] or "")
-        above = stack[-1] if stack else ("", "", False)
-        path = f"{above[1]}/{label}"
+        _, above, hidden, named = stack[-1] if stack else ("", "", False, ())
+        path = f"{above}/{label}"
         opened[path] += 1
         if name not in VOID and not (m["rest"] or "").endswith("/"):
-            stack.append((name, path, above[2] or noise))
+            stack.append((name, path, hidden or name in ASIDE, (*named, path) if noise else named))
     if at < len(html):
         parts.append(html[at:])
         plain = plain or not links
@@ -144,24 +168,32 @@ def _ancestors(path: str) -> list[str]:
     return ["/" + "/".join(steps[: k + 1]) for k in range(len(steps))]
 
 
-def own_texts(blocks: list[tuple[str, bool, bool, str]]) -> dict[str, int]:
-    """Of each path with article text of its own on a page, a hash of that text."""
-    texts: defaultdict[str, list[str]] = defaultdict(list)
-    for path, noise, _, text in blocks:
-        if not noise:
-            texts[path].append(text)
-    return {p: int.from_bytes(hashlib.blake2b("\n".join(t).encode("utf-8", "surrogatepass"), digest_size=8).digest()) >> 1 for p, t in texts.items()}
+def with_text(blocks: list[Block]) -> list[Block]:
+    """Blocks that may hold article text."""
+    left = [b for b in blocks if not b.hidden]
+    held: Counter = Counter()
+    for b in left:
+        for p in b.named:
+            held[p] += len(b.text)
+    most = HOLD * sum(len(b.text) for b in left)
+    return [b for b in left if all(held[p] > most for p in b.named)]
+
+
+def text_token(block: Block) -> int:
+    """The token of a block's text."""
+    return int.from_bytes(hashlib.blake2b(f"{block.path}\n{block.text}".encode("utf-8", "surrogatepass"), digest_size=8).digest()) >> 1
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and path: pages, pages where it occurs once, the sum that tells the occurrence vector, characters below it,
-    pages where it has text of its own, least and greatest hash of that text."""
-    names = ["host", "path", "pages", "once", "vector", "chars", "texts", "low", "high"]
-    held: dict[tuple[str, str], list[int]] = {}
+    """Per host and token (a path; or, with ``token``, a text): pages, pages where it occurs once, the sum that tells the
+    occurrence vector, characters of text."""
+    names = ["host", "path", "token", "pages", "once", "vector", "chars"]
+    held: dict[tuple[str, str, int | None], list[int]] = {}
 
     def out() -> pa.RecordBatch:
         keys, values = list(held), list(held.values())
-        made = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *[pa.array([v[n] for v in values], pa.int64()) for n in range(7)]]
+        kinds = (pa.string(), pa.string(), pa.int64())
+        made = [*(pa.array([k[n] for k in keys], kinds[n]) for n in range(3)), *(pa.array([v[n] for v in values], pa.int64()) for n in range(4))]
         held.clear()
         return pa.RecordBatch.from_arrays(made, names)
 
@@ -169,22 +201,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             blocks, opened = read(html or "")
             chars: Counter = Counter()
-            for path, noise, _, text in blocks:
-                if not noise:
-                    for a in _ancestors(path):
-                        chars[a] += len(text)
-            own = own_texts(blocks)
+            texts: Counter = Counter()
+            for b in with_text(blocks):
+                for a in _ancestors(b.path):
+                    chars[a] += len(b.text)
+                t = text_token(b)
+                texts[t] += 1
+                chars[t] += len(b.text)
+            tokens = [("", None, 1, sum(len(b.text) for b in with_text(blocks))), *((p, None, n, chars[p]) for p, n in opened.items()), *(("", t, n, chars[t]) for t, n in texts.items())]
+            marks = {n: zlib.crc32(f"{page} {n}".encode()) for n in {n for _, _, n, _ in tokens}}
             for h in (host, "*"):
-                for path, n in [("", 1), *opened.items()]:
-                    row = held.setdefault((h, path), [0, 0, 0, 0, 0, None, None])
-                    row[0] += 1
-                    row[1] += n == 1
-                    row[2] += zlib.crc32(f"{page} {n}".encode())
-                    row[3] += chars[path]
-                    if path in own:
-                        row[4] += 1
-                        row[5] = own[path] if row[5] is None else min(row[5], own[path])
-                        row[6] = own[path] if row[6] is None else max(row[6], own[path])
+                for path, token, n, size in tokens:
+                    # texts that all hosts share are no host's template
+                    if token is None or h != "*":
+                        row = held.setdefault((h, path, token), [0, 0, 0, 0])
+                        row[0] += 1
+                        row[1] += n == 1
+                        row[2] += marks[n]
+                        row[3] += size
             if len(held) > 100_000:
                 yield out()
     if held:
@@ -192,29 +226,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_table(pages: DataFrame) -> DataFrame:
-    """All tokens of every host, as ``_count`` has them."""
-    rows = pages.select("host", F.col("page").cast("string"), "html").mapInArrow(_count, "host string, path string, pages long, once long, vector long, chars long, texts long, low long, high long")
-    return cut(rows.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "once", "vector", "chars", "texts")], F.min("low").alias("low"), F.max("high").alias("high")))
-
-
-def template_texts(tokens: DataFrame) -> DataFrame:
-    """Per host the paths whose own text is the template's, with its hash. A host whose pages don't differ has none."""
-    hosts = tokens.where("path = ''").select("host", F.col("pages").alias("all"))
-    same = (F.col("low") == F.col("high")) & (F.col("texts") >= SUPPORT * F.col("all")) & ((F.col("all") >= PAGES) | (F.col("host") == "*"))
-    found = tokens.where("texts > 0").join(hosts, "host").groupBy("host").agg(
-        F.max(F.col("low") != F.col("high")).alias("differ"), F.collect_list(F.when(same, F.struct("path", "low"))).alias("fixed")
-    )
-    return found.where("differ and size(fixed) > 0").select("host", F.map_from_entries("fixed").alias("fixed"))
+    """All tokens of every host, as ``_count`` has them, with the host's number of pages and of characters. Texts on one page
+    only are left out."""
+    rows = pages.select("host", F.col("page").cast("string"), "html").mapInArrow(_count, "host string, path string, token long, pages long, once long, vector long, chars long")
+    tokens = cut(rows.groupBy("host", "path", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "once", "vector", "chars")]).where("token is null or pages > 1"))
+    hosts = tokens.where("path = '' and token is null").select("host", F.col("pages").alias("all"), F.col("chars").alias("of"))
+    return tokens.join(hosts, "host")
 
 
 def occurrence_classes(tokens: DataFrame) -> DataFrame:
-    """Valid tokens of every host: path, pages, vector, characters, and how many tokens share the vector."""
-    hosts = tokens.where("path = ''").select("host", F.col("pages").alias("all"))
-    valid = tokens.where("path != ''").join(hosts, "host").where((F.col("pages") >= SUPPORT * F.col("all")) & (F.col("once") >= ONCE * F.col("pages")) & ((F.col("all") >= PAGES) | (F.col("host") == "*")))
+    """Valid tokens of every host, and how many tokens share the vector of each."""
+    valid = tokens.where("path != '' or token is not null").where((F.col("pages") >= SUPPORT * F.col("all")) & (F.col("once") >= ONCE * F.col("pages")) & ((F.col("all") >= PAGES) | (F.col("host") == "*")))
     sizes = valid.groupBy("host", "vector", "pages").agg(F.count("*").alias("tokens"))
     return valid.join(sizes, ["host", "vector", "pages"])
 
 
+def template_texts(valid: DataFrame) -> DataFrame:
+    """Per host the texts of its template: those on nearly all pages and the others. A host whose texts are all on nearly all of its
+    pages has none."""
+    nearly = F.col("pages") >= NEARLY_ALL * F.col("all")
+    found = valid.where("token is not null").groupBy("host").agg(
+        F.collect_list(F.when(nearly, F.col("token"))).alias("everywhere"), F.collect_list(F.when(~nearly, F.col("token"))).alias("often"), (F.coalesce(F.sum(F.when(nearly, F.col("chars"))), F.lit(0)) < F.first("of")).alias("differ")
+    )
+    return found.where("differ").select("host", "everywhere", "often")
+
+
 def main_container(tokens: pd.DataFrame) -> str | None:
     """The path of the main slot's container in a template, given its valid tokens."""
     rows = {r.path: r for r in tokens.itertuples()}
@@ -226,7 +262,7 @@ def main_container(tokens: pd.DataFrame) -> str | None:
             template |= nested
     at = ""
     while True:
-        below = [p for p in template if p.rpartition("/")[0] == at and p.rpartition("/")[2].split(".")[0] in CONTAINERS and not _noisy(p)]
+        below = [p for p in template if p.rpartition("/")[0] == at and p.rpartition("/")[2].split(".")[0] in CONTAINERS]
         total = rows[at].chars if at else sum(rows[p].chars for p in below)
         best = max(below, key=lambda p: (rows[p].chars, p), default=None)
         if best is None or total == 0 or rows[best].chars < HOLD * total:
@@ -234,26 +270,29 @@ def main_container(tokens: pd.DataFrame) -> str | None:
         at = best
 
 
-def _noisy(path: str) -> bool:
-    name, *words = path.rpartition("/")[2].split(".")
-    return name in ASIDE or any(p in NOISE for w in words for p in re.split(r"[-_]+", w))
-
-
-def extract(html: str, container: str | None, fixed: dict[str, int] | None = None) -> str:
-    """The text of all slots: all that the main slot's container holds (on pages without it, the articles, else mains, else
-    the page), and elsewhere what isn't the template's (``fixed``)."""
+def extract(html: str, container: str | None = None, everywhere: frozenset[int] = frozenset(), often: frozenset[int] = frozenset()) -> str:
+    """The text of all slots. The main slot is the container (on pages without it, the articles, else mains); ``everywhere`` and
+    ``often``: texts of the template."""
     blocks, opened = read(html)
+    left = with_text(blocks)
+    if not everywhere and not often:
+        return " ".join(b.text for b in left)
     held = [container] if container and container in opened else []
     for tag in ("article", "main"):
-        held = held or [p for p in opened if p.rpartition("/")[2].split(".")[0] == tag and not _noisy(p)]
-    own = own_texts(blocks) if fixed and held else {}
-    template = {p for p in own if fixed.get(p) == own[p] and not any(p == h or p.startswith(f"{h}/") for h in held)}
-    return " ".join(b[3] for b in blocks if not b[1] and b[0] not in template)
+        held = held or [p for p in opened if p.rpartition("/")[2].split(".")[0] == tag]
+    inside = [any(b.path == h or b.path.startswith(f"{h}/") for h in held) or not held for b in left]
+    tokens = [text_token(b) for b in left]
+    template = [t in everywhere or t in often and not i for t, i in zip(tokens, inside, strict=True)]
+    taken, total = (sum(len(b.text) for b, i, t in zip(left, inside, template, strict=True) if i and (t or whole)) for whole in (False, True))
+    if taken >= MOST * total:
+        template = [t and not i for t, i in zip(template, inside, strict=True)]
+    return " ".join(b.text for b, t in zip(left, template, strict=True) if not t)
 
 
 @lru_cache(maxsize=4096)
-def _template(text: str) -> dict:
-    return json.loads(text)
+def _template(text: str) -> tuple[str | None, frozenset[int], frozenset[int]]:
+    t = json.loads(text)
+    return t.get("container"), frozenset(t.get("everywhere") or ()), frozenset(t.get("often") or ())
 
 
 def extract_main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -267,10 +306,10 @@ def extract_main_text(df: DataFrame, key: str = "page_id", url: str = "url", htm
         found = main_container(group)
         return pd.DataFrame({"host": group["host"].iloc[:1], "container": [found]})
 
-    containers = valid.groupBy("host").applyInPandas(choose, "host string, container string")
-    templates = cut(containers.join(template_texts(tokens), "host", "full").select("host", F.to_json(F.struct("container", "fixed")).alias("template")))
-    shared = [r["template"] for r in templates.where("host = '*'").collect()]
-    fallback = shared[0] if shared else "{}"
+    containers = valid.where("token is null").groupBy("host").applyInPandas(choose, "host string, container string")
+    templates = cut(containers.join(template_texts(valid), "host", "full").select("host", F.to_json(F.struct("container", "everywhere", "often")).alias("template")))
+    shared = templates.where("host = '*'").first()
+    fallback = shared["template"] if shared else "{}"
     schema = f"{key} {df.schema[key].dataType.simpleString()}, url {df.schema[url].dataType.simpleString()}, text string"
     if templates.count() <= HOSTS:
         known = {r["host"]: r["template"] for r in templates.collect()}
@@ -286,7 +325,7 @@ def extract_main_text(df: DataFrame, key: str = "page_id", url: str = "url", htm
             hosts = batch.column(3).to_pylist()
             chosen = [sent.value.get(h) for h in hosts] if sent else batch.column(4).to_pylist()
             found = [_template(c or fallback) for c in chosen]
-            texts = [extract(x or "", t.get("container"), t.get("fixed")) for x, t in zip(batch.column(2).to_pylist(), found, strict=True)]
+            texts = [extract(x or "", *t) for x, t in zip(batch.column(2).to_pylist(), found, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [key, "url", "text"])
 
     return met.mapInArrow(run, schema)

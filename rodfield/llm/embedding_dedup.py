@@ -16,7 +16,8 @@ leave a block as counts and as a spanning forest, never as pairs.
 
 Defined results: null, zero, or non-finite vectors (also ones with null components)
 have no links and stay; vectors of another length are compared with none but their own
-length; repeated ids count as rows of their own and share the id's component.
+length; rows that share an id, or have none, are rows of their own with the links of their
+vectors; a component is named by the least id in it, and by null only if it has none.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 1)
 
 
 def _points(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """Distinct finite vectors that aren't zero: an id of their own (the least key), doubles, and how many rows."""
+    """Keys and vectors of rows whose vector is finite and isn't zero."""
     norm = F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     good = F.col("v").isNotNull() & ~F.exists("v", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & (F.col("norm") > 0)
     return df.select(F.col(key).alias("id"), F.col(vector).alias("v"), norm.alias("norm")).where(good).select("id", "v")
@@ -110,7 +111,8 @@ def _above(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray,
 def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """The key and, per row, ``n_links``, ``component_id`` and ``kept``."""
     rows = _points(df, key, vector)
-    points = cut(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
+    # a point's number of its own is stable, as what it counts lies in the checkpoint
+    points = cut(rows.groupBy("v").agg(F.min("id").alias("name"), F.count("*").alias("weight"))).withColumn("id", F.monotonically_increasing_id())
     sizes = {r["n"]: r["rows"] for r in points.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows")).limit(64).collect()}
     centroids = {}
     for n, count in sizes.items():
@@ -146,12 +148,15 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshol
     counts = found.groupBy("id").agg(F.sum("n").alias("links"))
     groups = components(found.select(F.col("id").alias("u"), F.col("other").alias("v")))
     # back from points to rows: a row's links are its point's other points and the point's other rows
-    told = points.join(counts, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    told = told.select("v", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"), "weight")
+    named = groups.withColumnRenamed("node", "id").join(points.select("id", "name"), "id")
+    least = named.groupBy("component").agg(F.min("name").alias("least"))
+    told = points.join(counts, "id", "left").join(named.select("id", "component"), "id", "left").join(least, "component", "left")
+    told = told.select("v", F.coalesce("links", F.lit(0)).alias("links"), F.when(F.col("component").isNull(), F.col("name")).otherwise(F.col("least")).alias("component"), "weight")
     keyed = df.select(F.col(key).alias("k"), F.col(vector).alias("v"))
     out = keyed.join(told, "v", "left")
-    lone = F.col("component").isNull()
+    lone = F.col("weight").isNull()
+    component = F.when(lone, F.col("k")).otherwise(F.col("component"))
     return out.select(
         F.col("k").alias(key), F.when(lone, 0).otherwise(F.col("links") + F.col("weight") - 1).cast("long").alias("n_links"),
-        F.coalesce("component", "k").alias("component_id"), F.coalesce(F.col("k") == F.coalesce("component", "k"), F.lit(True)).alias("kept"),
+        component.alias("component_id"), F.col("k").eqNullSafe(component).alias("kept"),
     )

@@ -174,6 +174,26 @@ def test_op4_sql(spark):
     assert sorted(map(tuple, queries.op4_chat_formatting(spark, SF).select(*names).collect())) == sorted(cursor.fetchall())
 
 
+def test_op4_null_conversations_and_turns(spark, tmp_path):
+    rows = [(None, 0, "user", "a"), (None, None, "assistant", "b <|im_end|>"), (1, None, "assistant", None), (1, None, None, "%3C|"), (1, 2, "assistant", "x"), (1, 2, "assistant", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    cursor = con.execute(queries.OP4_SQL)
+    names = [c[0] for c in cursor.description]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, queries.op4_chat_formatting(spark, str(tmp_path)).select(*names).collect()), key=key) == sorted(cursor.fetchall(), key=key)
+
+
+def test_loss_mask_marks_what_is_told(spark):
+    """A mask moved by one place gives another text: the digest is the mask's."""
+    df = chat_format.gather_rows(spark.createDataFrame([(1, 0, "user", "q%"), (1, 1, "assistant", "a<|b%"), (1, 2, "assistant", "é")], "conv_id long, turn int, role string, text string"))
+    out = chat_format.format_chat(df)
+    moved = F.transform("loss_mask", lambda m, i: F.struct((m["chars"] + F.when(i == 0, 1).otherwise(0)).alias("chars"), m["loss"].alias("loss")))
+    row = out.select(chat_format.masked_text(F.col("formatted"), F.col("loss_mask")).alias("right"), chat_format.masked_text(F.col("formatted"), moved).alias("wrong")).first()
+    assert row["right"] == "a<|b%é" and row["wrong"] != row["right"]
+
+
 def test_license_base_places(spark, odd, empty):
     assert len(rules()) > 200
     assert license_digest(scan_licenses(empty)).count() == 0
@@ -190,6 +210,73 @@ def test_license_base_places(spark, odd, empty):
         assert r.base_labels == ",".join(sorted({label for _, label in found})) and 0 <= r.score <= 1
 
 
+def _samples(tree, most=24):
+    """Strings that a parsed pattern matches: every branch and every optional part with and without."""
+    out = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            parts = [chr(arg)]
+        elif name == "IN":
+            parts = [chr(v) if str(o) == "LITERAL" else "7" if str(o) == "CATEGORY" else chr(v[0]) for o, v in arg]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, _, inner = arg
+            one = _samples(inner, most)
+            parts = ([x * max(low, 1) for x in one] if low else ["", *one])
+        elif name == "SUBPATTERN":
+            parts = _samples(arg[-1], most)
+        elif name == "BRANCH":
+            parts = [x for branch in arg[1] for x in _samples(branch, most)]
+        elif name == "CATEGORY":
+            parts = ["7"]
+        else:
+            raise AssertionError(name)
+        out = [a + b for a in out for b in parts][:4 * most]
+    return list(dict.fromkeys(out))[:most] if len(out) > most else list(dict.fromkeys(out))
+
+
+def test_every_license_rule_fires(spark):
+    #: Rules whose keyword speaks of the subject and stands elsewhere in the text.
+    about = (" licen", " liab")
+    rows = []
+    for n, rule in enumerate(rules()):
+        body = rule["regex"].removeprefix("(?<= )(?:").removesuffix(")(?= )")
+        found = [x for x in _samples(re._parser.parse(body)) if re.fullmatch(body, x)]
+        assert found, rule
+        rows += [(n, x + rule["keyword"] if rule["keyword"] in about and rule["keyword"] not in f" {x}" else x) for x in found]
+    held = {r.n: r.ok for r in _fires(spark, rows).groupBy("n").agg(F.min("ok").alias("ok")).collect()}
+    assert [rules()[n] for n, ok in held.items() if not ok] == []
+    got = scan_licenses(spark.createDataFrame([(1, "For noncommercial use only."), (2, "Unauthorised copying")], SCHEMA)).collect()
+    assert [[d.label for d in r.detections] for r in sorted(got)] == [["non-commercial"], ["proprietary"]]
+
+
+def _fires(spark, rows):
+    """Whether the gate and the keyword let the rule's own text pass."""
+    from rodfield.llm import license_scan
+
+    keywords = F.array(*[F.lit(r["keyword"]) for r in rules()])
+    words = license_scan._lower(license_scan.canonical_words(F.col("text")))
+    df = spark.createDataFrame(rows, "n int, text string").withColumn("words", words)
+    return df.withColumn("ok", F.rlike("words", F.lit(license_scan._gate())) & F.contains("words", F.get(keywords, "n")))
+
+
+def test_license_labels_brute_force(spark):
+    """Labels of all rules and their suppression, by plain loops."""
+    documents_ = documents()[:60] + [(10**6, "Licensed under the Apache License, Version 2.0. GNU General Public License v3 or later; CC BY-SA 4.0 (creative commons attribution sharealike 4 0 international)"), (10**6 + 1, "All rights reserved. MIT License. Copyright (c) 2020 by x. Used with permission")]
+    got = {r.doc_id: (r.labels, r.n_base) for r in license_digest(scan_licenses(spark.createDataFrame(documents_, SCHEMA))).collect()}
+    for doc, text in documents_:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text))
+        line = " " + "".join(f"{w} " for w in words)
+        hits = []
+        for r in rules():
+            if r["keyword"] in line:
+                for m in re.finditer(r["regex"], line):
+                    start = line[: m.start()].count(" ") - 1
+                    hits.append((r["label"], r["priority"], r["base"], start, start + m[0].count(" ")))
+        kept = [h for h in hits if h[2] or not any(g[3] <= h[3] and h[4] <= g[4] and not g[2] and (g[1] < h[1] or g[1] == h[1] and g[4] - g[3] > h[4] - h[3]) for g in hits)]
+        assert got[doc] == (",".join(sorted({h[0] for h in kept})), sum(h[2] for h in kept)), doc
+
+
 def test_line_dedup_brute_force(spark, odd, empty):
     assert dedup_lines(empty).count() == 0
     assert dedup_lines(odd).count() == len(ODD)
@@ -234,6 +321,15 @@ def test_op7_deletes_every_repeated_run(spark, tmp_path):
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()} == {d: t for d, t in want.items()}
 
 
+def test_line_dedup_clashing_columns_and_hot_lines(spark):
+    rows = [(i, f"one line of all\nown {i}\n", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, doc long")
+    for name in ("mark", "place", "__gone", "__mark", "a", "n_lines"):
+        df = df.withColumn(name, F.lit("x"))
+    got = {r.doc_id: r.asDict() for r in dedup_lines(df, min_words=1).collect()}
+    assert got[0]["text"] == rows[0][1] and all(got[i]["text"] == f"own {i}\n" and got[i]["doc"] == i and got[i]["__gone"] == "x" for i in range(1, 40))
+
+
 def _jaccard(docs):
     sets = []
     for doc, text in docs:
@@ -286,9 +382,17 @@ def test_embedding_links(spark):
     assert link(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embedding_ids_that_are_null_or_repeated(spark):
+    rows = [(None, [1.0, 0.0]), (2, [0.999, 0.01]), (1, [0.0, 1.0]), (1, [0.7, 0.7]), (3, [0.7, 0.71])]
+    got = link(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)).collect()
+    assert sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in got) == [(-1, 1, 2, False), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 2, True), (3, 1, 1, False)]
+    clash = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [1.0, 0.0], "y")], "vec_id long, embedding array<double>, weight string").withColumn("component", F.lit(1))
+    assert [r.n_links for r in link(clash).collect()] == [1, 1]
+
+
 def test_html(spark):
     page = '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><a href="/">menu</a></nav><!-- <p>no</p> --><div class="ad">buy</div><article><h1>Head</h1><p><b>One &amp; t</b>wo<br>three<p>four\n five<aside>side</aside><div class="comments">c</div></article><footer>foot</footer></body></html>'
-    assert extract(page, None) == "Head One & two three four five"
+    assert extract(page) == "Head One & two three four five"
     rows = [(i, f"http://h.example/{i}", page.replace("four", f"four{i}")) for i in range(6)] + [(7, None, None), (8, "odd", ""), (9, "http://h.example/9", page[:-60])]
     got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3] == "Head One & two three four3 five" and got[7] == got[8] == "" and got[9].startswith("Head One & two")
@@ -315,8 +419,46 @@ def test_html_keeps_every_slot(spark, monkeypatch, hosts):
     assert set(_pages(spark, [f"<h1>Head</h1><div class=body>{long}</div>"] * 4).values()) == {f"Head {long}".strip()}
 
 
+def test_html_leaves_out_unmarked_boilerplate(spark):
+    parts = [f"word{i} " * 30 for i in range(8)]
+    page = "<div>Welcome to our site, read what is new</div><div>Sign in to continue</div>{}<div>Copyright Example Corp.</div>"
+    for wrap in ("<div class=story><h1>Title {i}</h1><p>{t}</p></div>", "<h1>Title {i}</h1><p>{t}</p>"):
+        got = _pages(spark, [page.format(wrap.format(i=i, t=t)) for i, t in enumerate(parts)])
+        assert got == {i: f"Title {i} {t.strip()}" for i, t in enumerate(parts)}
+    # copies of one article are not its host's template
+    copies = [page.format(f"<h1>Title</h1><p>{parts[0]}</p>") for _ in range(8)]
+    assert all(parts[0].strip() in t for t in _pages(spark, copies).values())
+    mostly = [*copies[:5], *(page.format(f"<h1>Title {i}</h1><p>{t}</p>") for i, t in enumerate(parts[:3]))]
+    assert all(f"{parts[max(0, i - 5)].strip()}" in t and "Welcome" not in t for i, t in _pages(spark, mostly).items())
+
+
+def test_html_words_of_names_inside_an_article():
+    page = "<article><p class='toolbar-history'>one</p><p class='skip-line'>two</p><p id='search-theory'>three</p><div class='comment-list'>no</div><p class='ad'>no</p></article>"
+    assert extract(page) == "one two three"
+    assert extract("<div class='page-header-layout'><h1>All</h1><p>of the page is here</p><div class='comments'>no</div></div>") == "All of the page is here"
+
+
+def test_html_generated_sites_brute_force(spark):
+    """Sites with known articles: each has its own layout and boilerplate; extraction gives the articles whole."""
+    random.seed(8)
+    sentence = lambda k: " ".join("".join(random.choices("abcdefghij", k=random.randint(2, 8))) for _ in range(k))
+    rows, want = [], {}
+    for site in range(6):
+        top, side, end = sentence(6), [sentence(2) for _ in range(4)], sentence(7)
+        body = random.choice(["<article>{}</article>", "<div class=content>{}</div>", "<section id=text><div>{}</div></section>", "<main>{}</main>"])
+        for n in range(9):
+            blocks = [sentence(random.randint(4, 60)) for _ in range(random.randint(2, 6))]
+            inner = "".join(f"<p>{b} &amp; so</p>" for b in blocks)
+            menu = "".join(f"<li><a href=/{k}>{k}</a></li>" for k in side)
+            html = f"<html><head><title>x</title></head><body><div>{top}</div><ul>{menu}</ul>{body.format(inner)}<div class=sidebar>{sentence(5)}</div><div>{end}</div><footer>{sentence(4)}</footer></body></html>"
+            rows.append((len(rows), f"https://site{site}.example/{n}", html))
+            want[len(want)] = " ".join(f"{b} & so" for b in blocks)
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_html_articles_without_a_template():
-    assert extract("<article class=a>one</article><article class=b>two</article>", None) == "one two"
+    assert extract("<article class=a>one</article><article class=b>two</article>") == "one two"
 
 
 def test_quality_held_out(spark, odd, empty):

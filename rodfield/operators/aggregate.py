@@ -10,6 +10,13 @@ from rodfield.functions.columns import histogram_bin
 from rodfield.functions.student import t_quantile
 
 
+def with_range(df: DataFrame, value: str, by: list[str], low: str, high: str) -> DataFrame:
+    """Adds the least and greatest value of each row's group. Groups are summed up before they are shuffled and joined back, so
+    that a large group is not one task."""
+    span = df.groupBy(*by).agg(F.min(value).alias(low), F.max(value).alias(high))
+    return df.join(span, by)
+
+
 def state_mean(df: DataFrame, columns: list[str], mask: Column | None = None) -> DataFrame:
     """Mean of columns per state, over all or the masked particles; nulls are left out."""
     kept = lambda c: F.when(mask, F.col(c)) if mask is not None else F.col(c)
@@ -55,8 +62,7 @@ def distribution(df: DataFrame, value: str, low, high, bins: int, by: list[str])
 def log_histogram(df: DataFrame, value: str, bins: int, by: list[str]) -> DataFrame:
     """Histogram of log10 of the positive values over each group's own range."""
     rows = df.where(F.col(value) > 0).withColumn("__l", F.log10(value))
-    over = Window.partitionBy(*by)
-    rows = rows.withColumn("__a", F.min("__l").over(over)).withColumn("__b", F.max("__l").over(over))
+    rows = with_range(rows, "__l", by, "__a", "__b")
     return rows.withColumn("bin", histogram_bin("__l", "__a", "__b", bins)).where("bin is not null").groupBy(*by, "bin").agg(F.count("*").alias("count"))
 
 
@@ -67,9 +73,8 @@ def two_orders(curves: DataFrame, one: str, two: str, by: list[str]) -> DataFram
 
 def boltzmann_average(df: DataFrame, energy: str, columns: list[str], temperature: float, by: list[str]) -> DataFrame:
     """Averages weighted by exp(-(e - min e)/T)."""
-    low = F.min(energy).over(Window.partitionBy(*by))
     w = F.exp(-(F.col(energy) - F.col("__low")) / temperature)
-    return df.withColumn("__low", low).groupBy(*by).agg(*[(F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in columns])
+    return with_range(df, energy, by, "__low", "__high").groupBy(*by).agg(*[(F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in columns])
 
 
 def ground_state(df: DataFrame, energy: str, order: str, columns: list[str], by: list[str]) -> DataFrame:

@@ -1,65 +1,148 @@
-"""Triangulation of states, local and relational.
+"""Triangulation of states, local: every point finds the fan of triangles around itself.
 
-Every point sees the points within a radius; a pair of them with the point itself makes a triangle if its circle is
-empty and no wider than the radius, so that whatever could lie in it is seen. A point is done when its triangles close
-around it; points that aren't are tried again with twice the radius. A kept triangle is never wrong, whatever the radius.
+A point sees the points within a radius. Its nearest neighbour is joined to it in the triangulation; from one joined
+neighbour to the next, the apex of the triangle over their edge is the point that sees the edge under the largest angle.
+So a fan takes as many steps as it has triangles, each over the points in sight, and tasks take many points at a time as
+numpy matrices. A fan is right if it closes and none of its circles is wider than the radius, so that whatever could lie
+in one is seen. Points whose fan isn't are tried again with twice the radius, until a radius covers the whole state, when
+every fan is right, also an open one on the hull. There is no other end: a result is complete.
+
+Each triangle comes from its point of least id among the real ones. Of points on one circle a fan takes each in turn, and
+only that of the least of them counts there. Points at one place see the others, not each other.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rodfield.config import KEY
 from rodfield.plans.lineage import cut
 
-ROUNDS = 8
-
-
-def _fans(points: DataFrame, active: DataFrame, radius: float) -> DataFrame:
-    """Triangles at the active points, with the angle there. ``radius`` is in units of a state's mean spacing."""
+#: Cells of the matrices of one step.
+CELLS = 400_000
+
+
+def fans(u: np.ndarray, v: np.ndarray, seen: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fans of points whose neighbours lie at (u, v), a row each; ``seen``: which entries are neighbours. Gives row, neighbour and
+    apex of every triangle, its circle's diameter and the least name on it, and whether each row's fan closes."""
+    n = len(u)
+    far = np.where(seen, u * u + v * v, np.inf)
+    first = far.argmin(1)
+    rows, ones, twos, wide, least_name = [], [], [], [], []
+    closed = np.zeros(n, bool)
+    for sign in (1.0, -1.0):  # to the left all round; fans that end there, to the right from the start too
+        live = np.flatnonzero(np.isfinite(far.min(1)) & ~closed) if n else np.empty(0, np.int64)
+        at = first[live]
+        while len(live):
+            cu, cv = u[live, at][:, None], v[live, at][:, None]
+            uu, vv, size = u[live], v[live], far[live]
+            cross, dot = sign * (cu * vv - cv * uu), cu * uu + cv * vv
+            reach = cu * cu + cv * cv
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ahead = seen[live] & (cross > 1e-12 * reach)
+                cot = np.where(ahead, (size - dot) / cross, np.inf)
+                least = cot.min(1, keepdims=True)
+                turn = np.where(ahead & (cot <= least + 1e-9 * (1 + np.abs(least))), dot / cross, -np.inf)
+            found = np.isfinite(least[:, 0])
+            apex = turn.argmax(1)
+            live, at, apex, least = live[found], at[found], apex[found], least[found, 0]
+            rows.append(live), ones.append(at), twos.append(apex)
+            # the edge is the chord of the apex's angle: diameter = length / sin
+            du, dv = u[live, at], v[live, at]
+            wide.append(np.hypot(du, dv) * np.sqrt(1 + least * least))
+            au, av = u[live, apex], v[live, apex]
+            area, one, two = 2 * (du * av - dv * au), du * du + dv * dv, au * au + av * av
+            cx, cy = ((one * av - two * dv) / area)[:, None], ((two * du - one * au) / area)[:, None]
+            uu, vv = u[live] - cx, v[live] - cy
+            on = seen[live] & (np.abs(uu * uu + vv * vv - cx * cx - cy * cy) <= 1e-9 * (cx * cx + cy * cy))
+            far_name = np.where(on, names[live], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max)
+            least_name.append(np.minimum(far_name, np.minimum(names[live, at], names[live, apex])))
+            end = apex == first[live]
+            closed[live[end]] = True
+            live, at = live[~end], apex[~end]
+    join = lambda x, kind: np.concatenate([np.empty(0, kind), *x])
+    return *(join(x, np.int64) for x in (rows, ones, twos)), join(wide, float), join(least_name, np.int64), closed
+
+
+def _fan_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From cells, with their own points and all points in and around them, to triangles; a row without one for each point that
+    is to be tried again."""
+    def flat(lists: pa.ListArray) -> tuple[np.ndarray, ...]:
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        inner = lists.flatten()
+        return sizes, *(inner.field(c).to_numpy(zero_copy_only=False) for c in ("pid", "x", "y"))
+
+    for batch in batches:
+        owned, pid, ox, oy = flat(batch.column("own"))
+        held, ids, nx, ny = flat(batch.column("near"))
+        cell = np.repeat(np.arange(batch.num_rows), owned)
+        reach, whole = (batch.column(c).to_numpy(zero_copy_only=False)[cell] for c in ("reach", "whole"))
+        sizes, begins = held[cell], (np.cumsum(held) - held)[cell]
+        order = np.argsort(sizes, kind="stable")
+        start = 0
+        while start < len(order):
+            stop = start + 1
+            while stop < len(order) and (stop + 1 - start) * sizes[order[stop]] <= CELLS:
+                stop += 1
+            part = order[start:stop]
+            start = stop
+            width = int(sizes[part].max())
+            here = np.arange(width) < sizes[part][:, None]
+            at = np.minimum(begins[part][:, None] + np.arange(width), len(ids) - 1)
+            u, v = nx[at] - ox[part][:, None], ny[at] - oy[part][:, None]
+            far = u * u + v * v
+            names = np.where(ids[at] < 0, np.iinfo(np.int64).max, ids[at])
+            row, one, two, wide, low, closed = fans(u, v, here & (far > 0) & (far < (reach * reach)[part][:, None]), names)
+            sure = closed & (np.bincount(row, wide > reach[part][row], len(part)) == 0) | whole[part]
+            a, b, c = pid[part][row], ids[at[row, one]], ids[at[row, two]]
+            keep = np.flatnonzero(sure[row] & (a < low))
+            tri = np.sort(np.stack([a[keep], b[keep], c[keep]], 1), axis=1)
+            again = np.flatnonzero(~sure)
+            source = np.concatenate([part[row[keep]], part[again]])
+            void = np.concatenate([np.zeros(len(keep), bool), np.ones(len(again), bool)])
+            corners = [pa.array(np.concatenate([tri[:, k], np.zeros(len(again), np.int64)]), mask=void) for k in range(3)]
+            keys = [batch.column(c).take(pa.array(cell[source])) for c in KEY]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(pid[source]), *corners], [*KEY, "pid", "a", "b", "c"])
+
+
+def _tried(points: DataFrame, active: DataFrame, radius: float) -> DataFrame:
+    """One try of the active points. ``radius`` is in units of a state's mean spacing."""
     wide, high = F.max("x") - F.min("x"), F.max("y") - F.min("y")
     spacing = F.greatest(F.sqrt(wide * high / F.count("*")), (wide + high) / F.count("*"), F.lit(1e-9))
-    size = points.groupBy(*KEY).agg((spacing * radius).alias("reach"))
-    cell = points.join(size, KEY)
+    size = points.groupBy(*KEY).agg((spacing * radius).alias("reach"), (spacing * radius > F.hypot(wide, high)).alias("whole"))
     grid = lambda c: F.floor(F.col(c) / F.col("reach"))
-    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    seen = cell.withColumn("s", near).select(*KEY, (grid("x") + F.col("s.a")).alias("cx"), (grid("y") + F.col("s.b")).alias("cy"), F.struct("pid", "x", "y").alias("q"))
-    own = active.join(size, KEY).select(*KEY, grid("x").alias("cx"), grid("y").alias("cy"), "pid", "x", "y", "reach")
-    dx, dy = F.col("q.x") - F.col("x"), F.col("q.y") - F.col("y")
-    met = own.join(seen, [*KEY, "cx", "cy"]).where((F.col("q.pid") != F.col("pid")) & (dx * dx + dy * dy < F.col("reach") * F.col("reach")))
-    # positions relative to the point; what one point sees is bounded by the density
-    sight = met.groupBy(*KEY, "pid", "x", "y", "reach").agg(F.collect_list(F.struct(F.col("q.pid").alias("p"), dx.alias("u"), dy.alias("v"))).alias("near"))
-    # few points make much work here: a fixed number of tasks, which small data would not get
-    sight = sight.repartition(max(8, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *KEY, "pid")
-    pairs = sight.withColumn("j", F.explode("near")).withColumn("k", F.explode(F.filter("near", lambda q: F.col("j.p") < q["p"])))
-    d = 2 * (F.col("j.u") * F.col("k.v") - F.col("j.v") * F.col("k.u"))
-    jj, kk = F.col("j.u") * F.col("j.u") + F.col("j.v") * F.col("j.v"), F.col("k.u") * F.col("k.u") + F.col("k.v") * F.col("k.v")
-    pairs = pairs.withColumn("d", d).where("d != 0").withColumns({"cu": F.try_divide(jj * F.col("k.v") - kk * F.col("j.v"), F.col("d")), "cv": F.try_divide(kk * F.col("j.u") - jj * F.col("k.u"), F.col("d"))})
-    pairs = pairs.withColumn("r2", F.col("cu") * F.col("cu") + F.col("cv") * F.col("cv")).where(4 * F.col("r2") <= F.col("reach") * F.col("reach"))
-    free = ~F.exists("near", lambda q: (q["u"] - F.col("cu")) * (q["u"] - F.col("cu")) + (q["v"] - F.col("cv")) * (q["v"] - F.col("cv")) < F.col("r2") - 1e-9)
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col("j.u") * F.col("k.u") + F.col("j.v") * F.col("k.v"), F.sqrt(jj * kk)))))
-    return pairs.where(free).select(*KEY, "pid", F.col("j.p").alias("pj"), F.col("k.p").alias("pk"), angle.alias("angle"))
-
-
-def triangulate(points: DataFrame, radius: float = 4.0) -> DataFrame:
-    """Triangles (a < b < c) of points (K, pid, x, y); negative ids are ring points, and triangles of these alone are left
-    out. Points that no ring encloses may stay open: they end after a fixed number of rounds."""
+    one = F.struct("pid", "x", "y")
+    cell = [*KEY, "cx", "cy"]
+    # a cell's points are looked at together, with those of the cells around it; their number is bounded by the density
+    own = active.join(size, KEY).groupBy(*KEY, "reach", "whole", grid("x").alias("cx"), grid("y").alias("cy")).agg(F.collect_list(one).alias("own"))
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    seen = points.join(size, KEY).withColumn("s", around).select(*KEY, (grid("x") + F.col("s.a")).alias("cx"), (grid("y") + F.col("s.b")).alias("cy"), "pid", "x", "y")
+    near = seen.join(own.select(*cell), cell, "left_semi").groupBy(*cell).agg(F.array_sort(F.collect_list(one)).alias("near"))
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    met = own.join(near, cell).select(*KEY, "reach", "whole", "own", "near")
+    # few cells make much work here: a fixed number of tasks, which small data would not get
+    met = met.repartition(max(8, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return met.mapInArrow(_fan_rows, ", ".join(f"{c} {kinds[c]}" for c in (*KEY, "pid")) + ", a bigint, b bigint, c bigint")
+
+
+def triangulate(points: DataFrame, radius: float = 3.0) -> DataFrame:
+    """Triangles (a < b < c) of points (K, pid, x, y); negative ids are ring points, and triangles of these alone are left out."""
     points = cut(points.select(*KEY, "pid", "x", "y"))
     active, found = points.where("pid >= 0"), None
-    for _ in range(ROUNDS):
-        fans = cut(_fans(points, active, radius))
-        sorted_ = F.array_sort(F.array("pid", "pj", "pk"))
-        made = fans.select(*KEY, sorted_[0].alias("a"), sorted_[1].alias("b"), sorted_[2].alias("c"))
+    while True:
+        tried = cut(_tried(points, active, radius))
+        made = tried.where("a is not null").select(*KEY, "a", "b", "c")
         found = made if found is None else found.unionByName(made)
-        closed = fans.groupBy(*KEY, "pid").agg(F.sum("angle").alias("around")).where(F.col("around") > 2 * math.pi - 1e-6)
-        active = cut(active.join(closed, [*KEY, "pid"], "left_anti"))
-        if not active.limit(1).count():
-            break
+        again = tried.where("a is null").select(*KEY, "pid")
+        if again.isEmpty():
+            return found
+        active = points.join(again, [*KEY, "pid"], "left_semi")
         radius *= 2
-    return found.distinct()
 
 
 def edges_of(triangles: DataFrame) -> DataFrame:
@@ -69,9 +152,9 @@ def edges_of(triangles: DataFrame) -> DataFrame:
     return rows.where("i >= 0").groupBy(*KEY, "i", "j").agg(F.count("*").alias("triangles"))
 
 
-def collapse(edges: DataFrame, rods: int) -> DataFrame:
-    """Edges between disks to edges between rods (disk id modulo the number of rods), weighted by their contacts."""
-    a, b = F.pmod("i", F.lit(rods)), F.pmod("j", F.lit(rods))
+def collapse(edges: DataFrame, rod) -> DataFrame:
+    """Edges between disks to edges between rods, weighted by their contacts. ``rod``: from the column of a disk's id to its rod's."""
+    a, b = rod(F.col("i")), rod(F.col("j"))
     return edges.select(*KEY, F.least(a, b).alias("i"), F.greatest(a, b).alias("j")).where("i < j").groupBy(*KEY, "i", "j").agg(F.count("*").alias("w"))
 
 

@@ -36,6 +36,18 @@ def graph_boundary(edges: DataFrame) -> DataFrame:
     return third.groupBy(*KEY, "i", "j").count().where("count = 1").select(*KEY, F.explode(F.array("i", "j")).alias("pid")).distinct()
 
 
+def complex_column(re, im):
+    return F.struct(re.alias("re"), im.alias("im"))
+
+
+def bond_order(bonds: DataFrame, p: int) -> DataFrame:
+    """``phi``: the mean of exp(i p angle) over each particle's bonds, for an even p."""
+    if p % 2:
+        raise ValueError("the fold is even, so that a bond counts alike from both ends")
+    w = p * F.col("bond")
+    return bonds.groupBy(*KEY, F.col("i").alias("pid")).agg(complex_column(F.avg(F.cos(w)), F.avg(F.sin(w))).alias("phi"))
+
+
 def order_parameters(particles: DataFrame, edges: DataFrame) -> DataFrame:
     """All order parameters of the graph, one row per particle; null without neighbours."""
     bonds = directed_bonds(particles, edges)
@@ -51,6 +63,7 @@ def order_parameters(particles: DataFrame, edges: DataFrame) -> DataFrame:
     rows = rows.withColumns({"z": z, "on_boundary": F.coalesce("on_boundary", F.lit(False)), "__c": c2, "__s": s2})
     length = F.sqrt(F.col("__c") * F.col("__c") + F.col("__s") * F.col("__s"))
     rows = rows.withColumns({
+        **{f"Phi{p}Complex": F.when(F.col("z") > 0, complex_column(F.col(f"c_{p}") / F.col("z"), F.col(f"s_{p}") / F.col("z"))) for p in (4, 6)},
         "Phi4": F.hypot("c_4", "s_4") / F.when(F.col("z") > 0, F.col("z")), "Phi6": F.hypot("c_6", "s_6") / F.when(F.col("z") > 0, F.col("z")), "S_center": F.col("cc") / F.when(F.col("z") > 0, F.col("z")),
         "S_local": length / (F.col("z") + 1), "DirectorAngle": axis_angle(F.atan2(F.col("__s"), F.col("__c") + length)), "PureRotationAngle": axis_angle(0.5 * F.atan2(2 * F.col("xy"), F.col("xx_yy"))),
         "FarthestSegmentDist": F.coalesce("farthest", F.lit(0.0)) * F.col("gamma"), "MeanSegmentDist": F.col("mean_far") * F.col("gamma"), "C6_raw": (F.col("z") == 6).cast("double"),
@@ -78,12 +91,25 @@ def vote(labels: DataFrame, edges: DataFrame, label: str, rounds: int = 1) -> Da
 
 
 def isolated_defects(z: DataFrame, edges: DataFrame) -> DataFrame:
-    """Particles with z != 6 and no neighbour that is a defect with another z."""
-    defects = z.where("z != 6")
+    """Particles (K, pid, z, body) with ``isolated``: a defect (z != 6) in the body without a neighbour that is a defect with
+    another z; ``isolatedDefect`` and ``isolatedDefectRatio``: that flag times the state's number of particles over its number in
+    the body, and over its number of defects in the body."""
+    defects = z.where("z != 6").select(*KEY, "pid", "z")
     e2 = both_ways(edges.select(*KEY, "i", "j"))
     other = e2.join(defects.select(*KEY, F.col("pid").alias("j"), F.col("z").alias("zj")), [*KEY, "j"]).withColumnRenamed("i", "pid")
-    bad = defects.join(other, [*KEY, "pid"]).where("z != zj").select(*KEY, "pid").distinct()
-    return defects.join(bad, [*KEY, "pid"], "left_anti")
+    bad = defects.join(other, [*KEY, "pid"]).where("z != zj").select(*KEY, "pid").distinct().withColumn("__bad", F.lit(True))
+    counts = z.groupBy(*KEY).agg(F.count("*").alias("__n"), F.count_if("body").alias("__body"), F.count_if(F.col("body") & (F.col("z") != 6)).alias("__defects"))
+    rows = z.join(bad, [*KEY, "pid"], "left").join(counts, KEY).withColumn("isolated", F.col("body") & (F.col("z") != 6) & F.col("__bad").isNull())
+    flag = F.col("isolated").cast("int") * F.col("__n")
+    return rows.withColumns({"isolatedDefect": F.try_divide(flag, "__body"), "isolatedDefectRatio": F.try_divide(flag, "__defects")}).drop("__bad", "__n", "__body", "__defects")
+
+
+def dense_variants(orders: DataFrame, edges: DataFrame) -> DataFrame:
+    """``raw_dense_1`` (all rods within the sparse distance), ``dense`` (raw_dense after one vote), ``dense_1`` (raw_dense_1 after three)."""
+    rows = orders.select(*KEY, "pid", "raw_dense", (F.col("FarthestSegmentDist") <= SEGDIST_SPARSE).cast("int").alias("raw_dense_1"))
+    one = vote(rows.select(*KEY, "pid", F.col("raw_dense").alias("dense")), edges, "dense", 1)
+    three = vote(rows.select(*KEY, "pid", F.col("raw_dense_1").alias("dense_1")), edges, "dense_1", 3)
+    return rows.join(one, [*KEY, "pid"]).join(three, [*KEY, "pid"])
 
 
 def windings(bonds: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rodfield.config import SIM
+from rodfield.operators.aggregate import with_range
 
 
 def _order():
@@ -241,9 +242,8 @@ def grid_size(low: float, high: float, step: float) -> int:
 def spline_resample(df: DataFrame, step: float) -> DataFrame:
     """Each series on its ensemble's regular grid over [min x, max x], ends included, with a spacing of about ``step``:
     ``j``, ``x``, ``y``; y is null outside the series' own range. Points without x or y are left out."""
-    over = Window.partitionBy("ensemble_id")
     clean = df.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
-    rows = clean.select(*SIM, "x", "y", F.min("x").over(over).alias("low"), F.max("x").over(over).alias("high"))
+    rows = with_range(clean.select(*SIM, "x", "y"), "x", ["ensemble_id"], "low", "high").select(*SIM, "x", "y", "low", "high")
 
     def one(key, pdf):
         import pandas as pd

@@ -4,31 +4,35 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rodfield.config import KEY
+from rodfield.config import DISK_SPACING, KEY
 from rodfield.functions.columns import axis_angle, r_phi, to_col
+from rodfield.operators.delaunay import collapse, edges_of
 from rodfield.operators.graph import both_ways, graph_boundary, vote
 from rodfield.plans.lineage import cut
 
 
 def fitted_ellipses(bonds: DataFrame) -> DataFrame:
-    """The ellipse fitted to each particle's neighbour offsets: ``fitted_gamma`` (-1 without one) and ``fitted_theta``.
+    """The centred conic p x^2 + q x y + r y^2 = 1 that fits each particle's neighbour offsets best (least squares):
+    ``fitted_gamma``, the ratio of its axes (-1 where it is no ellipse), and ``fitted_theta``, the angle of its long axis.
     Fewer than three neighbours determine none."""
-    x, y = F.col("dx"), F.col("dy")
-    moments = {"a": x * x * x * x, "b": x * x * x * y, "c": x * x * y * y, "d": x * y * y * y, "e": y * y * y * y, "x": x * x, "y": x * y, "z": y * y}
-    m = bonds.groupBy(*KEY, F.col("i").alias("pid")).agg(F.count("*").alias("__n"), *[F.sum(v).alias(f"m_{k}") for k, v in moments.items()])
-    a, b, c, d, e, x, y, z = (F.col(f"m_{k}") for k in moments)
-    m = m.withColumns({"a1": d * d - c * e, "a2": b * e - c * d, "a3": c * c - b * d, "a4": c * c - a * e, "a5": a * d - b * c, "a6": b * b - a * c})
-    a1, a2, a3, a4, a5, a6 = (F.col(f"a{n}") for n in range(1, 7))
-    m = m.withColumns({"A": a1 * x + a2 * y + a3 * z, "B": a2 * x + a4 * y + a5 * z, "C": a3 * x + a5 * y + a6 * z, "det": a3 * (a3 * a3 - 2 * a2 * a4 - a1 * a5) + a1 * a4 * a4 + a2 * a2 * a5})
-    root = F.sqrt(F.col("B") * F.col("B") + (F.col("A") - F.col("C")) * (F.col("A") - F.col("C")))
-    m = m.withColumn("D", root).withColumns({"l1": F.col("A") + F.col("C") + F.col("D"), "l2": F.col("A") + F.col("C") - F.col("D")})
-    valid = (F.col("__n") >= 3) & (F.try_divide(F.col("l1"), F.col("det")) > 0) & (F.try_divide(F.col("l2"), F.col("det")) > 0)
-    p, q = F.abs("l1"), F.abs("l2")
-    theta = F.when(p > q, F.atan2(F.col("B"), F.col("A") - F.col("C") - F.col("D"))).otherwise(F.atan2(F.col("B"), F.col("A") - F.col("C") + F.col("D")))
-    return m.select(*KEY, "pid", F.when(valid, F.sqrt(F.try_divide(F.greatest(p, q), F.least(p, q)))).otherwise(-1.0).alias("fitted_gamma"), F.when(valid, theta).otherwise(0.0).alias("fitted_theta"))
+    terms = [F.col("dx") * F.col("dx"), F.col("dx") * F.col("dy"), F.col("dy") * F.col("dy")]
+    sums = [F.sum(terms[i] * terms[j]).alias(f"m{i}{j}") for i in range(3) for j in range(i, 3)] + [F.sum(terms[i]).alias(f"m{i}3") for i in range(3)]
+    rows = bonds.groupBy(*KEY, F.col("i").alias("pid")).agg(F.count("*").alias("__n"), *sums)
+    # the normal equations are symmetric and positive: elimination keeps the upper half
+    for k in (0, 1):
+        rows = rows.withColumns({f"m{i}{j}": F.col(f"m{i}{j}") - F.try_divide(F.col(f"m{k}{i}") * F.col(f"m{k}{j}"), F.col(f"m{k}{k}")) for i in range(k + 1, 3) for j in range(i, 4)})
+    rows = rows.withColumn("r", F.try_divide("m23", "m22"))
+    rows = rows.withColumn("q", F.try_divide(F.col("m13") - F.col("m12") * F.col("r"), F.col("m11")))
+    rows = rows.withColumn("p", F.try_divide(F.col("m03") - F.col("m01") * F.col("q") - F.col("m02") * F.col("r"), F.col("m00")))
+    # curvatures along the axes: half the trace, more and less the spread
+    middle, spread = (F.col("p") + F.col("r")) / 2, F.hypot(F.col("p") - F.col("r"), "q") / 2
+    valid = (F.col("__n") >= 3) & F.coalesce(middle - spread > 0, F.lit(False))
+    ratio, axis = F.sqrt(F.try_divide(middle + spread, middle - spread)), F.atan2(-F.col("q"), F.col("r") - F.col("p")) / 2
+    return rows.select(*KEY, "pid", F.when(valid, ratio).otherwise(-1.0).alias("fitted_gamma"), F.when(valid, axis).otherwise(0.0).alias("fitted_theta"))
 
 
 def turned_order(bonds: DataFrame, angle: Column, gamma: Column, p: int = 6, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -212,36 +216,69 @@ def best_gamma(scan: DataFrame) -> DataFrame:
     return scan.groupBy(*KEY).agg(F.max_by("trial", F.struct("order", -F.col("trial"))).alias("trial"), F.max("order").alias("order"))
 
 
-def ellipse_points(states: DataFrame, spacing: float = 0.1, gamma: str = "gamma") -> DataFrame:
-    """Points at equal arcs on each state's ellipse, its axes longer by 1/gamma: ``g``, ``x``, ``y``."""
+def best_gamma_cubic(bonds: DataFrame, directors: DataFrame, steps: int = 21) -> DataFrame:
+    """The ratio at the maximum of a cubic through the scan by state, and the mean order at that ratio; both null without a fit."""
+    from rodfield.operators.series import cubic_fit, cubic_minimum
+
+    scan = gamma_scan(bonds, directors, steps).select(*KEY, F.col("trial").alias("x"), (-F.col("order")).alias("y"))
+    best = cubic_minimum(cubic_fit(scan, KEY)).select(*KEY, F.col("x_min").alias("trial"))
+    rows = bonds.join(directors.select(*KEY, F.col("pid").alias("i"), F.col("angle").alias("__u")), [*KEY, "i"]).join(best, KEY)
+    found = turned_order(rows, F.col("__u"), F.col("trial"), 6, ("trial",)).groupBy(*KEY).agg(F.avg("order").alias("order"))
+    return best.join(found, KEY, "left")
+
+
+#: Nodes and weights of the quadrature of arcs.
+_NODES, _WEIGHTS = (x.tolist() for x in np.polynomial.legendre.leggauss(20))
+
+
+def ellipse_points(states: DataFrame, spacing: float = 0.1, gamma: str = "gamma", steps: int = 12) -> DataFrame:
+    """Points at equal arcs on each state's ellipse, its axes longer by 1/gamma: ``g``, ``x``, ``y``. Each point inverts the arc
+    length of its own quarter by Newton steps, so that no error adds up along the ellipse."""
     one, two = F.col("a") + 1 / F.col(gamma), F.col("b") + 1 / F.col(gamma)
     rows = states.select(*KEY, (one < two).alias("__turn"), F.greatest(one, two).alias("__a"), F.least(one, two).alias("__b"))
-    ratio = F.col("__b") / F.col("__a")
-    rows = rows.withColumn("__e2", 1 - ratio * ratio)
-    # arithmetic-geometric means: the perimeter to double precision in few steps
-    start = F.struct(F.lit(1.0).alias("p"), ratio.alias("q"), (F.col("__e2") / 2).alias("s"), F.lit(1.0).alias("w"))
-
-    def mean(m: Column, _: Column) -> Column:
-        c = (m["p"] - m["q"]) / 2
-        return F.struct(((m["p"] + m["q"]) / 2).alias("p"), F.sqrt(m["p"] * m["q"]).alias("q"), (m["s"] + m["w"] * c * c).alias("s"), (m["w"] * 2).alias("w"))
-
-    agm = F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, mean)
-    rows = rows.withColumn("__m", agm).withColumn("__l", 4 * F.col("__a") * (math.pi / 2) / F.col("__m.p") * (1 - F.col("__m.s")))
-    rows = rows.withColumn("__n", F.bround(F.col("__l") / spacing).cast("int")).withColumn("__s", F.col("__l") / F.col("__n"))
-    a, s, e2 = F.col("__a"), F.col("__s"), F.col("__e2")
-
-    def advance(made: Column, _: Column) -> Column:
-        last = F.element_at(made, -1)
-        near = F.abs(last / (math.pi / 2) - F.round(last / (math.pi / 2))) < 1e-9
-        t = F.when(near, last + 1e-6).otherwise(last)
-        r2 = 1 - e2 * F.cos(t) * F.cos(t)
-        r = F.sqrt(r2)
-        q = a * r * (a * r2 * r - 2 * (r2 - 1) * s * F.tan(t))
-        # on a circle, or beyond the second-order step's reach, by the speed at t
-        step = F.when((q >= 0) & (F.abs(F.tan(t) * (r2 - 1)) > 1e-9), F.try_divide(a * r2 - F.sqrt(F.greatest(q, F.lit(0.0))), a * F.tan(t) * (r2 - 1))).otherwise(s / (a * r))
-        return F.concat(made, F.array(t + step))
-
-    made = F.aggregate(F.sequence(F.lit(2), F.greatest(F.col("__n"), F.lit(2))), F.array(F.lit(0.0)), advance)
-    rows = rows.select(*KEY, "__turn", "__a", "__b", F.posexplode(F.slice(made, F.lit(1), F.col("__n"))).alias("g", "__t"))
-    x, y = F.col("__a") * F.cos("__t"), F.col("__b") * F.sin("__t")
-    return rows.select(*KEY, "g", F.when(F.col("__turn"), -y).otherwise(x).alias("x"), F.when(F.col("__turn"), x).otherwise(y).alias("y"))
+    a, b = F.col("__a"), F.col("__b")
+
+    def speed(t: Column) -> Column:
+        return F.hypot(a * F.sin(t), b * F.cos(t))
+
+    def arc(t: Column) -> Column:
+        """From the end of the long axis."""
+        return t / 2 * sum((w * speed(t / 2 * (1 + x)) for x, w in zip(_NODES, _WEIGHTS, strict=True)), F.lit(0.0))
+
+    rows = rows.withColumn("__quarter", arc(F.lit(math.pi / 2)))
+    rows = rows.withColumn("__n", F.bround(4 * F.col("__quarter") / spacing).cast("int")).where("__n > 0")
+    rows = rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).withColumn("__s", 4 * F.col("__quarter") * F.col("g") / F.col("__n"))
+    # odd quarters run back from the end of the long axis
+    rows = rows.withColumn("__k", F.floor(F.col("__s") / F.col("__quarter")))
+    into = F.col("__s") - F.col("__k") * F.col("__quarter")
+    rows = rows.withColumn("__goal", F.when(F.col("__k") % 2 == 0, into).otherwise(F.col("__quarter") - into))
+    start = math.pi / 2 * F.col("__goal") / F.col("__quarter")
+    newton = lambda t, _: F.greatest(F.lit(0.0), F.least(F.lit(math.pi / 2), t - (arc(t) - F.col("__goal")) / speed(t)))
+    rows = rows.withColumn("__t", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, newton))
+    x = a * F.cos("__t") * F.when(F.col("__k").isin(1, 2), -1).otherwise(1)
+    y = b * F.sin("__t") * F.when(F.col("__k").isin(2, 3), -1).otherwise(1)
+    rows = rows.withColumns({"__x": x, "__y": y})
+    return rows.select(*KEY, "g", F.when(F.col("__turn"), -F.col("__y")).otherwise(F.col("__x")).alias("x"), F.when(F.col("__turn"), F.col("__x")).otherwise(F.col("__y")).alias("y"))
+
+
+#: Ids of disks: the rod's id times this, and the disk's number.
+DISKS = 1 << 16
+
+
+def disks(particles: DataFrame, spacing: float = DISK_SPACING) -> DataFrame:
+    """The disks along each rod: ``pid`` of the rod, number ``j``, place (dx, dy). Particles need gamma."""
+    rows = particles.withColumn("__m", F.floor(1 + 2 * (F.col("gamma") - 1) / spacing + 1e-9).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("__m") - 1)))
+    off = (-(F.col("__m") - 1) / 2 + F.col("j")) * spacing / F.col("gamma")
+    return rows.select(*KEY, "pid", "j", (F.col("x") + off * F.cos("t")).alias("dx"), (F.col("y") + off * F.sin("t")).alias("dy"))
+
+
+def disk_points(particles: DataFrame, states: DataFrame, spacing: float = DISK_SPACING) -> DataFrame:
+    """Points (K, pid, x, y) of all disks, and of the ellipse around each state with negative ids."""
+    real = disks(particles, spacing).select(*KEY, (F.col("pid") * DISKS + F.col("j")).alias("pid"), F.col("dx").alias("x"), F.col("dy").alias("y"))
+    return real.unionByName(ellipse_points(states, spacing).select(*KEY, (-1 - F.col("g")).cast("long").alias("pid"), "x", "y"))
+
+
+def rod_edges(triangles: DataFrame) -> DataFrame:
+    """Edges between rods from triangles of their disks, weighted by contacts ``w``."""
+    return collapse(edges_of(triangles), lambda disk: F.floor(disk / DISKS).cast("long"))

@@ -86,12 +86,6 @@ def a11(spark, d):
     return rounded(B.clean_prefix(grid.join(c.drop("x"), KEY, "left"), "y"), "y")
 
 
-@query("A12_stored_series", f"WITH {CURVES_SQL} SELECT ensemble_id, 'y' AS op, count(*) AS points, min(x) AS x_min, max(x) AS x_max FROM curves GROUP BY 1")
-def a12(spark, d):
-    stored = A.curves(spark, d).select(*KEY, "x", F.lit("y").alias("op"), F.col("y").alias("value"))
-    return stored.groupBy("ensemble_id", "op").agg(F.count("*").alias("points"), F.min("x").alias("x_min"), F.max("x").alias("x_max"))
-
-
 @query("A7_wide_curves", f"""{BASE}, {T_SQL}, m AS (SELECT gamma, idx, avg(phi) AS mean, stddev_samp(phi) AS s, count(phi) AS c FROM states GROUP BY 1, 2), z AS (SELECT m.*, q*s/sqrt(c) AS ci FROM m LEFT JOIN tq ON dof = c - 1)
 SELECT idx, round(max(mean) FILTER (WHERE gamma = 1.2), 6) AS "1.2_mean", round(max(ci) FILTER (WHERE gamma = 1.2), 6) AS "1.2_ci", round(max(mean) FILTER (WHERE gamma = 1.7), 6) AS "1.7_mean", round(max(ci) FILTER (WHERE gamma = 1.7), 6) AS "1.7_ci" FROM z GROUP BY idx""")
 def a7(spark, d):

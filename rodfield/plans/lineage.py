@@ -1,15 +1,43 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, and tables that many queries share."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_made: dict[tuple[str, str, str], str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints, which every executor sees. One of our own is made only where none is
+    named and all runs on one machine, as in tests."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if not named:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names; one of our own only where none is named."""
+    """A reliable checkpoint in the folder that the session names."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def shared(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from a source, written once a session in the shared folder and read by all queries that need it."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _made:
+        token = spark.sql("SELECT uuid()").first()[0]
+        path = f"{shared_folder(spark)}/{name}-{token}"
+        build().write.parquet(path)
+        _made[key] = path
+    return spark.read.parquet(_made[key])

@@ -173,9 +173,9 @@ PQ = "FROM f p JOIN f q ON p.ensemble_id = q.ensemble_id AND p.replica = q.repli
 RPQ = "sqrt((p.x - q.x)*(p.x - q.x) + (p.y - q.y)*(p.y - q.y))"
 
 
-@query("P6_smoothed_correlation", f"WITH {particles_sql(2)}, f AS (SELECT * FROM particles), c AS (SELECT p.ensemble_id, p.replica, p.idx, {RPQ} AS r, cos(2*(p.t - q.t)) AS c {PQ}), {BIN_SQL.format(bins=50)}, {_smooth_sql(50, 2.0).format(source='bn', **BY3)} SELECT {K}, bin, round(y, 6) + 0.0 AS y FROM sm")
-def p6(spark, d, frames: int = 2):
-    binned = P.bin_average(P.angular_correlation(A.particles(spark, d, frames)), "r", "c", 50, KEY)
+@query("P6_smoothed_correlation", f"WITH {particles_sql()}, f AS (SELECT * FROM particles), c AS (SELECT p.ensemble_id, p.replica, p.idx, {RPQ} AS r, cos(2*(p.t - q.t)) AS c {PQ}), {BIN_SQL.format(bins=50)}, {_smooth_sql(50, 2.0).format(source='bn', **BY3)} SELECT {K}, bin, round(y, 6) + 0.0 AS y FROM sm")
+def p6(spark, d):
+    binned = P.bin_average(P.angular_correlation(A.particles(spark, d)), "r", "c", 50, KEY)
     return rounded(P.gaussian_smooth(binned, "y", 2.0, KEY), "y").select(*KEY, "bin", "y")
 
 

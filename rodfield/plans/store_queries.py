@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from rodfield.config import KEY
 from rodfield.functions import hooks as H
-from rodfield.plans.base_queries import BASE, CURVES_SQL, K, particles_sql, r, rounded
+from rodfield.operators import by_name as O
+from rodfield.plans.base_queries import BASE, CURVES_SQL, S_GLOBAL_SQL, K, particles_sql, r, rounded
+from rodfield.plans.graph_queries import ORDERS_SQL, edges, particles
 from rodfield.sources import adapters as A
 from rodfield.sources import store as S
 from rodfield.streaming import states as W
@@ -60,6 +62,15 @@ def a8(spark, d):
     return rounded(spark.read.parquet(target), "value").select(*KEY, "x", F.col("op").cast("string"), "value", "x_name")
 
 
+@query("A12_stored_series", f"{C} SELECT ensemble_id, 'y' AS op, 'quarter' AS x_name, count(*) AS points, min(x) AS x_min, max(x) AS x_max FROM curves GROUP BY 1")
+def a12(spark, d):
+    target = S.scratch(spark, "results")
+    curves = A.curves(spark, d).select(*KEY, "x", F.col("y").alias("value"))
+    S.save_results(curves.withColumn("op", F.explode(F.array(F.lit("y"), F.lit("z")))), target, "quarter")
+    found = S.stored_series(S.open_results(spark, target, "y"))
+    return found.join(S.stored_orders(spark, target), "op").select("ensemble_id", "op", "x_name", "points", "x_min", "x_max")
+
+
 @query("A9_read_names", "SELECT DISTINCT trim(p_brand) AS name FROM part WHERE length(trim(p_brand)) > 0")
 def a9(spark, d):
     target = S.scratch(spark, "names")
@@ -74,15 +85,19 @@ def w1(spark, d):
     S.append(A.read(spark, d, "events").select("event_id", "event_type", "value").repartition(4, "event_id"), source)
     stream = W.read(spark, source, spark.read.parquet(source).schema, 2).withColumnRenamed("event_type", "ensemble_id")
     W.keep_table(W.summaries(stream, ["ensemble_id"], "value"), target, marks)
-    return rounded(spark.read.parquet(target), "total", digits=2)
+    return rounded(W.kept(spark, target), "total", digits=2)
 
 
 @query("W2_stream_plateaus", f"""{C}, h AS (SELECT *, CAST(coalesce(y < 20 OR 1 - y/nullif(lag(y, 4) OVER w, 0) < 0.05, false) AS INTEGER) AS h FROM curves WINDOW w AS (PARTITION BY ensemble_id, replica ORDER BY idx)),
 f AS (SELECT *, sum(h) OVER (PARTITION BY ensemble_id, replica ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS r FROM h) SELECT ensemble_id, replica, min(idx) AS at FROM f WHERE r = 5 GROUP BY 1, 2""")
 def w2(spark, d):
     source, target, marks = S.scratch(spark, "growing"), S.scratch(spark, "plateaus"), S.scratch(spark, "marks")
-    S.append(A.curves(spark, d).select(*KEY, "y").coalesce(1), source)
-    stream = W.read(spark, source, spark.read.parquet(source).schema)
+    points = A.curves(spark, d).select(*KEY, "y")
+    # points arrive as runs save them, a stretch of all series at a time, so that a series goes on over several batches
+    last = points.agg(F.max("idx")).first()[0] or 0
+    for start in range(0, last + 1, 1 + last // 4):
+        S.append(points.where(F.col("idx").between(start, start + last // 4)).repartition(2, "ensemble_id", "replica"), source)
+    stream = W.read(spark, source, spark.read.parquet(source).schema, 2)
     W.collect_to(W.plateaus(stream, ["ensemble_id", "replica"], 20.0, 0.01, 5, 5), target, marks)
     return spark.read.parquet(target)
 
@@ -110,11 +125,11 @@ def u4(spark, d):
     return A.states(spark, d).groupBy("ensemble_id").agg(*H.every_column(lambda c: r(F.avg(c)), ["a", "b", "phi"]))
 
 
-@H.order("S_x")
-def s_x(particles):
-    return particles.withColumn("S_x", F.cos(2 * F.col("t")))
+BY_NAME = {"S_x": "S_x", "S_global": "S_global", "phi6": "Phi6", "elliptic": "EllipticPhi6", "s_local": "S_local", "mean_distance": "MeanSegmentDist"}
 
 
-@query("U5_order_by_name", f"WITH {particles_sql()} SELECT {K}, round(avg(cos(2*t)), 6) + 0.0 AS \"S_x\" FROM particles GROUP BY ALL")
+@query("U5_order_by_name", f"{ORDERS_SQL}, {S_GLOBAL_SQL} SELECT {K}, round(avg(cos(2*t)), 6) + 0.0 AS \"S_x\", round(avg(v), 6) AS \"S_global\", round(avg(phi6), 6) AS phi6, round(avg(ephi6), 6) AS elliptic, round(avg(s_local), 6) AS s_local, round(avg(mean_distance), 6) AS mean_distance FROM orders LEFT JOIN elliptic USING ({K}, pid) JOIN sg USING ({K}, pid) GROUP BY ALL")
 def u5(spark, d):
-    return H.order_parameter(A.particles(spark, d), "S_x").groupBy(*KEY).agg(r(F.avg("S_x")).alias("S_x"))
+    given = O.Graph(particles(spark, d), edges(spark, d), A.states(spark, d))
+    rows = O.by_name(given, list(BY_NAME.values()))
+    return rows.groupBy(*KEY).agg(*[r(F.avg(c)).alias(n) for n, c in BY_NAME.items()])

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rodfield.plans.lineage import shared_folder
+
 #: File names of a replica: ensemble, underscore, number.
 REPLICA = r"([^/]*?)_(\d+)\.parquet"
 #: Beginnings of file names that packing leaves out.
@@ -15,11 +16,9 @@ RESERVED = ("_", ".", "analysis")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path beside the checkpoints, which every executor sees; a local one only where no folder is named."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir", "") or context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    """A new folder's path beside the checkpoints, which every executor sees."""
     token = spark.range(1).select(F.expr("uuid()")).first()[0]
-    return f"{base.rstrip('/')}/{name}-{token}"
+    return f"{shared_folder(spark)}/{name}-{token}"
 
 
 def read_packed(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,6 +66,22 @@ def save_results(curves: DataFrame, target: str, x_name: str) -> None:
     curves.withColumn("x_name", F.lit(x_name)).write.partitionBy("op").mode("errorifexists").parquet(target)
 
 
+def open_results(spark: SparkSession, source: str, op: str | None = None) -> DataFrame:
+    """Saved curves, of one order parameter or of all; their names are partitions, so that no other file is read."""
+    rows = spark.read.parquet(source).withColumn("op", F.col("op").cast("string"))
+    return rows.where(F.col("op") == op) if op is not None else rows
+
+
+def stored_orders(spark: SparkSession, source: str) -> DataFrame:
+    """The order parameters that a stored result holds: ``op`` and the name of its x axis."""
+    return open_results(spark, source).select("op", "x_name").distinct()
+
+
+def stored_series(results: DataFrame) -> DataFrame:
+    """Per ensemble and order parameter the series' number of points and the range of x."""
+    return results.groupBy("ensemble_id", "op").agg(F.count("*").alias("points"), F.min("x").alias("x_min"), F.max("x").alias("x_max"))
+
+
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a text file, trimmed, without blank ones: ``name``."""
     return spark.read.text(path).select(F.trim("value").alias("name")).where(F.length("name") > 0)

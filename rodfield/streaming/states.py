@@ -22,15 +22,27 @@ def summaries(states: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def keep_table(stream: DataFrame, target: str, checkpoint: str):
-    """Writes each batch's complete result in place of the last one, until what is there has been read."""
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+    """Writes each batch's complete result as a version of the table, until what is there has been read. The last version before it
+    stays, so that there is a whole one at any time; :func:`kept` reads the newest."""
+    spark = stream.sparkSession
 
-    query = stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(replace).start()
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/version={n}")
+        if n >= 2:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/version={n - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    query = stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     return query
 
 
+def kept(spark: SparkSession, target: str) -> DataFrame:
+    """The newest version of a kept table."""
+    rows = spark.read.parquet(target)
+    return rows.join(F.broadcast(rows.agg(F.max("version").alias("version"))), "version").drop("version")
+
+
 def plateaus(points: DataFrame, by: list[str], least: float = 1e-3, slope: float = 1e-6, stride: int = 100, occurrence: int = 10) -> DataFrame:
     """Per series the first ``idx`` at which the value ``y`` has been flat ``occurrence`` times in a row, emitted once.
     State: the last stride - 1 values and the length of the present run. Points of a series must arrive in order of ``idx``

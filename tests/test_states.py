@@ -1,14 +1,20 @@
-"""Queries of the graph over all states of a run."""
+"""The graph over all states of a run, against plain loops."""
 
 import math
 import random
+from itertools import combinations
 
+import numpy as np
 import pytest
 
+from rodfield.config import KEY
+from rodfield.operators import by_name, delaunay
+from rodfield.operators import structure as S
 from rodfield.plans import registry
 from rodfield.sources.adapters import FRAMES
 
-FEW = 60
+FEW = 40
+POINT = "ensemble_id string, replica int, idx int, pid long, x double, y double"
 
 
 @pytest.fixture(scope="module")
@@ -22,13 +28,43 @@ def runs(spark, tmp_path_factory):
 
 
 def collected(spark, folder, name):
-    return registry.queries()[f"{name}_all_states"](spark, folder).collect()
+    return registry.queries()[name](spark, folder).collect()
 
 
-def test_every_query_on_first_states_has_one_on_all():
-    names = set(registry.queries())
-    assert len([n for n in names if n.endswith("_all_states")]) == 47
-    assert not any(n.endswith("_all_states") for n in registry.oracles())
+def triangles_of(points):
+    """Delaunay triangles by the definition: circles with nothing inside."""
+    out = set()
+    for (i, a), (j, b), (k, c) in combinations(sorted(points.items()), 3):
+        u, v, s, t = b[0] - a[0], b[1] - a[1], c[0] - a[0], c[1] - a[1]
+        d = 2 * (u * t - v * s)
+        if k < 0 or abs(d) < 1e-12:
+            continue
+        x, y = (t * (u * u + v * v) - v * (s * s + t * t)) / d, (u * (s * s + t * t) - s * (u * u + v * v)) / d
+        if all(math.dist(q, (a[0] + x, a[1] + y)) >= math.hypot(x, y) - 1e-9 for q in points.values()):
+            out.add((i, j, k))
+    return out
+
+
+@pytest.mark.parametrize("ring", [0, 16])
+def test_triangulation_brute_force(spark, ring):
+    random.seed(ring)
+    points = {i: (random.gauss(0, 1), random.gauss(0, 3)) for i in range(28)} | {-1 - g: (12 * math.cos(g + 0.3), 12 * math.sin(g + 0.3)) for g in range(ring)}
+    rows = [("e", 0, k, p, x + 100 * k, y) for k in range(2) for p, (x, y) in points.items()]
+    got = delaunay.triangulate(spark.createDataFrame(rows, POINT)).collect()
+    want = triangles_of(points)
+    assert len(got) == 2 * len(want) and {(r.idx, r.a, r.b, r.c) for r in got} == {(k, *t) for k in range(2) for t in want}
+
+
+def test_triangulation_of_one_circle_and_of_one_place(spark):
+    square = [("e", 0, 0, i, float(i % 2), float(i // 2)) for i in range(4)]
+    line = [("e", 0, 1, i, float(i), 0.0) for i in range(4)]
+    twins = [("e", 0, 2, 0, 0.0, 0.0), ("e", 0, 2, 1, 0.0, 0.0), ("e", 0, 2, 2, 1.0, 0.0), ("e", 0, 2, 3, 0.3, 1.0)]
+    alone = [("e", 0, 3, 0, 0.0, 0.0)]
+    by = {}
+    for r in delaunay.triangulate(spark.createDataFrame(square + line + twins + alone, POINT)).collect():
+        by.setdefault(r.idx, set()).add((r.a, r.b, r.c))
+    assert len(by[0]) == 2 and 1 not in by and 3 not in by
+    assert by[2] == {(0, 2, 3), (1, 2, 3)}
 
 
 def test_bond_changes_of_every_step(spark, runs):
@@ -50,3 +86,80 @@ def test_rod_distances_of_every_state(spark, runs):
         at = [(40 * float(e[3 * k]), 40 * float(e[3 * k + 1])) for e in given.values()]
         pairs = [math.dist(a, b) for i, a in enumerate(at) for b in at[:i]]
         assert value == pytest.approx(sum(pairs) / len(pairs), abs=1e-4)
+
+
+def _run(spark):
+    random.seed(2)
+    rows = [("e", 0, 0, i, random.uniform(-2, 2), random.uniform(-1.5, 1.5), random.uniform(0, 3), 1.2) for i in range(7)]
+    particles = spark.createDataFrame(rows, f"{POINT}, t double, gamma double")
+    states = spark.createDataFrame([("e", 0, 0, 7, 2.6, 2.2, 1.2, 0.5)], "ensemble_id string, replica int, idx int, n int, a double, b double, gamma double, phi double")
+    return particles, states, rows
+
+
+def test_rods_from_their_disks_brute_force(spark):
+    particles, states, rows = _run(spark)
+    points = {r.pid: (r.x, r.y) for r in S.disk_points(particles, states, 0.5).collect()}
+    assert sum(p >= 0 for p in points) == 7  # one disk a rod at this spacing
+    points = {r.pid: (r.x, r.y) for r in S.disk_points(particles, states, 0.2).collect()}
+    real = {(p // S.DISKS, p % S.DISKS): xy for p, xy in points.items() if p >= 0}
+    assert len(real) == 7 * 3
+    for _, _, _, i, x, y, t, _ in rows:
+        for j in range(3):
+            assert real[i, j] == pytest.approx((x + (j - 1) * 0.2 / 1.2 * math.cos(t), y + (j - 1) * 0.2 / 1.2 * math.sin(t)))
+    want = {}
+    edges = {e for t in triangles_of(points) for e in combinations(t, 2) if e[0] >= 0}
+    for a, b in edges:
+        i, j = sorted((a // S.DISKS, b // S.DISKS))
+        if i != j:
+            want[i, j] = want.get((i, j), 0) + 1
+    got = S.rod_edges(delaunay.triangulate(S.disk_points(particles, states, 0.2)))
+    assert {(r.i, r.j): r.w for r in got.collect()} == want
+    kinds = {(r.i, r.j): r.type for r in S.edge_types(got, 3).collect()}
+    assert kinds == {e: 0 if w < 1.5 else 1 if w < 4.5 else 2 for e, w in want.items()}
+
+
+def test_ellipse_points_have_equal_arcs(spark):
+    _, states, _ = _run(spark)
+    for turned in (False, True):
+        df = states.select(*KEY, states.b.alias("a"), states.a.alias("b"), "gamma") if turned else states
+        rows = sorted(S.ellipse_points(df, 0.05).collect(), key=lambda r: r.g)
+        one, two = (2.6 + 1 / 1.2, 2.2 + 1 / 1.2)[:: -1 if turned else 1]
+        t = np.unwrap([math.atan2(r.y / two, r.x / one) for r in rows])
+        assert all(abs((r.x / one) ** 2 + (r.y / two) ** 2 - 1) < 1e-9 for r in rows)
+        fine = np.linspace(t[0], t[0] + 2 * math.pi, 400_001)
+        arcs = np.concatenate([[0], np.cumsum(np.hypot(one * np.sin((fine[1:] + fine[:-1]) / 2), two * np.cos((fine[1:] + fine[:-1]) / 2)) * np.diff(fine))])
+        steps = np.diff(np.interp(t, fine, arcs))
+        assert len(rows) == round(arcs[-1] / 0.05) and np.allclose(steps, arcs[-1] / len(rows), atol=1e-7)
+
+
+def test_fitted_ellipses_by_least_squares(spark):
+    particles, states, _ = _run(spark)
+    edges = S.rod_edges(delaunay.triangulate(S.disk_points(particles, states, 0.2)))
+    from rodfield.operators.graph import directed_bonds
+
+    bonds = directed_bonds(particles, edges)
+    near = {}
+    for r in bonds.collect():
+        near.setdefault(r.i, []).append((r.dx, r.dy))
+    for r in S.fitted_ellipses(bonds).collect():
+        d = np.array(near[r.pid])
+        if len(d) < 3:
+            assert r.fitted_gamma == -1
+            continue
+        p, q, s = np.linalg.lstsq(np.stack([d[:, 0] ** 2, d[:, 0] * d[:, 1], d[:, 1] ** 2], 1), np.ones(len(d)), rcond=None)[0]
+        low, high = np.linalg.eigvalsh([[p, q / 2], [q / 2, s]])
+        assert r.fitted_gamma == (pytest.approx(math.sqrt(high / low), rel=1e-4) if low > 0 else -1)
+
+
+def test_orders_by_name(spark):
+    particles, states, _ = _run(spark)
+    edges = S.rod_edges(delaunay.triangulate(S.disk_points(particles, states, 0.2))).persist()
+    graph = by_name.Graph(particles, edges, states)
+    names = [*by_name.ORDERS, "Phi8Complex", "director-1"]
+    rows = by_name.by_name(graph, names)
+    assert set(names) <= set(rows.columns)
+    got = by_name.by_name(graph, ["Phi6", "Phi6Complex", "isolatedDefect", "dense_1", "Phi_S_mask"]).collect()
+    assert len(got) == 7 and all(r.Phi6 is None or r.Phi6 == pytest.approx(math.hypot(r.Phi6Complex.re, r.Phi6Complex.im)) for r in got)
+    with pytest.raises(ValueError):
+        by_name.by_name(graph, ["none"])
+    assert KEY == ["ensemble_id", "replica", "idx"]

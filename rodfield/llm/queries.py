@@ -118,4 +118,13 @@ QUERIES = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_license_scans": op5_license_scans,
 }
-ORACLES = {"op4_chat_formatting": OP4_SQL}
+#: All pairs by cosine in double precision; the least id spreads along links to larger ones.
+OP9_SQL = """
+WITH RECURSIVE g AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (SELECT r, vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM g WHERE len(v) > 0 AND len([x FOR x IN v IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND list_dot_product(v, v) > 0),
+ln AS (SELECT a.r AS i, b.r AS j, b.vec_id FROM ok a JOIN ok b ON a.r != b.r AND len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) >= 0.95*a.n*b.n),
+rc AS (SELECT r, vec_id AS root FROM g UNION SELECT ln.j, rc.root FROM rc JOIN ln ON ln.i = rc.r WHERE rc.root < ln.vec_id),
+lk AS (SELECT i, count(*) AS n FROM ln GROUP BY i), mn AS (SELECT r, min(root) AS component_id FROM rc GROUP BY r)
+SELECT vec_id, coalesce(lk.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM g JOIN mn USING (r) LEFT JOIN lk ON lk.i = g.r
+"""
+ORACLES = {"op4_chat_formatting": OP4_SQL, "op9_embedding_near_dedup": OP9_SQL}

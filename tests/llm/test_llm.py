@@ -13,7 +13,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from rodfield.llm import bpe, chat_format, jaccard_join, packing, queries
+from rodfield.llm import bpe, chat_format, jaccard_join, packing, quality, queries
 from rodfield.llm.chunks import read_ranks
 from rodfield.llm.embedding_dedup import link
 from rodfield.llm.fingerprint import add, compare_with_edits, fingerprint, subtract
@@ -475,9 +475,93 @@ def test_quality_held_out(spark, odd, empty):
     assert np.mean([r.predicted == int(r.doc_id % 4 > 0) for r in held]) > 0.95
 
 
-def test_pipeline_stages(spark, tmp_path):
-    import corpus_pipeline
+def test_op9_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    cursor = con.execute(queries.OP9_SQL)
+    names = [c[0] for c in cursor.description]
+    assert sorted(map(tuple, queries.op9_embedding_near_dedup(spark, SF).select(*names).collect())) == sorted(cursor.fetchall())
+
+
+def _score(text, weights, bias):
+    """A document's score by plain loops over its words."""
+    words, chunks = text.split(), text.split(" ") if text else []
+    total = 0.0
+    for word in words:
+        total += float(np.mean(weights[quality.features([word])[0]].astype(float)))
+    often = max((chunks.count(c) for c in set(chunks)), default=0)
+    shape = quality.shape_words(np.array([len(chunks)]), np.array([len(set(chunks))]), np.array([often]))
+    odds = total / max(1, len(words)) / 2 + float(weights[shape].mean()) / 2 + bias
+    return 1 / (1 + np.exp(-odds))
+
+
+def _given(rows):
+    return [(d, t, "en", "s", len(t or "")) for d, t in rows]
+
+
+PIPELINE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _cases():
+    text = dict(documents())
+    few = sorted(text)[:60]
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty " * 2
+    return [*((d, text[d]) for d in few), (10**6, None), (10**6 + 1, ""), (few[0], text[few[0]]), (10**6 + 2, text[few[1]]), (10**6 + 3, near), (10**6 + 4, near + "more"), (None, "a row without an id"), (10**6 + 5, "long " * 5000)]
+
+
+def test_quality_by_plain_loops(spark, tmp_path):
+    rows = _cases()
+    docs = spark.createDataFrame(_given(rows), PIPELINE)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs, labels)
+    got = sorted((str(r.doc_id), r.text or "", r.score) for r in classify(docs, labels).collect())
+    want = sorted((str(d), t or "", _score(t or "", *model)) for d, t in rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(g[2] == pytest.approx(w[2], abs=1e-5) for g, w in zip(got, want, strict=True))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted(w[:2] for w in want if w[2] >= 0.5)
+
+
+def test_ngram_jaccard_stage_by_plain_loops(spark):
+    rows = _cases()
+    got = corpus_pipeline.ngram_jaccard(spark, spark.createDataFrame(_given(rows), PIPELINE), SF)
+    distinct = list(dict.fromkeys(rows))
+    found = _jaccard([(d, t or "") for d, t in distinct if d is not None])
+    want = {(d, t) for d, t in distinct if d is None or found[d][1] == d}
+    assert got.columns == corpus_pipeline.COLUMNS and sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted((str(d), t or "") for d, t in want)
 
+
+def test_packing_stage_by_plain_loops(spark):
+    import tiktoken
+
+    library = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
+    rows = [r for r in dict.fromkeys(_cases()) if r[0] is not None]
+    pieces, sequences = {}, {}
+    for r in corpus_pipeline.packing(spark, spark.createDataFrame(_given(rows), PIPELINE), SF).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append(r)
+    for doc, text in rows:
+        ids = np.array([*library.encode_ordinary(text or ""), 0], "<u4")
+        at = 0
+        for r in sorted(pieces.pop(doc), key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(ids)
+    assert not pieces
+    for part in sequences.values():
+        ends = [0, *np.cumsum([r.length for r in sorted(part, key=lambda r: r.offset)]).tolist()]
+        assert sorted(r.offset for r in part) == ends[:-1] and ends[-1] <= 1024
+
+
+def test_pipeline_stages_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], PIPELINE)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from rodfield.config import KEY
 from rodfield.plans.lineage import cut
 
-#: Cells of the matrices of one step.
-CELLS = 400_000
+#: Cells of the matrices of one step, and how many of the nearest points a fan is looked for in first.
+CELLS, NEAREST = 400_000, 128
 
 
 def fans(u: np.ndarray, v: np.ndarray, seen: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,31 +83,47 @@ def _fan_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell = np.repeat(np.arange(batch.num_rows), owned)
         reach, whole = (batch.column(c).to_numpy(zero_copy_only=False)[cell] for c in ("reach", "whole"))
         sizes, begins = held[cell], (np.cumsum(held) - held)[cell]
-        order = np.argsort(sizes, kind="stable")
-        start = 0
-        while start < len(order):
-            stop = start + 1
-            while stop < len(order) and (stop + 1 - start) * sizes[order[stop]] <= CELLS:
-                stop += 1
-            part = order[start:stop]
-            start = stop
+
+        def looked(part: np.ndarray, most: int | None) -> tuple[np.ndarray, pa.RecordBatch]:
+            """Fans of some points over the ``most`` nearest in sight, or all; the points that are left, and rows for the others."""
             width = int(sizes[part].max())
-            here = np.arange(width) < sizes[part][:, None]
             at = np.minimum(begins[part][:, None] + np.arange(width), len(ids) - 1)
             u, v = nx[at] - ox[part][:, None], ny[at] - oy[part][:, None]
             far = u * u + v * v
+            seen = (np.arange(width) < sizes[part][:, None]) & (far > 0) & (far < (reach * reach)[part][:, None])
+            sight, all_seen = reach[part], whole[part]
+            if most:
+                far = np.where(seen, far, np.inf)
+                nearest = np.argpartition(far, most, axis=1)
+                # what is nearer than the nearest one left out has been taken
+                beyond = far[np.arange(len(part)), nearest[:, most]]
+                sight, all_seen = np.minimum(sight, np.sqrt(beyond)), all_seen & np.isinf(beyond)
+                u, v, at, seen = (np.take_along_axis(x, nearest[:, :most], 1) for x in (u, v, at, seen))
             names = np.where(ids[at] < 0, np.iinfo(np.int64).max, ids[at])
-            row, one, two, wide, low, closed = fans(u, v, here & (far > 0) & (far < (reach * reach)[part][:, None]), names)
-            sure = closed & (np.bincount(row, wide > reach[part][row], len(part)) == 0) | whole[part]
+            row, one, two, wide, low, closed = fans(u, v, seen, names)
+            sure = closed & (np.bincount(row, wide > sight[row], len(part)) == 0) | all_seen
             a, b, c = pid[part][row], ids[at[row, one]], ids[at[row, two]]
             keep = np.flatnonzero(sure[row] & (a < low))
-            tri = np.sort(np.stack([a[keep], b[keep], c[keep]], 1), axis=1)
-            again = np.flatnonzero(~sure)
-            source = np.concatenate([part[row[keep]], part[again]])
-            void = np.concatenate([np.zeros(len(keep), bool), np.ones(len(again), bool)])
-            corners = [pa.array(np.concatenate([tri[:, k], np.zeros(len(again), np.int64)]), mask=void) for k in range(3)]
-            keys = [batch.column(c).take(pa.array(cell[source])) for c in KEY]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(pid[source]), *corners], [*KEY, "pid", "a", "b", "c"])
+            return part[~sure], rows(part[row[keep]], np.sort(np.stack([a[keep], b[keep], c[keep]], 1), axis=1))
+
+        def rows(source: np.ndarray, tri: np.ndarray | None) -> pa.RecordBatch:
+            corners = [pa.nulls(len(source), pa.int64()) if tri is None else pa.array(tri[:, k]) for k in range(3)]
+            return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(cell[source])) for c in KEY), pa.array(pid[source]), *corners], [*KEY, "pid", "a", "b", "c"])
+
+        left = np.arange(len(pid))
+        for most in (NEAREST, None):
+            order, start, open_ = left[np.argsort(sizes[left], kind="stable")], 0, []
+            while start < len(order):
+                stop = start + 1
+                while stop < len(order) and (stop + 1 - start) * sizes[order[stop]] <= CELLS:
+                    stop += 1
+                again, made = looked(order[start:stop], most if most and sizes[order[start]] > 2 * most else None)
+                open_.append(again)
+                yield made
+                start = stop
+            left = np.concatenate([np.empty(0, np.int64), *open_])
+        if len(left):
+            yield rows(left, None)
 
 
 def _tried(points: DataFrame, active: DataFrame, radius: float) -> DataFrame:

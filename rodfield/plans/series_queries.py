@@ -68,10 +68,10 @@ tops AS (SELECT ensemble_id, replica, max(x) AS top FROM curves GROUP BY 1, 2),
 critical AS (SELECT ensemble_id, replica, min(k) AS k, min(xc) AS xc, min(idx) AS pos FROM curves JOIN firsts {SJ} WHERE x > xc GROUP BY 1, 2)"""
 
 
-@query("R6_suffix_regression", f"{C}, {FITS_SQL} SELECT {K}, k, round(slope, 4) + 0.0 AS slope, round(intercept, 3) + 0.0 AS intercept, round(r2, 4) + 0.0 AS r2 FROM fits")
+@query("R6_suffix_regression", f"{C}, {FITS_SQL} SELECT {K}, k, round(slope, 4) + 0.0 AS slope, round(intercept, 2) + 0.0 AS intercept, round(r2, 4) + 0.0 AS r2 FROM fits")
 def r6(spark, d):
     rows = S.suffix_regression(A.curves(spark, d))
-    return rows.select(*KEY, "k", r("slope", 4).alias("slope"), r("intercept", 3).alias("intercept"), r("r2", 4).alias("r2"))
+    return rows.select(*KEY, "k", r("slope", 4).alias("slope"), r("intercept", 2).alias("intercept"), r("r2", 4).alias("r2"))
 
 
 @query("R6_log_suffix_regression", f"{C}, {LOG_SQL.format('curves')} SELECT ensemble_id, replica, k, base, round(slope, 4) + 0.0 AS slope, round(intercept, 4) + 0.0 AS intercept, round(r2, 4) + 0.0 AS r2 FROM logfits")

@@ -55,6 +55,20 @@ def test_triangulation_brute_force(spark, ring):
     assert len(got) == 2 * len(want) and {(r.idx, r.a, r.b, r.c) for r in got} == {(k, *t) for k in range(2) for t in want}
 
 
+@pytest.mark.parametrize("nearest", [8, 10_000])
+def test_fans_over_the_nearest_points_first(monkeypatch, nearest):
+    import pyarrow as pa
+
+    monkeypatch.setattr(delaunay, "NEAREST", nearest)
+    random.seed(4)
+    points = {i: (random.random(), random.random() ** 2) for i in range(60)}
+    cell = [{"pid": i, "x": x, "y": y} for i, (x, y) in points.items()]
+    kind = pa.list_(pa.struct([("pid", pa.int64()), ("x", pa.float64()), ("y", pa.float64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(["e"]), pa.array([0]), pa.array([0]), pa.array([3.0]), pa.array([True]), pa.array([cell], kind), pa.array([cell], kind)], [*KEY, "reach", "whole", "own", "near"])
+    made = [tuple(r[c] for c in "abc") for b in delaunay._fan_rows(iter([batch])) for r in b.to_pylist()]
+    assert len(made) == len(set(made)) and set(made) == triangles_of(points)
+
+
 def test_triangulation_of_one_circle_and_of_one_place(spark):
     square = [("e", 0, 0, i, float(i % 2), float(i // 2)) for i in range(4)]
     line = [("e", 0, 1, i, float(i), 0.0) for i in range(4)]

@@ -18,7 +18,7 @@ the slots hold is extracted, in page order.
 Elements that hold no article text are told by their tags. A word of a class or id tells
 so only where the template leaves it open: of a container by a part of the name, of a
 paragraph, heading or the like by the whole name, and never of an element that holds most
-of a page.
+of a page's text and its article or heading.
 
 Vectors are never collected: a class is told by sums of hashes of page and count, added
 up per task and then per host, so a host with a third of all pages costs no more than
@@ -168,15 +168,20 @@ def _ancestors(path: str) -> list[str]:
     return ["/" + "/".join(steps[: k + 1]) for k in range(len(steps))]
 
 
-def with_text(blocks: list[Block]) -> list[Block]:
-    """Blocks that may hold article text."""
+def with_text(blocks: list[Block], opened: Counter) -> list[Block]:
+    """Blocks that may hold article text. A name speaks of no article text in vain where the element holds most of the page's text
+    and an article or its heading."""
     left = [b for b in blocks if not b.hidden]
+    if not any(b.named for b in left):
+        return left
     held: Counter = Counter()
     for b in left:
         for p in b.named:
             held[p] += len(b.text)
     most = HOLD * sum(len(b.text) for b in left)
-    return [b for b in left if all(held[p] > most for p in b.named)]
+    heads = [p for p in opened if p.rpartition("/")[2].split(".")[0] in ("article", "main", "h1")]
+    vain = {p for p, n in held.items() if n > most and any(h.startswith(f"{p}/") for h in heads)}
+    return [b for b in left if vain.issuperset(b.named)]
 
 
 def text_token(block: Block) -> int:
@@ -202,13 +207,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks, opened = read(html or "")
             chars: Counter = Counter()
             texts: Counter = Counter()
-            for b in with_text(blocks):
+            for b in with_text(blocks, opened):
                 for a in _ancestors(b.path):
                     chars[a] += len(b.text)
                 t = text_token(b)
                 texts[t] += 1
                 chars[t] += len(b.text)
-            tokens = [("", None, 1, sum(len(b.text) for b in with_text(blocks))), *((p, None, n, chars[p]) for p, n in opened.items()), *(("", t, n, chars[t]) for t, n in texts.items())]
+            tokens = [("", None, 1, sum(len(b.text) for b in with_text(blocks, opened))), *((p, None, n, chars[p]) for p, n in opened.items()), *(("", t, n, chars[t]) for t, n in texts.items())]
             marks = {n: zlib.crc32(f"{page} {n}".encode()) for n in {n for _, _, n, _ in tokens}}
             for h in (host, "*"):
                 for path, token, n, size in tokens:
@@ -274,7 +279,7 @@ def extract(html: str, container: str | None = None, everywhere: frozenset[int]
     """The text of all slots. The main slot is the container (on pages without it, the articles, else mains); ``everywhere`` and
     ``often``: texts of the template."""
     blocks, opened = read(html)
-    left = with_text(blocks)
+    left = with_text(blocks, opened)
     if not everywhere and not often:
         return " ".join(b.text for b in left)
     held = [container] if container and container in opened else []

@@ -15,7 +15,8 @@ ordinary aggregate with a map-side part; one small row a text is shuffled.
 
 Defined results: a null text is empty; empty texts have an all-zero fingerprint, are
 alike with likeness 1 and unlike any other text (0); paragraphs of white space only
-carry identity but no likeness; a paragraph of one or two words counts as one triple;
+carry identity but no likeness; paragraphs without characters count for nothing, so that
+"a\\n\\nb" and "a\\nb" are one multiset; a paragraph of one or two words counts as one triple;
 repeated rows have equal fingerprints.
 """
 
@@ -41,8 +42,12 @@ def paragraphs(text: Column) -> Column:
 def identity(text: Column) -> Column:
     """The identity lanes of a text."""
     pairs = F.transform(paragraphs(text), lambda p: F.struct(F.xxhash64(p).alias("a"), F.xxhash64(F.lit(11), p).alias("b")))
-    lane = lambda i: F.aggregate(pairs, F.lit(0).cast("long"), lambda s, p: (s + F.xxhash64(F.lit(i), p["a"], p["b"]).bitwiseAND(F.lit(_MASK))).bitwiseAND(F.lit(_MASK)))
-    return F.array(*[lane(i) for i in range(IDENTITY)])
+    names = [f"l{i}" for i in range(IDENTITY)]
+    lane = lambda s, p, i: (s[names[i]] + F.xxhash64(F.lit(i), p["a"], p["b"]).bitwiseAND(F.lit(_MASK))).bitwiseAND(F.lit(_MASK))
+    # all lanes in one pass over the paragraphs
+    return F.aggregate(
+        pairs, F.struct(*[F.lit(0).cast("long").alias(n) for n in names]), lambda s, p: F.struct(*[lane(s, p, i).alias(n) for i, n in enumerate(names)]), lambda s: F.array(*[s[n] for n in names])
+    )
 
 
 def triples(text: Column) -> Column:

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import corpus_pipeline
 import duckdb
@@ -146,6 +147,30 @@ def test_fingerprints(spark, odd, empty):
     assert np.mean([r.near_edited for r in got.values()]) > np.mean([r.near_next for r in got.values()]) + 0.3
 
 
+def test_likeness_by_plain_loops(spark):
+    """Likenesses follow the share of word triples that two texts have in common."""
+    docs = sorted((r for r in documents() if len(r[1].split()) > 60), reverse=True)[:80]
+
+    def triples(text):
+        out = []
+        for line in text.split("\n"):
+            w = [x for x in line.split(" ") if x]
+            out += [tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
+        return Counter(out)
+
+    def cosine(a, b):
+        dot = sum(n * b[t] for t, n in a.items())
+        return dot / np.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
+
+    got = {r.doc_id: r for r in compare_with_edits(spark.createDataFrame(docs, SCHEMA)).collect()}
+    off = []
+    for (doc, text), (_, after) in zip(docs, docs[1:] + docs[:1], strict=True):
+        k = len(text) // 3
+        edited = text[: len(text) - k] + after[:k]
+        off += [got[doc].near_edited - cosine(triples(text), triples(edited)), got[doc].near_next - max(0.0, cosine(triples(text), triples(after)))]
+    assert np.mean(np.abs(off)) < 0.1 and np.max(np.abs(off)) < 0.45
+
+
 def test_fingerprints_are_homomorphic(spark):
     df = spark.createDataFrame([(1, "a b c d\ne f g", "h i j k", "h i j k\ne f g\na b c d")], "id long, one string, two string, both string")
     row = fingerprint(df, ["one", "two", "both"], ["id"]).select((add(F.col("one"), F.col("two")) == F.col("both")).alias("sum"), (subtract(F.col("both"), F.col("two")) == F.col("one")).alias("rest")).first()

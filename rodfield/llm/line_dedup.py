@@ -2,35 +2,38 @@
 
 Every line has an id (a hash of its trimmed text). Suffixes of the sequences of line ids
 are classed by their first 1, 2, 4, ... lines: in each round the class of a suffix at
-depth 2k is made from its class at depth k and the class of the suffix k lines further
-on, and suffixes whose class has one member leave. What is left after a round are the
-intervals of the suffix array whose longest common prefix is at least that deep. Any
-run of lines is named by two overlapping classes, so the runs of at least ``min_words``
-words that occur more than once are found exactly: for each line the shortest such run
-that starts at it and the shortest that ends at it. These cover every maximal repeated
-run. Lines of all occurrences but the first (by document id, then place) are deleted.
+depth 2k is made from its class at depth k and that of the suffix k lines further on, and
+suffixes whose class has one member leave. What is left after a round are the intervals of
+the suffix array whose longest common prefix is at least that deep; rounds go on until none
+is left, so to the longest repeated run. Order inside an interval is by document, then
+place: its least suffix is the first copy, all others are later copies.
+
+Each later copy is taken at its deepest class. Neighbouring suffixes whose first copies are
+neighbours too make one maximal repeated run, and the lines of these runs are deleted. A
+single line that occurs before is a run, the shortest.
 
 DataFrame functions only. Shuffles carry hashes and places; texts are shuffled once, to
 meet the lines to delete. Rounds are cut by checkpoint() in the shared folder.
 
-Defined results: a null text is empty and stays as it is; blank lines take part in no run
-and stay; lines are compared without white space at their ends; occurrences that overlap
-count; rows with equal id and text are one document and get the same result; null ids
-come after all others; the number of lines of a run is limited by ``min_words`` only. With
-``min_words`` of EVERY_RUN each repeated line is a run, and those cover all longer ones.
+Defined results: a null text is empty and stays as it is; blank lines take part in no run,
+part none, and stay; lines are compared without ASCII white space at their ends; copies
+that overlap count; rows with equal id and text are one document and get the same result;
+null ids come after all others; columns of the caller keep their names and values.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rodfield.llm._common import cut, fresh, text_of
 
-#: Words of the shortest run that is deleted, unless the caller names another number; where lines end (after the match of this pattern).
-MIN_WORDS, LINE_END = 10, r"(?<=\n)"
-#: ``min_words`` that leaves no run out: every line has a word.
-EVERY_RUN = 1
+#: Where lines end (after the match of this pattern), and what counts as white space at a line's ends.
+LINE_END, WHITE = r"(?<=\n)", " \t\n\r\x0b\f"
+#: Groups of this share of all rows or more are joined by broadcast; there are no more than 1 / LARGE of them.
+LARGE = 1e-3
 
 
 def lines_of(text: Column, line_end: str = LINE_END) -> Column:
@@ -38,117 +41,95 @@ def lines_of(text: Column, line_end: str = LINE_END) -> Column:
     return F.split(text, line_end)
 
 
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(WHITE))
+
+
 def line_table(df: DataFrame, key: str, text: str, line_end: str = LINE_END) -> DataFrame:
-    """One row for each line that isn't blank: document (id and hash), place, two hashes, words."""
+    """One row for each line that isn't blank: document (id and hash), number among these lines, place among all, two hashes."""
     body = text_of(text)
-    rows = df.select(F.col(key).alias("doc"), F.xxhash64(body).alias("mark"), F.posexplode(lines_of(body, line_end)).alias("place", "line"))
-    line = F.trim(F.regexp_replace("line", r"[\s]+$", ""))
-    rows = rows.select("doc", "mark", "place", line.alias("line")).where("line != ''")
-    words = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
-    return rows.select("doc", "mark", "place", F.xxhash64("line").alias("a"), F.hash("line").alias("b"), words.cast("int").alias("words"))
+    numbered = F.transform(lines_of(body, line_end), lambda line, i: F.struct(i.alias("place"), _trimmed(line).alias("line")))
+    rows = df.select(F.col(key).alias("doc"), F.xxhash64(body).alias("mark"), F.posexplode(F.filter(numbered, lambda x: x["line"] != "")).alias("pos", "x"))
+    return rows.select("doc", "mark", "pos", F.col("x.place").alias("place"), F.xxhash64("x.line").alias("a"), F.hash("x.line").alias("b"))
 
 
-def _met(rows: DataFrame, groups: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows with the columns of their group, null for those without one. ``groups``: (__a, __b, __n, ...), a row for each pair of hashes
-    that occurs more than once, with the number of its rows. Groups of a thousandth of all rows or more, of which there are a thousand
-    at most, are broadcast; their rows are spread in the join with the others."""
+def _met(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of repeated classes with ``first``, their class's first copy. ``groups``: (__a, __b, __n, first), a row for each class.
+    Very large classes are broadcast; their rows are spread in the join with the others."""
     groups = cut(groups)
-    share = (groups.agg(F.sum("__n")).first()[0] or 0) / 1000
-    told = [c for c in groups.columns if c not in ("__a", "__b")]
-    large = F.broadcast(groups.where(F.col("__n") >= share).select(F.col("__a").alias("__la"), F.col("__b").alias("__lb"), *[F.col(c).alias(f"{c}_l") for c in told]))
-    found = rows.join(large, (F.col(a) == F.col("__la")) & (F.col(b) == F.col("__lb")), "left")
-    spread = F.xxhash64("doc", "mark", *[c for c in ("place", "first", "last") if c in rows.columns])
-    found = found.withColumns({"__ka": F.when(F.col("__n_l").isNull(), F.col(a)).otherwise(spread), "__kb": F.when(F.col("__n_l").isNull(), F.col(b))})
+    share = (groups.agg(F.sum("__n")).first()[0] or 0) * LARGE
+    large = F.broadcast(groups.where(F.col("__n") >= share).select(F.col("__a").alias("__la"), F.col("__b").alias("__lb"), F.col("first").alias("__lf")))
+    found = rows.join(large, (F.col("a") == F.col("__la")) & (F.col("b") == F.col("__lb")), "left")
+    one = F.col("__lf").isNull()
+    found = found.withColumns({"__ka": F.when(one, F.col("a")).otherwise(F.xxhash64("doc", "mark", "pos")), "__kb": F.when(one, F.col("b"))})
     found = found.join(groups.where(F.col("__n") < share), (F.col("__ka") == F.col("__a")) & (F.col("__kb") == F.col("__b")), "left")
-    return found.select(*rows.columns, *[F.coalesce(c, f"{c}_l").alias(c) for c in told])
-
-
-def _repeated(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs of hashes that occur more than once, and how often."""
-    return rows.where(F.col(a).isNotNull()).groupBy(F.col(a).alias("__a"), F.col(b).alias("__b")).agg(F.count("*").alias("__n")).where("__n > 1")
-
-
-def _only_repeated(rows: DataFrame, level: int) -> DataFrame:
-    """Classes of one member become null."""
-    a, b = f"a{level}", f"b{level}"
-    joined = _met(rows, _repeated(rows, a, b), a, b)
-    many = F.col("__n").isNotNull()
-    return joined.withColumns({a: F.when(many, F.col(a)), b: F.when(many, F.col(b))}).drop("__n")
-
-
-def suffix_classes(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, line_end: str = LINE_END) -> DataFrame:
-    """Lines that can be part of a repeated run, with the classes of their suffixes at depths 1, 2, 4, ..."""
-    lines = line_table(df, key, text, line_end)
-    rows = _met(lines, _repeated(lines, "a", "b"), "a", "b").where("__n is not null").drop("__n").dropDuplicates(["doc", "mark", "place"])
-    # stretches of neighbouring lines; those with too few words hold no run
-    rows = rows.withColumn("stretch", F.col("place") - F.row_number().over(Window.partitionBy("doc", "mark").orderBy("place")))
-    rows = rows.withColumn("__sum", F.sum("words").over(Window.partitionBy("doc", "mark", "stretch"))).where(F.col("__sum") >= min_words).drop("__sum")
-    rows = cut(rows.withColumnsRenamed({"a": "a0", "b": "b0"}))
-    level = 0
-    while 2 << level <= min_words:
-        ahead = Window.partitionBy("doc", "mark", "stretch").orderBy("place").rangeBetween(1 << level, 1 << level)
-        a, b = F.col(f"a{level}"), F.col(f"b{level}")
-        more_a, more_b = F.first(a).over(ahead), F.first(b).over(ahead)
-        both = a.isNotNull() & more_a.isNotNull()
-        rows = rows.withColumns({f"a{level + 1}": F.when(both, F.xxhash64(a, more_a)), f"b{level + 1}": F.when(both, F.hash(b, more_b, more_a))})
-        level += 1
-        rows = cut(_only_repeated(rows, level))
-    return rows
-
-
-def _windows(line: Column, levels: int, min_words: int) -> Column:
-    """Of the lines of a stretch in order: the shortest runs of enough words that start, or end, at each line."""
-    def reach(part: Column) -> Column:
-        """How many lines from the first make enough words; null if all don't."""
-        end = F.aggregate(
-            part, F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("sum")),
-            lambda s, x: F.when(s["sum"] >= min_words, s).otherwise(F.struct((s["n"] + 1).alias("n"), (s["sum"] + x["words"]).alias("sum"))),
-        )
-        return F.filter(F.array(end), lambda e: e["sum"] >= min_words)
-
-    def named(first: Column, count: Column) -> Column:
-        """A run by the classes of its first and of its last 2^k lines, 2^k being the most that it holds."""
-        name = F.lit(None).cast("struct<a:bigint,b:bigint,first:int,last:int>")
-        for k in range(levels):
-            one, two = F.get(line, first), F.get(line, first + count - (1 << k))
-            made = F.when(
-                one[f"a{k}"].isNotNull() & two[f"a{k}"].isNotNull(),
-                F.struct(F.xxhash64(count, one[f"a{k}"], two[f"a{k}"]).alias("a"), F.hash(one[f"b{k}"], two[f"b{k}"], count).cast("bigint").alias("b"), one["place"].alias("first"), F.get(line, first + count - 1)["place"].alias("last")),
-            )
-            name = F.when((count >= (1 << k)) & (count < (2 << k)), made).otherwise(name)
-        return name
-
-    forth = F.flatten(F.transform(line, lambda x, i: F.transform(reach(F.slice(line, i + 1, F.lit(min_words))), lambda e: named(i, e["n"]))))
-    back = F.flatten(F.transform(line, lambda x, i: F.transform(reach(F.reverse(F.slice(line, F.greatest(i + 2 - min_words, F.lit(1)), F.least(i + 1, F.lit(min_words))))), lambda e: named(i + 1 - e["n"], e["n"]))))
-    return F.filter(F.array_distinct(F.concat(forth, back)), lambda w: w.isNotNull())
-
-
-def repeated_runs(classes: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Runs that occur before: document, mark, first and last place."""
-    levels = sum(c.startswith("a") and c[1:].isdigit() for c in classes.columns)
-    line = F.struct("place", "words", *[f"{x}{k}" for k in range(levels) for x in "ab"])
-    stretches = classes.groupBy("doc", "mark", "stretch").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    runs = stretches.select("doc", "mark", F.explode(_windows(F.col("lines"), levels, min_words)).alias("w")).select("doc", "mark", "w.*")
-    order = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark", "first")
-    firsts = runs.groupBy(F.col("a").alias("__a"), F.col("b").alias("__b")).agg(F.min(order).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
-    met = _met(runs, firsts, "a", "b").where("__n is not null")
-    return met.where(order != F.col("__first")).select("doc", "mark", "first", "last")
-
-
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, line_end: str = LINE_END) -> DataFrame:
-    """All columns, the text without later copies of repeated runs, ``n_lines`` before and ``n_deleted``."""
-    runs = repeated_runs(suffix_classes(df, key, text, min_words, line_end), min_words)
-    name = {n: fresh(df, n) for n in ("__mark", "__doc", "__of", "__gone")}
-    gone = runs.groupBy(F.col("doc").alias(name["__doc"]), F.col("mark").alias(name["__of"])).agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last")))).alias(name["__gone"]))
+    return found.withColumn("first", F.coalesce("first", "__lf")).where("first is not null").select(*rows.columns, "first")
+
+
+def _order() -> Column:
+    return F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("mark").alias("mark"), F.col("pos").alias("pos"))
+
+
+def suffix_intervals(df: DataFrame, key: str = "doc_id", text: str = "text", line_end: str = LINE_END) -> list[DataFrame]:
+    """For depths 1, 2, 4, ...: the suffixes whose first lines, so many, are those of another suffix too. Columns: ``doc``, ``mark``,
+    ``pos``, ``place`` and ``last`` (of the first and the last of these lines), the class (``a``, ``b``) and its first copy."""
+    rows = cut(line_table(df, key, text, line_end)).withColumn("last", F.col("place"))
+    levels: list[DataFrame] = []
+    while True:
+        size = 1 << len(levels)
+        groups = rows.groupBy(F.col("a").alias("__a"), F.col("b").alias("__b")).agg(F.count("*").alias("__n"), F.min(_order()).alias("first")).where("__n > 1")
+        met = _met(rows, groups)
+        met = cut(met if levels else met.dropDuplicates(["doc", "mark", "pos"]))
+        if met.isEmpty():
+            return levels
+        levels.append(met)
+        ahead = Window.partitionBy("doc", "mark").orderBy("pos").rangeBetween(size, size)
+        next_ = F.first(F.struct("a", "b", "last")).over(ahead)
+        rows = met.withColumn("__next", next_).where("__next is not null")
+        rows = rows.select("doc", "mark", "pos", "place", F.xxhash64("a", "__next.a").alias("a"), F.hash("b", "__next.b", "__next.a").alias("b"), F.col("__next.last").alias("last"))
+
+
+def maximal_runs(levels: list[DataFrame]) -> DataFrame:
+    """Maximal runs that occur before: ``doc``, ``mark``, places of their first and last line, ``lines``, and the document of the
+    first copy."""
+    later = [rows.where(_order() != F.col("first")).withColumn("level", F.lit(k)) for k, rows in enumerate(levels)]
+    every = reduce(DataFrame.unionByName, later)
+    # a suffix counts at its deepest class
+    deepest = every.groupBy("doc", "mark", "pos").agg(F.max(F.struct("level", "place", "last", "first")).alias("s")).select("doc", "mark", "pos", "s.*")
+    source = ["doc", "mark", "level", "__doc", "__mark", "__shift"]
+    deepest = deepest.withColumns({"__doc": F.col("first.doc"), "__mark": F.col("first.mark"), "__shift": F.col("pos") - F.col("first.pos")})
+    # suffixes in a row, with first copies in a row
+    island = F.col("pos") - F.row_number().over(Window.partitionBy(*source).orderBy("pos"))
+    runs = deepest.withColumn("__island", island).groupBy(*source, "__island").agg(F.min("place").alias("from"), F.max("last").alias("to"), F.count("*").alias("__n"))
+    return runs.select("doc", "mark", "from", "to", (F.col("__n") + F.pow(F.lit(2.0), F.col("level")).cast("long") - 1).alias("lines"), F.col("__doc").alias("copy_of"))
+
+
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", line_end: str = LINE_END) -> DataFrame:
+    """All columns, the text without later copies of repeated runs, ``n_lines`` before, ``n_deleted``, and ``longest_run``, the lines
+    of the longest run of the text that occurs before (0 if there is none)."""
+    levels = suffix_intervals(df, key, text, line_end)
+    others = [c for c in df.columns if c not in ("n_lines", "n_deleted", "longest_run")]
+    lines = lines_of(text_of(text), line_end)
+    if not levels:
+        kept = [F.col(f"`{c}`") for c in others]
+        return df.select(*kept, F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_deleted"), F.lit(0).cast("long").alias("longest_run"))
+    name = {n: fresh(df, n) for n in ("__mark", "__doc", "__of", "__gone", "__longest")}
+    gone = maximal_runs(levels).groupBy(F.col("doc").alias(name["__doc"]), F.col("mark").alias(name["__of"])).agg(
+        F.array_distinct(F.flatten(F.collect_set(F.sequence("from", "to")))).alias(name["__gone"]), F.max("lines").alias(name["__longest"])
+    )
     given = df.withColumn(name["__mark"], F.xxhash64(text_of(text)))
     met = given.join(gone, F.col(key).eqNullSafe(F.col(name["__doc"])) & (F.col(name["__mark"]) == F.col(name["__of"])), "left")
-    out_of = F.col(name["__gone"])
-    kept = F.transform(
-        F.array(lines_of(text_of(text), line_end)),
-        lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out_of), lambda i: F.get(lines, i)), ""),
-    )[0]
-    others = [c for c in df.columns if c not in ("n_lines", "n_deleted")]
+
+    def left(parts: Column) -> Column:
+        """The text without the lines that go, and how many go. Blank lines between them stay."""
+        places = F.sequence(F.lit(0), F.size(parts) - 1)
+        out = F.array_except(F.col(name["__gone"]), F.filter(places, lambda i: _trimmed(F.get(parts, i)) == ""))
+        return F.struct(F.array_join(F.transform(F.array_except(places, out), lambda i: F.get(parts, i)), "").alias("text"), F.size(out).cast("long").alias("n"))
+
+    some = F.col(name["__gone"]).isNotNull()
+    result = fresh(met, "__left")
+    met = met.withColumn(result, F.when(some, F.transform(F.array(lines), left)[0]))
     return met.select(
-        *[F.when(out_of.isNotNull(), kept).otherwise(F.col(c)).alias(c) if c == text else F.col(f"`{c}`") for c in others],
-        F.size(lines_of(text_of(text), line_end)).cast("long").alias("n_lines"), F.coalesce(F.size(out_of), F.lit(0)).cast("long").alias("n_deleted"),
+        *[F.when(some, F.col(f"{result}.text")).otherwise(F.col(c)).alias(c) if c == text else F.col(f"`{c}`") for c in others],
+        F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.col(f"{result}.n"), F.lit(0)).cast("long").alias("n_deleted"), F.coalesce(name["__longest"], F.lit(0)).cast("long").alias("longest_run"),
     )

@@ -15,7 +15,7 @@ from rodfield.llm.fingerprint import compare_with_edits
 from rodfield.llm.packing import pack
 from rodfield.llm.html_extract import extract_main_text
 from rodfield.llm.jaccard_join import jaccard_join
-from rodfield.llm.line_dedup import EVERY_RUN, dedup_lines
+from rodfield.llm.line_dedup import dedup_lines
 from rodfield.llm.quality import classify
 from rodfield.llm.license_scan import license_digest, scan_licenses
 
@@ -87,7 +87,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without later copies of repeated runs of lines."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(documents, min_words=EVERY_RUN).select("doc_id", "n_lines", "n_deleted", "text")
+    return dedup_lines(documents).select("doc_id", "n_lines", "n_deleted", "longest_run", "text")
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -306,23 +306,25 @@ def test_line_dedup_brute_force(spark, odd, empty):
     assert dedup_lines(empty).count() == 0
     assert dedup_lines(odd).count() == len(ODD)
     docs = sorted(documents())
-    seen, gone = set(), {d: set() for d, _ in docs}
-    for doc, text in docs:
-        lines = [x.strip() for x in re.split(r"(?<=\n)", text)]
-        for i in range(len(lines)):
-            words = 0
-            for j in range(i, len(lines)):
-                if not lines[j]:
-                    break
-                words += lines[j].count(" ") + 1
-                if words >= 10:
-                    run = tuple(lines[i : j + 1])
-                    if run in seen:
-                        gone[doc] |= set(range(i, j + 1))
-                    seen.add(run)
-    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(docs, SCHEMA)).collect()}
-    for doc, text in docs:
-        assert got[doc] == "".join(x for i, x in enumerate(re.split(r"(?<=\n)", text)) if i not in gone[doc])
+    lines = {d: re.split(r"(?<=\n)", t) for d, t in docs}
+    real = {d: [(i, x.strip()) for i, x in enumerate(ls) if x.strip()] for d, ls in lines.items()}
+    seen, gone, longest = {}, {d: set() for d, _ in docs}, dict.fromkeys(lines, 0)
+    for doc, ls in real.items():
+        for i in range(len(ls)):
+            for n in range(1, len(ls) - i + 1):
+                run = tuple(x for _, x in ls[i : i + n])
+                if seen.setdefault(run, (doc, i)) == (doc, i):
+                    break  # a longer run from here does not occur before either
+                gone[doc] |= {place for place, _ in ls[i : i + n]}
+                longest[doc] = max(longest[doc], n)
+            for n in range(1, len(ls) - i + 1):
+                seen.setdefault(tuple(x for _, x in ls[i : i + n]), (doc, i))
+    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(docs, SCHEMA)).collect()}
+    for doc, _ in docs:
+        assert got[doc].text == "".join(x for i, x in enumerate(lines[doc]) if i not in gone[doc])
+        assert got[doc].n_deleted == len(gone[doc]) and (got[doc].longest_run > 0) == (longest[doc] > 0) and got[doc].longest_run <= longest[doc]
+    whole = [d for d, _ in docs if longest[d] == len(real[d]) > 0]
+    assert whole and all(got[d].longest_run == longest[d] for d in whole)
 
 
 def test_op7_deletes_every_repeated_run(spark, tmp_path):
@@ -351,7 +353,7 @@ def test_line_dedup_clashing_columns_and_hot_lines(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, doc long")
     for name in ("mark", "place", "__gone", "__mark", "a", "n_lines"):
         df = df.withColumn(name, F.lit("x"))
-    got = {r.doc_id: r.asDict() for r in dedup_lines(df, min_words=1).collect()}
+    got = {r.doc_id: r.asDict() for r in dedup_lines(df).collect()}
     assert got[0]["text"] == rows[0][1] and all(got[i]["text"] == f"own {i}\n" and got[i]["doc"] == i and got[i]["__gone"] == "x" for i in range(1, 40))
 
 

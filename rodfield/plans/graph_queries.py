@@ -238,6 +238,11 @@ def d26(spark, d):
     )
 
 
+@query("C17_C18_bonds", f"{GRAPH}, {BONDS_SQL} SELECT {K}, i, j, round(dx, 6) + 0.0 AS dx, round(dy, 6) + 0.0 AS dy, round(bond, 6) + 0.0 AS angle, round(far, 6) AS distance FROM bonds WHERE i < j")
+def c17(spark, d):
+    return bonds(spark, d).where("i < j").select(*KEY, "i", "j", r("dx").alias("dx"), r("dy").alias("dy"), r("bond").alias("angle"), r("far").alias("distance"))
+
+
 @query("D17_D25_bond_statistics", f"{GRAPH}, {BONDS_SQL} SELECT {K}, round(avg(gamma*far), 6) AS mean_distance, round(sqrt(greatest(avg(gamma*far*gamma*far) - avg(gamma*far)*avg(gamma*far), 0)), 6) AS std_distance, round(avg(CASE WHEN dx*dx + dy*dy <= 4 THEN sqrt(dx*dx + dy*dy) END), 6) AS mean_bond FROM bonds GROUP BY ALL")
 def d17(spark, d):
     b = bonds(spark, d).withColumn("v", F.col("gamma") * F.col("far")).withColumn("l", F.hypot("dx", "dy"))

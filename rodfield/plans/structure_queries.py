@@ -231,3 +231,11 @@ SELECT {K}, round(any_value(trial), 4) AS trial, round(avg(o), 4) AS "order" FRO
 @query("R12_cubic_gamma", CUBIC_SQL)
 def r12_cubic(spark, d):
     return rounded(S.best_gamma_cubic(bonds(spark, d), directors(spark, d)), "trial", "order", digits=4)
+
+
+@query("R12_star_gamma", f"""{ORDERS_SQL}, ts AS (SELECT {keys("b")}, b.i AS pid, atan2(b.gamma*sqrt(3)/2*(-dx*sin(director) + dy*cos(director)), dx*cos(director) + dy*sin(director)) AS w FROM bonds b JOIN orders o ON {on('b', 'o')} AND b.i = o.pid)
+SELECT {K}, round(avg(o), 6) AS "order" FROM (SELECT {K}, pid, sqrt(avg(cos(6*w))*avg(cos(6*w)) + avg(sin(6*w))*avg(sin(6*w))) AS o FROM ts GROUP BY ALL) GROUP BY ALL""")
+def r12_star(spark, d):
+    """Mean elliptic order at the ratio that follows from the rods' own."""
+    rows = bonds(spark, d).join(directors(spark, d).withColumnRenamed("pid", "i"), [*KEY, "i"])
+    return S.turned_order(rows, F.col("angle"), C.gamma_star("gamma")).groupBy(*KEY).agg(r(F.avg("order")).alias("order"))

@@ -63,7 +63,12 @@ def _masks(g: Graph, name: str) -> DataFrame:
     return g.orders().select(*PID, F.coalesce(high & other, F.lit(False)).alias(name))
 
 
-#: From a name to what gives its column.
+#: Names that one table gives together.
+PLAIN = ("C6", "C6_raw", "Phi4", "Phi6", "EllipticPhi6", "PureRotationAngle", "S_center", "S_local", "DirectorAngle", "CrystalNematicAngle", "FarthestSegmentDist", "MeanSegmentDist", "raw_dense")
+ISOLATED, DENSE = ("isolatedDefect", "isolatedDefectRatio"), ("raw_dense_1", "dense", "dense_1")
+TOGETHER: list[tuple[tuple[str, ...], Callable[[Graph], DataFrame]]] = [(PLAIN, Graph.orders), (ISOLATED, Graph.isolated), (DENSE, Graph.dense)]
+
+#: From any other name to what gives its column.
 ORDERS: dict[str, Callable[[Graph, str], DataFrame]] = {
     "Angle": lambda g, n: _column(D.angle(g.particles), n), "S_x": lambda g, n: _column(D.s_x(g.particles), n), "S_global": lambda g, n: _column(D.s_global(g.particles), n),
     "YRank": lambda g, n: _column(B.y_rank_mask(g.boxed(), r_phi("phi") * F.col("n")), n, "y_rank"),
@@ -72,12 +77,6 @@ ORDERS: dict[str, Callable[[Graph, str], DataFrame]] = {
     "SegmentDistRankMask": lambda g, n: _column(S.segment_rank_mask(g.orders(), g.edges, g.states), n, "flag"),
     "defect": lambda g, n: g.orders().select(*PID, (1 - F.col("C6")).alias(n)),
     **dict.fromkeys(("Phi_S_mask", "C6_S_mask"), _masks),
-    **dict.fromkeys(("isolatedDefect", "isolatedDefectRatio"), lambda g, n: _column(g.isolated(), n)),
-    **dict.fromkeys(("raw_dense_1", "dense", "dense_1"), lambda g, n: _column(g.dense(), n)),
-    **dict.fromkeys(
-        ("C6", "C6_raw", "Phi4", "Phi6", "EllipticPhi6", "PureRotationAngle", "S_center", "S_local", "DirectorAngle", "CrystalNematicAngle", "FarthestSegmentDist", "MeanSegmentDist", "raw_dense"),
-        lambda g, n: _column(g.orders(), n),
-    ),
 }
 
 
@@ -91,7 +90,17 @@ def _one(g: Graph, name: str) -> DataFrame:
     return _column(hooks.order_parameter(g.particles, name), name)
 
 
+def names() -> list[str]:
+    """All names but those with a number in them and those of a user."""
+    return [*(n for group, _ in TOGETHER for n in group), *ORDERS]
+
+
 def by_name(graph: Graph, names: list[str]) -> DataFrame:
-    """The particles with a column for each named order parameter: one of ORDERS, ``Phi<p>Complex``, ``director-<k>``, or a name that
-    a user has registered. Another name is an error."""
-    return reduce(lambda rows, n: rows.join(_one(graph, n), PID, "left"), names, graph.particles)
+    """The particles with a column for each named order parameter: one of :func:`names`, ``Phi<p>Complex``, ``director-<k>``, or a
+    name that a user has registered. Another name is an error."""
+    rows, left = graph.particles, list(names)
+    for group, source in TOGETHER:
+        if wanted := [n for n in left if n in group]:
+            rows = rows.join(source(graph).select(*PID, *wanted), PID, "left")
+            left = [n for n in left if n not in group]
+    return reduce(lambda rows, n: rows.join(_one(graph, n), PID, "left"), left, rows)

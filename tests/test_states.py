@@ -169,7 +169,7 @@ def test_orders_by_name(spark):
     particles, states, _ = _run(spark)
     edges = S.rod_edges(delaunay.triangulate(S.disk_points(particles, states, 0.2))).persist()
     graph = by_name.Graph(particles, edges, states)
-    names = [*by_name.ORDERS, "Phi8Complex", "director-1"]
+    names = [*by_name.names(), "Phi8Complex", "director-1"]
     rows = by_name.by_name(graph, names)
     assert set(names) <= set(rows.columns)
     got = by_name.by_name(graph, ["Phi6", "Phi6Complex", "isolatedDefect", "dense_1", "Phi_S_mask"]).collect()

@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from rodfield.llm import bpe
-from rodfield.llm._common import table
+from rodfield.llm._common import cut, table
 from rodfield.llm.chat_format import format_chat, gather_rows, masked_text, read_back
 from rodfield.llm.embedding_dedup import link
+from rodfield.llm.fill_middle import fill_in_middle, restore
 from rodfield.llm.fingerprint import compare_with_edits
+from rodfield.llm.mixing import measured, mix
 from rodfield.llm.packing import pack
 from rodfield.llm.html_extract import extract_main_text
 from rodfield.llm.jaccard_join import jaccard_join
 from rodfield.llm.line_dedup import dedup_lines
 from rodfield.llm.quality import classify
 from rodfield.llm.license_scan import license_digest, scan_licenses
+from rodfield.llm.whitening import whiten
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -106,7 +109,56 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that a mix of their sources takes of each."""
+    rows = measured(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text", "source")
+    return mix(cut(rows)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: Targets by the order of what limits them: a source is at its limit if what the earlier ones leave, by weight, is above it.
+OP11_SQL = """
+WITH w AS (SELECT doc_id, source, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS mark, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+d AS (SELECT doc_id, source, mark, CAST(len(words) AS BIGINT) AS size,
+  -ln((CAST('0x' || substr(mark, 1, 13) AS BIGINT) + 0.5)/4503599627370496)/least(greatest(len(list_distinct(words))/sqrt(greatest(len(words), 1))/5, 0.1), 1) AS k FROM w),
+s AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER) AS share FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
+o AS (SELECT *, sum(source_size) OVER () AS total, coalesce(sum(3*source_size) OVER (ORDER BY source_size/share, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone,
+  sum(share) OVER (ORDER BY source_size/share, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS shares FROM s),
+l AS (SELECT CAST(total - gone AS DOUBLE) AS rest, CAST(shares AS DOUBLE) AS shares FROM o WHERE CAST(total - gone AS DOUBLE)/CAST(shares AS DOUBLE) <= 3.0*source_size/share ORDER BY gone LIMIT 1),
+t AS (SELECT source, source_size, least(l.rest*share/l.shares, 3.0*source_size) AS target FROM s, l),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target/source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+p AS (SELECT d.*, source_size, target, epochs, round(target - epochs*source_size) AS budget, sum(size) OVER (PARTITION BY d.source ORDER BY k, mark ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, CAST(epochs*size + greatest(0, least(size, budget - upto + size)) AS BIGINT) AS taken FROM p
+"""
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors along the leading components of the distinct ones."""
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their middle last, and read back."""
+    out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    read = restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output"), 256).alias("output_sha256"), F.sha2(read, 256).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+v AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS c2, CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS h4 FROM d),
+f AS (SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b, CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM v),
+p AS (SELECT *, substring(text, 1, a) AS prefix, substring(text, a + 1, b - a) AS middle, substring(text, b + 1, n) AS suffix FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form != 'plain' THEN a END AS prefix_chars, CASE WHEN form != 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 QUERIES = {
+    "op11_source_mixing": op11_source_mixing,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "op8_html_extraction": op8_html_extraction,
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
@@ -127,4 +179,4 @@ rc AS (SELECT r, vec_id AS root FROM g UNION SELECT ln.j, rc.root FROM rc JOIN l
 lk AS (SELECT i, count(*) AS n FROM ln GROUP BY i), mn AS (SELECT r, min(root) AS component_id FROM rc GROUP BY r)
 SELECT vec_id, coalesce(lk.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM g JOIN mn USING (r) LEFT JOIN lk ON lk.i = g.r
 """
-ORACLES = {"op4_chat_formatting": OP4_SQL, "op9_embedding_near_dedup": OP9_SQL}
+ORACLES = {"op4_chat_formatting": OP4_SQL, "op9_embedding_near_dedup": OP9_SQL, "op11_source_mixing": OP11_SQL, "op13_fill_in_middle": OP13_SQL}

@@ -7,7 +7,7 @@ the small B gives the components (V times its right vectors) and their deviation
 
 Vectors as long as there are rows are never stored: u_k = X w_k, and the w's, of the length of one row, are kept instead. One pass over
 the blocks of X a step gives |Xt|^2, the products of Xt with all u's, and X'Xt, for t = v - b w; all that leaves a task is
-these sums, which Spark adds up. What a task holds is a block of rows and the v's and w's. If the products show that orthogonality was
+these sums. What a task holds is a block of rows and the v's and w's. If the products show that orthogonality was
 lost, the pass is repeated with what is left. Where a step leads to nothing (equal deviations, or fewer directions than
 entries) the next v is any direction orthogonal to those before.
 
@@ -24,6 +24,7 @@ keys stay null; columns besides key and vector are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -36,6 +37,8 @@ from rodfield.llm._common import cut
 
 #: Rows of a block, and entries of a vector up to which the bidiagonalisation is completed.
 ROWS, COMPLETE = 2048, 512
+#: Bytes of vectors of a task, and most tasks whose sums go to the driver as they are (else Spark adds them up first).
+TASK_BYTES, DIRECT = 1 << 27, 1024
 #: Relative size of nothing, of a residual that counts as none, and of a component's deviation that is left out.
 NOTHING, SETTLED, SMALL = 1e-12, 1e-14, 1e-10
 LARGEST = float(1 << 40)
@@ -110,6 +113,7 @@ class Centred(NamedTuple):
     """The fit vectors of one length, less their mean, as the rows of a matrix that stays in blocks."""
 
     blocks: DataFrame
+    tasks: int
     n: int
     sums: list[int]
 
@@ -127,8 +131,11 @@ class Centred(NamedTuple):
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int64()), pa.array(total, pa.float64())], ["at", "v"])
 
         found = np.zeros(length)
-        for r in self.blocks.select("block", "rows").mapInArrow(add, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
-            found[r["at"]] = r["v"]
+        rows = self.blocks.mapInArrow(add, "at long, v double")
+        if self.tasks > DIRECT:
+            rows = rows.groupBy("at").agg(F.sum("v").alias("v"))
+        for r in rows.collect():
+            found[r["at"]] += r["v"]
         return found
 
     def products(self, t: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -232,7 +239,9 @@ def fit(rows: DataFrame, components: int = 16, complete: int = COMPLETE) -> dict
     found = {}
     for size, n in sorted((r["size"], r["n"]) for r in blocks.groupBy("size").agg(F.sum("rows").alias("n")).collect()):
         mine = blocks.where(F.col("size") == size)
-        x = Centred(mine, n, sums_of(mine, size))
+        # a pass is many small products: no more tasks than there are cores, or than the bytes ask for
+        tasks = max(blocks.sparkSession.sparkContext.defaultParallelism, math.ceil(8 * n * size / TASK_BYTES))
+        x = Centred(mine.select("block", "rows").coalesce(tasks), tasks, n, sums_of(mine, size))
         vectors, values = bidiagonalise(x, components, complete)
         some = values > SMALL * values[0]
         vectors, variances = vectors[some], values[some] ** 2 / n

@@ -15,14 +15,17 @@ the main slot those of every valid class, inside it those on nearly all of the h
 pages, unless they are most of a page's text there, as on a host of copies. All else that
 the slots hold is extracted, in page order.
 
-Elements that hold no article text are told by their tags. A word of a class or id tells
-so only where the template leaves it open: of a container by a part of the name, of a
-paragraph, heading or the like by the whole name, and never of an element that holds most
-of a page's text and its article or heading.
+Elements that hold no article text are told by their tags. A word of a class or id tells so only
+outside the main slot: of a container by a part of the name, of a paragraph, heading or the
+like by the whole name, and never of an element around the main slot. Inside the main
+slot a name drops nothing by itself: such an element goes if the template explains all that it holds on the page, as texts
+that other pages of the host have too, as links, or as records (elements with a class that some page has several of, like readers'
+comments). On a page without a template of its host (its only page, or :func:`extract` alone) nothing can be explained and
+names decide everywhere, save for an element that holds most of the page's text and its article or heading.
 
 Vectors are never collected: a class is told by sums of hashes of page and count, added
 up per task and then per host, so a host with a third of all pages costs no more than
-others. Hosts with few pages use the template of all pages. Pages meet their host's
+others. A host with one page has nothing to compare it with, and uses the containers of all pages' template. Pages meet their host's
 template through a broadcast where the number of hosts is at most ``HOSTS``, else
 through a join with a salted host.
 
@@ -52,7 +55,7 @@ from rodfield.llm._common import cut
 
 #: Least pages of a host with a template of its own, share of pages that a token must be on, share of them with just one,
 #: share of the text that the next container must hold, most hosts that are broadcast, salts of the join beyond.
-PAGES, SUPPORT, ONCE, HOLD, HOSTS, SALTS = 3, 0.5, 0.9, 0.6, 20_000, 64
+PAGES, SUPPORT, ONCE, HOLD, HOSTS, SALTS = 2, 0.5, 0.9, 0.6, 20_000, 64
 #: Share of a host's pages that a text of the template inside the main slot is on, and share of a page's text there that such texts stay below.
 NEARLY_ALL, MOST = 0.9, 0.5
 
@@ -67,6 +70,8 @@ ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 LISTS = {"ul", "ol", "dl", "table"}
 #: Containers that the search for the main slot may enter.
 CONTAINERS = set("html body main article section div td table tbody tr center".split())
+#: Containers that are no slot by themselves, and elements that may be records of a list.
+OUTER, RECORDS = set("html body center".split()), set("div section article li tr td dd blockquote".split())
 #: Words of classes and ids of elements that hold no article text.
 NOISE = set("""ad ads adv advert adverts advertisement advertising banner banners promo promotion sponsor sponsored nav navbar navigation menu menus breadcrumb
 breadcrumbs sidebar footer header masthead comment comments disqus discussion reply replies cookie cookies consent notice notices gdpr newsletter subscribe
@@ -82,11 +87,20 @@ def _label(name: str, rest: str) -> tuple[str, bool]:
     if rest and "=" in rest:
         for m in _NAMES.finditer(rest):
             words += (m[1] or m[2] or m[3] or "").lower().split()
-    if name in CONTAINERS or name in LISTS:
-        noise = any(p in NOISE for w in words for p in re.split(r"[-_]+", w))
-    else:
-        noise = any(w in NOISE for w in words)
-    return name + "".join(f".{re.sub(r'[0-9]+', '0', w)}" for w in words), noise
+    label = name + "".join(f".{re.sub(r'[0-9]+', '0', w)}" for w in words)
+    return label, bool(words) and _noise(name, ".".join(words))
+
+
+def _noise(name: str, names: str) -> bool:
+    """Whether a word of an element's class or id speaks of no article text."""
+    words = names.split(".")
+    return any(p in NOISE for w in words for p in re.split(r"[-_]+", w)) if name in CONTAINERS or name in LISTS else any(w in NOISE for w in words)
+
+
+def _noisy(step: str) -> bool:
+    """Whether a step of a path is an element whose name speaks of no article text."""
+    name, _, names = step.partition(".")
+    return bool(names) and _noise(name, names)
 
 
 class Block(NamedTuple):
@@ -184,6 +198,36 @@ def with_text(blocks: list[Block], opened: Counter) -> list[Block]:
     return [b for b in left if vain.issuperset(b.named)]
 
 
+def main_slots(opened: Counter, container: str | None) -> list[str]:
+    """Paths of the main slot on a page: the template's container if the page has it, else its articles, else its mains."""
+    if container and container in opened:
+        return [container]
+    tags = {p: p.rpartition("/")[2].split(".")[0] for p in opened}
+    return next((found for t in ("article", "main") if (found := [p for p in opened if tags[p] == t])), [])
+
+
+def without_explained(blocks: list[Block], opened: Counter, slots: list[str], texts: frozenset[int], records: frozenset[str]) -> list[Block]:
+    """Blocks that may hold article text on a page of a host with a template: outside the main slot names decide; inside it an element
+    with such a name goes if all its blocks are texts of the template, links or records."""
+    left = [b for b in blocks if not b.hidden]
+    slots = [p for p in slots if p.rpartition("/")[2].split(".")[0] not in OUTER]
+    if not slots:
+        return with_text(blocks, opened)
+
+    def inner(p: str) -> bool:
+        return any(p.startswith(f"{s}/") for s in slots)
+
+    def around(p: str) -> bool:
+        return any(f"{s}/".startswith(f"{p}/") for s in slots)
+
+    open_: set[str] = set()
+    for b in left:
+        inside = [p for p in b.named if inner(p)]
+        if inside and not (b.links or text_token(b) in texts or any(a in records for a in _ancestors(b.path))):
+            open_.update(inside)
+    return [b for b in left if not any(not around(p) and not (inner(p) and p in open_) for p in b.named)]
+
+
 def text_token(block: Block) -> int:
     """The token of a block's text."""
     return int.from_bytes(hashlib.blake2b(f"{block.path}\n{block.text}".encode("utf-8", "surrogatepass"), digest_size=8).digest()) >> 1
@@ -207,13 +251,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks, opened = read(html or "")
             chars: Counter = Counter()
             texts: Counter = Counter()
-            for b in with_text(blocks, opened):
+            shown = [b for b in blocks if not b.hidden]
+            for b in shown:
                 for a in _ancestors(b.path):
                     chars[a] += len(b.text)
                 t = text_token(b)
                 texts[t] += 1
                 chars[t] += len(b.text)
-            tokens = [("", None, 1, sum(len(b.text) for b in with_text(blocks, opened))), *((p, None, n, chars[p]) for p, n in opened.items()), *(("", t, n, chars[t]) for t, n in texts.items())]
+            tokens = [("", None, 1, sum(len(b.text) for b in shown)), *((p, None, n, chars[p]) for p, n in opened.items()), *(("", t, n, chars[t]) for t, n in texts.items())]
             marks = {n: zlib.crc32(f"{page} {n}".encode()) for n in {n for _, _, n, _ in tokens}}
             for h in (host, "*"):
                 for path, token, n, size in tokens:
@@ -256,6 +301,18 @@ def template_texts(valid: DataFrame) -> DataFrame:
     return found.where("differ").select("host", "everywhere", "often")
 
 
+def record_paths(tokens: DataFrame) -> DataFrame:
+    """Per host the paths of elements with a class that some page has several of, inside an element whose name speaks of no article text."""
+    @F.udf("boolean")
+    def record(path):
+        steps = path.split("/")[1:]
+        tag, _, names = steps[-1].partition(".")
+        return bool(names) and tag in RECORDS and any(_noisy(x) for x in steps[:-1])
+
+    several = tokens.where((F.col("host") != "*") & F.col("token").isNull() & (F.col("once") < F.col("pages")) & F.col("path").contains("."))
+    return several.where(record("path")).groupBy("host").agg(F.collect_list("path").alias("records"))
+
+
 def main_container(tokens: pd.DataFrame) -> str | None:
     """The path of the main slot's container in a template, given its valid tokens."""
     rows = {r.path: r for r in tokens.itertuples()}
@@ -265,27 +322,29 @@ def main_container(tokens: pd.DataFrame) -> str | None:
         nested = set(members["path"])
         if all(p.rpartition("/")[0] in template | nested | {""} for p in nested):
             template |= nested
+    heads = [p for p in template if p.rpartition("/")[2].split(".")[0] in ("article", "main", "h1")]
     at = ""
     while True:
         below = [p for p in template if p.rpartition("/")[0] == at and p.rpartition("/")[2].split(".")[0] in CONTAINERS]
-        total = rows[at].chars if at else sum(rows[p].chars for p in below)
+        # elements whose name speaks of no article text are passed by, unless they have the article or its heading
+        named = {p for p in below if _noisy(p.rpartition("/")[2]) and not any(h.startswith(f"{p}/") for h in heads)}
+        total = (rows[at].chars if at else sum(rows[p].chars for p in below)) - sum(rows[p].chars for p in named)
+        below = [p for p in below if p not in named]
         best = max(below, key=lambda p: (rows[p].chars, p), default=None)
         if best is None or total == 0 or rows[best].chars < HOLD * total:
             return at or None
         at = best
 
 
-def extract(html: str, container: str | None = None, everywhere: frozenset[int] = frozenset(), often: frozenset[int] = frozenset()) -> str:
-    """The text of all slots. The main slot is the container (on pages without it, the articles, else mains); ``everywhere`` and
-    ``often``: texts of the template."""
+def extract(html: str, container: str | None = None, everywhere: frozenset[int] = frozenset(), often: frozenset[int] = frozenset(), records: frozenset[str] = frozenset(), known: bool = False) -> str:
+    """The text of all slots. ``everywhere`` and ``often``: texts of the host's template, ``records``: paths of its records; ``known``:
+    whether the host has a template."""
     blocks, opened = read(html)
-    left = with_text(blocks, opened)
+    slots = main_slots(opened, container)
+    left = without_explained(blocks, opened, slots, everywhere | often, records) if known else with_text(blocks, opened)
     if not everywhere and not often:
         return " ".join(b.text for b in left)
-    held = [container] if container and container in opened else []
-    for tag in ("article", "main"):
-        held = held or [p for p in opened if p.rpartition("/")[2].split(".")[0] == tag]
-    inside = [any(b.path == h or b.path.startswith(f"{h}/") for h in held) or not held for b in left]
+    inside = [any(b.path == h or b.path.startswith(f"{h}/") for h in slots) or not slots for b in left]
     tokens = [text_token(b) for b in left]
     template = [t in everywhere or t in often and not i for t, i in zip(tokens, inside, strict=True)]
     taken, total = (sum(len(b.text) for b, i, t in zip(left, inside, template, strict=True) if i and (t or whole)) for whole in (False, True))
@@ -295,9 +354,9 @@ def extract(html: str, container: str | None = None, everywhere: frozenset[int]
 
 
 @lru_cache(maxsize=4096)
-def _template(text: str) -> tuple[str | None, frozenset[int], frozenset[int]]:
+def _template(text: str) -> tuple[str | None, frozenset[int], frozenset[int], frozenset[str], bool]:
     t = json.loads(text)
-    return t.get("container"), frozenset(t.get("everywhere") or ()), frozenset(t.get("often") or ())
+    return t.get("container"), *(frozenset(t.get(name) or ()) for name in ("everywhere", "often", "records")), t.get("host", "*") != "*"
 
 
 def extract_main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -312,7 +371,8 @@ def extract_main_text(df: DataFrame, key: str = "page_id", url: str = "url", htm
         return pd.DataFrame({"host": group["host"].iloc[:1], "container": [found]})
 
     containers = valid.where("token is null").groupBy("host").applyInPandas(choose, "host string, container string")
-    templates = cut(containers.join(template_texts(valid), "host", "full").select("host", F.to_json(F.struct("container", "everywhere", "often")).alias("template")))
+    whole = containers.join(template_texts(valid), "host", "full").join(record_paths(tokens), "host", "left")
+    templates = cut(whole.select("host", F.to_json(F.struct("host", "container", "everywhere", "often", "records")).alias("template")))
     shared = templates.where("host = '*'").first()
     fallback = shared["template"] if shared else "{}"
     schema = f"{key} {df.schema[key].dataType.simpleString()}, url {df.schema[url].dataType.simpleString()}, text string"

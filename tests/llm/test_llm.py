@@ -465,6 +465,42 @@ def test_html_words_of_names_inside_an_article():
     assert extract("<div class='page-header-layout'><h1>All</h1><p>of the page is here</p><div class='comments'>no</div></div>") == "All of the page is here"
 
 
+def test_html_names_do_not_cut_an_article(spark):
+    """Sections of an article whose class or id is any word that speaks of no article text, or has it as a part."""
+    from rodfield.llm.html_extract import NOISE
+
+    for shape in ("class='{}'", "id='{}-of-old'", "class='my_{} x'"):
+        names = [shape.format(w) for w in sorted(NOISE)]
+        for before, after in (("<div class='ad'>buy</div><article>", "</article><div class=comments>well said</div>"), ("<div class='story'>", "</div><div class='ad'>buy</div>")):
+            pages, want = [], {}
+            for i in range(6):
+                parts = [(f"Part {k} of {i}", f"Own words {k} {i}.") for k in range(len(names))]
+                pages.append(f"{before}<h1>Title {i}</h1>" + "".join(f"<section {n}><h2>{h}</h2><p>{p}</p></section>" for n, (h, p) in zip(names, parts, strict=True)) + after)
+                want[i] = " ".join([f"Title {i}", *(x for part in parts for x in part)])
+            assert _pages(spark, pages) == want
+
+
+def test_html_explained_parts_of_an_article_go(spark):
+    """Inside the article go what other pages have too, links, and records, if their name says so; readers' comments outside it."""
+    parts = [
+        "<section class='newsletter'><p>Get our letters.</p></section>", "<div class='related'><ul><li><a href=/{i}>Read {i}</a></li><li><a href=/x{i}>And {i}</a></li></ul></div>",
+        "<div class='comments'>" + "<div class='comment'><b>Ann{i}</b> I say {i}</div>" * 2 + "</div>", "<section class='discussion'><p>The findings {i} are new.</p></section>",
+        "<section class='related'><p>See work {i} by others.</p><ul><li><a href=/y>of {i}</a></li></ul></section>",
+    ]
+    html = "<article><h1>T {i}</h1><p>Text {i}</p>" + "".join(parts) + "</article><div class='comment-list'><p>Bob {i}</p></div>"
+    got = _pages(spark, [html.format(i=i) for i in range(6)])
+    assert got == {i: f"T {i} Text {i} The findings {i} are new. See work {i} by others. of {i}" for i in range(6)}
+
+
+def test_html_ties_nulls_and_repeated_ids(spark):
+    """Two containers that hold the same number of characters both stay; null and repeated ids are pages of their own."""
+    bodies = [f"<section class=a>left {i}</section><section class=b>more {i}</section>" for i in range(4)]
+    rows = [(None if i < 2 else 7, f"http://h.example/{i % 2}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)] + [(None, None, None)]
+    got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r.text for r in got) == ["", *(f"left {i} more {i}" for i in range(4))]
+    assert sorted(str(r.page_id) for r in got) == ["7", "7", "None", "None", "None"]
+
+
 def test_html_generated_sites_brute_force(spark):
     """Sites with known articles: each has its own layout and boilerplate; extraction gives the articles whole."""
     random.seed(8)

@@ -8,9 +8,14 @@ the suffix array whose longest common prefix is at least that deep; rounds go on
 is left, so to the longest repeated run. Order inside an interval is by document, then
 place: its least suffix is the first copy, all others are later copies.
 
-Each later copy is taken at its deepest class. Neighbouring suffixes whose first copies are
-neighbours too make one maximal repeated run, and the lines of these runs are deleted. A
-single line that occurs before is a run, the shortest.
+For each later copy the length of its longest earlier copy follows: it is at least the deepest such depth and below twice that.
+Suffixes agree in m lines, 2^k <= m < 2^(k+1), if they agree in the class of depth 2^k at their start and in that at m - 2^k lines
+further on, so each length is found by halving the range; in a round a class is regrouped once for each length that is asked of it.
+As the end of what a suffix repeats never moves back along a document, each round narrows the ranges of its neighbours, and in whole
+copies of documents nothing is left to ask.
+
+A maximal repeated run starts where that end moves on. Runs (of one line or more) are part of the result, and the lines that they
+cover are deleted.
 
 DataFrame functions only. Shuffles carry hashes and places; texts are shuffled once, to
 meet the lines to delete. Rounds are cut by checkpoint() in the shared folder.
@@ -89,33 +94,77 @@ def suffix_intervals(df: DataFrame, key: str = "doc_id", text: str = "text", lin
         rows = rows.select("doc", "mark", "pos", "place", F.xxhash64("a", "__next.a").alias("a"), F.hash("b", "__next.b", "__next.a").alias("b"), F.col("__next.last").alias("last"))
 
 
-def maximal_runs(levels: list[DataFrame]) -> DataFrame:
-    """Maximal runs that occur before: ``doc``, ``mark``, places of their first and last line, ``lines``, and the document of the
-    first copy."""
+def _narrowed(rows: DataFrame) -> DataFrame:
+    """Ranges of ``end`` (from ``low`` to ``high``) narrowed by those of neighbours, as it never moves back inside a stretch."""
+    here = Window.partitionBy("doc", "mark", "stretch").orderBy("pos")
+    low, high = F.max("low").over(here.rowsBetween(Window.unboundedPreceding, 0)), F.min("high").over(here.rowsBetween(0, Window.unboundedFollowing))
+    return rows.withColumns({"__low": low, "__high": high}).select(*[c for c in rows.columns if c not in ("low", "high")], F.col("__low").alias("low"), F.col("__high").alias("high"))
+
+
+def _first_copies(asked: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """For suffixes and lengths (``level``, ``a``, ``b``, ``doc``, ``mark``, ``pos``, ``m``) the first copy of these lines, if that is an earlier one:
+    ``doc``, ``mark``, ``pos``, ``m``, ``first``."""
+    members = reduce(DataFrame.unionByName, [rows.select(F.lit(k).alias("level"), "a", "b", "doc", "mark", "pos") for k, rows in enumerate(levels)])
+    lengths = asked.select("level", "a", "b", "m").distinct()
+    tails = members.select(F.col("level").alias("l2"), F.col("doc").alias("d2"), F.col("mark").alias("k2"), F.col("pos").alias("p2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+    there = members.join(lengths, ["level", "a", "b"]).withColumn("at", F.expr("cast(pos + m - shiftleft(1, level) AS int)"))
+    there = there.join(tails, F.col("doc").eqNullSafe(F.col("d2")) & F.expr("mark = k2 AND level = l2 AND at = p2"))
+    same = ["level", "a", "b", "m", "a2", "b2"]
+    there = cut(there.select(*same, "doc", "mark", "pos"))
+    firsts = there.groupBy(*same).agg(F.min(_order()).alias("first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    return there.join(firsts, same).where(_order() != F.col("first")).select("doc", "mark", "pos", "m", "first")
+
+
+def longest_copies(levels: list[DataFrame]) -> DataFrame:
+    """Every suffix that has an earlier copy of a line or more: ``doc``, ``mark``, ``pos``, ``place``, its deepest class (``level``, ``a``,
+    ``b``) and ``end``, the number after the last line of its longest earlier copy."""
     later = [rows.where(_order() != F.col("first")).withColumn("level", F.lit(k)) for k, rows in enumerate(levels)]
     every = reduce(DataFrame.unionByName, later)
-    # a suffix counts at its deepest class
-    deepest = every.groupBy("doc", "mark", "pos").agg(F.max(F.struct("level", "place", "last", "first")).alias("s")).select("doc", "mark", "pos", "s.*")
-    source = ["doc", "mark", "level", "__doc", "__mark", "__shift"]
-    deepest = deepest.withColumns({"__doc": F.col("first.doc"), "__mark": F.col("first.mark"), "__shift": F.col("pos") - F.col("first.pos")})
-    # suffixes in a row, with first copies in a row
-    island = F.col("pos") - F.row_number().over(Window.partitionBy(*source).orderBy("pos"))
-    runs = deepest.withColumn("__island", island).groupBy(*source, "__island").agg(F.min("place").alias("from"), F.max("last").alias("to"), F.count("*").alias("__n"))
-    return runs.select("doc", "mark", "from", "to", (F.col("__n") + F.pow(F.lit(2.0), F.col("level")).cast("long") - 1).alias("lines"), F.col("__doc").alias("copy_of"))
+    rows = every.groupBy("doc", "mark", "pos").agg(F.max(F.struct("level", "place", "a", "b")).alias("s")).select("doc", "mark", "pos", "s.*")
+    rows = rows.withColumn("stretch", F.col("pos") - F.row_number().over(Window.partitionBy("doc", "mark").orderBy("pos")))
+    last = F.max("pos").over(Window.partitionBy("doc", "mark", "stretch")) + 1
+    size = F.expr("shiftleft(1, level)")
+    rows = cut(_narrowed(rows.withColumns({"low": F.col("pos") + size, "high": F.least(F.col("pos") + 2 * size - 1, last)})))
+    while not (open_ := rows.where("low < high")).isEmpty():
+        asked = open_.select("level", "a", "b", "doc", "mark", "pos", F.expr("(low + high + 1) div 2 - pos").cast("int").alias("m"))
+        found = _first_copies(asked, levels).select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("pos").alias("__pos"), F.col("m").alias("__m"))
+        m = F.expr("(low + high + 1) div 2 - pos").cast("int")
+        met = rows.withColumn("m", m).join(found, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("mark") == F.col("__mark")) & (F.col("pos") == F.col("__pos")) & (F.col("m") == F.col("__m")), "left")
+        yes, asked_ = F.col("__m").isNotNull(), F.col("low") < F.col("high")
+        low, high = F.when(asked_ & yes, F.col("pos") + F.col("m")).otherwise(F.col("low")), F.when(asked_ & ~yes, F.col("pos") + F.col("m") - 1).otherwise(F.col("high"))
+        met = met.withColumns({"__low": low.cast("int"), "__high": high.cast("int")})
+        rows = cut(_narrowed(met.select(*[c for c in rows.columns if c not in ("low", "high")], F.col("__low").alias("low"), F.col("__high").alias("high"))))
+    return rows.select("doc", "mark", "pos", "place", "level", "a", "b", "stretch", F.col("low").alias("end"))
+
+
+def maximal_runs(levels: list[DataFrame]) -> DataFrame:
+    """Maximal runs that occur before: ``doc``, ``mark``, places of their first and last line (``from``, ``to``), ``lines``, and the document
+    of their first copy (``copy_of``)."""
+    rows = longest_copies(levels)
+    before = F.lag("end").over(Window.partitionBy("doc", "mark", "stretch").orderBy("pos"))
+    starts = rows.withColumn("__before", before).where("__before is null or end > __before").withColumn("m", F.col("end") - F.col("pos"))
+    asked = cut(starts.select("level", "a", "b", "doc", "mark", "pos", "place", "m"))
+    firsts = _first_copies(asked, levels).select(F.col("doc").alias("d1"), F.col("mark").alias("m1"), F.col("pos").alias("p1"), F.col("m").alias("n1"), F.col("first.doc").alias("copy_of"))
+    ends = rows.select(F.col("doc").alias("d2"), F.col("mark").alias("m2"), F.col("pos").alias("p2"), F.col("place").alias("to"))
+    found = asked.join(firsts, F.col("doc").eqNullSafe(F.col("d1")) & (F.col("mark") == F.col("m1")) & (F.col("pos") == F.col("p1")) & (F.col("m") == F.col("n1")))
+    found = found.join(ends, F.col("doc").eqNullSafe(F.col("d2")) & (F.col("mark") == F.col("m2")) & (F.col("pos") + F.col("m") - 1 == F.col("p2")))
+    return found.select("doc", "mark", F.col("place").alias("from"), "to", F.col("m").cast("long").alias("lines"), "copy_of")
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", line_end: str = LINE_END) -> DataFrame:
-    """All columns, the text without later copies of repeated runs, ``n_lines`` before, ``n_deleted``, and ``longest_run``, the lines
-    of the longest run of the text that occurs before (0 if there is none)."""
+    """All columns, the text without later copies of repeated runs, ``n_lines`` before, ``n_deleted``, ``longest_run``, the lines
+    of the longest run of the text that occurs before (0 if there is none), and ``runs``, all its maximal ones: places of the first
+    and last line, lines, and the document of the first copy."""
     levels = suffix_intervals(df, key, text, line_end)
-    others = [c for c in df.columns if c not in ("n_lines", "n_deleted", "longest_run")]
+    others = [c for c in df.columns if c not in ("n_lines", "n_deleted", "longest_run", "runs")]
     lines = lines_of(text_of(text), line_end)
     if not levels:
         kept = [F.col(f"`{c}`") for c in others]
-        return df.select(*kept, F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_deleted"), F.lit(0).cast("long").alias("longest_run"))
-    name = {n: fresh(df, n) for n in ("__mark", "__doc", "__of", "__gone", "__longest")}
+        none = F.array().cast(f"array<struct<from:int,to:int,lines:bigint,copy_of:{df.schema[key].dataType.simpleString()}>>")
+        return df.select(*kept, F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_deleted"), F.lit(0).cast("long").alias("longest_run"), none.alias("runs"))
+    name = {n: fresh(df, n) for n in ("__mark", "__doc", "__of", "__runs")}
     gone = maximal_runs(levels).groupBy(F.col("doc").alias(name["__doc"]), F.col("mark").alias(name["__of"])).agg(
-        F.array_distinct(F.flatten(F.collect_set(F.sequence("from", "to")))).alias(name["__gone"]), F.max("lines").alias(name["__longest"])
+        F.array_sort(F.collect_set(F.struct("from", "to", "lines", "copy_of"))).alias(name["__runs"])
     )
     given = df.withColumn(name["__mark"], F.xxhash64(text_of(text)))
     met = given.join(gone, F.col(key).eqNullSafe(F.col(name["__doc"])) & (F.col(name["__mark"]) == F.col(name["__of"])), "left")
@@ -123,13 +172,15 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", line_end
     def left(parts: Column) -> Column:
         """The text without the lines that go, and how many go. Blank lines between them stay."""
         places = F.sequence(F.lit(0), F.size(parts) - 1)
-        out = F.array_except(F.col(name["__gone"]), F.filter(places, lambda i: _trimmed(F.get(parts, i)) == ""))
+        covered = F.array_distinct(F.flatten(F.transform(name["__runs"], lambda r: F.sequence(r["from"], r["to"]))))
+        out = F.array_except(covered, F.filter(places, lambda i: _trimmed(F.get(parts, i)) == ""))
         return F.struct(F.array_join(F.transform(F.array_except(places, out), lambda i: F.get(parts, i)), "").alias("text"), F.size(out).cast("long").alias("n"))
 
-    some = F.col(name["__gone"]).isNotNull()
+    some = F.col(name["__runs"]).isNotNull()
     result = fresh(met, "__left")
     met = met.withColumn(result, F.when(some, F.transform(F.array(lines), left)[0]))
     return met.select(
         *[F.when(some, F.col(f"{result}.text")).otherwise(F.col(c)).alias(c) if c == text else F.col(f"`{c}`") for c in others],
-        F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.col(f"{result}.n"), F.lit(0)).cast("long").alias("n_deleted"), F.coalesce(name["__longest"], F.lit(0)).cast("long").alias("longest_run"),
+        F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.col(f"{result}.n"), F.lit(0)).cast("long").alias("n_deleted"), F.coalesce(F.array_max(F.transform(name["__runs"], lambda r: r["lines"])), F.lit(0)).cast("long").alias("longest_run"),
+        F.coalesce(name["__runs"], F.array().cast(met.schema[name["__runs"]].dataType)).alias("runs"),
     )

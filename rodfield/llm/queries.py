@@ -90,7 +90,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without later copies of repeated runs of lines."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(documents).select("doc_id", "n_lines", "n_deleted", "longest_run", "text")
+    return dedup_lines(documents).select("doc_id", "n_lines", "n_deleted", "longest_run", F.size("runs").cast("long").alias("n_runs"), "text")
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -302,29 +302,53 @@ def test_license_labels_brute_force(spark):
         assert got[doc] == (",".join(sorted({h[0] for h in kept})), sum(h[2] for h in kept)), doc
 
 
+def _plain_runs(docs):
+    """Per document the maximal runs of lines that occur before, by comparing all suffixes: {doc: ({places}, [(from, to, lines, copy_of)])}."""
+    real = {d: [(i, x.strip(" \t\n\r\x0b\f")) for i, x in enumerate(re.split(r"(?<=\n)", t or "")) if x.strip(" \t\n\r\x0b\f")] for d, t in docs}
+    first, out = {}, {}
+    order = sorted(real, key=lambda d: (d is None, d))
+    for doc in order:
+        ls = real[doc]
+        runs, end = [], 0
+        for i in range(len(ls)):
+            n = 0
+            while i + n < len(ls) and first.get(tuple(x for _, x in ls[i : i + n + 1]), (doc, i)) != (doc, i):
+                n += 1
+            if n and i + n > end:
+                runs.append((ls[i][0], ls[i + n - 1][0], n, first[tuple(x for _, x in ls[i : i + n])][0]))
+            end = max(end, i + n)
+            for m in range(1, len(ls) - i + 1):
+                first.setdefault(tuple(x for _, x in ls[i : i + m]), (doc, i))
+        out[doc] = ({p for a, b, _, _ in runs for p, _ in ls if a <= p <= b}, runs)
+    return out
+
+
+def _check_runs(got, docs):
+    want = _plain_runs(docs)
+    for doc, text in docs:
+        r, (gone, runs) = got[doc], want[doc]
+        assert [tuple(x) for x in r.runs] == runs, doc
+        assert r.longest_run == max((x[2] for x in runs), default=0) and r.n_deleted == len(gone)
+        assert r.text == (text if text is None else "".join(x for i, x in enumerate(re.split(r"(?<=\n)", text)) if i not in gone))
+
+
 def test_line_dedup_brute_force(spark, odd, empty):
     assert dedup_lines(empty).count() == 0
     assert dedup_lines(odd).count() == len(ODD)
     docs = sorted(documents())
-    lines = {d: re.split(r"(?<=\n)", t) for d, t in docs}
-    real = {d: [(i, x.strip()) for i, x in enumerate(ls) if x.strip()] for d, ls in lines.items()}
-    seen, gone, longest = {}, {d: set() for d, _ in docs}, dict.fromkeys(lines, 0)
-    for doc, ls in real.items():
-        for i in range(len(ls)):
-            for n in range(1, len(ls) - i + 1):
-                run = tuple(x for _, x in ls[i : i + n])
-                if seen.setdefault(run, (doc, i)) == (doc, i):
-                    break  # a longer run from here does not occur before either
-                gone[doc] |= {place for place, _ in ls[i : i + n]}
-                longest[doc] = max(longest[doc], n)
-            for n in range(1, len(ls) - i + 1):
-                seen.setdefault(tuple(x for _, x in ls[i : i + n]), (doc, i))
+    _check_runs({r.doc_id: r for r in dedup_lines(spark.createDataFrame(docs, SCHEMA)).collect()}, docs)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_dedup_random_overlapping_runs(spark, seed):
+    """Few kinds of lines, so that runs of many lengths overlap each other, within a document too."""
+    random.seed(seed)
+    parts = ["".join(f"{random.choice('abcdefg')}{random.randrange(seed * 3)}\n" for _ in range(random.choice([3, 9, 20]))) for _ in range(6)]
+    docs = [(i, "".join(random.choice([random.choice(parts), f"{random.choice('abc')}\n", " \n", "".join(x + "\n" for x in random.choice(parts).split("\n")[: random.randrange(9)] if x)]) for _ in range(random.randrange(7)))) for i in range(45)]
+    docs += [(100, "A\nB\nC\nD\n"), (101, "B\nC\nD\nE\n"), (102, "A\nB\nC\nD\nE\n"), (103, "A\nB\nC\nD\nE\n"), (104, "z\n" * 40), (105, None), (None, "B\nC\nD\nE\nA")]
     got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(docs, SCHEMA)).collect()}
-    for doc, _ in docs:
-        assert got[doc].text == "".join(x for i, x in enumerate(lines[doc]) if i not in gone[doc])
-        assert got[doc].n_deleted == len(gone[doc]) and (got[doc].longest_run > 0) == (longest[doc] > 0) and got[doc].longest_run <= longest[doc]
-    whole = [d for d, _ in docs if longest[d] == len(real[d]) > 0]
-    assert whole and all(got[d].longest_run == longest[d] for d in whole)
+    _check_runs(got, docs)
+    assert got[103].longest_run == 5 and got[103].runs[0].copy_of == 102 and got[104].longest_run == 39
 
 
 def test_op7_deletes_every_repeated_run(spark, tmp_path):

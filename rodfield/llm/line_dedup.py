@@ -37,6 +37,8 @@ from rodfield.llm._common import cut, fresh, text_of
 
 #: Where lines end (after the match of this pattern), and what counts as white space at a line's ends.
 LINE_END, WHITE = r"(?<=\n)", " \t\n\r\x0b\f"
+#: Parts into which a round divides a range of lengths.
+PARTS = 8
 #: Groups of this share of all rows or more are joined by broadcast; there are no more than 1 / LARGE of them.
 LARGE = 1e-3
 
@@ -101,10 +103,9 @@ def _narrowed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"__low": low, "__high": high}).select(*[c for c in rows.columns if c not in ("low", "high")], F.col("__low").alias("low"), F.col("__high").alias("high"))
 
 
-def _first_copies(asked: DataFrame, levels: list[DataFrame]) -> DataFrame:
+def _first_copies(asked: DataFrame, members: DataFrame) -> DataFrame:
     """For suffixes and lengths (``level``, ``a``, ``b``, ``doc``, ``mark``, ``pos``, ``m``) the first copy of these lines, if that is an earlier one:
-    ``doc``, ``mark``, ``pos``, ``m``, ``first``."""
-    members = reduce(DataFrame.unionByName, [rows.select(F.lit(k).alias("level"), "a", "b", "doc", "mark", "pos") for k, rows in enumerate(levels)])
+    ``d0``, ``k0``, ``p0``, ``m0``, ``copy_of``. ``members``: the classes of all suffixes at all levels."""
     lengths = asked.select("level", "a", "b", "m").distinct()
     tails = members.select(F.col("level").alias("l2"), F.col("doc").alias("d2"), F.col("mark").alias("k2"), F.col("pos").alias("p2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
     there = members.join(lengths, ["level", "a", "b"]).withColumn("at", F.expr("cast(pos + m - shiftleft(1, level) AS int)"))
@@ -112,42 +113,45 @@ def _first_copies(asked: DataFrame, levels: list[DataFrame]) -> DataFrame:
     same = ["level", "a", "b", "m", "a2", "b2"]
     there = cut(there.select(*same, "doc", "mark", "pos"))
     firsts = there.groupBy(*same).agg(F.min(_order()).alias("first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    return there.join(firsts, same).where(_order() != F.col("first")).select("doc", "mark", "pos", "m", "first")
+    found = there.join(firsts, same).where(_order() != F.col("first"))
+    return found.select(F.col("doc").alias("d0"), F.col("mark").alias("k0"), F.col("pos").alias("p0"), F.col("m").alias("m0"), F.col("first.doc").alias("copy_of"))
 
 
-def longest_copies(levels: list[DataFrame]) -> DataFrame:
+def longest_copies(levels: list[DataFrame], members: DataFrame) -> DataFrame:
     """Every suffix that has an earlier copy of a line or more: ``doc``, ``mark``, ``pos``, ``place``, its deepest class (``level``, ``a``,
-    ``b``) and ``end``, the number after the last line of its longest earlier copy."""
+    ``b``) and the document of that class's first copy, ``stretch`` and ``end``, the number after the last line of its longest earlier copy."""
     later = [rows.where(_order() != F.col("first")).withColumn("level", F.lit(k)) for k, rows in enumerate(levels)]
     every = reduce(DataFrame.unionByName, later)
-    rows = every.groupBy("doc", "mark", "pos").agg(F.max(F.struct("level", "place", "a", "b")).alias("s")).select("doc", "mark", "pos", "s.*")
+    rows = every.groupBy("doc", "mark", "pos").agg(F.max(F.struct("level", "place", "a", "b", F.col("first.doc").alias("copy_of"))).alias("s")).select("doc", "mark", "pos", "s.*")
     rows = rows.withColumn("stretch", F.col("pos") - F.row_number().over(Window.partitionBy("doc", "mark").orderBy("pos")))
     last = F.max("pos").over(Window.partitionBy("doc", "mark", "stretch")) + 1
     size = F.expr("shiftleft(1, level)")
     rows = cut(_narrowed(rows.withColumns({"low": F.col("pos") + size, "high": F.least(F.col("pos") + 2 * size - 1, last)})))
+    ends = F.transform(F.sequence(F.lit(1), F.lit(PARTS - 1)), lambda i: (F.col("low") + F.ceil((F.col("high") - F.col("low")) * i / PARTS)).cast("int"))
+    here = F.expr("doc <=> d0 AND mark = k0 AND pos = p0")
     while not (open_ := rows.where("low < high")).isEmpty():
-        asked = open_.select("level", "a", "b", "doc", "mark", "pos", F.expr("(low + high + 1) div 2 - pos").cast("int").alias("m"))
-        found = _first_copies(asked, levels).select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("pos").alias("__pos"), F.col("m").alias("__m"))
-        m = F.expr("(low + high + 1) div 2 - pos").cast("int")
-        met = rows.withColumn("m", m).join(found, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("mark") == F.col("__mark")) & (F.col("pos") == F.col("__pos")) & (F.col("m") == F.col("__m")), "left")
-        yes, asked_ = F.col("__m").isNotNull(), F.col("low") < F.col("high")
-        low, high = F.when(asked_ & yes, F.col("pos") + F.col("m")).otherwise(F.col("low")), F.when(asked_ & ~yes, F.col("pos") + F.col("m") - 1).otherwise(F.col("high"))
-        met = met.withColumns({"__low": low.cast("int"), "__high": high.cast("int")})
+        asked = open_.select("level", "a", "b", "doc", "mark", "pos", F.explode(F.array_distinct(ends)).alias("m")).withColumn("m", F.col("m") - F.col("pos"))
+        found = _first_copies(asked, members).groupBy("d0", "k0", "p0").agg(F.max("m0").alias("m0"))
+        met = rows.join(found, here, "left")
+        reached = F.coalesce(F.col("pos") + F.col("m0"), F.col("low"))
+        missed = F.array_min(F.filter(ends, lambda e: e > reached)) - 1
+        met = met.withColumns({"__low": reached, "__high": F.when(F.col("low") < F.col("high"), F.coalesce(missed, F.col("high"))).otherwise(F.col("high"))})
         rows = cut(_narrowed(met.select(*[c for c in rows.columns if c not in ("low", "high")], F.col("__low").alias("low"), F.col("__high").alias("high"))))
-    return rows.select("doc", "mark", "pos", "place", "level", "a", "b", "stretch", F.col("low").alias("end"))
+    return rows.select("doc", "mark", "pos", "place", "level", "a", "b", "copy_of", "stretch", F.col("low").alias("end"))
 
 
 def maximal_runs(levels: list[DataFrame]) -> DataFrame:
     """Maximal runs that occur before: ``doc``, ``mark``, places of their first and last line (``from``, ``to``), ``lines``, and the document
     of their first copy (``copy_of``)."""
-    rows = longest_copies(levels)
+    # nothing is asked about classes of single lines, whose lengths are known
+    members = cut(reduce(DataFrame.unionByName, [rows.select(F.lit(k).alias("level"), "a", "b", "doc", "mark", "pos") for k, rows in enumerate(levels)]).where("level > 0"))
+    rows = longest_copies(levels, members)
     before = F.lag("end").over(Window.partitionBy("doc", "mark", "stretch").orderBy("pos"))
-    starts = rows.withColumn("__before", before).where("__before is null or end > __before").withColumn("m", F.col("end") - F.col("pos"))
-    asked = cut(starts.select("level", "a", "b", "doc", "mark", "pos", "place", "m"))
-    firsts = _first_copies(asked, levels).select(F.col("doc").alias("d1"), F.col("mark").alias("m1"), F.col("pos").alias("p1"), F.col("m").alias("n1"), F.col("first.doc").alias("copy_of"))
-    ends = rows.select(F.col("doc").alias("d2"), F.col("mark").alias("m2"), F.col("pos").alias("p2"), F.col("place").alias("to"))
-    found = asked.join(firsts, F.col("doc").eqNullSafe(F.col("d1")) & (F.col("mark") == F.col("m1")) & (F.col("pos") == F.col("p1")) & (F.col("m") == F.col("n1")))
-    found = found.join(ends, F.col("doc").eqNullSafe(F.col("d2")) & (F.col("mark") == F.col("m2")) & (F.col("pos") + F.col("m") - 1 == F.col("p2")))
+    starts = cut(rows.withColumn("__before", before).where("__before is null or end > __before").withColumn("m", F.col("end") - F.col("pos")).drop("__before"))
+    longer = _first_copies(starts.where("m > shiftleft(1, level)"), members).withColumnRenamed("copy_of", "__of")
+    found = starts.join(longer, F.expr("doc <=> d0 AND mark = k0 AND pos = p0 AND m = m0"), "left").withColumn("copy_of", F.when(F.col("m0").isNull(), F.col("copy_of")).otherwise(F.col("__of")))
+    ends = rows.select(F.col("doc").alias("d2"), F.col("mark").alias("k2"), F.col("pos").alias("p2"), F.col("place").alias("to"))
+    found = found.join(ends, F.expr("doc <=> d2 AND mark = k2 AND end - 1 = p2"))
     return found.select("doc", "mark", F.col("place").alias("from"), "to", F.col("m").cast("long").alias("lines"), "copy_of")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rodfield.config import DISK_SPACING, KEY
 from rodfield.functions.columns import axis_angle, r_phi, to_col
 from rodfield.operators.delaunay import collapse, edges_of
-from rodfield.operators.graph import both_ways, graph_boundary, vote
+from rodfield.operators.graph import both_ways, vote
 from rodfield.plans.lineage import cut
 
 
@@ -174,24 +174,24 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def coordination(particles: DataFrame, edges: DataFrame) -> DataFrame:
-    """Number of neighbours by particle, 6 on the graph's boundary."""
+def coordination(bodies: DataFrame, edges: DataFrame) -> DataFrame:
+    """Number of neighbours by particle (K, pid, body), 6 near the box, where ``body`` is false."""
     z = both_ways(edges.select(*KEY, "i", "j")).groupBy(*KEY, F.col("i").alias("pid")).agg(F.count("*").alias("z"))
-    edge = graph_boundary(edges).withColumn("__b", F.lit(True))
-    rows = particles.select(*KEY, "pid").join(z, [*KEY, "pid"], "left").join(edge, [*KEY, "pid"], "left")
-    return rows.select(*KEY, "pid", F.when(F.col("__b"), 6).otherwise(F.coalesce("z", F.lit(0))).alias("z"))
+    rows = bodies.select(*KEY, "pid", "body").join(z, [*KEY, "pid"], "left")
+    return rows.select(*KEY, "pid", F.when(~F.col("body"), 6).otherwise(F.coalesce("z", F.lit(0))).alias("z"))
 
 
-def rearrangements(particles: DataFrame, edges: DataFrame) -> DataFrame:
+def rearrangements(bodies: DataFrame, edges: DataFrame) -> DataFrame:
     """Events between a state and the one before: ends of new bonds, joined through present bonds among them. By event
-    (``label``, its least id): size and the sums of negative and positive charge (z - 6) before and after."""
+    (``label``, its least id): size and the sums of negative and positive charge (z - 6) before and after, particles near the box
+    having none. ``bodies``: (K, pid, body), as :func:`coordination` takes them."""
     now = cut(edges.select(*KEY, "i", "j"))
     earlier = now.withColumn("idx", F.col("idx") + 1)
     states = now.select(*KEY).distinct().join(earlier.select(*KEY).distinct(), KEY)
     made = now.join(earlier, [*KEY, "i", "j"], "left_anti").join(states, KEY)
     ends = cut(made.select(*KEY, F.explode(F.array("i", "j")).alias("pid")).distinct())
     among = now.join(ends.withColumnRenamed("pid", "i"), [*KEY, "i"], "left_semi").join(ends.withColumnRenamed("pid", "j"), [*KEY, "j"], "left_semi")
-    z = cut(coordination(particles, now))
+    z = cut(coordination(bodies, now))
     before = z.select("ensemble_id", "replica", (F.col("idx") + 1).alias("idx"), "pid", (F.col("z") - 6).alias("q0"))
     rows = components(ends, among).join(z.withColumn("q1", F.col("z") - 6), [*KEY, "pid"]).join(before, [*KEY, "pid"], "left")
     part = lambda q, sign: F.sum(F.when(F.col(q) * sign > 0, F.col(q) * sign).otherwise(0))

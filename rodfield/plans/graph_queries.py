@@ -113,16 +113,16 @@ def c2(spark, d):
 
 #: Triangles from the definition of a joined pair: the largest angles over it on both sides sum to pi at most. The apexes of those angles are
 #: the third corners. Ring points: 24 on a circle.
-POINTS_SQL = f"""pts AS (SELECT {K}, pid, x, y FROM particles UNION ALL SELECT {K}, -1 - g, ring_r*cos(2*pi()*g/24 + 0.01), ring_r*sin(2*pi()*g/24 + 0.01) FROM states, range(24) t(g)),
-sees AS (SELECT p.ensemble_id, p.replica, p.idx, p.pid AS i, q.pid AS j, s.pid AS k, (q.x - p.x)*(s.y - p.y) - (q.y - p.y)*(s.x - p.x) AS turn, (p.x - s.x)*(q.x - s.x) + (p.y - s.y)*(q.y - s.y) AS dots
+POINTS_SQL = f"""pts AS MATERIALIZED (SELECT {K}, pid, x, y FROM particles UNION ALL SELECT {K}, -1 - g, ring_r*cos(2*pi()*g/24 + 0.01), ring_r*sin(2*pi()*g/24 + 0.01) FROM states, range(24) t(g)),
+sees AS MATERIALIZED (SELECT p.ensemble_id, p.replica, p.idx, p.pid AS i, q.pid AS j, s.pid AS k, (q.x - p.x)*(s.y - p.y) - (q.y - p.y)*(s.x - p.x) AS turn, (p.x - s.x)*(q.x - s.x) + (p.y - s.y)*(q.y - s.y) AS dots
   FROM pts p JOIN pts q ON p.ensemble_id = q.ensemble_id AND p.replica = q.replica AND p.idx = q.idx AND p.pid < q.pid AND q.pid >= 0 JOIN pts s ON p.ensemble_id = s.ensemble_id AND p.replica = s.replica AND p.idx = s.idx AND s.pid != p.pid AND s.pid != q.pid),
-apex AS (SELECT {K}, i, j, min(dots/turn) FILTER (turn > 0) AS least, min(-dots/turn) FILTER (turn < 0) AS other, arg_min(k, dots/turn) FILTER (turn > 0) AS kl, arg_min(k, -dots/turn) FILTER (turn < 0) AS kr FROM sees GROUP BY ALL HAVING coalesce(least + other, 0) >= 0),
-tri AS (SELECT DISTINCT {K}, least(i, k) AS a, CASE WHEN k < i THEN i WHEN k < j THEN k ELSE j END AS b, greatest(j, k) AS c FROM (SELECT {K}, i, j, unnest([kl, kr]) AS k FROM apex) WHERE k IS NOT NULL),
+apex AS MATERIALIZED (SELECT {K}, i, j, min(dots/turn) FILTER (turn > 0) AS least, min(-dots/turn) FILTER (turn < 0) AS other, arg_min(k, dots/turn) FILTER (turn > 0) AS kl, arg_min(k, -dots/turn) FILTER (turn < 0) AS kr FROM sees GROUP BY ALL HAVING coalesce(least + other, 0) >= 0),
+tri AS MATERIALIZED (SELECT DISTINCT {K}, least(i, k) AS a, CASE WHEN k < i THEN i WHEN k < j THEN k ELSE j END AS b, greatest(j, k) AS c FROM (SELECT {K}, i, j, unnest([kl, kr]) AS k FROM apex) WHERE k IS NOT NULL),
 e0 AS (SELECT {K}, a AS i, b AS j FROM tri UNION ALL SELECT {K}, a, c FROM tri UNION ALL SELECT {K}, b, c FROM tri),
-edges AS (SELECT {K}, i, j, count(*) AS triangles FROM e0 WHERE i >= 0 GROUP BY ALL),
-e2 AS (SELECT {K}, i, j FROM edges UNION ALL SELECT {K}, j, i FROM edges)"""
+edges AS MATERIALIZED (SELECT {K}, i, j, count(*) AS triangles FROM e0 WHERE i >= 0 GROUP BY ALL),
+e2 AS MATERIALIZED (SELECT {K}, i, j FROM edges UNION ALL SELECT {K}, j, i FROM edges)"""
 GRAPH = f"{BASE}, {POINTS_SQL}"
-BODY_SQL = f"{_newton_sql()}, bod AS (SELECT {K}, pid, round({ELLIPSE}, 5) >= 2 AS body FROM n16)"
+BODY_SQL = f"{_newton_sql()}, bod AS MATERIALIZED (SELECT {K}, pid, round({ELLIPSE}, 5) >= 2 AS body FROM n16)"
 
 
 def particles(spark, d):
@@ -185,13 +185,13 @@ def c19(spark, d):
 
 
 BONDS_SQL = f"""pg AS (SELECT p.*, gamma, 1 - 1/gamma AS rr FROM particles p JOIN states USING ({K})),
-bonds AS (SELECT e.ensemble_id, e.replica, e.idx, e.i, e.j, q.x - p.x AS dx, q.y - p.y AS dy, atan2(q.y - p.y, q.x - p.x) AS bond, p.t AS ti, q.t AS tj, p.gamma, {segdist_sql('p.rr', 'p', 'q')} AS far
+bonds AS MATERIALIZED (SELECT e.ensemble_id, e.replica, e.idx, e.i, e.j, q.x - p.x AS dx, q.y - p.y AS dy, atan2(q.y - p.y, q.x - p.x) AS bond, p.t AS ti, q.t AS tj, p.gamma, {segdist_sql('p.rr', 'p', 'q')} AS far
   FROM e2 e JOIN pg p ON e.ensemble_id = p.ensemble_id AND e.replica = p.replica AND e.idx = p.idx AND e.i = p.pid JOIN pg q ON e.ensemble_id = q.ensemble_id AND e.replica = q.replica AND e.idx = q.idx AND e.j = q.pid)"""
 ORDERS_SQL = f"""{GRAPH}, {BOUNDARY_SQL}, {BONDS_SQL}, sums AS (SELECT {K}, i AS pid, count(*) AS z, sum(cos(4*bond)) AS c4, sum(sin(4*bond)) AS s4, sum(cos(6*bond)) AS c6, sum(sin(6*bond)) AS s6, sum(cos(2*(tj-ti))) AS cc,
   sum(cos(2*tj)) AS c2, sum(sin(2*tj)) AS s2, sum(dx*dy) AS xy, sum(dx*dx - dy*dy) AS xxyy, max(far) AS mx, avg(far) AS mean_far FROM bonds GROUP BY ALL),
 o1 AS (SELECT p.*, coalesce(z, 0) AS z, coalesce(c2, 0) + cos(2*t) AS cs, coalesce(s2, 0) + sin(2*t) AS ss, bd.pid IS NOT NULL AS on_boundary, s.* EXCLUDE (ensemble_id, replica, idx, pid, z) FROM pg p LEFT JOIN sums s USING ({K}, pid) LEFT JOIN bd USING ({K}, pid)),
 o2 AS (SELECT *, atan2(ss, cs + sqrt(cs*cs + ss*ss)) AS dir0, 0.5*atan2(2*xy, xxyy) AS rot0 FROM o1),
-orders AS (SELECT *, sqrt(c4*c4 + s4*s4)/nullif(z, 0) AS phi4, sqrt(c6*c6 + s6*s6)/nullif(z, 0) AS phi6, cc/nullif(z, 0) AS s_center, sqrt(cs*cs + ss*ss)/(z + 1) AS s_local, dir0 - pi()*floor(dir0/pi()) AS director, rot0 - pi()*floor(rot0/pi()) AS rotation,
+orders AS MATERIALIZED (SELECT *, sqrt(c4*c4 + s4*s4)/nullif(z, 0) AS phi4, sqrt(c6*c6 + s6*s6)/nullif(z, 0) AS phi6, cc/nullif(z, 0) AS s_center, sqrt(cs*cs + ss*ss)/(z + 1) AS s_local, dir0 - pi()*floor(dir0/pi()) AS director, rot0 - pi()*floor(rot0/pi()) AS rotation,
   coalesce(mx, 0)*gamma AS farthest, mean_far*gamma AS mean_distance FROM o2),
 el AS (SELECT b.ensemble_id, b.replica, b.idx, b.i AS pid, atan2(b.gamma*(-dx*sin(director) + dy*cos(director)), dx*cos(director) + dy*sin(director)) AS w FROM bonds b JOIN orders o ON b.ensemble_id = o.ensemble_id AND b.replica = o.replica AND b.idx = o.idx AND b.i = o.pid),
 elliptic AS (SELECT {K}, pid, sqrt(avg(cos(6*w))*avg(cos(6*w)) + avg(sin(6*w))*avg(sin(6*w))) AS ephi6 FROM el GROUP BY ALL)"""
@@ -298,7 +298,7 @@ def n1(spark, d):
 
 def _vote_sql(source: str, name: str) -> str:
     return f"""{name}v AS (SELECT e.ensemble_id, e.replica, e.idx, e.i AS pid, l, count(*) AS n FROM e2 e JOIN {source} s ON e.ensemble_id = s.ensemble_id AND e.replica = s.replica AND e.idx = s.idx AND e.j = s.pid GROUP BY ALL),
-{name}w AS (SELECT *, row_number() OVER (PARTITION BY {K}, pid ORDER BY n DESC, l) AS k FROM {name}v), {name} AS (SELECT p.ensemble_id, p.replica, p.idx, p.pid, coalesce(w.l, -1) AS l FROM particles p LEFT JOIN {name}w w ON p.ensemble_id = w.ensemble_id AND p.replica = w.replica AND p.idx = w.idx AND p.pid = w.pid AND k = 1)"""
+{name}w AS (SELECT *, row_number() OVER (PARTITION BY {K}, pid ORDER BY n DESC, l) AS k FROM {name}v), {name} AS MATERIALIZED (SELECT p.ensemble_id, p.replica, p.idx, p.pid, coalesce(w.l, -1) AS l FROM particles p LEFT JOIN {name}w w ON p.ensemble_id = w.ensemble_id AND p.replica = w.replica AND p.idx = w.idx AND p.pid = w.pid AND k = 1)"""
 
 
 @query("N5_N6_vote", f"{GRAPH}, l0 AS (SELECT {K}, pid, CAST(floor((t - pi()*floor(t/pi()))/pi()*3) AS INTEGER) AS l FROM particles), {_vote_sql('l0', 'l1')}, {_vote_sql('l1', 'l2')} SELECT {K}, pid, l1.l AS once, l2.l AS twice FROM l1 JOIN l2 USING ({K}, pid)")

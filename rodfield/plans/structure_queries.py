@@ -162,7 +162,7 @@ def d21(spark, d):
 
 
 @query("D23_segment_rank_mask", f"""{ORDERS_SQL}, rk AS (SELECT o.ensemble_id, o.replica, o.idx, o.pid, farthest AS l, s.n, {R_PHI} AS rp, row_number() OVER (PARTITION BY {keys('o')} ORDER BY farthest, o.pid) - 1 AS pos FROM orders o JOIN states s ON {on('o', 's')}),
-th AS (SELECT *, max(CASE WHEN pos = greatest(least(round_even(n*rp, 0), n - 1), 0) THEN l END) OVER (PARTITION BY {K}) AS c FROM rk), v0 AS (SELECT {K}, pid, CAST(l <= c AS INTEGER) AS l FROM th),
+th AS (SELECT *, max(CASE WHEN pos = greatest(least(round_even(n*rp, 0), n - 1), 0) THEN l END) OVER (PARTITION BY {K}) AS c FROM rk), v0 AS MATERIALIZED (SELECT {K}, pid, CAST(l <= c AS INTEGER) AS l FROM th),
 {_vote_sql('v0', 'v1')}, {_vote_sql('v1', 'v2')}, {_vote_sql('v2', 'v3')}, {_vote_sql('v3', 'v4')} SELECT {K}, pid, CASE WHEN rp >= 1 THEN 1 ELSE l END AS flag FROM v4 JOIN (SELECT {K}, pid, rp FROM rk) USING ({K}, pid)""")
 def d23(spark, d):
     return S.segment_rank_mask(orders(spark, d), edges(spark, d), A.states(spark, d))
@@ -175,7 +175,7 @@ def d27(spark, d):
     return S.misalignment(rows, rows.groupBy(*KEY, F.col("i").alias("pid")).agg(F.count("*").alias("z")))
 
 
-EVENTS_SQL = f"""{RGRAPH}, {BOUNDARY_SQL}, zc AS (SELECT {K}, i AS pid, count(*) AS z FROM e2 GROUP BY ALL), zz AS (SELECT {K}, p.pid, CASE WHEN bd.pid IS NOT NULL THEN 6 ELSE coalesce(z, 0) END AS z FROM particles p LEFT JOIN zc USING ({K}, pid) LEFT JOIN bd USING ({K}, pid)),
+EVENTS_SQL = f"""{RGRAPH}, {BODY_SQL}, zc AS (SELECT {K}, i AS pid, count(*) AS z FROM e2 GROUP BY ALL), zz AS (SELECT {K}, p.pid, CASE WHEN NOT body THEN 6 ELSE coalesce(z, 0) END AS z FROM bod p LEFT JOIN zc USING ({K}, pid)),
 nb AS (SELECT * FROM edges e WHERE idx > 0 AND NOT EXISTS (SELECT 1 FROM edges o WHERE o.ensemble_id = e.ensemble_id AND o.replica = e.replica AND o.idx = e.idx - 1 AND o.i = e.i AND o.j = e.j)),
 vx AS (SELECT DISTINCT {K}, unnest([i, j]) AS pid FROM nb), rc AS (SELECT {K}, pid, pid AS root FROM vx UNION SELECT {keys('e')}, e.j, rc.root FROM rc JOIN e2 e ON {on('e', 'rc')} AND e.i = rc.pid JOIN vx v ON {on('v', 'e')} AND v.pid = e.j WHERE rc.root < e.j),
 lb AS (SELECT {K}, pid, min(root) AS label FROM rc GROUP BY ALL), ev AS (SELECT l.ensemble_id, l.replica, l.idx, label, count(*) AS size, CAST(sum(greatest(6 - b.z, 0)) AS BIGINT) AS prev_neg, CAST(sum(greatest(b.z - 6, 0)) AS BIGINT) AS prev_pos, CAST(sum(greatest(6 - n.z, 0)) AS BIGINT) AS cur_neg, CAST(sum(greatest(n.z - 6, 0)) AS BIGINT) AS cur_pos
@@ -183,7 +183,7 @@ FROM lb l JOIN zz n ON {on('n', 'l')} AND n.pid = l.pid JOIN zz b ON b.ensemble_
 
 
 def events(spark, d):
-    return S.rearrangements(A.particles(spark, d), edges(spark, d))
+    return S.rearrangements(body(spark, d), edges(spark, d))
 
 
 @query("T4_rearrangements", f"{EVENTS_SQL} SELECT * FROM ev")

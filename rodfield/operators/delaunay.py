@@ -1,11 +1,15 @@
 """Triangulation of states, local: every point finds the fan of triangles around itself.
 
-A point sees the points within a radius. Its nearest neighbour is joined to it in the triangulation; from one joined
-neighbour to the next, the apex of the triangle over their edge is the point that sees the edge under the largest angle.
-So a fan takes as many steps as it has triangles, each over the points in sight, and tasks take many points at a time as
-numpy matrices. A fan is right if it closes and none of its circles is wider than the radius, so that whatever could lie
-in one is seen. Points whose fan isn't are tried again with twice the radius, until a radius covers the whole state, when
-every fan is right, also an open one on the hull. There is no other end: a result is complete.
+States are cut into tiles of a quadtree, each of few points however dense they lie. A tile's points look at the points of the
+tiles around it. A point's nearest neighbour is joined to it in the triangulation; from one joined neighbour to the next, the apex of
+the triangle over their edge is the point that sees the edge under the largest angle. So a fan takes as many steps as it has
+triangles, each over the points in sight, and tasks take many points at a time as numpy matrices. Which side a point lies on and
+whether it lies in a circle is decided in floating point where that is certain and in whole numbers where it is not.
+
+A fan is right if no tile that is not in sight meets one of its circles (an open fan, on the hull: the half-planes beyond
+its ends). Circles are held against the tiles' boxes by joins on cells of the quadtree; a tile takes in only those that an open circle
+meets, the nearest first, and its open points are tried again, until none is left. There is no other end: a result is complete. So
+voids, lines of points and clusters cost what their circles meet, never a look at a whole state.
 
 Each triangle comes from its point of least id among the real ones. Of points on one circle a fan takes each in turn, and
 only that of the least of them counts there. Points at one place see the others, not each other.
@@ -17,61 +21,128 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rodfield.config import KEY
 from rodfield.plans.lineage import cut
 
-#: Cells of the matrices of one step, and how many of the nearest points a fan is looked for in first.
-CELLS, NEAREST = 400_000, 128
+#: Cells of the matrices of one step, how many of the nearest points a fan is looked for in before all, most points of a tile, and how
+#: many of the tiles that a point's circles meet are taken in at a time.
+CELLS, NEAREST, TILE, TAKEN = 200_000, (48, 192), 256, 4
+#: Levels of the quadtree, and how many of them are counted at a time.
+DEPTH, STRIDE = 24, 6
+#: Circles wider than this, in widths of what is in sight, count as half-planes.
+FLAT = 1e5
+OWN = ["lv", "cx", "cy"]
+
+
+def whole_numbers(*points: tuple[float, float]) -> list[tuple[int, int]]:
+    """Coordinates times one power of two that makes all of them whole."""
+    ratios = [(float(x).as_integer_ratio(), float(y).as_integer_ratio()) for x, y in points]
+    common = max(d for r in ratios for _, d in r)
+    return [(a * (common // b), c * (common // d)) for (a, b), (c, d) in ratios]
+
+
+def side_of(o: tuple[int, int], p: tuple[int, int], q: tuple[int, int]) -> int:
+    """Positive if o, p, q turn to the left, exactly."""
+    return (p[0] - o[0]) * (q[1] - o[1]) - (p[1] - o[1]) * (q[0] - o[0])
+
+
+def inside(o: tuple[int, int], p: tuple[int, int], q: tuple[int, int], s: tuple[int, int]) -> int:
+    """Positive if s lies in the circle of o, p, q, which turn to the left; 0 on it; exactly."""
+    (a, b), (c, d), (e, f) = ((x - s[0], y - s[1]) for x, y in (o, p, q))
+    return (a * a + b * b) * (c * f - d * e) - (c * c + d * d) * (a * f - b * e) + (e * e + f * f) * (a * d - b * c)
 
 
-def fans(u: np.ndarray, v: np.ndarray, seen: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Fans of points whose neighbours lie at (u, v), a row each; ``seen``: which entries are neighbours. Gives row, neighbour and
-    apex of every triangle, its circle's diameter and the least name on it, and whether each row's fan closes."""
-    n = len(u)
+def _apex(o, p, found: list[int], places: list[tuple[float, float]], sign: int) -> int | None:
+    """Of candidates the one that sees the edge from o to p from its left (sign 1) under the largest angle; of those on one circle the first in turn."""
+    o, p, *places = whole_numbers(o, p, *places)
+    best = None
+    for k, q in zip(found, places, strict=True):
+        if sign * side_of(o, p, q) <= 0:
+            continue
+        if best is not None:
+            within = inside(o, p, best[1], q) * sign
+            if within < 0 or within == 0 and sign * side_of(o, q, best[1]) <= 0:
+                continue
+        best = (k, q)
+    return None if best is None else best[0]
+
+
+def fans(ox: np.ndarray, oy: np.ndarray, x: np.ndarray, y: np.ndarray, seen: np.ndarray, names: np.ndarray) -> dict[str, np.ndarray]:
+    """Fans of points at (ox, oy) whose neighbours lie at (x, y), a row each; ``seen``: which entries are neighbours. Per triangle its
+    ``row``, ``one``, ``two`` (entries of neighbour and apex), ``low`` (the least name on its circle), the circle's centre from the point (``u``, ``v``)
+    and radius ``r``; per end of an open fan its ``end_row``, and the direction out of it (``end_u``, ``end_v``)."""
+    n = len(ox)
+    u, v = x - ox[:, None], y - oy[:, None]
     far = np.where(seen, u * u + v * v, np.inf)
-    first = far.argmin(1)
-    rows, ones, twos, wide, least_name = [], [], [], [], []
+    some = np.isfinite(far.min(1)) if n else np.empty(0, bool)
+    first = far.argmin(1) if n else np.empty(0, np.int64)
+    made: dict[str, list] = {k: [] for k in ("row", "one", "two", "low", "u", "v", "r", "end_row", "end_u", "end_v")}
+    alone = np.flatnonzero(~some)
+    for side in (1.0, -1.0):  # nothing seen: nothing known on either side
+        made["end_row"].append(alone), made["end_u"].append(np.full(len(alone), side)), made["end_v"].append(np.zeros(len(alone)))
     closed = np.zeros(n, bool)
     for sign in (1.0, -1.0):  # to the left all round; fans that end there, to the right from the start too
-        live = np.flatnonzero(np.isfinite(far.min(1)) & ~closed) if n else np.empty(0, np.int64)
+        live = np.flatnonzero(some & ~closed)
         at = first[live]
         while len(live):
             cu, cv = u[live, at][:, None], v[live, at][:, None]
-            uu, vv, size = u[live], v[live], far[live]
+            uu, vv, size, can = u[live], v[live], far[live], seen[live]
             cross, dot = sign * (cu * vv - cv * uu), cu * uu + cv * vv
-            reach = cu * cu + cv * cv
-            with np.errstate(divide="ignore", invalid="ignore"):
-                ahead = seen[live] & (cross > 1e-12 * reach)
+            reach, off = cu * cu + cv * cv, 1e-13 * (np.abs(ox[live]) + np.abs(oy[live]))[:, None]
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                # what a rounded cross product may be off by: of its factors, and of the differences that these are
+                unsure = 1e-14 * np.sqrt(reach * size) + off * (np.sqrt(reach) + np.sqrt(size))
+                ahead, flat = can & (cross > unsure), can & (np.abs(cross) <= unsure) & ((uu != cu) | (vv != cv))
                 cot = np.where(ahead, (size - dot) / cross, np.inf)
                 least = cot.min(1, keepdims=True)
-                turn = np.where(ahead & (cot <= least + 1e-9 * (1 + np.abs(least))), dot / cross, -np.inf)
+                # a flat one counts where it lies between the ends of the edge, or where nothing better is there
+                rival = ahead & (cot <= least + 1e-9 * (1 + np.abs(least))) | flat & ((size <= dot) | (least > 1e6))
+            apex = cot.argmin(1)
             found = np.isfinite(least[:, 0])
-            apex = turn.argmax(1)
-            live, at, apex, least = live[found], at[found], apex[found], least[found, 0]
-            rows.append(live), ones.append(at), twos.append(apex)
-            # the edge is the chord of the apex's angle: diameter = length / sin
-            du, dv = u[live, at], v[live, at]
-            wide.append(np.hypot(du, dv) * np.sqrt(1 + least * least))
-            au, av = u[live, apex], v[live, apex]
-            area, one, two = 2 * (du * av - dv * au), du * du + dv * dv, au * au + av * av
-            cx, cy = ((one * av - two * dv) / area)[:, None], ((two * du - one * au) / area)[:, None]
-            uu, vv = u[live] - cx, v[live] - cy
-            on = seen[live] & (np.abs(uu * uu + vv * vv - cx * cx - cy * cy) <= 1e-9 * (cx * cx + cy * cy))
-            far_name = np.where(on, names[live], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max)
-            least_name.append(np.minimum(far_name, np.minimum(names[live, at], names[live, apex])))
+            for k in np.flatnonzero(rival.sum(1) > 1 - (flat & rival).any(1)):
+                held = np.flatnonzero(rival[k]).tolist()
+                row = live[k]
+                best = _apex((ox[row], oy[row]), (x[row, at[k]], y[row, at[k]]), held, [(x[row, c], y[row, c]) for c in held], int(sign))
+                found[k] = best is not None
+                apex[k] = apex[k] if best is None else best
+            out = ~found
+            made["end_row"].append(live[out]), made["end_u"].append(-sign * cv[out, 0]), made["end_v"].append(sign * cu[out, 0])
+            live, at, apex = live[found], at[found], apex[found]
+            du, dv, au, av = u[live, at], v[live, at], u[live, apex], v[live, apex]
+            one, two = du * du + dv * dv, au * au + av * av
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                area = 2 * (du * av - dv * au)
+                cx, cy = (one * av - two * dv) / area, (two * du - one * au) / area
+                r2 = cx * cx + cy * cy
+                uu, vv = u[live] - cx[:, None], v[live] - cy[:, None]
+                near = seen[live] & ~(np.abs(uu * uu + vv * vv - r2[:, None]) > 1e-7 * r2[:, None])
+            near[np.arange(len(live)), at] = near[np.arange(len(live)), apex] = False
+            low = np.minimum(names[live, at], names[live, apex])
+            for k, c in zip(*np.nonzero(near), strict=True):
+                row = live[k]
+                if names[row, c] < low[k]:
+                    o, p, q, s = whole_numbers((ox[row], oy[row]), (x[row, at[k]], y[row, at[k]]), (x[row, apex[k]], y[row, apex[k]]), (x[row, c], y[row, c]))
+                    if inside(o, p, q, s) == 0:
+                        low[k] = names[row, c]
+            for name, value in (("row", live), ("one", at), ("two", apex), ("low", low), ("u", cx), ("v", cy), ("r", np.sqrt(r2))):
+                made[name].append(value)
             end = apex == first[live]
             closed[live[end]] = True
             live, at = live[~end], apex[~end]
-    join = lambda x, kind: np.concatenate([np.empty(0, kind), *x])
-    return *(join(x, np.int64) for x in (rows, ones, twos)), join(wide, float), join(least_name, np.int64), closed
+    kinds = {"row": np.int64, "one": np.int64, "two": np.int64, "low": np.int64, "end_row": np.int64}
+    return {k: np.concatenate([np.empty(0, kinds.get(k, float)), *parts]) for k, parts in made.items()}
+
+
+#: A row of a try: a triangle (or none) of an own point, and unless ``sure`` what must be empty for it: a circle (r), or what lies beyond
+#: a line through (x, y), further than -r, in the direction (nx, ny).
+_TRIED = "pid bigint, a bigint, b bigint, c bigint, sure boolean, x double, y double, r double, nx double, ny double"
 
 
 def _fan_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From cells, with their own points and all points in and around them, to triangles; a row without one for each point that
-    is to be tried again."""
+    """From tiles, with their own open points and all points in sight, to the rows of a try."""
     def flat(lists: pa.ListArray) -> tuple[np.ndarray, ...]:
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         inner = lists.flatten()
@@ -81,84 +152,175 @@ def _fan_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owned, pid, ox, oy = flat(batch.column("own"))
         held, ids, nx, ny = flat(batch.column("near"))
         cell = np.repeat(np.arange(batch.num_rows), owned)
-        reach, whole = (batch.column(c).to_numpy(zero_copy_only=False)[cell] for c in ("reach", "whole"))
+        box = [batch.column(c).to_numpy(zero_copy_only=False)[cell] for c in ("x0", "y0", "x1", "y1")]
         sizes, begins = held[cell], (np.cumsum(held) - held)[cell]
 
         def looked(part: np.ndarray, most: int | None) -> tuple[np.ndarray, pa.RecordBatch]:
-            """Fans of some points over the ``most`` nearest in sight, or all; the points that are left, and rows for the others."""
+            """Fans of some points over the ``most`` nearest in sight, or all; the points that need them all, and rows for the others."""
             width = int(sizes[part].max())
             at = np.minimum(begins[part][:, None] + np.arange(width), len(ids) - 1)
-            u, v = nx[at] - ox[part][:, None], ny[at] - oy[part][:, None]
-            far = u * u + v * v
-            seen = (np.arange(width) < sizes[part][:, None]) & (far > 0) & (far < (reach * reach)[part][:, None])
-            sight, all_seen = reach[part], whole[part]
+            far = np.hypot(nx[at] - ox[part][:, None], ny[at] - oy[part][:, None])
+            seen = (np.arange(width) < sizes[part][:, None]) & (far > 0)
+            span = np.where(seen, far, 0).max(1, initial=0)
+            sight = np.full(len(part), np.inf)
             if most:
                 far = np.where(seen, far, np.inf)
                 nearest = np.argpartition(far, most, axis=1)
                 # what is nearer than the nearest one left out has been taken
-                beyond = far[np.arange(len(part)), nearest[:, most]]
-                sight, all_seen = np.minimum(sight, np.sqrt(beyond)), all_seen & np.isinf(beyond)
-                u, v, at, seen = (np.take_along_axis(x, nearest[:, :most], 1) for x in (u, v, at, seen))
+                sight = far[np.arange(len(part)), nearest[:, most]]
+                at, seen = (np.take_along_axis(z, nearest[:, :most], 1) for z in (at, seen))
             names = np.where(ids[at] < 0, np.iinfo(np.int64).max, ids[at])
-            row, one, two, wide, low, closed = fans(u, v, seen, names)
-            sure = closed & (np.bincount(row, wide > sight[row], len(part)) == 0) | all_seen
-            a, b, c = pid[part][row], ids[at[row, one]], ids[at[row, two]]
-            keep = np.flatnonzero(sure[row] & (a < low))
-            return part[~sure], rows(part[row[keep]], np.sort(np.stack([a[keep], b[keep], c[keep]], 1), axis=1))
-
-        def rows(source: np.ndarray, tri: np.ndarray | None) -> pa.RecordBatch:
-            corners = [pa.nulls(len(source), pa.int64()) if tri is None else pa.array(tri[:, k]) for k in range(3)]
-            return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(cell[source])) for c in KEY), pa.array(pid[source]), *corners], [*KEY, "pid", "a", "b", "c"])
+            f = fans(ox[part], oy[part], nx[at], ny[at], seen, names)
+            row, end = f["row"], f["end_row"]
+            # fans over the nearest points are certain where all their circles are in what these cover
+            bad = np.bincount(row, ~(2.000001 * f["r"] < sight[row]), len(part)) + (np.bincount(end, minlength=len(part)) if np.isfinite(sight).any() else 0) * np.isfinite(sight) if most else np.zeros(len(part))
+            left = np.zeros(len(part), bool) | (bad > 0) if most else np.zeros(len(part), bool)
+            px, py = ox[part], oy[part]
+            with np.errstate(invalid="ignore", over="ignore"):
+                cx, cy, r = px[row] + f["u"], py[row] + f["v"], f["r"] * (1 + 1e-6)
+                lo_x, lo_y, hi_x, hi_y = (b[part][row] for b in box)
+                sure_circle = (cx - r >= lo_x) & (cx + r <= hi_x) & (cy - r >= lo_y) & (cy + r <= hi_y)
+            open_ = np.bincount(row, ~sure_circle, len(part)) + np.bincount(end, minlength=len(part)) > 0
+            a, b, c = pid[part][row], ids[at[row, f["one"]]], ids[at[row, f["two"]]]
+            ours = a < f["low"]
+            keep = np.flatnonzero(~left[row] & (ours | open_[row] & ~sure_circle))
+            tri = np.sort(np.stack([a, b, c], 1), axis=1)[keep]
+            wide = ~(f["r"][keep] <= FLAT * span[row[keep]])
+            longest = np.hypot(span[row[keep]], 0)
+            with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                length = np.hypot(f["u"][keep], f["v"][keep])
+                du, dv = f["u"][keep] / length, f["v"][keep] / length
+                # a flat circle's centre is too far to be told; the side of its far point is
+                slack = longest * longest / f["r"][keep]
+            unclear = wide & ~np.isfinite(du + dv)
+            du, dv, slack = np.where(unclear, 1.0, du), np.where(unclear, 0.0, dv), np.where(unclear, np.inf, slack + 1e-9 * longest)
+            ends = np.flatnonzero(~left[end])
+            made = {
+                "pid": np.concatenate([a[keep], pid[part][end[ends]]]), "sure": np.concatenate([~open_[row[keep]], np.zeros(len(ends), bool)]),
+                "x": np.concatenate([np.where(wide, px[row[keep]], cx[keep]), px[end[ends]]]), "y": np.concatenate([np.where(wide, py[row[keep]], cy[keep]), py[end[ends]]]),
+                "r": np.concatenate([np.where(wide, slack, r[keep]), np.zeros(len(ends))]), "nx": np.concatenate([np.where(wide, du, np.nan), f["end_u"][ends]]), "ny": np.concatenate([np.where(wide, dv, np.nan), f["end_v"][ends]]),
+            }
+            mine = ours[keep]
+            corners = [pa.array(np.concatenate([tri[:, k], np.zeros(len(ends), np.int64)]), mask=np.concatenate([~mine, np.ones(len(ends), bool)])) for k in range(3)]
+            source = pa.array(np.concatenate([cell[part[row[keep]]], cell[part[end[ends]]]]))
+            columns = [*(batch.column(k).take(source) for k in (*KEY, *OWN)), pa.array(made["pid"]), *corners, pa.array(made["sure"]), *(pa.array(made[k], from_pandas=True) for k in ("x", "y", "r", "nx", "ny"))]
+            return part[left], pa.RecordBatch.from_arrays(columns, [*KEY, *OWN, "pid", "a", "b", "c", "sure", "x", "y", "r", "nx", "ny"])
 
         left = np.arange(len(pid))
-        for most in (NEAREST, None):
-            order, start, open_ = left[np.argsort(sizes[left], kind="stable")], 0, []
+        for most in (*NEAREST, None):
+            order, start, open_points = left[np.argsort(sizes[left], kind="stable")], 0, []
             while start < len(order):
                 stop = start + 1
                 while stop < len(order) and (stop + 1 - start) * sizes[order[stop]] <= CELLS:
                     stop += 1
-                again, made = looked(order[start:stop], most if most and sizes[order[start]] > 2 * most else None)
-                open_.append(again)
-                yield made
+                again, rows = looked(order[start:stop], most if most and sizes[order[start]] > 1.5 * most else None)
+                open_points.append(again)
+                yield rows
                 start = stop
-            left = np.concatenate([np.empty(0, np.int64), *open_])
-        if len(left):
-            yield rows(left, None)
+            left = np.concatenate([np.empty(0, np.int64), *open_points])
+
 
+def frames(points: DataFrame) -> DataFrame:
+    """Per state its lower left corner and the width of the square that its quadtree divides."""
+    wide = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    return points.groupBy(*KEY).agg(F.min("x").alias("fx"), F.min("y").alias("fy"), F.greatest(wide, F.lit(1e-300)).alias("fw"))
 
-def _tried(points: DataFrame, active: DataFrame, radius: float) -> DataFrame:
-    """One try of the active points. ``radius`` is in units of a state's mean spacing."""
-    wide, high = F.max("x") - F.min("x"), F.max("y") - F.min("y")
-    spacing = F.greatest(F.sqrt(wide * high / F.count("*")), (wide + high) / F.count("*"), F.lit(1e-9))
-    size = points.groupBy(*KEY).agg((spacing * radius).alias("reach"), (spacing * radius > F.hypot(wide, high)).alias("whole"))
-    grid = lambda c: F.floor(F.col(c) / F.col("reach"))
+
+def _cell(column: str, corner: str):
+    """A coordinate's cell at the deepest level."""
+    return F.least(F.floor((F.col(column) - F.col(corner)) / F.col("fw") * float(1 << DEPTH)).cast("int"), F.lit((1 << DEPTH) - 1))
+
+
+def tiled(points: DataFrame, frame: DataFrame) -> DataFrame:
+    """Points with their tile (``lv``, ``cx``, ``cy``): the largest cell of the quadtree around them with at most TILE points. Points at one place stay together."""
+    rows = points.join(frame, KEY).withColumns({"ux": _cell("x", "fx"), "uy": _cell("y", "fy")}).select(*points.columns, "ux", "uy")
+    done, level = None, 0
+    while True:
+        last = min(level + STRIDE, DEPTH)
+        fine = rows.groupBy(*KEY, F.shiftright("ux", DEPTH - last).alias("gx"), F.shiftright("uy", DEPTH - last).alias("gy")).agg(F.count("*").alias("n"))
+        up = fine.withColumn("lv", F.explode(F.sequence(F.lit(level), F.lit(last)))).withColumns({c: F.expr(f"shiftright({g}, {last} - lv)") for c, g in (("cx", "gx"), ("cy", "gy"))})
+        fit = up.groupBy(*KEY, *OWN).agg(F.sum("n").alias("all")).where(F.col("all") <= TILE)
+        chosen = cut(fine.join(up.join(fit, [*KEY, *OWN]).groupBy(*KEY, "gx", "gy").agg(F.min("lv").alias("lv")), [*KEY, "gx", "gy"], "left").select(*KEY, "gx", "gy", F.coalesce("lv", F.lit(DEPTH if last == DEPTH else -1)).alias("lv")))
+        met = rows.withColumns({"gx": F.shiftright("ux", DEPTH - last), "gy": F.shiftright("uy", DEPTH - last)}).join(chosen, [*KEY, "gx", "gy"]).drop("gx", "gy")
+        found = met.where("lv >= 0").withColumns({c: F.expr(f"shiftright({g}, {DEPTH} - lv)") for c, g in (("cx", "ux"), ("cy", "uy"))}).drop("ux", "uy")
+        done = found if done is None else done.unionByName(found)
+        if chosen.where("lv < 0").isEmpty():
+            return done
+        rows, level = cut(met.where("lv < 0").drop("lv")), last
+
+
+def meeting(boxes: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Boxes (``bx0``, ``by0``, ``bx1``, ``by1``, beside other columns) with each tile that may meet them, as ``t_lv``, ``t_cx``, ``t_cy`` and its box. Both sides of the equi-join
+    are cells of the quadtree: a box looks in the at most four cells of its size, for tiles in them and for tiles around them. A pair
+    may come more than once."""
+    wide = F.greatest(F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0"), F.lit(1e-300))
+    level = F.greatest(F.lit(0), F.least(F.lit(DEPTH), F.floor(F.log2(F.col("fw") / wide)).cast("int")))
+    many = F.expr("shiftleft(1, ql)")
+    spread = boxes.withColumn("ql", level)
+    for c, low, high, corner in (("qx", "bx0", "bx1", "fx"), ("qy", "by0", "by1", "fy")):
+        cell = lambda v, corner=corner: F.least(F.greatest(F.floor((F.col(v) - F.col(corner)) / F.col("fw") * many), F.lit(0)), many - 1).cast("int")
+        spread = spread.withColumn(c, F.explode(F.sequence(cell(low), cell(high))))
+    named = tiles.select(*KEY, *[F.col(c).alias(f"t_{c}") for c in OWN], "tx0", "ty0", "tx1", "ty1")
+    below = named.withColumn("ql", F.explode(F.sequence(F.lit(0), F.col("t_lv")))).withColumns({q: F.expr(f"shiftright({t}, t_lv - ql)") for q, t in (("qx", "t_cx"), ("qy", "t_cy"))})
+    above = spread.where("ql > 0").withColumn("t_lv", F.explode(F.sequence(F.lit(0), F.col("ql") - 1))).withColumns({t: F.expr(f"shiftright({q}, ql - t_lv)") for q, t in (("qx", "t_cx"), ("qy", "t_cy"))})
+    cells = ["ql", "qx", "qy"]
+    found = spread.join(below, [*KEY, *cells]).drop(*cells).unionByName(above.drop(*cells).join(named, [*KEY, "t_lv", "t_cx", "t_cy"]))
+    return found.where("tx0 <= bx1 and tx1 >= bx0 and ty0 <= by1 and ty1 >= by0")
+
+
+def _unseen(tried: DataFrame, tiles: DataFrame, frame: DataFrame, known: DataFrame) -> DataFrame:
+    """The tiles not in sight that meet what must be empty: (K, tile, pid) with ``t_lv``, ``t_cx``, ``t_cy`` and their distance ``gap``."""
+    asked = tried.where("not sure").select(*KEY, *OWN, "pid", "x", "y", "r", "nx", "ny").join(frame, KEY)
+    half = F.col("nx").isNotNull()
+    ends = {n: F.when(half, F.col(c) + F.col("fw") * s).otherwise(F.col(v) + F.col("r") * k) for n, c, s, v, k in (("bx0", "fx", -1, "x", -1), ("by0", "fy", -1, "y", -1), ("bx1", "fx", 2, "x", 1), ("by1", "fy", 2, "y", 1))}
+    met = meeting(asked.withColumns(ends), tiles)
+    gx, gy = F.greatest(F.col("tx0") - F.col("x"), F.col("x") - F.col("tx1"), F.lit(0.0)), F.greatest(F.col("ty0") - F.col("y"), F.col("y") - F.col("ty1"), F.lit(0.0))
+    corner = lambda n, low, high, at: F.greatest(F.col(n) * (F.col(low) - F.col(at)), F.col(n) * (F.col(high) - F.col(at)))
+    beyond = corner("nx", "tx0", "tx1", "x") + corner("ny", "ty0", "ty1", "y") > -F.col("r")
+    met = met.withColumn("gap", gx * gx + gy * gy).where(F.when(half, beyond).otherwise(F.col("gap") <= F.col("r") * F.col("r")))
+    new = met.join(known, [*KEY, *OWN, "t_lv", "t_cx", "t_cy"], "left_anti")
+    return new.groupBy(*KEY, *OWN, "pid", "t_lv", "t_cx", "t_cy").agg(F.min("gap").alias("gap"))
+
+
+def _tried(points: DataFrame, active: DataFrame, known: DataFrame, reach: DataFrame) -> DataFrame:
+    """One try of the active points, by tiles with what these have in sight."""
     one = F.struct("pid", "x", "y")
-    cell = [*KEY, "cx", "cy"]
-    # a cell's points are looked at together, with those of the cells around it; their number is bounded by the density
-    own = active.join(size, KEY).groupBy(*KEY, "reach", "whole", grid("x").alias("cx"), grid("y").alias("cy")).agg(F.collect_list(one).alias("own"))
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    seen = points.join(size, KEY).withColumn("s", around).select(*KEY, (grid("x") + F.col("s.a")).alias("cx"), (grid("y") + F.col("s.b")).alias("cy"), "pid", "x", "y")
-    near = seen.join(own.select(*cell), cell, "left_semi").groupBy(*cell).agg(F.array_sort(F.collect_list(one)).alias("near"))
-    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-    met = own.join(near, cell).select(*KEY, "reach", "whole", "own", "near")
-    # few cells make much work here: a fixed number of tasks, which small data would not get
+    own = active.groupBy(*KEY, *OWN).agg(F.collect_list(one).alias("own"))
+    there = points.select(*KEY, *[F.col(c).alias(f"t_{c}") for c in OWN], "pid", "x", "y")
+    seen = known.join(own.select(*KEY, *OWN), [*KEY, *OWN], "left_semi").join(there, [*KEY, "t_lv", "t_cx", "t_cy"])
+    near = seen.groupBy(*KEY, *OWN).agg(F.collect_list(one).alias("near"))
+    met = own.join(near, [*KEY, *OWN]).join(reach, [*KEY, *OWN]).select(*KEY, *OWN, "x0", "y0", "x1", "y1", "own", "near")
+    # few tiles make much work here: a fixed number of tasks, which small data would not get
     met = met.repartition(max(8, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return met.mapInArrow(_fan_rows, ", ".join(f"{c} {kinds[c]}" for c in (*KEY, "pid")) + ", a bigint, b bigint, c bigint")
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    return met.mapInArrow(_fan_rows, ", ".join(f"{c} {kinds[c]}" for c in (*KEY, *OWN)) + ", " + _TRIED)
 
 
-def triangulate(points: DataFrame, radius: float = 3.0) -> DataFrame:
+def triangulate(points: DataFrame) -> DataFrame:
     """Triangles (a < b < c) of points (K, pid, x, y); negative ids are ring points, and triangles of these alone are left out."""
-    points = cut(points.select(*KEY, "pid", "x", "y"))
+    points = points.select(*KEY, "pid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    points = cut(points)
+    frame = cut(frames(points))
+    points = cut(tiled(points, frame))
+    tiles = cut(points.groupBy(*KEY, *OWN).agg(F.min("x").alias("tx0"), F.min("y").alias("ty0"), F.max("x").alias("tx1"), F.max("y").alias("ty1")))
+    # in sight first: the tiles within half a cell's width
+    margin = F.expr("fw / 2 / shiftleft(1, lv)")
+    reach = tiles.join(frame, KEY).select(*KEY, *OWN, "fx", "fy", "fw", *[(F.col(f"t{c}0") - margin).alias(f"b{c}0") for c in "xy"], *[(F.col(f"t{c}1") + margin).alias(f"b{c}1") for c in "xy"])
+    known = cut(meeting(reach, tiles).select(*KEY, *OWN, "t_lv", "t_cx", "t_cy").distinct())
+    reach = cut(reach.select(*KEY, *OWN, *[F.col(f"b{c}").alias(c) for c in ("x0", "y0", "x1", "y1")]))
     active, found = points.where("pid >= 0"), None
     while True:
-        tried = cut(_tried(points, active, radius))
-        made = tried.where("a is not null").select(*KEY, "a", "b", "c")
+        tried = cut(_tried(points, active, known, reach))
+        unseen = cut(_unseen(tried, tiles, frame, known))
+        again = unseen.select(*KEY, "pid").distinct()
+        made = tried.where("a is not null").join(again, [*KEY, "pid"], "left_anti").select(*KEY, "a", "b", "c")
         found = made if found is None else found.unionByName(made)
-        again = tried.where("a is null").select(*KEY, "pid")
-        if again.isEmpty():
+        if unseen.isEmpty():
             return found
+        nearest = F.row_number().over(Window.partitionBy(*KEY, *OWN, "pid").orderBy("gap", "t_lv", "t_cx", "t_cy"))
+        taken = unseen.withColumn("k", nearest).where(F.col("k") <= TAKEN).select(*known.columns).distinct()
         active = points.join(again, [*KEY, "pid"], "left_semi")
-        radius *= 2
+        known = cut(known.unionByName(taken))
 
 
 def edges_of(triangles: DataFrame) -> DataFrame:

@@ -253,8 +253,13 @@ def ellipse_points(states: DataFrame, spacing: float = 0.1, gamma: str = "gamma"
     into = F.col("__s") - F.col("__k") * F.col("__quarter")
     rows = rows.withColumn("__goal", F.when(F.col("__k") % 2 == 0, into).otherwise(F.col("__quarter") - into))
     start = math.pi / 2 * F.col("__goal") / F.col("__quarter")
-    newton = lambda t, _: F.greatest(F.lit(0.0), F.least(F.lit(math.pi / 2), t - (arc(t) - F.col("__goal")) / speed(t)))
-    rows = rows.withColumn("__t", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, newton))
+    def newton(state: Column, _: Column) -> Column:
+        """A step, unless the last one was too small to count."""
+        t = state["t"]
+        moved = lambda by: F.struct(F.greatest(F.lit(0.0), F.least(F.lit(math.pi / 2), t - by)).alias("t"), (F.abs(by) > 1e-13).alias("on"))
+        return F.when(~state["on"], state).otherwise(F.transform(F.array((arc(t) - F.col("__goal")) / speed(t)), moved)[0])
+
+    rows = rows.withColumn("__t", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(start.alias("t"), F.lit(True).alias("on")), newton)["t"])
     x = a * F.cos("__t") * F.when(F.col("__k").isin(1, 2), -1).otherwise(1)
     y = b * F.sin("__t") * F.when(F.col("__k").isin(2, 3), -1).otherwise(1)
     rows = rows.withColumns({"__x": x, "__y": y})

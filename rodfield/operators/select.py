@@ -169,12 +169,29 @@ def null_masked(value: str | Column, mask: Column, reverse: bool = False) -> Col
     return F.when(~mask if reverse else mask, value)
 
 
+def value_at_rank(rows: DataFrame, value: str, rank: str, by: list[str] = KEY, levels: int = 2, bins: int = 1024) -> DataFrame:
+    """Per group the value at a rank (from 0, ascending) as ``at_rank``, by selection: values are counted in bins over the group's range, only the bin that the rank falls
+    in is kept, and so once more; the values left are counted as they are. No group is sorted. Null values are left out."""
+    now = rows.select(*by, F.col(value).cast("double").alias("__v"), F.col(rank).cast("long").alias("__k")).where("__v is not null")
+    for _ in range(levels):
+        ends = now.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        bin_ = F.coalesce(F.least(F.floor(F.try_divide(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
+        binned = now.join(ends, by).withColumn("__bin", bin_).drop("__lo", "__hi")
+        counts = binned.groupBy(*by, "__bin").agg(F.count("*").alias("__n"), F.first("__k").alias("__k"))
+        upto = F.sum("__n").over(Window.partitionBy(*by).orderBy("__bin"))
+        kept = counts.withColumn("__upto", upto).where("__upto - __n <= __k and __k < __upto").select(*by, F.col("__bin"), (F.col("__k") - F.col("__upto") + F.col("__n")).alias("__new"))
+        now = binned.join(kept, [*by, "__bin"]).select(*by, "__v", F.col("__new").alias("__k"))
+    counts = now.groupBy(*by, "__v").agg(F.count("*").alias("__n"), F.first("__k").alias("__k"))
+    upto = F.sum("__n").over(Window.partitionBy(*by).orderBy("__v"))
+    return counts.withColumn("__upto", upto).where("__upto - __n <= __k and __k < __upto").select(*by, F.col("__v").alias("at_rank"))
+
+
 def y_rank_mask(particles: DataFrame, n_inner: Column, scaled: bool = False) -> DataFrame:
     """Adds ``y_rank``: |y| at or above a threshold taken at a rank, half way out to the box. Needs columns a, b and n;
     ``n_inner`` is the rank."""
     rank = F.greatest(F.least(F.bround(n_inner).cast("int"), F.col("n").cast("int") - 1), F.lit(0))
     height = F.try_divide(F.abs("y"), F.sqrt(F.col("a") * F.col("a") - F.col("x") * F.col("x"))) + 0.01 if scaled else F.abs("y")
-    rows = particles.withColumn("__h", height).withColumn("__at", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("__h"), "pid")) - 1)
-    rows = rows.withColumn("__c", F.max(F.when(F.col("__at") == rank, F.col("__h"))).over(Window.partitionBy(*KEY)))
-    level = F.col("__c") if scaled else F.col("b") - 0.5 * (F.col("b") - F.col("__c"))
-    return rows.withColumn("y_rank", F.col("__h") >= level).drop("__h", "__at", "__c")
+    rows = particles.withColumns({"__h": height, "__low": -height, "__rank": rank})
+    rows = rows.join(value_at_rank(rows, "__low", "__rank").withColumnRenamed("at_rank", "__c"), KEY, "left")
+    level = -F.col("__c") if scaled else F.col("b") - 0.5 * (F.col("b") + F.col("__c"))
+    return rows.withColumn("y_rank", F.col("__h") >= level).drop("__h", "__low", "__rank", "__c")

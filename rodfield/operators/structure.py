@@ -12,6 +12,7 @@ from rodfield.config import DISK_SPACING, KEY
 from rodfield.functions.columns import axis_angle, r_phi, to_col
 from rodfield.operators.delaunay import collapse, edges_of
 from rodfield.operators.graph import both_ways, vote
+from rodfield.operators.select import value_at_rank
 from rodfield.plans.lineage import cut
 
 
@@ -101,8 +102,8 @@ def segment_rank_mask(orders: DataFrame, edges: DataFrame, states: DataFrame, di
     majority votes; all 1 from the critical packing fraction on."""
     rows = orders.select(*KEY, "pid", F.col(distance).alias("__l")).join(states.select(*KEY, F.col("n").alias("__n"), r_phi("phi").alias("__r")), KEY)
     rank = F.greatest(F.least(F.bround(F.col("__n") * F.col("__r")), F.col("__n") - 1), F.lit(0))
-    rows = rows.withColumn("__at", F.row_number().over(Window.partitionBy(*KEY).orderBy("__l", "pid")) - 1)
-    rows = rows.withColumn("__c", F.max(F.when(F.col("__at") == rank, F.col("__l"))).over(Window.partitionBy(*KEY)))
+    rows = rows.withColumn("__k", rank)
+    rows = rows.join(value_at_rank(rows, "__l", "__k").withColumnRenamed("at_rank", "__c"), KEY)
     labels = rows.select(*KEY, "pid", (F.col("__l") <= F.col("__c")).cast("int").alias("flag"), (F.col("__r") >= 1).alias("__all"))
     voted = vote(labels, edges, "flag", rounds)
     return voted.select(*KEY, "pid", F.when(F.col("__all"), 1).otherwise(F.col("flag")).alias("flag"))

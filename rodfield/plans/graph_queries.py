@@ -363,7 +363,7 @@ def p1(spark, d):
 FROM m p JOIN m q ON p.ensemble_id = q.ensemble_id AND p.replica = q.replica AND p.idx = q.idx AND p.pid <= q.pid GROUP BY ALL""")
 def p2(spark, d):
     f = A.particles(spark, d).withColumn("u", F.cos(2 * F.col("t")) + 2).withColumn("v", F.abs("x") + 1)
-    return P.pair_correlation(f, "u", "v", ["ensemble_id", "idx"]).groupBy(*KEY).agg(F.count("*").alias("pairs"), r(F.sum("c"), 5).alias("c"))
+    return rounded(P.correlation_sums(f, "u", "v", ["ensemble_id", "idx"]), "c", digits=5)
 
 
 ANGULAR = f"{BASE}, c AS (SELECT p.ensemble_id, p.replica, p.idx, {RPQ} AS r, cos(2*(p.t - q.t)) AS c {PAIRS} AND p.pid <= q.pid)"
@@ -371,11 +371,11 @@ ANGULAR = f"{BASE}, c AS (SELECT p.ensemble_id, p.replica, p.idx, {RPQ} AS r, co
 
 @query("P3_P5_binned_angular", f"{ANGULAR}, m AS (SELECT {K}, min(r) AS lo, max(r) AS hi FROM c GROUP BY ALL), b AS (SELECT c.*, lo, hi, CAST(floor((r - 1e-6 - lo)/((hi - lo)/50)) AS INTEGER) AS bin FROM c JOIN m USING ({K})) SELECT {K}, bin, round(min(lo) + (bin + 0.5)*(min(hi - lo)/50) + 1e-6, 6) AS x, round(avg(c), 6) + 0.0 AS y FROM b WHERE bin BETWEEN 0 AND 49 GROUP BY {K}, bin")
 def p3(spark, d):
-    return rounded(P.bin_average(P.angular_correlation(A.particles(spark, d)), "r", "c", 50, KEY), "x", "y")
+    return rounded(P.pair_bins(A.particles(spark, d), ["x", "y", "t"], P.aligned, 50), "x", "y")
 
 
 @query("P4_rod_pair_distance", f"{BASE} SELECT {PK}, round(avg({segdist_sql('(1 - 1/1.7)', 'p', 'q')}), 5) AS mean_rod, round(avg({RPQ}), 5) AS mean_centre {PAIRS} AND p.pid < q.pid GROUP BY {PK}")
 def p4(spark, d):
     f = A.particles(spark, d).withColumn("gamma", F.lit(1.7))
-    rows = P.all_pairs(f, ["t", "gamma"]).where("pid_i < pid_j")
-    return rows.groupBy(*KEY).agg(r(F.avg(P.rod_distance()), 5).alias("mean_rod"), r(F.avg(P.centre_distance()), 5).alias("mean_centre"))
+    rows = P.pair_means(f, ["x", "y", "t", "gamma"], {"mean_rod": P.rods, "mean_centre": P.centres}).where("pairs > 0")
+    return rounded(rows.drop("pairs"), "mean_rod", "mean_centre", digits=5)

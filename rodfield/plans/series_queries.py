@@ -175,7 +175,7 @@ RPQ = "sqrt((p.x - q.x)*(p.x - q.x) + (p.y - q.y)*(p.y - q.y))"
 
 @query("P6_smoothed_correlation", f"WITH {particles_sql()}, f AS (SELECT * FROM particles), c AS (SELECT p.ensemble_id, p.replica, p.idx, {RPQ} AS r, cos(2*(p.t - q.t)) AS c {PQ}), {BIN_SQL.format(bins=50)}, {_smooth_sql(50, 2.0).format(source='bn', **BY3)} SELECT {K}, bin, round(y, 6) + 0.0 AS y FROM sm")
 def p6(spark, d):
-    binned = P.bin_average(P.angular_correlation(A.particles(spark, d)), "r", "c", 50, KEY)
+    binned = P.pair_bins(A.particles(spark, d), ["x", "y", "t"], P.aligned, 50)
     return rounded(P.gaussian_smooth(binned, "y", 2.0, KEY), "y").select(*KEY, "bin", "y")
 
 
@@ -185,5 +185,5 @@ c AS (SELECT p.ensemble_id, p.replica, p.idx, {RPQ} AS r, (p.u - p.mu)*(q.u - q.
 def p7(spark, d):
     chosen = B.index_interval(A.states(spark, d), upper_phi=0.36).where("idx % 20 = 0").select(*KEY)
     f = A.particles(spark, d).where("idx % 20 = 0").join(chosen, KEY, "left_semi").withColumn("u", F.cos(2 * F.col("t")) + 2)
-    binned = P.bin_average(P.pair_correlation(f, "u", "u", ["ensemble_id", "idx"]), "r", "c", 1000, KEY)
+    binned = P.pair_bins(P.deviations(f, "u", "u", ["ensemble_id", "idx"]), ["x", "y", "a", "b", "k"], P.product, 1000)
     return rounded(P.gaussian_smooth(binned, "y", 5.0, KEY), "y").select(*KEY, "bin", "y")

@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rodfield.llm._common import cut, fresh, text_of
+from rodfield.llm._common import cut, fresh, stored, text_of
 
 #: Where lines end (after the match of this pattern), and what counts as white space at a line's ends.
 LINE_END, WHITE = r"(?<=\n)", " \t\n\r\x0b\f"
@@ -111,7 +111,7 @@ def _first_copies(asked: DataFrame, members: DataFrame) -> DataFrame:
     there = members.join(lengths, ["level", "a", "b"]).withColumn("at", F.expr("cast(pos + m - shiftleft(1, level) AS int)"))
     there = there.join(tails, F.col("doc").eqNullSafe(F.col("d2")) & F.expr("mark = k2 AND level = l2 AND at = p2"))
     same = ["level", "a", "b", "m", "a2", "b2"]
-    there = cut(there.select(*same, "doc", "mark", "pos"))
+    there = stored(there.select(*same, "doc", "mark", "pos"))
     firsts = there.groupBy(*same).agg(F.min(_order()).alias("first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
     found = there.join(firsts, same).where(_order() != F.col("first"))
     return found.select(F.col("doc").alias("d0"), F.col("mark").alias("k0"), F.col("pos").alias("p0"), F.col("m").alias("m0"), F.col("first.doc").alias("copy_of"))
@@ -126,7 +126,7 @@ def longest_copies(levels: list[DataFrame], members: DataFrame) -> DataFrame:
     rows = rows.withColumn("stretch", F.col("pos") - F.row_number().over(Window.partitionBy("doc", "mark").orderBy("pos")))
     last = F.max("pos").over(Window.partitionBy("doc", "mark", "stretch")) + 1
     size = F.expr("shiftleft(1, level)")
-    rows = cut(_narrowed(rows.withColumns({"low": F.col("pos") + size, "high": F.least(F.col("pos") + 2 * size - 1, last)})))
+    rows = stored(_narrowed(rows.withColumns({"low": F.col("pos") + size, "high": F.least(F.col("pos") + 2 * size - 1, last)})))
     ends = F.transform(F.sequence(F.lit(1), F.lit(PARTS - 1)), lambda i: (F.col("low") + F.ceil((F.col("high") - F.col("low")) * i / PARTS)).cast("int"))
     here = F.expr("doc <=> d0 AND mark = k0 AND pos = p0")
     while not (open_ := rows.where("low < high")).isEmpty():
@@ -136,7 +136,7 @@ def longest_copies(levels: list[DataFrame], members: DataFrame) -> DataFrame:
         reached = F.coalesce(F.col("pos") + F.col("m0"), F.col("low"))
         missed = F.array_min(F.filter(ends, lambda e: e > reached)) - 1
         met = met.withColumns({"__low": reached, "__high": F.when(F.col("low") < F.col("high"), F.coalesce(missed, F.col("high"))).otherwise(F.col("high"))})
-        rows = cut(_narrowed(met.select(*[c for c in rows.columns if c not in ("low", "high")], F.col("__low").alias("low"), F.col("__high").alias("high"))))
+        rows = stored(_narrowed(met.select(*[c for c in rows.columns if c not in ("low", "high")], F.col("__low").alias("low"), F.col("__high").alias("high"))))
     return rows.select("doc", "mark", "pos", "place", "level", "a", "b", "copy_of", "stretch", F.col("low").alias("end"))
 
 
@@ -144,10 +144,10 @@ def maximal_runs(levels: list[DataFrame]) -> DataFrame:
     """Maximal runs that occur before: ``doc``, ``mark``, places of their first and last line (``from``, ``to``), ``lines``, and the document
     of their first copy (``copy_of``)."""
     # nothing is asked about classes of single lines, whose lengths are known
-    members = cut(reduce(DataFrame.unionByName, [rows.select(F.lit(k).alias("level"), "a", "b", "doc", "mark", "pos") for k, rows in enumerate(levels)]).where("level > 0"))
+    members = stored(reduce(DataFrame.unionByName, [rows.select(F.lit(k).alias("level"), "a", "b", "doc", "mark", "pos") for k, rows in enumerate(levels)]).where("level > 0"))
     rows = longest_copies(levels, members)
     before = F.lag("end").over(Window.partitionBy("doc", "mark", "stretch").orderBy("pos"))
-    starts = cut(rows.withColumn("__before", before).where("__before is null or end > __before").withColumn("m", F.col("end") - F.col("pos")).drop("__before"))
+    starts = stored(rows.withColumn("__before", before).where("__before is null or end > __before").withColumn("m", F.col("end") - F.col("pos")).drop("__before"))
     longer = _first_copies(starts.where("m > shiftleft(1, level)"), members).withColumnRenamed("copy_of", "__of")
     found = starts.join(longer, F.expr("doc <=> d0 AND mark = k0 AND pos = p0 AND m = m0"), "left").withColumn("copy_of", F.when(F.col("m0").isNull(), F.col("copy_of")).otherwise(F.col("__of")))
     ends = rows.select(F.col("doc").alias("d2"), F.col("mark").alias("k2"), F.col("pos").alias("p2"), F.col("place").alias("to"))

@@ -104,23 +104,52 @@ def savgol(df: DataFrame, window: int, order: int, value: str = "y", by: list[st
 
 def prominent_peak(df: DataFrame, value: str = "y", at: str = "idx") -> DataFrame:
     """Per series the peak of highest prominence: ``peak`` (place; the middle of a flat top), ``height``, ``prominence``.
-    Of equal ones the first. Series without an inner peak are left out."""
+    Of equal ones the first. Series without an inner peak are left out.
+
+    One pass over the series' maxima and the least value before each, with a stack of the maxima that nothing higher has followed yet."""
     order = Window.partitionBy(*SIM).orderBy("__p")
-    rows = df.where(F.col(value).isNotNull()).select(*SIM, F.col(at).alias("__at"), F.col(value).alias("v"))
+    rows = df.where(F.col(value).isNotNull()).select(*SIM, F.col(at).alias("__at"), F.col(value).cast("double").alias("v"))
     rows = rows.withColumn("__p", F.row_number().over(Window.partitionBy(*SIM).orderBy("__at")))
     rows = rows.withColumn("__new", F.coalesce((F.col("v") != F.lag("v").over(order)).cast("int"), F.lit(1))).withColumn("__run", F.sum("__new").over(order))
-    runs = rows.groupBy(*SIM, "__run").agg(F.first("v").alias("v"), F.min("__p").alias("__a"), F.max("__p").alias("__z"))
+    run = Window.partitionBy(*SIM, "__run")
+    middle = F.row_number().over(run.orderBy("__p")) == F.floor((F.count("*").over(run) + 1) / 2)
     by_run = Window.partitionBy(*SIM).orderBy("__run")
-    peaks = runs.withColumns({"l": F.lag("v").over(by_run), "r": F.lead("v").over(by_run)}).where("l < v and r < v").select(*SIM, "__run", "v", F.floor((F.col("__a") + F.col("__z")) / 2).alias("__m"))
-    others = runs.select(*SIM, F.col("__run").alias("o"), F.col("v").alias("w"))
-    met = peaks.join(others, SIM)
-    bounds = met.groupBy(*SIM, "__run", "v", "__m").agg(F.max(F.when((F.col("w") > F.col("v")) & (F.col("o") < F.col("__run")), F.col("o"))).alias("lo"), F.min(F.when((F.col("w") > F.col("v")) & (F.col("o") > F.col("__run")), F.col("o"))).alias("hi"))
-    met = bounds.join(others, SIM).where("(lo is null or o > lo) and (hi is null or o < hi)")
-    low = met.groupBy(*SIM, "__run", "v", "__m").agg(F.min(F.when(F.col("o") < F.col("__run"), F.col("w"))).alias("left"), F.min(F.when(F.col("o") > F.col("__run"), F.col("w"))).alias("right"))
-    found = low.withColumn("prominence", F.col("v") - F.greatest("left", "right"))
-    best = found.groupBy(*SIM).agg(F.max_by(F.struct("__m", "v", "prominence"), F.struct("prominence", -F.col("__m"))).alias("b"))
-    places = rows.select(*SIM, F.col("__p").alias("__m"), F.col("__at").alias("peak"))
-    return best.select(*SIM, "b.__m", F.col("b.v").alias("height"), "b.prominence").join(places, [*SIM, "__m"]).select(*SIM, "peak", "height", "prominence")
+    runs = rows.withColumn("__mid", middle).where("__mid").withColumns({"l": F.lag("v").over(by_run), "r": F.lead("v").over(by_run)})
+    # the ends of a series bound prominences, but are no peaks
+    runs = runs.withColumn("__top", (F.col("l").isNull() | (F.col("l") < F.col("v"))) & (F.col("r").isNull() | (F.col("r") < F.col("v"))))
+    runs = runs.withColumn("__group", F.coalesce(F.sum(F.col("__top").cast("int")).over(by_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inner = F.when(F.col("__top") & F.col("l").isNotNull() & F.col("r").isNotNull(), F.col("__at"))
+    tops = runs.groupBy(*SIM, "__group").agg(F.max(F.when(F.col("__top"), F.col("v"))).alias("v"), F.max(inner).alias("at"), F.min(F.when(~F.col("__top"), F.col("v"))).alias("low"))
+    series = tops.groupBy(*SIM).agg(F.array_sort(F.collect_list(F.struct("__group", "v", "at", "low"))).alias("tops"), F.max("at").alias("__some"))
+    place = rows.schema["__at"].dataType.simpleString()
+    best = f"struct<prominence:double,before:{place},height:double>"
+
+    def passed(kept, low, popped):
+        """The best peak once those popped, the latest first, have something higher on their right, and the least value passed."""
+        start = F.struct(kept.alias("best"), low.alias("low"))
+
+        def one(s, e):
+            prominence = e["v"] - F.greatest(e["left"], s["low"])
+            found = F.when(e["at"].isNotNull(), F.struct(prominence.alias("prominence"), (-e["at"]).alias("before"), e["v"].alias("height")))
+            return F.struct(F.greatest(s["best"], found.cast(best)).alias("best"), F.least(s["low"], e["low"]).alias("low"))
+
+        return F.aggregate(F.reverse(popped), start, one)
+
+    def step(s, e):
+        v = F.coalesce(e["v"], F.lit(float("inf")))
+        done = passed(s["best"], e["low"], F.filter(s["stack"], lambda q: q["v"] < v))
+        rest = F.filter(s["stack"], lambda q: q["v"] >= v)
+        top = F.try_element_at(rest, F.lit(-1))
+        # an equal maximum is no bound: what was least before it counts on
+        left = F.when(top["v"] == v, F.least(top["left"], done["low"])).otherwise(done["low"])
+        new = F.struct(v.alias("v"), e["at"].alias("at"), done["low"].alias("low"), left.alias("left"))
+        return F.struct(F.concat(rest, F.array(new)).alias("stack"), done["best"].alias("best"))
+
+    stack = F.array().cast(f"array<struct<v:double,at:{place},low:double,left:double>>")
+    end = F.struct(F.lit(None).cast("long").alias("__group"), F.lit(None).cast("double").alias("v"), F.lit(None).cast(place).alias("at"), F.lit(None).cast("double").alias("low"))
+    given = F.concat("tops", F.array(end))
+    made = series.where("__some is not null").withColumn("__b", F.aggregate(given, F.struct(stack.alias("stack"), F.lit(None).cast(best).alias("best")), step)["best"])
+    return made.select(*SIM, (-F.col("__b.before")).cast(place).alias("peak"), F.col("__b.height").alias("height"), F.col("__b.prominence").alias("prominence"))
 
 
 def power_fit(df: DataFrame, level: float = 0.9999, window: int = 9, order: int = 2) -> DataFrame:

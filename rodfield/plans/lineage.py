@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: dict[tuple[str, str, str], str] = {}
+#: The state of the source and the path of each table made, by session, source and name.
+_made: dict[tuple[str, str, str], tuple[str, str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,12 +34,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table derived from a source, written once a session in the shared folder and read by all queries that need it."""
+def _state(spark: SparkSession, table: str) -> str:
+    """Names, sizes and times of a table's files, so that a table that is written anew counts as another."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(table)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()
+
+
+def shared(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame], table: str = "embeddings.parquet") -> DataFrame:
+    """What is derived from a source's table, written once a session in the shared folder and read by all queries that need it, until one
+    of that table's files changes. The first query that needs it runs the job while its plan is built."""
     key = (spark.sparkContext.applicationId, source, name)
-    if key not in _made:
+    state = _state(spark, f"{source}/{table}")
+    if _made.get(key, ("", ""))[0] != state:
         token = spark.sql("SELECT uuid()").first()[0]
         path = f"{shared_folder(spark)}/{name}-{token}"
         build().write.parquet(path)
-        _made[key] = path
-    return spark.read.parquet(_made[key])
+        _made[key] = (state, path)
+    return spark.read.parquet(_made[key][1])
+
+
+def forget(spark: SparkSession, source: str | None = None) -> None:
+    """Deletes the session's shared tables of a source, or all; plans that read them end."""
+    for key in [k for k in _made if k[0] == spark.sparkContext.applicationId and source in (None, k[1])]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop(key)[1])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

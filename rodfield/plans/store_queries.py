@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -85,7 +87,7 @@ def w1(spark, d):
     S.append(A.read(spark, d, "events").select("event_id", "event_type", "value").repartition(4, "event_id"), source)
     stream = W.read(spark, source, spark.read.parquet(source).schema, 2).withColumnRenamed("event_type", "ensemble_id")
     W.keep_table(W.summaries(stream, ["ensemble_id"], "value"), target, marks)
-    return rounded(W.kept(spark, target), "total", digits=2)
+    return rounded(W.kept(spark, target, ["ensemble_id"]), "total", digits=2)
 
 
 @query("W2_stream_plateaus", f"""{C}, h AS (SELECT *, CAST(coalesce(y < 20 OR 1 - y/nullif(lag(y, 4) OVER w, 0) < 0.05, false) AS INTEGER) AS h FROM curves WINDOW w AS (PARTITION BY ensemble_id, replica ORDER BY idx)),
@@ -104,8 +106,13 @@ def w2(spark, d):
 
 @query("U1_per_ensemble", f"{BASE} SELECT ensemble_id, round(max(phi) - min(phi), 6) AS span FROM states GROUP BY 1")
 def u1(spark, d):
-    f = lambda t: pd.DataFrame({"ensemble_id": t["ensemble_id"].iloc[:1], "span": [t["phi"].max() - t["phi"].min()]})
-    return rounded(H.per_ensemble(A.states(spark, d).select("ensemble_id", "phi"), f, "ensemble_id string, span double"), "span")
+    def span(batches):
+        name, low, high = None, math.inf, -math.inf
+        for t in batches:
+            name, low, high = t["ensemble_id"].iloc[0], min(low, t["phi"].min()), max(high, t["phi"].max())
+        yield pd.DataFrame({"ensemble_id": [name], "span": [high - low]})
+
+    return rounded(H.per_ensemble_in_batches(A.states(spark, d).select("ensemble_id", "phi"), span, "ensemble_id string, span double"), "span")
 
 
 @query("U2_per_state", f"WITH {particles_sql()} SELECT {K}, round(median(x), 6) + 0.0 AS middle FROM particles GROUP BY ALL")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 64) -> DataFrame:
@@ -22,57 +22,83 @@ def summaries(states: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def keep_table(stream: DataFrame, target: str, checkpoint: str):
-    """Writes each batch's complete result as a version of the table, until what is there has been read. The last version before it
-    stays, so that there is a whole one at any time; :func:`kept` reads the newest."""
-    spark = stream.sparkSession
+    """Writes what each batch changed, the touched keys only, as a version of the table, until what is there has been read. A batch that is
+    run again writes its version again, so nothing is counted twice; :func:`kept` reads each key's newest row."""
 
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/version={n}")
-        if n >= 2:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/version={n - 2}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
-    query = stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     return query
 
 
-def kept(spark: SparkSession, target: str) -> DataFrame:
-    """The newest version of a kept table."""
+def kept(spark: SparkSession, target: str, by: list[str]) -> DataFrame:
+    """A kept table: of each key the row of its newest version."""
     rows = spark.read.parquet(target)
-    return rows.join(F.broadcast(rows.agg(F.max("version").alias("version"))), "version").drop("version")
+    names = [c for c in rows.columns if c != "version"]
+    values = [c for c in names if c not in by]
+    return rows.groupBy(*by).agg(F.max_by(F.struct(*values), "version").alias("__v")).select(*by, *[F.col(f"__v.{c}").alias(c) for c in values]).select(*names)
+
+
+def compact(spark: SparkSession, source: str, target: str, by: list[str]) -> None:
+    """Writes a kept table as one version, the newest, in another folder, in which later batches go on."""
+    last = spark.read.parquet(source).agg(F.max("version")).first()[0]
+    kept(spark, source, by).write.mode("overwrite").parquet(f"{target}/version={last}")
+
+
+class _Plateau(StatefulProcessor):
+    """The last stride - 1 values and the length of the present run by series; a series whose plateau was found keeps its mark only."""
+
+    def __init__(self, by: list[str], least: float, slope: float, stride: int, occurrence: int) -> None:
+        self.by, self.least, self.slope, self.stride, self.occurrence = by, least, slope, stride, occurrence
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getListState("recent", "y double")
+        self.run = handle.getValueState("run", "length int, found boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        run, found = self.run.get() if self.run.exists() else (0, False)
+        if found:
+            return
+        recent = [y for (y,) in self.recent.get()] if self.recent.exists() else []
+        at, points = None, pd.concat(list(rows)).sort_values("idx")
+        for idx, y in zip(points["idx"], points["y"]):
+            before = y if self.stride == 1 else recent[0] if len(recent) == self.stride - 1 else None
+            flat = y < self.least or (before is not None and before != 0 and 1 - y / before < self.slope * self.stride)
+            run = run + 1 if flat else 0
+            recent = (recent + [float(y)])[-(self.stride - 1):] if self.stride > 1 else []
+            if run >= self.occurrence:
+                at = int(idx)
+                break
+        self.run.update((run, at is not None))
+        if at is not None:
+            self.recent.clear()
+            yield pd.DataFrame({c: [k] for c, k in zip(self.by, key)} | {"at": pd.array([at], dtype="Int32")})
+        elif recent:
+            self.recent.put([(y,) for y in recent])
+
+    def close(self) -> None:
+        pass
 
 
 def plateaus(points: DataFrame, by: list[str], least: float = 1e-3, slope: float = 1e-6, stride: int = 100, occurrence: int = 10) -> DataFrame:
     """Per series the first ``idx`` at which the value ``y`` has been flat ``occurrence`` times in a row, emitted once.
-    State: the last stride - 1 values and the length of the present run. Points of a series must arrive in order of ``idx``
-    over batches; within one batch they are sorted."""
+    Points of a series must arrive in order of ``idx`` over batches; within one batch they are sorted."""
     kinds = {f.name: f.dataType for f in points.schema.fields}
     out = T.StructType([T.StructField(c, kinds[c]) for c in by] + [T.StructField("at", T.IntegerType())])
-    kept = T.StructType([T.StructField("recent", T.ArrayType(T.DoubleType())), T.StructField("run", T.IntegerType()), T.StructField("done", T.BooleanType())])
-
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent, run, done = state.get if state.exists else ([], 0, False)
-        recent, found = list(recent), None
-        rows = pd.concat(list(parts)).sort_values("idx")
-        for idx, y in zip(rows["idx"], rows["y"]):
-            if done:
-                break
-            before = recent[0] if stride > 1 and len(recent) == stride - 1 else y if stride == 1 else None
-            flat = y < least or (before is not None and before != 0 and 1 - y / before < slope * stride)
-            run = run + 1 if flat else 0
-            recent = (recent + [float(y)])[-(stride - 1):] if stride > 1 else []
-            if run >= occurrence:
-                done, found = True, int(idx)
-        state.update((recent, run, done))
-        if found is not None:
-            yield pd.DataFrame({c: [k] for c, k in zip(by, key)} | {"at": pd.array([found], dtype="Int32")})
-
-    return points.select(*by, "idx", "y").groupBy(*by).applyInPandasWithState(update, out, kept, "append", GroupStateTimeout.NoTimeout)
+    grouped = points.select(*by, "idx", "y").groupBy(*by)
+    return grouped.transformWithStateInPandas(_Plateau(by, least, slope, stride, occurrence), out, "append", "none")
 
 
 def collect_to(stream: DataFrame, target: str, checkpoint: str):
-    """Appends what a stream emits to a table, until what is there has been read."""
-    query = stream.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    """Appends what a stream emits to a table, until what is there has been read. State is kept in RocksDB, so it need not fit in memory."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = stream.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        conf.set(name, before)
     return query

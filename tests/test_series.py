@@ -61,3 +61,37 @@ def test_empty_series(spark):
 
 def test_replica_names():
     assert store.replica_name("run_a_12.parquet") == ("run_a", 12) and store.replica_name("run.parquet") is None
+
+
+def plain_peak(ys):
+    """Prominence by looking left and right from every flat top."""
+    best = None
+    i = 0
+    while i < len(ys):
+        j = i
+        while j + 1 < len(ys) and ys[j + 1] == ys[i]:
+            j += 1
+        if 0 < i and j < len(ys) - 1 and ys[i - 1] < ys[i] > ys[j + 1]:
+            sides = []
+            for side in (ys[:i][::-1], ys[j + 1 :]):
+                low = ys[i]
+                for v in side:
+                    if v > ys[i]:
+                        break
+                    low = min(low, v)
+                sides.append(low)
+            found = (ys[i] - max(sides), -((i + j) // 2))
+            best = max(best, found) if best else found
+        i = j + 1
+    return best and (-best[1], best[0])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_peak_by_plain_loops(spark, seed):
+    rng = np.random.default_rng(seed)
+    made = {f"s{n}": [float(v) for v in rng.integers(-4, 3 + 4 * (n % 3), int(rng.integers(0, 40)))] for n in range(60)}
+    made |= {"down": [float(-v) for v in range(500)], "saw": [float((v % 2) * (500 - v)) for v in range(500)], "equal": [0.0, 5.0, 1.0, 5.0, 2.0, 5.0, 0.0], "one": [1.0]}
+    rows = [(name, 0, i, float(i), y) for name, ys in made.items() for i, y in enumerate(ys)]
+    df = spark.createDataFrame(rows, "ensemble_id string, replica int, idx int, x double, y double")
+    found = {r.ensemble_id: (r.peak, r.prominence) for r in S.prominent_peak(df).collect()}
+    assert found == {name: p for name, ys in made.items() if (p := plain_peak(ys))}

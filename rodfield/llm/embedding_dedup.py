@@ -69,18 +69,26 @@ def _unit(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _gaps(c: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors from each other, too large by at most some 1e-6, never too small: cells x cells, whatever their length."""
+    return np.sqrt(np.maximum(0.0, 2 - 2 * (c @ c.T)) + 1e-12)
+
+
 def _assign(points: DataFrame, centroids: dict[int, np.ndarray], threshold: float) -> DataFrame:
     """For each point its cell, and the cells that it visits."""
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
     sent = points.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        between = {}
         for batch in batches:
             for size, part in batch.groupby(batch["v"].map(len)):
                 c = sent.value.get(size)
                 if c is None:
                     c = np.eye(1, size)
-                gaps = np.linalg.norm(c[:, None] - c[None], axis=2)
+                if size not in between:
+                    between[size] = _gaps(c)
+                gaps = between[size]
                 for start in range(0, len(part), 4096):
                     rows = part.iloc[start : start + 4096]
                     dots = _unit(rows["v"].tolist()) @ c.T

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rodfield.llm import bpe, chat_format, jaccard_join, packing, quality, queries
 from rodfield.llm.chunks import read_ranks
-from rodfield.llm.embedding_dedup import link
+from rodfield.llm.embedding_dedup import _gaps, link
 from rodfield.llm.fingerprint import add, compare_with_edits, fingerprint, subtract
 from rodfield.llm.html_extract import extract, extract_main_text
 from rodfield.llm.license_scan import license_digest, rules, scan_licenses
@@ -659,3 +659,20 @@ def test_pipeline_stages(spark, tmp_path):
         kept = docs.count()
     pieces = corpus_pipeline.packing(spark, docs, SF)
     assert pieces.select("doc_id").distinct().count() == kept
+
+
+def test_gaps_are_never_too_small():
+    rng = np.random.default_rng(3)
+    c = rng.normal(size=(40, 16))
+    c[20:] = c[:20] + rng.normal(size=(20, 16)) * 1e-6
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    true = np.linalg.norm(c[:, None] - c[None], axis=2)
+    assert (_gaps(c) >= true).all() and np.abs(_gaps(c) - true).max() < 2e-6
+
+
+def test_embedding_lengths_of_several_kinds(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=4 + i % 3) * 0.3 + 1).tolist()) for i in range(90)]
+    got = {r.vec_id: r.n_links for r in link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    assert [got[i] for i in range(90)] == [sum(len(u) == len(v) and i != j and u @ v >= 0.95 for j, v in enumerate(unit)) for i, u in enumerate(unit)]

@@ -5,14 +5,11 @@ A window over a series is partitioned by it, so work spreads over series; a seri
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rodfield.config import SIM
-from rodfield.operators.aggregate import with_range
 
 
 def _order():
@@ -232,56 +229,65 @@ def at_places(df: DataFrame, places: list[float], x: str = "x", values: tuple[st
     return rows.select(*SIM, "place", *[(F.col(v) + share * (F.col(f"__{v}") - F.col(v))).alias(v) for v in values])
 
 
-# cubic splines: the one step that needs a solver, in Python by series
-
-
-def spline_values(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Cubic spline with continuous third derivative at the second and last but one point; NaN outside [x0, xn]. Fewer
-    than four points: the polynomial through them."""
-    n = len(x)
-    if n < 4:
-        found = np.polyval(np.polyfit(x - x[0], y, n - 1), at - x[0])
-    else:
-        h, s = np.diff(x), np.diff(y) / np.diff(x)
-        # unknown second derivatives m1 .. m(n-2); the outer ones follow from the end conditions
-        low, mid, up, rhs = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(s)
-        mid[0] += h[0] + h[0] * h[0] / h[1]
-        up[0] -= h[0] * h[0] / h[1]
-        mid[-1] += h[-1] + h[-1] * h[-1] / h[-2]
-        low[-1] -= h[-1] * h[-1] / h[-2]
-        for i in range(1, n - 2):
-            f = low[i] / mid[i - 1]
-            mid[i] -= f * up[i - 1]
-            rhs[i] -= f * rhs[i - 1]
-        m = np.zeros(n)
-        for i in range(n - 3, -1, -1):
-            m[i + 1] = (rhs[i] - (up[i] * m[i + 2] if i < n - 3 else 0.0)) / mid[i]
-        m[0] = m[1] - h[0] / h[1] * (m[2] - m[1])
-        m[-1] = m[-2] + h[-1] / h[-2] * (m[-2] - m[-3])
-        k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
-        u, v = at - x[k], x[k + 1] - at
-        found = (m[k] * v**3 + m[k + 1] * u**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * v + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * u
-    return np.where((at < x[0]) | (at > x[-1]), np.nan, found)
-
-
-def grid_size(low: float, high: float, step: float) -> int:
-    return max(2, math.ceil((high - low) / step))
+def spline_pieces(df: DataFrame) -> DataFrame:
+    """The cubic spline through each series' points, by series and point in order of x: ``k``, the point (x, y) and the next one (x1, y1), null
+    after the last, and the second derivatives ``m`` and ``m1`` at both. The third derivative is continuous at the second and the last but one
+    point; fewer than four points: the polynomial through them. Of points with equal x the least y counts.
+
+    The second derivatives are two folds over a series' inner points, which eliminate and put back in."""
+    order = Window.partitionBy(*SIM).orderBy("x")
+    rows = df.groupBy(*SIM, "x").agg(F.min("y").alias("y"))
+    rows = rows.withColumns({"__p": F.row_number().over(order) - 1, "__n": F.count("*").over(_whole()), "hb": F.col("x") - F.lag("x").over(order), "hf": F.lead("x").over(order) - F.col("x")})
+    rows = rows.withColumns({"sb": (F.col("y") - F.lag("y").over(order)) / F.col("hb"), "sf": (F.lead("y").over(order) - F.col("y")) / F.col("hf")})
+    # the outer second derivatives follow from the inner ones
+    first, last = F.col("__p") == 1, F.col("__p") == F.col("__n") - 2
+    hb, hf = F.col("hb"), F.col("hf")
+    low = hb - F.when(last, hf * hf / hb).otherwise(0.0)
+    up = hf - F.when(first, hb * hb / hf).otherwise(0.0)
+    mid = 2 * (hb + hf) + F.when(first, hb + hb * hb / hf).otherwise(0.0) + F.when(last, hf + hf * hf / hb).otherwise(0.0)
+    rows = rows.withColumns({"low": low, "up": up, "mid": mid, "rhs": 6 * (F.col("sf") - F.col("sb"))})
+    series = rows.groupBy(*SIM).agg(F.array_sort(F.collect_list(F.struct("__p", "x", "y", "hb", "hf", "low", "up", "mid", "rhs"))).alias("q")).withColumn("n", F.size("q"))
+
+    def eliminate(done: Column, q: Column) -> Column:
+        before = F.try_element_at(done, F.lit(-1))
+        mid = q["mid"] - F.coalesce(q["low"] * before["c"], F.lit(0.0))
+        return F.concat(done, F.array(F.struct((q["up"] / mid).alias("c"), ((q["rhs"] - F.coalesce(q["low"] * before["d"], F.lit(0.0))) / mid).alias("d"))))
+
+    def back(found: Column, e: Column) -> Column:
+        later = F.try_element_at(found, F.lit(-1))
+        return F.concat(found, F.array(e["d"] - F.coalesce(e["c"] * later, F.lit(0.0))))
+
+    inner = F.slice("q", 2, F.greatest(F.col("n") - 2, F.lit(0)))
+    series = series.withColumn("__e", F.when(F.col("n") >= 4, F.aggregate(inner, F.array().cast("array<struct<c:double,d:double>>"), eliminate)))
+    series = series.withColumn("__i", F.reverse(F.aggregate(F.reverse("__e"), F.array().cast("array<double>"), back)))
+    at = lambda k: F.get("__i", k)
+    ends = F.get("q", F.lit(1)), F.get("q", F.col("n") - 2)
+    head = at(F.lit(0)) - ends[0]["hb"] / ends[0]["hf"] * (at(F.lit(1)) - at(F.lit(0)))
+    tail = at(F.col("n") - 3) + ends[1]["hf"] / ends[1]["hb"] * (at(F.col("n") - 3) - at(F.col("n") - 4))
+    # two points: a line; three: a parabola, whose second derivative is one number
+    flat = F.when(F.col("n") == 3, ends[0]["rhs"] / (3 * (ends[0]["hb"] + ends[0]["hf"]))).otherwise(0.0)
+    series = series.withColumn("__m", F.when(F.col("n") >= 4, F.concat(F.array(head), "__i", F.array(tail))).otherwise(F.array_repeat(flat, F.col("n"))))
+    nth = lambda name, k: F.get("q", k)[name]
+    piece = lambda q, k: F.struct(k.alias("k"), q["x"].alias("x"), q["y"].alias("y"), nth("x", k + 1).alias("x1"), nth("y", k + 1).alias("y1"), F.get("__m", k).alias("m"), F.get("__m", k + 1).alias("m1"))
+    return series.select(*SIM, F.inline(F.transform("q", piece)))
 
 
 def spline_resample(df: DataFrame, step: float) -> DataFrame:
     """Each series on its ensemble's regular grid over [min x, max x], ends included, with a spacing of about ``step``:
     ``j``, ``x``, ``y``; y is null outside the series' own range. Points without x or y are left out."""
-    clean = df.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
-    rows = with_range(clean.select(*SIM, "x", "y"), "x", ["ensemble_id"], "low", "high").select(*SIM, "x", "y", "low", "high")
-
-    def one(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("x").drop_duplicates("x")
-        low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
-        grid = np.linspace(low, high, grid_size(low, high, step))
-        y = spline_values(pdf["x"].to_numpy(), pdf["y"].to_numpy(), grid)
-        return pd.DataFrame({"ensemble_id": key[0], "replica": key[1], "j": np.arange(len(grid)), "x": grid, "y": pd.array(y, dtype="Float64")})
-
-    made = rows.groupBy(*SIM).applyInPandas(one, "ensemble_id string, replica int, j int, x double, y double")
-    return made.withColumn("y", F.when(~F.isnan("y"), F.col("y")))
+    clean = df.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")).select(*SIM, "x", "y")
+    span = clean.groupBy("ensemble_id").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    span = span.withColumn("__last", F.greatest(F.ceil((F.col("high") - F.col("low")) / step), F.lit(2)).cast("int") - 1)
+    rows = spline_pieces(clean).join(span.withColumn("__w", (F.col("high") - F.col("low")) / F.col("__last")), "ensemble_id")
+    # a piece takes the places of the grid from its point to the next; the outer ones those beyond, too
+    cell = lambda x: F.try_divide(F.col(x) - F.col("low"), F.col("__w"))
+    from_ = F.when(F.col("k") == 0, 0).otherwise(F.greatest(F.floor(cell("x")) - 1, F.lit(0)))
+    to = F.when(F.col("x1").isNull(), F.col("__last")).otherwise(F.least(F.ceil(cell("x1")) + 1, F.col("__last")))
+    rows = rows.withColumn("j", F.explode(F.sequence(from_.cast("int"), to.cast("int"))))
+    rows = rows.withColumn("__g", F.when(F.col("j") == F.col("__last"), F.col("high")).otherwise(F.col("low") + F.col("j") * F.col("__w")))
+    g, h = F.col("__g"), F.col("x1") - F.col("x")
+    rows = rows.where(((F.col("k") == 0) | (g >= F.col("x"))) & (F.col("x1").isNull() | (g < F.col("x1"))))
+    u, v = g - F.col("x"), F.col("x1") - g
+    curve = (F.col("m") * v * v * v + F.col("m1") * u * u * u) / (6 * h) + (F.col("y") / h - F.col("m") * h / 6) * v + (F.col("y1") / h - F.col("m1") * h / 6) * u
+    y = F.when(g < F.col("x"), None).when(F.col("x1").isNotNull(), curve).when(g == F.col("x"), F.col("y"))
+    return rows.select(*SIM, "j", g.alias("x"), y.alias("y"))

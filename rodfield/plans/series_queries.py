@@ -45,9 +45,27 @@ def r3(spark, d):
     return S.plateau(A.curves(spark, d), least=20.0, slope=0.01, stride=5, occurrence=5)
 
 
-@query("R4_spline_grid")
+#: Splines by first derivatives k at the points, from the recursion down the rows and up again; h, s: width and slope of the piece that follows.
+SPLINE_SQL = f"""pt AS MATERIALIZED (SELECT ensemble_id, replica, row_number() OVER v - 1 AS p, x, y, count(*) OVER (PARTITION BY ensemble_id, replica) AS n, lead(x) OVER v AS x1, lead(y) OVER v AS y1,
+  lead(x) OVER v - x AS h, (lead(y) OVER v - y)/(lead(x) OVER v - x) AS s FROM curves WHERE x IS NOT NULL AND y IS NOT NULL WINDOW v AS (PARTITION BY ensemble_id, replica ORDER BY x)),
+nb AS (SELECT *, lag(h) OVER v AS hb, lag(s) OVER v AS sb, lag(h, 2) OVER v AS hbb, lag(s, 2) OVER v AS sbb, lead(h) OVER v AS ha, lead(s) OVER v AS sa FROM pt WINDOW v AS (PARTITION BY ensemble_id, replica ORDER BY p)),
+eq AS MATERIALIZED (SELECT ensemble_id, replica, p, n, CASE WHEN p = 0 THEN 0 WHEN p = n - 1 THEN hb + hbb ELSE h END AS lo, CASE WHEN p = 0 THEN ha WHEN p = n - 1 THEN hbb ELSE 2*(hb + h) END AS mi,
+  CASE WHEN p = 0 THEN h + ha WHEN p = n - 1 THEN 0 ELSE hb END AS up, CASE WHEN p = 0 THEN ((3*h + 2*ha)*ha*s + h*h*sa)/(h + ha) WHEN p = n - 1 THEN (hb*hb*sbb + (2*hbb + 3*hb)*hbb*sb)/(hb + hbb) ELSE 3*(h*sb + hb*s) END AS rh FROM nb WHERE n >= 4),
+dn AS (SELECT ensemble_id, replica, p, n, up/mi AS c, rh/mi AS d FROM eq WHERE p = 0
+  UNION ALL SELECT e.ensemble_id, e.replica, e.p, e.n, e.up/(e.mi - e.lo*f.c), (e.rh - e.lo*f.d)/(e.mi - e.lo*f.c) FROM dn f JOIN eq e ON e.ensemble_id = f.ensemble_id AND e.replica = f.replica AND e.p = f.p + 1),
+ks AS (SELECT ensemble_id, replica, p, d AS k FROM dn WHERE p = n - 1
+  UNION ALL SELECT e.ensemble_id, e.replica, e.p, e.d - e.c*f.k FROM ks f JOIN dn e ON e.ensemble_id = f.ensemble_id AND e.replica = f.replica AND e.p = f.p - 1),
+few AS (SELECT ensemble_id, replica, p, CASE WHEN n = 2 THEN coalesce(s, sb) WHEN p = 0 THEN s - h*(sa - s)/(h + ha) WHEN p = 1 THEN sb + hb*(s - sb)/(hb + h) ELSE sb + hb*(sb - sbb)/(hb + hbb) END AS k FROM nb WHERE n < 4),
+sl AS MATERIALIZED (SELECT * FROM ks UNION ALL SELECT * FROM few),
+pc AS (SELECT a.*, b.k, lead(b.k) OVER (PARTITION BY a.ensemble_id, a.replica ORDER BY a.p) AS k1 FROM pt a JOIN sl b USING (ensemble_id, replica, p)),
+sp AS (SELECT ensemble_id, min(x) AS low, max(x) AS high, greatest(2, CAST(ceil((max(x) - min(x))/2.5) AS INTEGER)) AS m FROM pt GROUP BY 1),
+gr AS (SELECT ensemble_id, replica, CAST(j AS INTEGER) AS j, CASE WHEN j = m - 1 THEN high ELSE low + j*((high - low)/(m - 1)) END AS g FROM (SELECT DISTINCT ensemble_id, replica FROM pt) JOIN sp USING (ensemble_id), LATERAL (SELECT unnest(range(m)) AS j)),
+on_ AS (SELECT q.ensemble_id, q.replica, q.j, CASE WHEN a.h IS NULL THEN a.y ELSE (1 + 2*(g - a.x)/a.h)*((a.x1 - g)/a.h)**2*a.y + (g - a.x)*((a.x1 - g)/a.h)**2*a.k + ((g - a.x)/a.h)**2*(1 + 2*(a.x1 - g)/a.h)*a.y1 + ((g - a.x)/a.h)**2*(g - a.x1)*a.k1 END AS y
+  FROM gr q JOIN pc a ON a.ensemble_id = q.ensemble_id AND a.replica = q.replica AND q.g >= a.x AND (q.g < a.x1 OR a.x1 IS NULL AND q.g = a.x))"""
+
+
+@query("R4_spline_grid", f"{C.replace('WITH ', 'WITH RECURSIVE ', 1)}, {SPLINE_SQL} SELECT ensemble_id, replica, j, round(g, 6) AS x, round(y, 6) AS y FROM gr LEFT JOIN on_ USING (ensemble_id, replica, j)")
 def r4(spark, d):
-    """Tested against polynomials that a spline must reproduce; SQL has no splines."""
     return rounded(S.spline_resample(A.curves(spark, d), 2.5), "x", "y")
 
 

@@ -13,13 +13,68 @@ def series(spark, ys, name="s", replica=0):
     return spark.createDataFrame([(name, replica, i, float(i), y) for i, y in enumerate(ys)], "ensemble_id string, replica int, idx int, x double, y double")
 
 
-def test_spline_reproduces_cubics_and_is_null_outside():
+def points(spark, made):
+    """Series from {name: (x, y)}; each its own ensemble."""
+    rows = [(name, 0, i, float(a), float(b)) for name, (xs, ys) in made.items() for i, (a, b) in enumerate(zip(xs, ys, strict=True))]
+    return spark.createDataFrame(rows, "ensemble_id string, replica int, idx int, x double, y double")
+
+
+def on_grid(spark, made, step):
+    found = S.spline_resample(points(spark, made), step).orderBy("ensemble_id", "j").toPandas()
+    return {name: part[["x", "y"]].to_numpy(dtype=float).T for name, part in found.groupby("ensemble_id")}
+
+
+def test_spline_reproduces_cubics(spark):
     x = np.array([0.0, 0.7, 1.5, 3.0, 3.4, 5.0])
     f = lambda t: t**3 - 2 * t**2 + 0.5 * t + 3
-    at = np.linspace(0, 5, 23)
-    assert np.allclose(S.spline_values(x, f(x), at), f(at))
-    assert np.isnan(S.spline_values(x, f(x), np.array([-0.1, 5.1]))).all()
-    assert np.allclose(S.spline_values(x[:2], x[:2] * 2, np.array([0.35])), [0.7])
+    made = {"cubic": (x, f(x)), "four": (x[:4], f(x[:4])), "three": (x[:3], x[:3] ** 2), "two": (x[:2], x[:2] * 2), "one": (x[2:3], [4.0])}
+    found = on_grid(spark, made, 0.21)
+    assert len(found["cubic"][0]) == 24 and found["cubic"][0][[0, -1]].tolist() == [0.0, 5.0]
+    for name, g in (("cubic", f), ("four", f), ("three", np.square), ("two", lambda t: 2 * t)):
+        assert np.allclose(found[name][1], g(found[name][0]), atol=1e-10), name
+    assert found["one"].tolist() == [[1.5, 1.5], [4.0, 4.0]]
+
+
+def dense_spline(x, y, at):
+    """Cubics of all pieces as one system: values, equal first and second derivatives, equal third ones at the outer inner points."""
+    n = len(x) - 1
+    rows, rhs = [], []
+
+    def row(p, t, order, sign=1.0):
+        """The derivative of piece p at x[t]."""
+        r, u = np.zeros(4 * n), x[t] - x[p]
+        for e in range(order, 4):
+            r[4 * p + e] = sign * np.prod(np.arange(e - order + 1, e + 1)) * u ** (e - order)
+        return r
+
+    for p in range(n):
+        rows += [row(p, p, 0), row(p, p + 1, 0)]
+        rhs += [y[p], y[p + 1]]
+    for p in range(n - 1):
+        rows += [row(p, p + 1, d) + row(p + 1, p + 1, d, -1.0) for d in (1, 2)]
+        rhs += [0.0, 0.0]
+    for p in (0, n - 2):
+        rows.append(row(p, p + 1, 3) + row(p + 1, p + 1, 3, -1.0))
+        rhs.append(0.0)
+    c = np.linalg.solve(np.array(rows), np.array(rhs)).reshape(n, 4)
+    k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 1)
+    return sum(c[k, e] * (at - x[k]) ** e for e in range(4))
+
+
+def test_splines_by_a_dense_system(spark):
+    rng = np.random.default_rng(4)
+    made = {f"s{n}": (np.cumsum(rng.uniform(0.2, 3, n)), rng.normal(0, 5, n)) for n in (4, 5, 6, 9, 40)}
+    for name, (g, y) in on_grid(spark, made, 0.37).items():
+        assert np.allclose(y, dense_spline(*made[name], g), atol=1e-7), name
+
+
+def test_splines_of_odd_series(spark):
+    """Null outside a series' own range; points without x or y count as absent; of points with equal x the least y counts; order is of no account."""
+    rows = [("e", 0, float(i), float(i * i)) for i in (3, 0, 1, 4, 2)] + [("e", 1, 1.0, 5.0), ("e", 1, 2.0, 7.0), ("e", 1, 2.0, 9.0), ("e", 1, None, 1.0), ("e", 1, 3.0, None), ("e", 1, float("nan"), 1.0), ("e", 2, None, None)]
+    df = spark.createDataFrame([(e, r, 0, x, y) for e, r, x, y in rows], "ensemble_id string, replica int, idx int, x double, y double")
+    found = {(r.replica, r.j): (r.x, r.y) for r in S.spline_resample(df, 0.8).collect()}
+    assert [found[0, j] for j in range(5)] == [(float(j), pytest.approx(j * j, abs=1e-12)) for j in range(5)]
+    assert [found[1, j][1] for j in range(5)] == [None, 5.0, 7.0, None, None] and len(found) == 10
 
 
 def test_ellipse_points_have_equal_arcs(spark):

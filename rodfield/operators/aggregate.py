@@ -28,14 +28,21 @@ def to_curves(df: DataFrame, ops: list[str], x: str) -> DataFrame:
     return df.select(*KEY, F.col(x).alias("x"), F.explode(F.create_map(*[e for op in ops for e in (F.lit(op), F.col(op))])).alias("op", "value"))
 
 
-def replica_mean(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Mean over replicas and 95 % radius by Student's t; the radius is null for a single sample."""
+def replica_mean(df: DataFrame, value: str, by: list[str], **also: Column) -> DataFrame:
+    """Mean over replicas and 95 % radius by Student's t; the radius is null for a single sample. ``also``: further aggregates by name."""
     clean = F.when(~F.isnan(F.col(value)), F.col(value))
-    rows = df.groupBy(*by).agg(F.avg(clean).alias("mean"), F.stddev_samp(clean).alias("__s"), F.count(clean).alias("__n"))
+    rows = df.groupBy(*by).agg(F.avg(clean).alias("mean"), F.stddev_samp(clean).alias("__s"), F.count(clean).alias("__n"), *[c.alias(n) for n, c in also.items()])
     ci = F.when(F.col("__n") > 1, t_quantile(F.col("__n") - 1) * F.col("__s") / F.sqrt("__n"))
     return rows.withColumn("ci", ci).drop("__s", "__n")
 
 
+def report_curves(means: DataFrame, states: DataFrame, ops: list[str], x: str, averaged: bool = False) -> DataFrame:
+    """A report's curves from means by state: (K, x, op, value), or averaged over replicas (ensemble_id, idx, op, mean, ci, x), x being the
+    first replica's. Ensembles without states have no rows; an order parameter that is null in all replicas has a null mean."""
+    curves = to_curves(means.join(states.select(*KEY, x), KEY), ops, x)
+    return replica_mean(curves, "value", ["ensemble_id", "idx", "op"], x=F.min_by("x", "replica")) if averaged else curves
+
+
 def band(df: DataFrame) -> DataFrame:
     """Lower and upper ends of the confidence band."""
     return df.withColumns({"low": F.col("mean") - F.col("ci"), "high": F.col("mean") + F.col("ci")})

@@ -228,6 +228,14 @@ def best_gamma_cubic(bonds: DataFrame, directors: DataFrame, steps: int = 21) ->
     return best.join(found, KEY, "left")
 
 
+def circle_points(states: DataFrame, radius: Column, spacing: float = 0.1) -> DataFrame:
+    """Points at equal arcs of about ``spacing`` on a circle around each state: ``g``, ``x``, ``y``. Their number follows from the
+    circumference, halves to even; circles too small for one point have none."""
+    rows = states.select(*KEY, radius.alias("__r")).withColumn("__n", F.bround(2 * math.pi * F.col("__r") / spacing).cast("int")).where("__n > 0")
+    rows = rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).withColumn("__t", 2 * math.pi * F.col("g") / F.col("__n"))
+    return rows.select(*KEY, "g", (F.col("__r") * F.cos("__t")).alias("x"), (F.col("__r") * F.sin("__t")).alias("y"))
+
+
 #: Nodes and weights of the quadrature of arcs.
 _NODES, _WEIGHTS = (x.tolist() for x in np.polynomial.legendre.leggauss(20))
 

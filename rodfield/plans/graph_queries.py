@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 
 from rodfield.config import KEY
 from rodfield.functions import columns as C
+from rodfield.operators import aggregate as G
 from rodfield.operators import delaunay as T
 from rodfield.operators import graph as N
 from rodfield.operators import pairs as P
 from rodfield.operators import structure as S
 from rodfield.operators import order as D
-from rodfield.plans.base_queries import BASE, S_GLOBAL_SQL, K, r, rounded
+from rodfield.plans.base_queries import BASE, S_GLOBAL_SQL, T_SQL, K, r, rounded
 from rodfield.plans.lineage import shared
 from rodfield.sources import adapters as A
+from rodfield.sources import store
 
 QUERIES, ORACLES = {}, {}
 
@@ -111,6 +113,12 @@ def c2(spark, d):
     return rounded(A.ring(A.states(spark, d)), "x", "y")
 
 
+@query("C2_circle_points", f"{BASE}, c AS (SELECT *, greatest(a, b) + 1/gamma AS rad, CAST(round_even(2*pi()*(greatest(a, b) + 1/gamma)/0.1, 0) AS INTEGER) AS m FROM states), p AS (SELECT *, CAST(unnest(range(m)) AS INTEGER) AS g FROM c) SELECT {K}, g, round(rad*cos(2*pi()*g/m), 6) + 0.0 AS x, round(rad*sin(2*pi()*g/m), 6) + 0.0 AS y FROM p")
+def c2_circle(spark, d):
+    """Points by the circumference, a rod's half length beyond the longer axis."""
+    return rounded(S.circle_points(A.states(spark, d), F.greatest("a", "b") + 1 / F.col("gamma")), "x", "y")
+
+
 #: Triangles from the definition of a joined pair: the largest angles over it on both sides sum to pi at most. The apexes of those angles are
 #: the third corners. Ring points: 24 on a circle.
 POINTS_SQL = f"""pts AS MATERIALIZED (SELECT {K}, pid, x, y FROM particles UNION ALL SELECT {K}, -1 - g, ring_r*cos(2*pi()*g/24 + 0.01), ring_r*sin(2*pi()*g/24 + 0.01) FROM states, range(24) t(g)),
@@ -273,10 +281,14 @@ def d24(spark, d):
 SEVEN = {"phi4": "Phi4", "phi6": "Phi6", "s_local": "S_local", "s_global": "S_global", "elliptic": "EllipticPhi6", "mean_distance": "MeanSegmentDist", "defect": "defect"}
 
 
-def report(orders_, particles_):
+def state_means(orders_, particles_):
     """Means of the seven order parameters by ensemble, replica and state."""
     rows = orders_.join(D.s_global(particles_).select(*KEY, "pid", "S_global"), [*KEY, "pid"]).withColumn("defect", 1 - F.col("C6"))
-    return rounded(rows.groupBy(*KEY).agg(*[F.avg(c).alias(n) for n, c in SEVEN.items()]), *SEVEN)
+    return rows.groupBy(*KEY).agg(*[F.avg(c).alias(n) for n, c in SEVEN.items()])
+
+
+def report(orders_, particles_):
+    return rounded(state_means(orders_, particles_), *SEVEN)
 
 
 @query("G6_D28_report", f"{ORDERS_SQL}, {S_GLOBAL_SQL} SELECT {K}, round(avg(phi4), 6) AS phi4, round(avg(phi6), 6) AS phi6, round(avg(s_local), 6) AS s_local, round(avg(v), 6) AS s_global, round(avg(ephi6), 6) AS elliptic, round(avg(mean_distance), 6) AS mean_distance, round(avg(1 - CASE WHEN NOT on_boundary THEN CAST(z = 6 AS DOUBLE) END), 6) AS defect FROM orders LEFT JOIN elliptic USING ({K}, pid) JOIN sg USING ({K}, pid) GROUP BY ALL")
@@ -284,6 +296,23 @@ def g6(spark, d):
     return report(orders(spark, d), A.particles(spark, d))
 
 
+MEANS_SQL = f"""means AS (SELECT {K}, avg(phi4) AS phi4, avg(phi6) AS phi6, avg(s_local) AS s_local, avg(v) AS s_global, avg(ephi6) AS elliptic, avg(mean_distance) AS mean_distance,
+  avg(1 - CASE WHEN NOT on_boundary THEN CAST(z = 6 AS DOUBLE) END) AS defect FROM orders LEFT JOIN elliptic USING ({K}, pid) JOIN sg USING ({K}, pid) GROUP BY ALL),
+long AS (SELECT * FROM means UNPIVOT INCLUDE NULLS (v FOR op IN (phi4, phi6, s_local, s_global, elliptic, mean_distance, defect)))"""
+
+
+@query("G6_averaged_report", f"{ORDERS_SQL}, {S_GLOBAL_SQL}, {MEANS_SQL}, {T_SQL}, zs AS (SELECT ensemble_id, idx, op, min_by(phi, replica) AS x, avg(v) AS mean, stddev_samp(v) AS sd, count(v) AS c FROM long JOIN states USING ({K}) GROUP BY 1, 2, 3) SELECT ensemble_id, idx, op, round(x, 6) AS x, round(mean, 6) AS mean, round(q*sd/sqrt(c), 6) AS ci, 'phi' AS x_name FROM zs LEFT JOIN tq ON dof = c - 1")
+def g6_averaged(spark, d):
+    """The report over all ensembles, averaged over replicas, saved by order parameter and read back."""
+    return saved_report(spark, state_means(orders(spark, d), A.particles(spark, d)), A.states(spark, d))
+
+
+def saved_report(spark, means, states):
+    target = store.scratch(spark, "report")
+    store.save_results(G.report_curves(means, states, list(SEVEN), "phi", averaged=True), target, "phi")
+    return rounded(store.open_results(spark, target), "x", "mean", "ci").select("ensemble_id", "idx", "op", "x", "mean", "ci", "x_name")
+
+
 @query("G12_paired_samples", f"{ORDERS_SQL} SELECT {K}, pid, round(farthest, 6) AS farthest, round(s_local, 6) AS s_local FROM orders JOIN states USING ({K}) WHERE phi < 0.24")
 def g12(spark, d):
     low = A.states(spark, d).where("phi < 0.24").select(*KEY)

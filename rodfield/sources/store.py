@@ -62,7 +62,7 @@ def append(df: DataFrame, target: str) -> None:
 
 
 def save_results(curves: DataFrame, target: str, x_name: str) -> None:
-    """Curves (K, x, op, value) with the name of their x axis, by order parameter."""
+    """Curves, averaged or not, with the name of their x axis, by order parameter (``op``)."""
     curves.withColumn("x_name", F.lit(x_name)).write.partitionBy("op").mode("errorifexists").parquet(target)
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rodfield.operators import aggregate as A
 from rodfield.operators import series as S
 from rodfield.operators import structure as G
 from rodfield.sources import store
@@ -150,3 +151,27 @@ def test_peak_by_plain_loops(spark, seed):
     df = spark.createDataFrame(rows, "ensemble_id string, replica int, idx int, x double, y double")
     found = {r.ensemble_id: (r.peak, r.prominence) for r in S.prominent_peak(df).collect()}
     assert found == {name: p for name, ys in made.items() if (p := plain_peak(ys))}
+
+
+def test_circles_by_their_circumference(spark):
+    rows = spark.createDataFrame([("e", 0, 0, 1.0), ("e", 0, 1, 0.035), ("e", 0, 2, 0.001)], "ensemble_id string, replica int, idx int, rad double")
+    points = G.circle_points(rows, F.col("rad"), 0.1).toPandas()
+    assert points.groupby("idx").size().to_dict() == {0: 63, 1: 2}  # 62.83 and 2.199; 0.06 rounds to none
+    p = points[points.idx == 0].sort_values("g")[["x", "y"]].to_numpy()
+    assert np.allclose(np.hypot(*p.T), 1) and np.allclose(np.hypot(*(np.roll(p, -1, 0) - p).T), 2 * np.sin(np.pi / 63)) and np.allclose(p[0], [1, 0])
+
+
+def test_report_averages_saves_and_leaves_out_empty_ensembles(spark):
+    """Two replicas with the first's x; a null value counts as no sample; a run without states, or an ensemble, has no rows."""
+    means = spark.createDataFrame([("e", 0, 0, 1.0, None), ("e", 1, 0, 3.0, None), ("e", 0, 1, 5.0, 2.0), ("gone", 0, 0, 9.0, 9.0)], "ensemble_id string, replica int, idx int, p double, q double")
+    states = spark.createDataFrame([("e", 0, 0, 0.1), ("e", 1, 0, 0.2), ("e", 0, 1, 0.3), ("empty", 0, 0, 0.4)], "ensemble_id string, replica int, idx int, phi double")
+    raw = {(r.ensemble_id, r.replica, r.idx, r.op): (r.x, r.value) for r in A.report_curves(means, states, ["p", "q"], "phi").collect()}
+    assert raw["e", 1, 0, "p"] == (0.2, 3.0) and raw["e", 0, 1, "q"] == (0.3, 2.0) and {k[0] for k in raw} == {"e"} and len(raw) == 6
+    target = store.scratch(spark, "report")
+    store.save_results(A.report_curves(means, states, ["p", "q"], "phi", averaged=True), target, "phi")
+    found = {(r.idx, r.op): (r.x, r["mean"], r.ci) for r in store.open_results(spark, target).collect()}
+    # two samples: the 0.975 quantile of t with one degree of freedom is 12.7062
+    assert found[0, "p"] == (0.1, 2.0, pytest.approx(12.7062, abs=1e-3)) and found[1, "p"] == (0.3, 5.0, None)
+    assert found[0, "q"] == (0.1, None, None) and found[1, "q"] == (0.3, 2.0, None) and len(found) == 4
+    assert {r.op for r in store.stored_orders(spark, target).collect()} == {"p", "q"}
+    assert A.report_curves(means.where("false"), states, ["p"], "phi", averaged=True).count() == 0

@@ -2,10 +2,15 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from rodfield.config import KEY
 from rodfield.operators import structure as S
 
 EDGE = "ensemble_id string, replica int, idx int, i long, j long"
 
+
 def test_components_shrink_by_rounds(spark, monkeypatch):
     """Long paths, rings and stars with mixed ids: right labels, and all rounds together keep a few times the rows of the graph."""
     kept = []
@@ -25,3 +30,18 @@ def test_components_shrink_by_rounds(spark, monkeypatch):
     got = {(r.idx, r.pid): r.label for r in S.components(vertices, spark.createDataFrame(rows, EDGE)).collect()}
     assert got == {(k, p): min(part) for k in (0, 1) for part in (parts if k == 0 else [parts[0][:201], parts[0][201:], *parts[1:]]) for p in part}
     assert sum(kept) < 4 * (len(rows) + vertices.count())
+
+
+def test_trial_ratios_repeat_no_bonds(spark):
+    """The scan equals the order taken at each ratio by itself; ratios come out of the means of states, not of bonds."""
+    random.seed(3)
+    bonds = [("e", 0, k, i, random.gauss(0, 1), random.gauss(0, 1)) for k in (0, 1) for i in range(9) for _ in range(1 + i % 5)]
+    b = spark.createDataFrame(bonds, "ensemble_id string, replica int, idx int, i long, dx double, dy double")
+    turned = spark.createDataFrame([("e", 0, k, i, random.uniform(0, 3)) for k in (0, 1) for i in range(9)], "ensemble_id string, replica int, idx int, pid long, angle double")
+    scan = S.gamma_scan(b, turned, 5)
+    got = {(r.idx, r.trial): r.order for r in scan.collect()}
+    rows = b.join(turned.withColumnRenamed("pid", "i"), [*KEY, "i"])
+    want = {(r.idx, g): r.order for g in (1.0, 1.25, 1.5, 1.75, 2.0) for r in S.turned_order(rows, F.col("angle"), F.lit(g)).groupBy(*KEY).agg(F.avg("order").alias("order")).collect()}
+    assert got == pytest.approx(want)
+    plan = scan._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("Aggregate")

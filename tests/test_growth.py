@@ -1,11 +1,14 @@
 """Work and rows that grow no faster than what is given."""
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rodfield.config import KEY
+from rodfield.operators import pairs as P
 from rodfield.operators import structure as S
 
 EDGE = "ensemble_id string, replica int, idx int, i long, j long"
@@ -45,3 +48,17 @@ def test_trial_ratios_repeat_no_bonds(spark):
     assert got == pytest.approx(want)
     plan = scan._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("Aggregate")
+
+
+@pytest.mark.parametrize("block", [6, 1024])
+def test_widest_pairs_from_corners_alone(spark, monkeypatch, block):
+    """The largest distance by brute force, also on lines, grids, circles and one place; of a cloud only few points are corners."""
+    monkeypatch.setattr(P, "BLOCK", block)
+    random.seed(4)
+    states = [[(random.gauss(0, 3), random.gauss(0, 1)) for _ in range(70)], [(0.1 * k, 0.3 * k) for k in range(20)], [(0.1 * i, 0.1 * j) for i in range(5) for j in range(6)]]
+    states += [[(math.cos(k), math.sin(k)) for k in range(25)], [(2.0, 1.0)] * 9, [(5.0, 5.0)]]
+    rows = [("e", 0, k, i, x, y) for k, points in enumerate(states) for i, (x, y) in enumerate(points)]
+    got = {r.idx: (r.low, r.high) for r in P.widest(spark.createDataFrame(rows, "ensemble_id string, replica int, idx int, pid long, x double, y double")).collect()}
+    assert got == {k: (0.0, pytest.approx(max(math.dist(p, q) for p in points for q in points), abs=1e-15)) for k, points in enumerate(states)}
+    x, y = np.random.default_rng(2).normal(0, 1, (2, 5000))
+    assert len(P._outermost(x, y)) < 50

@@ -62,3 +62,18 @@ def test_widest_pairs_from_corners_alone(spark, monkeypatch, block):
     assert got == {k: (0.0, pytest.approx(max(math.dist(p, q) for p in points for q in points), abs=1e-15)) for k, points in enumerate(states)}
     x, y = np.random.default_rng(2).normal(0, 1, (2, 5000))
     assert len(P._outermost(x, y)) < 50
+
+
+def test_close_rods_take_angles_once_a_particle(spark):
+    """No cosine is taken above the join of pairs, and the distances are those by angles."""
+    from rodfield.functions.columns import segment_distance, turned_distance
+    from rodfield.plans import registry
+
+    plan = registry.queries()["C16_segment_distance"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "COS(" not in plan[: plan.index("Join")] and "COS(" in plan
+    random.seed(7)
+    rows = [[random.choice((random.uniform(-2, 2), 0.5)) for _ in range(6)] for _ in range(400)]
+    df = spark.createDataFrame(rows, "x double, y double, t double, u double, v double, w double")
+    both = df.select(segment_distance(F.lit(0.7), *"xytuvw").alias("a"), turned_distance(F.lit(0.7), "x", "y", F.cos("t"), F.sin("t"), "u", "v", F.cos("w"), F.sin("w")).alias("b")).collect()
+    one, two = ({c: np.array([r[k] for r in rows]) for c, k in zip(("x", "y", "t"), at)} | {"gamma": np.full(len(rows), 1 / 0.3)} for at in ((0, 1, 2), (3, 4, 5)))
+    assert [r.a for r in both] == [r.b for r in both] and [r.a for r in both] == pytest.approx(P.rods(one, two).tolist(), abs=1e-9)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rodfield.config import KEY
+from rodfield.operators import graph as N
 from rodfield.operators import pairs as P
 from rodfield.operators import structure as S
 
@@ -77,3 +78,32 @@ def test_close_rods_take_angles_once_a_particle(spark):
     both = df.select(segment_distance(F.lit(0.7), *"xytuvw").alias("a"), turned_distance(F.lit(0.7), "x", "y", F.cos("t"), F.sin("t"), "u", "v", F.cos("w"), F.sin("w")).alias("b")).collect()
     one, two = ({c: np.array([r[k] for r in rows]) for c, k in zip(("x", "y", "t"), at)} | {"gamma": np.full(len(rows), 1 / 0.3)} for at in ((0, 1, 2), (3, 4, 5)))
     assert [r.a for r in both] == [r.b for r in both] and [r.a for r in both] == pytest.approx(P.rods(one, two).tolist(), abs=1e-9)
+
+
+def joins(df):
+    return sum(line.lstrip(" :+-").startswith("Join ") for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+def test_bonds_are_made_once_for_all_orders(spark):
+    """Boundary, elliptic order and triangles of a random graph by plain loops; bonds are met with particles once, and no neighbours are paired by joins."""
+    random.seed(6)
+    at = {i: (random.gauss(0, 2), random.gauss(0, 1), random.uniform(0, 3)) for i in range(18)}
+    pairs = {(i, j) for i in range(16) for j in range(i + 1, 16) if random.random() < 0.25} | {(16, 17)}
+    near = {i: {j for e in pairs for j in e if i in e and j != i} for i in at}
+    particles = spark.createDataFrame([("e", 0, k, i, *p, 1.7) for k in (0, 1) for i, p in at.items()], "ensemble_id string, replica int, idx int, pid long, x double, y double, t double, gamma double")
+    edges = spark.createDataFrame([("e", 0, k, i, j) for k in (0, 1) for i, j in pairs], EDGE)
+    edge = {p for i, j in pairs if len(near[i] & near[j]) == 1 for p in (i, j)}
+    assert edge and edge != set(at)
+    found, alone, three = N.order_parameters(particles, edges), N.graph_boundary(edges), S.rod_triangles(edges)
+    assert (joins(found), joins(alone), joins(three)) == (3, 1, 1)
+    assert {(r.idx, r.pid) for r in alone.collect()} == {(k, p) for k in (0, 1) for p in edge}
+    corners = [(r.idx, r.a, r.b, r.c) for r in three.collect()]
+    want = {(k, i, j, m) for k in (0, 1) for i, j in pairs for m in near[i] & near[j] if m > j}
+    assert want and len(corners) == len(want) and set(corners) == want
+    rows = found.collect()
+    assert len(rows) == 36
+    for r in rows:
+        assert r.on_boundary == (r.pid in edge) and r.z == len(near[r.pid])
+        turned = [(dx * math.cos(r.DirectorAngle) + dy * math.sin(r.DirectorAngle), 1.7 * (dy * math.cos(r.DirectorAngle) - dx * math.sin(r.DirectorAngle))) for dx, dy in ((at[j][0] - r.x, at[j][1] - r.y) for j in near[r.pid])]
+        mean = sum((complex(*w) / abs(complex(*w))) ** 6 for w in turned) / r.z if r.z else 0
+        assert r.EllipticPhi6 == (pytest.approx(abs(mean)) if r.z else None)

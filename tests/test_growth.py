@@ -107,3 +107,22 @@ def test_bonds_are_made_once_for_all_orders(spark):
         turned = [(dx * math.cos(r.DirectorAngle) + dy * math.sin(r.DirectorAngle), 1.7 * (dy * math.cos(r.DirectorAngle) - dx * math.sin(r.DirectorAngle))) for dx, dy in ((at[j][0] - r.x, at[j][1] - r.y) for j in near[r.pid])]
         mean = sum((complex(*w) / abs(complex(*w))) ** 6 for w in turned) / r.z if r.z else 0
         assert r.EllipticPhi6 == (pytest.approx(abs(mean)) if r.z else None)
+
+
+def test_shared_tables_leave_nothing_of_their_way(spark):
+    """A triangulation's tables are gone once it is shared, as they would be many times its size; a build that fails leaves none either."""
+    from pathlib import Path
+
+    from rodfield.plans import graph_queries, lineage
+
+    folder = Path(lineage.shared_folder(spark).removeprefix("file:"))
+    kept = lambda: {p for name in ("rdd-*", "stored-*") for p in folder.rglob(name)}
+    source, before = "/root/testdata/sf0.001", kept()
+    lineage.forget(spark, source)
+    found = graph_queries.triangles(spark, source)
+    assert found.count() > 10_000 and kept() == before
+    state = lambda k: spark.range(k).selectExpr("id AS pid")
+    with pytest.raises(ValueError):
+        lineage.shared(spark, source, "none", lambda: (lineage.stored(state(3)), int("x"))[0])
+    assert kept() == before
+    assert lineage.shared(spark, source, "some", lambda: lineage.stored(state(3))).count() == 3 and kept() == before

@@ -109,6 +109,23 @@ def test_bonds_are_made_once_for_all_orders(spark):
         assert r.EllipticPhi6 == (pytest.approx(abs(mean)) if r.z else None)
 
 
+def test_votes_deal_lists_of_neighbours(spark):
+    """Votes by plain loops over three rounds; a round joins lists by particle, not an edge in each direction."""
+    random.seed(9)
+    pairs = {(i, j) for i in range(12) for j in range(i + 1, 12) if random.random() < 0.3}
+    near = {i: [j for e in pairs for j in e if i in e and j != i] for i in range(13)}
+    now = {i: random.randrange(3) for i in near}
+    labels = spark.createDataFrame([("e", 0, 0, i, v) for i, v in now.items()], "ensemble_id string, replica int, idx int, pid long, l int")
+    edges = spark.createDataFrame([("e", 0, 0, i, j) for i, j in pairs], EDGE)
+    got = {r.pid: r.l for r in N.vote(labels, edges, "l", 3).collect()}
+    for _ in range(3):
+        seen = {i: [now[j] for j in near[i]] for i in near}
+        now = {i: min(set(v), key=lambda c: (-v.count(c), c)) if v else -1 for i, v in seen.items()}
+    assert got == now
+    plan = N.vote(labels, edges, "l")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and plan.count("Aggregate") == 3
+
+
 def test_shared_tables_leave_nothing_of_their_way(spark):
     """A triangulation's tables are gone once it is shared, as they would be many times its size; a build that fails leaves none either."""
     from pathlib import Path

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 from itertools import combinations_with_replacement
 
 import pytest
@@ -67,6 +68,34 @@ def test_pair_means_and_correlation_sums(spark, monkeypatch, rods, block):
     assert sums == {r.idx: (r.n, pytest.approx(r.c, abs=1e-9)) for r in by_pair}
 
 
+def test_a_state_of_pairs_is_dealt_by_blocks(spark, monkeypatch, rods):
+    """Every pair once and in order with its own columns, whatever the blocks; the pairs of one state come from several tasks, none of which makes most of them."""
+    monkeypatch.setattr(P, "DEALT", 7, raising=False)
+    set_ = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in set_}
+    try:
+        for k, v in set_.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(rods, ROD).withColumns({"u": F.cos("t") + 2, "v": F.abs("x") + 1})
+        pairs = P.all_pairs(df, ["t"]).withColumn("task", F.spark_partition_id()).collect()
+        products = P.pair_correlation(df, "u", "v").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    at = {(r[2], r[3]): r for r in rods}
+    want = {(k, a[3], b[3]) for k, state in grouped(rods).items() for a, b in combinations_with_replacement(sorted(state), 2)}
+    for rows in (pairs, products):
+        assert len(rows) == len(want) and {(r.idx, r.pid_i, r.pid_j) for r in rows} == want
+        tasks = Counter(r.task for r in rows if r.idx == 0)
+        assert len(tasks) > 3 and max(tasks.values()) < 0.5 * sum(tasks.values())
+    assert all((r.x_i, r.y_i, r.t_i, r.x_j, r.y_j, r.t_j) == at[r.idx, r.pid_i][4:7] + at[r.idx, r.pid_j][4:7] for r in pairs)
+    mean = {k: [sum(f(r) for r in state) / len(state) for f in (lambda r: math.cos(r[6]) + 2, lambda r: abs(r[4]) + 1)] for k, state in grouped(rods).items()}
+    for r in products:
+        (a, b), (mu, mv) = (at[r.idx, p] for p in (r.pid_i, r.pid_j)), mean[r.idx]
+        du, dv = ([f(p) - m for p in (a, b)] for f, m in ((lambda p: math.cos(p[6]) + 2, mu), (lambda p: abs(p[4]) + 1, mv)))
+        assert (r.r, r.c) == (pytest.approx(math.dist(a[4:6], b[4:6])), pytest.approx(0.5 / (mu * mv) * (du[0] * dv[1] + du[1] * dv[0]), abs=1e-12))
+
+
 def test_value_at_rank(spark):
     random.seed(9)
     groups = {0: [random.choice([1.0, 2.5, 2.5, -3.0]) for _ in range(50)], 1: [random.gauss(0, 1) ** 9 for _ in range(80)], 2: [7.0], 3: [5.0] * 30, 4: [None, 1e300, -1e300, 0.0]}

@@ -65,6 +65,24 @@ def test_widest_pairs_from_corners_alone(spark, monkeypatch, block):
     assert len(P._outermost(x, y)) < 50
 
 
+@pytest.mark.parametrize("reach", [0.5, 2.0, 30.0])
+def test_close_pairs_meet_once(spark, reach):
+    """Pairs by brute force, in order and with a value of their own, on both sides of zero and on cells' edges; a particle is sent to five cells, not nine."""
+    random.seed(11)
+    points = [(random.gauss(0, 2), random.gauss(0, 2)) for _ in range(90)] + [(2.0 * i, -2.0 * j) for i in range(-2, 3) for j in range(3)] + [(1.5, 1.5)] * 3 + [(1e12, -1e12), (1e12, -1e12)]
+    ids = random.sample(range(1000), len(points))
+    df = spark.createDataFrame([("e", 0, k, i, x, y, 0.1 * i) for k in (0, 1) for i, (x, y) in zip(ids, points)], "ensemble_id string, replica int, idx int, pid long, x double, y double, t double")
+    found = P.close_pairs(df, reach, ("t",), {"apart": F.abs(F.col("t_i") - F.col("t_j"))})
+    at, far = dict(zip(ids, points)), lambda p, q: math.sqrt((q[0] - p[0]) * (q[0] - p[0]) + (q[1] - p[1]) * (q[1] - p[1]))
+    want = {(k, i, j): far(at[i], at[j]) for k in (0, 1) for i in ids for j in ids if i < j}
+    want = {key: d for key, d in want.items() if d < reach}
+    rows = found.collect()
+    assert len(rows) == len(want) and {(r.idx, r.pid_i, r.pid_j): r.r for r in rows} == want
+    assert all(r.apart == abs(0.1 * r.pid_i - 0.1 * r.pid_j) for r in rows)
+    (line,) = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in x]
+    assert line.count("],[") + 1 == 5
+
+
 def test_close_rods_take_angles_once_a_particle(spark):
     """No cosine is taken above the join of pairs, and the distances are those by angles."""
     from rodfield.functions.columns import segment_distance, turned_distance

@@ -127,6 +127,26 @@ def test_bonds_are_made_once_for_all_orders(spark):
         assert r.EllipticPhi6 == (pytest.approx(abs(mean)) if r.z else None)
 
 
+def test_named_orders_deal_no_lists(spark):
+    """Without C6 no lists of neighbours are held, what follows from a particle's own row joins no particles; with C6 values are the same."""
+    from rodfield.operators import by_name as O
+
+    random.seed(12)
+    particles = spark.createDataFrame([("e", 0, k, i, random.gauss(0, 2), random.gauss(0, 1), random.uniform(0, 3), 1.7) for k in (0, 1) for i in range(15)], "ensemble_id string, replica int, idx int, pid long, x double, y double, t double, gamma double")
+    edges = spark.createDataFrame([("e", 0, k, i, j) for k in (0, 1) for i in range(14) for j in range(i + 1, 14) if random.random() < 0.3], EDGE)
+    names = ["S_x", "S_global", "Phi6", "EllipticPhi6", "S_local", "MeanSegmentDist"]
+    few, more = (O.by_name(O.Graph(particles, edges, None), n) for n in (names, [*names, "C6"]))
+    assert few.columns == [*particles.columns, *names[2:], *names[:2]]
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and joins(few) == 5
+    rows, again = ({(r.idx, r.pid): r for r in df.collect()} for df in (few, more))
+    assert len(rows) == 30 and all([rows[k][n] for n in names] == [pytest.approx(v) if v is not None else None for v in (again[k][n] for n in names)] for k in rows)
+    for k in (0, 1):
+        t = [r.t for r in rows.values() if r.idx == k]
+        c, s = (sum(f(2 * x) for x in t) / len(t) for f in (math.cos, math.sin))
+        assert sum(r.S_global for r in rows.values() if r.idx == k) / len(t) == pytest.approx(math.hypot(c, s))
+
+
 def test_votes_deal_lists_of_neighbours(spark):
     """Votes by plain loops over three rounds; a round joins lists by particle, not an edge in each direction."""
     random.seed(9)

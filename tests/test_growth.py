@@ -181,3 +181,43 @@ def test_shared_tables_leave_nothing_of_their_way(spark):
         lineage.shared(spark, source, "none", lambda: (lineage.stored(state(3)), int("x"))[0])
     assert kept() == before
     assert lineage.shared(spark, source, "some", lambda: lineage.stored(state(3))).count() == 3 and kept() == before
+
+
+@pytest.mark.parametrize(("held", "tables"), [(1 << 18, 1), (40, 3)])
+def test_events_are_solved_without_rounds_where_they_fit(spark, monkeypatch, held, tables):
+    """Events by plain loops over states with a gap; a graph that fits a task takes no rounds, a larger one is contracted until it does, with the same result."""
+    cuts, cut = [], S.cut
+    monkeypatch.setattr(S, "cut", lambda df: (cuts.append(1), cut(df))[1])
+    monkeypatch.setattr(S, "HELD", held)
+    random.seed(13)
+    ids = random.sample(range(900), 60)
+    graphs = {k: {tuple(sorted(random.sample(ids, 2))) for _ in range(n)} for k, n in ((0, 50), (1, 45), (2, 90), (4, 50), (5, 12))}
+    graphs[2] |= {e for e in graphs[1] if random.random() < 0.7}
+    bodies = {(k, p): random.random() < 0.9 for k in graphs for p in ids}
+    z = {key: sum(key[1] in e for e in graphs[key[0]]) if body else 6 for key, body in bodies.items()}
+    want = set()
+    for k in (1, 2, 5):
+        left = {p for e in graphs[k] - graphs[k - 1] for p in e}
+        while left:
+            part, more = set(), {min(left)}
+            while more:
+                part |= more
+                more = {q for e in graphs[k] for p, q in (e, e[::-1]) if p in part and q in left} - part
+            left -= part
+            sums = [sum(max(0, sign * (z[at, p] - 6)) for p in part) for at in (k - 1, k) for sign in (-1, 1)]
+            want.add((k, min(part), len(part), *sums))
+    edges = spark.createDataFrame([("e", 0, k, i, j) for k, es in graphs.items() for i, j in es], EDGE)
+    given = spark.createDataFrame([("e", 0, k, p, body) for (k, p), body in bodies.items()], "ensemble_id string, replica int, idx int, pid long, body boolean")
+    rows = S.rearrangements(given, edges).collect()
+    assert len(rows) == len(want) and {tuple(r)[2:] for r in rows} == want and max(r.size for r in rows) > 40
+    assert len(cuts) == 1 if tables == 1 else len(cuts) >= tables
+
+
+def test_events_are_shared(spark):
+    """T4's events are found once a session; T5 reads them."""
+    from rodfield.plans import lineage, registry
+
+    found = registry.queries()["T4_rearrangements"](spark, "/root/testdata/sf0.001").collect()
+    plan = registry.queries()["T5_event_sizes"](spark, "/root/testdata/sf0.001")
+    assert joins(plan) == 0 and sum(r["count"] for r in plan.collect()) == len(found) > 0
+    lineage.forget(spark, "/root/testdata/sf0.001")

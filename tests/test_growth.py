@@ -221,3 +221,43 @@ def test_events_are_shared(spark):
     plan = registry.queries()["T5_event_sizes"](spark, "/root/testdata/sf0.001")
     assert joins(plan) == 0 and sum(r["count"] for r in plan.collect()) == len(found) > 0
     lineage.forget(spark, "/root/testdata/sf0.001")
+
+
+def test_tiles_are_sent_margins_once(spark):
+    """Of a dense state a tile is sent what lies in its margin, not all tiles around it, and once: bytes shuffled a point."""
+    from rodfield.operators import delaunay
+
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def shuffled():
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+    n, before = 30_000, set(shuffled())
+    points = spark.range(n, numPartitions=4).selectExpr("'e' AS ensemble_id", "0 AS replica", "0 AS idx", "id AS pid", "rand(3) AS x", "rand(4) AS y")
+    found = delaunay.triangulate(points)
+    assert found.selectExpr("explode(array(a, b, c)) AS p").distinct().count() == n and 2 * n - 400 < found.count() < 2 * n
+    sent = sum(v for k, v in shuffled().items() if k not in before)
+    assert sent / n < 300
+
+
+def test_flat_circles_lie_on_the_side_of_their_apex():
+    """Of points on a line by their roundings, what must be empty lies beyond the line, not on the side where others are, and has a direction."""
+    from rodfield.operators import delaunay
+
+    wide = 0
+    random.seed(1)
+    for _ in range(100):
+        t, cx, cy = random.uniform(0, math.pi), random.uniform(-20, 20), random.uniform(-20, 20)
+        line = [(cx + (j - 7) * 0.1 / 1.7 * math.cos(t), cy + (j - 7) * 0.1 / 1.7 * math.sin(t)) for j in range(9)]
+        rest = [(cx + 0.3 * math.cos(t) - s * math.sin(t), cy + 0.3 * math.sin(t) + s * math.cos(t)) for s in (0.4, 0.7)]
+        x, y = (np.array(v) for v in zip(*line, *rest))
+        seen = ~np.eye(len(x), dtype=bool)
+        f = delaunay.fans(x, y, np.tile(x, (len(x), 1)), np.tile(y, (len(x), 1)), seen, np.tile(np.arange(len(x)), (len(x), 1)))
+        assert np.isfinite(f["u"]).all() and np.isfinite(f["v"]).all()
+        for row, u, v, r in zip(f["row"], f["u"], f["v"], f["r"]):
+            if r > 1e6:
+                wide += 1
+                # across the line, away from the others
+                assert -u * math.sin(t) + v * math.cos(t) < 0
+    assert wide > 20
